@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_files
+from . import fingerprints, langid, mixing, packing, quality, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pareto_mix": mixing.op2,
+        "op3_ppm_language_id": langid.op3,
+        "op4_simhash_fingerprints": fingerprints.op4,
         "op5_best_fit_pack": packing.op5,
         "op6_weak_supervision": quality.op6,
         "op9_arrow_token_files": token_files.op9,
