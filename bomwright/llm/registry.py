@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, quality, token_files
+from . import fingerprints, langid, mixing, neardup, packing, quality, substrings, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_count_min_substrings": substrings.op1,
         "op2_pareto_mix": mixing.op2,
         "op3_ppm_language_id": langid.op3,
         "op4_simhash_fingerprints": fingerprints.op4,
