@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, quality, substrings, token_files
+from . import fingerprints, langid, mixing, neardup, packing, quality, substrings, suffixes, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_fingerprints": fingerprints.op4,
         "op5_best_fit_pack": packing.op5,
         "op6_weak_supervision": quality.op6,
+        "op7_suffix_radix_dedup": suffixes.op7,
         "op8_bit_sliced_near_dedup": neardup.op8,
         "op9_arrow_token_files": token_files.op9,
     }
