@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, quality, substrings, suffixes, token_files
+from . import fingerprints, html_text, langid, mixing, neardup, packing, quality, substrings, suffixes, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_radix_dedup": suffixes.op7,
         "op8_bit_sliced_near_dedup": neardup.op8,
         "op9_arrow_token_files": token_files.op9,
+        "op10_crf_main_text": html_text.op10,
     }
 
 
