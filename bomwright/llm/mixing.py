@@ -69,12 +69,14 @@ def water_fill(sources: DataFrame, share: float, most: float, weights: tuple[int
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def pareto_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, weight: Column | None = None) -> DataFrame:
+def pareto_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, weight: Column | None = None, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies and taken.
 
     ``weight`` multiplies the inclusion odds of a document (1 where none is given).
+    With ``carry`` all columns of ``docs`` come along in a struct, ``carried``.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("odds")), "mix-sizes")
+    carried = F.struct("*") if carry else F.lit(None).cast("struct<nothing:int>")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("odds"), carried.alias("carried")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     # One row per source, written once: it is read three times below.
     targets = materialize(water_fill(sources, share, most, weights).join(sources.select(F.col("source").alias("of"), "n_docs"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-targets")
@@ -108,8 +110,9 @@ def pareto_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     in_order = Window.partitionBy("of", "band").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     words_before = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
     at_cut = joined.where(F.col("rank").isNotNull() & F.col("whole_band").isNull()).withColumn("extra", (words_before + F.col("size") / 2 <= F.col("missing")).cast("int"))
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")]
-    return settled.select(*out).unionByName(at_cut.select(*out))
+    out = ["carried", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")]
+    mixed = settled.select(*out).unionByName(at_cut.select(*out))
+    return mixed if carry else mixed.drop("carried")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

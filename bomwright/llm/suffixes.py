@@ -52,15 +52,22 @@ def row_key(doc_id: object, text: bytes) -> int:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, kept_bytes: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``kept_bytes``, the bytes (kept)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``kept_bytes``, the bytes (kept).
+
+    With ``kept_bytes`` the other columns of ``docs`` come along in a struct, ``carried``.
+    """
     spark = docs.sparkSession
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if kept_bytes else []
+    carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("struct<nothing:int>")
+    docs = docs.select("doc_id", "text", carried.alias("carried"))
+    carried_type = docs.schema["carried"].dataType.simpleString()
 
     def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *(Runs(sums, offsets, length, block).hash for _, _, _, offsets, sums in _parts(batch.column(0)))])
 
     maybe = spark.sparkContext.broadcast(repeated(docs.select("text"), hashes_of))
     id_type = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "n_bytes", "kept_sha256", "kept", "name", "text", "runs"]
+    names = ["doc_id", "n_bytes", "kept_sha256", "kept", "name", "text", "runs", "carried"]
     run_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int64()), ("whole", pa.int64())]))
 
     def split(batches):
@@ -85,12 +92,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
                      pa.array([t if kept_bytes and not d else None for t, d in zip(texts, flags, strict=True)], pa.binary()),
                      pa.array([row_key(i, t) if d else None for i, t, d in zip(ids.to_pylist(), texts, flags, strict=True)], pa.int64()),
                      pa.array([t if d else None for t, d in zip(texts, flags, strict=True)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), items)],
+                     pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), items), batch.column(2).slice(at, end - at)],
                     names=names,
                 )
 
     runs_ddl = "array<struct<low:int,high:int,anchor:bigint,whole:bigint>>"
-    parted = materialize(docs.select("doc_id", "text").mapInArrow(split, f"doc_id {id_type}, n_bytes bigint, kept_sha256 string, kept binary, name bigint, text binary, runs {runs_ddl}"), "suffix-runs")
+    parted = materialize(docs.mapInArrow(split, f"doc_id {id_type}, n_bytes bigint, kept_sha256 string, kept binary, name bigint, text binary, runs {runs_ddl}, carried {carried_type}"), "suffix-runs")
     suspects = parted.where(F.col("name").isNotNull())
 
     # Passes one and two: runs by anchor and by all that they span.
@@ -125,8 +132,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
     twice = pool.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select(F.col("key").alias("k"))
     single = pool.where("n = 1").join(twice, F.col("key") == F.col("k")).select("name", F.col("start").alias("low"), F.col("start").alias("high"))
     found = whole_runs.unionByName(single).groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("found")).withColumnRenamed("name", "of")
-    judged = suspects.select("doc_id", "name", "text").join(found, F.col("name") == F.col("of"), "left").select("doc_id", "text", "found")
-    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    judged = suspects.select("doc_id", "name", "text", "carried").join(found, F.col("name") == F.col("of"), "left").select("doc_id", "text", "found", "carried")
+    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried"]
 
     def cut(batches):
         for batch in batches:
@@ -143,12 +150,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
                 rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if kept_bytes else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], names=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)), batch.column(3)], names=out)
 
     zero = F.lit(0).cast("bigint")
-    clean = parted.where(F.col("name").isNull()).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", "kept")
-    result = clean.unionByName(judged.mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))
-    return result if kept_bytes else result.drop("kept")
+    clean = parted.where(F.col("name").isNull()).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", "kept", "carried")
+    result = clean.unionByName(judged.mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, carried {carried_type}"))
+    return result if kept_bytes else result.drop("kept", "carried")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
