@@ -96,8 +96,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                 sink = store.open_output_stream(f"{root}/{mine}.ids")
                 writer = _Writer(sink, kind, row_length, ROWS_PER_BATCH)
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 512):
-                for ids in code.encode(texts[at : at + 512]):
+            for at in range(0, len(texts), 2048):
+                for ids in code.encode(texts[at : at + 2048]):
                     flat = np.frombuffer(ids + end, "<u4")
                     writer.add(flat.astype(kind))
                     lengths.append(len(flat))
