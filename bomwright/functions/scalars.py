@@ -123,11 +123,11 @@ def shown_cost(x: Column) -> Column:
 
 
 def symptoms_from_text(x: Column, separator: str = ",") -> Column:
-    return F.filter(F.transform(F.split(x, separator), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, separator), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def trimmed_symptoms(x: Column) -> Column:
-    return F.filter(F.transform(x, F.trim), lambda s: s != "")
+    return F.filter(F.transform(x, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def target_ids(repaired: Column, replaced: Column, cleaned: Column, repaired_many: Column, cleaned_many: Column, pairs: Column) -> Column:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import exact_sum, purity, ratio, rounded
 
-PRODUCT = Window.partitionBy("tree_id")
+
+def _product():
+    return Window.partitionBy("tree_id")
 
 
 def _named(uses: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def _named(uses: DataFrame) -> DataFrame:
 
 def mass_by_name(uses: DataFrame) -> DataFrame:
     grams = _named(uses).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"))
-    total = F.sum("g").over(PRODUCT).cast("double")
+    total = F.sum("g").over(_product()).cast("double")
     return grams.select("tree_id", "material_name", F.col("g").cast("double").alias("grams"), (ratio(F.col("g").cast("double"), total) * 100.0).alias("percent"))
 
 
@@ -57,7 +59,7 @@ def once_per_material(uses: DataFrame) -> DataFrame:
 def rare_earth_metrics(uses: DataFrame) -> DataFrame:
     """Rare materials, parts and material instances counted once."""
     names = _named(once_per_material(uses)).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.bool_or("rare").alias("rare"))
-    total = F.sum("g").over(PRODUCT).cast("double")
+    total = F.sum("g").over(_product()).cast("double")
     return names.withColumn("total", total).where("rare").select("tree_id", "material_name", rounded(F.col("g").cast("double"), 4).alias("grams"), rounded(ratio(F.col("g").cast("double"), F.col("total")) * 100.0, 2).alias("percent"))
 
 
@@ -66,7 +68,7 @@ def shares_by_static(uses: DataFrame) -> DataFrame:
     w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
     sums = _named(once_per_material(uses)).groupBy("tree_id", "material_static_id", "material_name").agg(
         F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
-    total = F.sum("g").over(PRODUCT).cast("double")
+    total = F.sum("g").over(_product()).cast("double")
     grams = F.col("g").cast("double")
     return sums.withColumn("total", F.when(total > 0, total).otherwise(1.0)).select(
         "tree_id", "material_static_id", "material_name", "rare", "hazardous", rounded(grams, 2).alias("grams"),
@@ -77,7 +79,7 @@ def summary_by_name(uses: DataFrame) -> DataFrame:
     """Summary by name, added up from masses and recycled percentages already rounded to two places."""
     w, p = F.col("grams").cast("decimal(18,2)"), F.col("recycled_percent").cast("decimal(18,2)")
     names = shares_by_static(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
-    total = F.sum("g").over(PRODUCT).cast("double")
+    total = F.sum("g").over(_product()).cast("double")
     grams = F.col("g").cast("double")
     shared = names.select(
         "tree_id", "material_name", "rare", "hazardous", rounded(grams, 4).alias("grams"), rounded(ratio(grams, total) * 100.0, 2).alias("percent"), rounded(ratio(F.col("wp"), grams), 2).alias("recycled_percent"))
@@ -102,8 +104,8 @@ def end_of_life_buckets(uses: DataFrame) -> DataFrame:
 
 def pie(shares: DataFrame) -> DataFrame:
     """Start and end of each material's slice, 0 to 1, the heaviest first."""
-    order = PRODUCT.orderBy(F.desc("grams"), "material_name")
+    order = _product().orderBy(F.desc("grams"), "material_name")
     w = F.col("grams").cast("decimal(18,6)")
     to = F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
-    total = F.sum(w).over(PRODUCT).cast("double")
+    total = F.sum(w).over(_product()).cast("double")
     return shares.select("tree_id", "material_name", ((to - F.col("grams")) / total).alias("from_share"), (to / total).alias("to_share"))
