@@ -101,6 +101,17 @@ def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[new], np.minimum(np.add.reduceat(counts, new), 255).astype(np.uint8)
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """Ascending cells as differences, byte planes apart and compressed."""
+    steps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], hold: int = 2_000_000) -> Repeated:
     """Sketches ``hashes_of`` every batch. 32 MB at most come to the driver."""
     shard_bits = min(16, max(6, docs.rdd.getNumPartitions().bit_length()))
@@ -129,14 +140,14 @@ def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray],
             if shards:
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([row << shard_bits | k for k in shards], pa.int32()),
-                    "cells": pa.array([keys[edges[k] : edges[k + 1]].tobytes() for k in shards], pa.binary()),
-                    "counts": pa.array([counts[edges[k] : edges[k + 1]].tobytes() for k in shards], pa.binary()),
+                    "cells": pa.array([packed(keys[edges[k] : edges[k + 1]]) for k in shards], pa.binary()),
+                    "counts": pa.array([zlib.compress(counts[edges[k] : edges[k + 1]].tobytes(), 1) for k in shards], pa.binary()),
                 })
 
     def merged(key, table):
         # One range of cells of all tasks; the number of ranges grows with the number of tasks.
-        joined = [b"".join(table.column(name).to_pylist()) for name in ("cells", "counts")]
-        keys, counts = merge_counts(np.frombuffer(joined[0], np.uint32), np.frombuffer(joined[1], np.uint8))
+        counts = b"".join(zlib.decompress(x) for x in table.column("counts").to_pylist())
+        keys, counts = merge_counts(np.concatenate([unpacked(x) for x in table.column("cells").to_pylist()]), np.frombuffer(counts, np.uint8))
         shard = key[0].as_py()
         base = (shard & ((1 << shard_bits) - 1)) << (FOLD_BITS - shard_bits)
         bits = np.zeros(1 << (FOLD_BITS - shard_bits), np.uint8)

@@ -11,7 +11,8 @@ reach the depth:
    A count-min sketch drops runs whose anchor is surely unique before any shuffle;
    the rest are grouped exactly.
 2. all bytes that a run spans. Equal runs are repeated as a whole.
-3. for runs whose anchor has several variants, every suffix through the full depth.
+3. for runs whose anchor has several variants, every suffix through the full depth,
+   again behind a count-min sketch.
 
 Rows come back to a document as ranges of starts, so no task sees all places of a
 common passage, and counts are made by key before anything is shuffled.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .rolling import BYTES, byte_column, chunks, prefix, span_hash, window_hash
 from .sketch import Runs, repeated
 
@@ -57,6 +58,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
     With ``kept_bytes`` the other columns of ``docs`` come along in a struct, ``carried``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if kept_bytes else []
     carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("struct<nothing:int>")
     docs = docs.select("doc_id", "text", carried.alias("carried"))
@@ -109,29 +111,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
     whole_runs = runs.join(same, (F.col("anchor") == F.col("a")) & (F.col("whole") == F.col("w"))).select("name", "low", "high")
 
     # Pass three: suffixes of runs with several variants, one row each; one run stands for all that equal it.
+    # A second sketch, of the suffixes through the full depth, keeps those that are surely unique out of the shuffle.
     asked = alive.where("variants > 1").select("one.*", "n").groupBy("name").agg(F.collect_list(F.struct("low", "high", "n")).alias("asked")).withColumnRenamed("name", "of")
-    texts = suspects.select("name", "text").join(asked, F.col("name") == F.col("of")).select("name", "text", "asked")
+    texts = materialize(suspects.select("name", "text").join(asked, F.col("name") == F.col("of")).select("name", "text", "asked"), "suffix-asked")
+
+    def in_full(batch: pa.RecordBatch):
+        data, offsets = byte_column(batch.column(1).cast(pa.large_binary()).view(pa.large_string()))
+        for k in range(batch.num_rows):
+            some = batch.column(2)[k].values
+            low, high, n = (some.field(j).to_numpy().astype(np.int64) for j in range(3))
+            sizes = high - low + 1
+            sums = prefix(BYTES[data[offsets[k] : offsets[k + 1]]])
+            starts = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            yield batch.column(0)[k].as_py(), span_hash(sums, starts, starts + length), starts, np.repeat(np.minimum(n, 2), sizes)
+
+    deep = spark.sparkContext.broadcast(repeated(texts, lambda batch: np.concatenate([np.zeros(0, np.uint64), *(np.repeat(keys, n) for _, keys, _, n in in_full(batch))])))
 
     def suffixes(batches):
         for batch in batches:
-            data, offsets = byte_column(batch.column(1).cast(pa.large_binary()).view(pa.large_string()))
-            for k in range(batch.num_rows):
-                some = batch.column(2)[k].values
-                low, high, n = (some.field(j).to_numpy().astype(np.int64) for j in range(3))
-                sizes = high - low + 1
-                sums = prefix(BYTES[data[offsets[k] : offsets[k + 1]]])
-                starts = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                keys = span_hash(sums, starts, starts + length)
+            for name, keys, starts, n in in_full(batch):
+                hit = deep.value(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), batch.column(0)[k].as_py(), np.int64)), pa.array(starts.astype(np.int32)), pa.array(np.repeat(np.minimum(n, 2), sizes).astype(np.int32))],
+                    [pa.array(keys[hit].view(np.int64)), pa.array(np.full(int(hit.sum()), name, np.int64)), pa.array(starts[hit].astype(np.int32)), pa.array(n[hit].astype(np.int32))],
                     names=["key", "name", "start", "n"],
                 )
 
-    ordered = texts.mapInArrow(suffixes, "key bigint, name bigint, start int, n int")
-    pool = materialize(ordered, "suffixes")
+    pool = materialize(texts.mapInArrow(suffixes, "key bigint, name bigint, start int, n int"), "suffixes")
     twice = pool.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select(F.col("key").alias("k"))
     single = pool.where("n = 1").join(twice, F.col("key") == F.col("k")).select("name", F.col("start").alias("low"), F.col("start").alias("high"))
-    found = whole_runs.unionByName(single).groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("found")).withColumnRenamed("name", "of")
+    found = whole_runs.unionByName(single).groupBy("name").agg(F.collect_list(F.shiftleft(F.col("low").cast("bigint"), 32).bitwiseOR(F.col("high").cast("bigint"))).alias("found")).withColumnRenamed("name", "of")
     judged = suspects.select("doc_id", "name", "text", "carried").join(found, F.col("name") == F.col("of"), "left").select("doc_id", "text", "found", "carried")
     out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried"]
 
@@ -143,8 +151,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
                 gone = np.zeros(len(data), bool)
                 if some.is_valid:
                     change = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(change, some.values.field(0).to_numpy(), 1)
-                    np.add.at(change, some.values.field(1).to_numpy() + length, -1)
+                    ranges = some.values.to_numpy()
+                    np.add.at(change, ranges >> 32, 1)
+                    np.add.at(change, (ranges & 0xFFFFFFFF) + length, -1)
                     gone = np.cumsum(change[:-1]) > 0
                 rest = data[~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
