@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 from .html_pages import labelled_page
 
 TRAINING_PAGES = 600
@@ -262,6 +262,7 @@ def main_text(html: str | None, weights: Weights) -> str:
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     weights = weights or default_weights()
     shared = pages.sparkSession.sparkContext.broadcast((weights.features, weights.start, np.array(weights.steps)))
     kinds = dict(pages.dtypes)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .rolling import byte_column, chunks
 
 ORDER = 3
@@ -70,6 +70,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """About ``per_language`` documents of each language, fewer if they are long; the same ones in every run."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # One row per language comes to the driver.
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
@@ -181,6 +182,7 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 def predict(docs: DataFrame, statistics: Statistics | None, chunk_bytes: int = 1 << 20) -> DataFrame:
     """All columns of ``docs`` that are given, with lang_pred, score and bits_per_byte (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     keep = docs.drop("lang_pred", "score", "bits_per_byte")
     out = ("lang_pred string", "score double", "bits_per_byte double")
     if statistics is None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .rolling import bit_counts, majority
 
 SEED = 42
@@ -267,6 +267,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least doc_id that links reach)."""
+    small_batches(docs.sparkSession)
     prints = materialize(fingerprinted(docs), "simhash")
     copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     rooted = components(links(copies.select("fp")))

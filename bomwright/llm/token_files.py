@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_later, shared_dir, table
+from .common import remove_later, shared_dir, small_batches, table
 from .tokens import END_ID, default_path, encoder
 
 ROW_LENGTH = 2048
@@ -77,6 +77,7 @@ class _Writer:
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, row_length: int = ROW_LENGTH, parts: int | None = None) -> list[tuple[int, int]]:
     """Writes the files; (part, number of ids) of each, in order. One row per part comes to the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or default_path()
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
