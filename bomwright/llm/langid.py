@@ -150,8 +150,8 @@ def _unroll(codes: list[np.ndarray], n: np.ndarray, a: int, used: np.ndarray) ->
     p3 = _mix(c3, p2[np.arange(a * a) % a])
     out = np.empty((a * a + len(used), a), np.float32)
     out[: a * a] = -np.log2(p3)
-    for at in range(0, len(used), 20_000):
-        some = slice(at, at + 20_000)
+    for at in range(0, len(used), 2_000):
+        some = slice(at, at + 2_000)
         out[a * a + at : a * a + at + len(used[some])] = -np.log2(_mix(c4[some], p3[used[some] % (a * a)]))
     return out.ravel()
 
@@ -168,10 +168,14 @@ def _mix(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, per_language: int = SAMPLE) -> Statistics | None:
     """Statistics of the documents that are not held out. Grams of a bounded sample come to the driver."""
-    rows = count_grams(sample(docs, per_language)).toPandas()
-    if not len(rows):
+    import pyarrow.compute as pc
+
+    rows = count_grams(sample(docs, per_language)).toArrow()
+    langs = pc.unique(rows["lang"]).to_pylist()
+    if not langs:
         return None
-    return build({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy()) for lang, g in rows.groupby("lang")})
+    of = lambda lang: rows.filter(pc.equal(rows["lang"], lang))
+    return build({lang: (of(lang)["gram"].to_numpy(), of(lang)["n"].to_numpy()) for lang in langs})
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
