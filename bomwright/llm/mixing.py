@@ -16,6 +16,7 @@ the cut), and reruns agree since ``u`` is a hash of the id.
 
 No window runs over a source: ranks are cut into narrow bands whose sums are
 added up first, so that only the band in which the cut falls is ordered in full.
+The bands go to all tasks if they are few, so that documents stay where they are.
 
 Defined results: null text has size 0; a null source is a source of its own that
 sorts last; a null id gets one fixed ``u``; equal rows are ranked in any order, with
@@ -31,6 +32,8 @@ from .common import materialize, table, word_count
 
 #: Bands a source's ranks are cut into for every so many documents.
 ROWS_PER_BAND = 2_000
+#: So many bands, a few dozen bytes each, are sent to all tasks; more are joined by a shuffle.
+BROADCAST_BANDS = 50_000
 
 
 def uniform(key: Column, seed: int = 0) -> Column:
@@ -105,6 +108,9 @@ def pareto_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
                 # 1: all of the band is taken, 0: none, null: the cut may fall into it
                 F.when(F.col("before") + F.col("in_band") <= F.col("missing"), 1).when(F.col("before") > F.col("missing"), 0).alias("whole_band"))
     )
+    # One number comes to the driver.
+    n_bands = plans.agg(F.sum("bands")).first()[0] or 0
+    bands = F.broadcast(bands) if n_bands <= BROADCAST_BANDS else bands
     joined = ranked.join(bands, (F.col("of") == F.col("band_of")) & (F.col("band") == F.col("band_no")), "left")
     settled = joined.where(F.col("rank").isNull() | F.col("whole_band").isNotNull()).withColumn("extra", F.coalesce("whole_band", F.lit(0)))
     in_order = Window.partitionBy("of", "band").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
