@@ -30,7 +30,7 @@ def default_path() -> str:
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids. Remembers at most ``max_pieces`` pieces."""
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
