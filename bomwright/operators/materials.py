@@ -50,6 +50,16 @@ def purity_by_name(uses: DataFrame) -> DataFrame:
     return heavy.groupBy("tree_id", "material_name").agg((F.sum(w * F.col("share")).cast("double") / F.sum(w).cast("double")).alias("mean_purity"))
 
 
+def once_per_part(uses: DataFrame) -> DataFrame:
+    """All uses of the first visit of each part of a product; a material instance in several parts counts in each.
+
+    ``visit`` says where the part is and orders like ``place``; rows of one place are one use.
+    """
+    first = Window.partitionBy("tree_id", "part_id").orderBy("place")
+    seen = uses.withColumns({"first_visit": F.first("visit").over(first), "before": F.lag("place").over(first)})
+    return seen.where((F.col("visit") == F.col("first_visit")) & ~F.col("place").eqNullSafe(F.col("before"))).drop("first_visit", "before")
+
+
 def once_per_material(uses: DataFrame) -> DataFrame:
     """The first use of each material instance of a product."""
     first = Window.partitionBy("tree_id", "material_instance_id").orderBy("place")
@@ -58,7 +68,7 @@ def once_per_material(uses: DataFrame) -> DataFrame:
 
 def rare_earth_metrics(uses: DataFrame) -> DataFrame:
     """Rare materials, parts and material instances counted once."""
-    names = _named(once_per_material(uses)).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.bool_or("rare").alias("rare"))
+    names = _named(once_per_material(once_per_part(uses))).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.bool_or("rare").alias("rare"))
     total = F.sum("g").over(_product()).cast("double")
     return names.withColumn("total", total).where("rare").select("tree_id", "material_name", rounded(F.col("g").cast("double"), 4).alias("grams"), rounded(ratio(F.col("g").cast("double"), F.col("total")) * 100.0, 2).alias("percent"))
 
@@ -66,7 +76,7 @@ def rare_earth_metrics(uses: DataFrame) -> DataFrame:
 def shares_by_static(uses: DataFrame) -> DataFrame:
     """Mass, recycled percentage and share of each static material, parts counted once, all to two places."""
     w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
-    sums = _named(once_per_material(uses)).groupBy("tree_id", "material_static_id", "material_name").agg(
+    sums = _named(once_per_part(uses)).groupBy("tree_id", "material_static_id", "material_name").agg(
         F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
     total = F.sum("g").over(_product()).cast("double")
     grams = F.col("g").cast("double")
@@ -88,9 +98,9 @@ def summary_by_name(uses: DataFrame) -> DataFrame:
 
 
 def hazardous_locations(uses: DataFrame) -> DataFrame:
-    """Hazardous materials by part, with their warnings and share of the product's rounded mass."""
+    """Hazardous materials by part, parts counted once, with their warnings and share of the product's rounded mass."""
     totals = shares_by_static(uses).groupBy(F.col("tree_id").alias("t")).agg(exact_sum(F.col("grams"), 2).alias("total"))
-    found = _named(once_per_material(uses)).where("hazardous")
+    found = _named(once_per_part(uses)).where("hazardous")
     by_part = found.groupBy("tree_id", "material_name", "part_id").agg(exact_sum(F.col("weight_g")).alias("grams"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))), ",").alias("warnings"))
     return by_part.join(totals, F.col("tree_id") == F.col("t")).select("tree_id", "material_name", "part_id", "grams", "warnings", (F.col("grams") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0) * 100.0).alias("percent"))
 

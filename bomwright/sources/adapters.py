@@ -64,6 +64,7 @@ def material_use(spark: SparkSession, sf_dir: str) -> DataFrame:
             # where it is in its product; no two uses that differ have the same place
             F.struct(line.cast("bigint").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")).alias("place"),
         )
+        .withColumn("visit", F.col("place"))  # each line is a visit of its part
     )
 
 

@@ -65,7 +65,7 @@ def material_uses(nodes: DataFrame) -> DataFrame:
     return rows.select(
         "tree_id", "part_id", field("material", "id").alias("material_instance_id"), field("material", "materialStaticLink").alias("material_static_id"),
         first_field("material", WEIGHT_NAMES, "double").alias("weight_g"), first_field("material", ("percentRecycled",), "double").alias("pct_recycled"),
-        first_field("material", ("purityLevel",), "double").alias("purity"), F.struct("ord_path", F.col("material_pos").alias("pos")).alias("place"), "material")
+        first_field("material", ("purityLevel",), "double").alias("purity"), F.col("ord_path").alias("visit"), F.struct("ord_path", F.col("material_pos").alias("pos")).alias("place"), "material")
 
 
 def steps(nodes: DataFrame) -> DataFrame:
