@@ -25,14 +25,44 @@ def bucket_totals(steps: DataFrame) -> DataFrame:
     return steps.where(is_secondary(F.col("type")) & bucket.isNotNull()).groupBy("instance_id").agg(exact_sum(F.col("cost")).alias("cost_eur"), *_counts(bucket))
 
 
-def rollup_to_ancestors(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every part with the services on it or below: a step counts once for a part, however many of its targets lie below."""
-    hit = steps.where(is_secondary(F.col("type"))).select("event_id", "instance_id", "type", "cost", F.explode("target_ids").alias("target"))
-    above = closure(nodes).select("descendant", F.col("ancestor").alias("part_id"))
-    once = hit.join(above, F.col("target") == F.col("descendant")).dropDuplicates(["event_id", "part_id"])
+def rollup_to_ancestors(steps: DataFrame, nodes: DataFrame, detached: DataFrame | None = None) -> DataFrame:
+    """Every part with the services on it or below: a step counts once for a part, however many of its targets lie below.
+
+    ``detached``: instance_id, root_part_id and part_id of parts taken out of a product;
+    a step on one counts for the product's root. Steps with a tree_id look for their
+    targets in that tree only.
+    """
+    trees = ["tree_id"] if "tree_id" in steps.columns else []
+    hit = steps.where(is_secondary(F.col("type"))).select("event_id", "instance_id", "type", "cost", *trees, F.explode("target_ids").alias("target"))
+    above = closure(nodes).select("descendant", F.col("ancestor").alias("part_id"), *(F.col(t).alias("in_tree") for t in trees))
+    within = F.col("target") == F.col("descendant")
+    credited = ["event_id", "instance_id", "type", "cost", "part_id"]
+    found = hit.join(above, within & (F.col("tree_id") == F.col("in_tree")) if trees else within).select(*credited)
+    if detached is not None:
+        gone = detached.select(F.col("instance_id").alias("of"), F.col("part_id").alias("gone_id"), F.col("root_part_id").alias("part_id")).distinct()
+        found = found.unionByName(hit.join(gone, (F.col("instance_id") == F.col("of")) & (F.col("target") == F.col("gone_id"))).select(*credited))
+    once = found.dropDuplicates(["event_id", "part_id"])
     return once.groupBy("instance_id", "part_id").agg(exact_sum(F.col("cost")).alias("cost_eur"), *_counts(service_bucket(F.col("type"))), F.count("*").alias("n_steps"))
 
 
+def product_rollup(steps: DataFrame, nodes: DataFrame, detached: DataFrame) -> DataFrame:
+    """The roll-up of products that are their root parts' trees: a row for every part, zeros where no service was; services of no kind do not count."""
+    figures = rollup_to_ancestors(steps.where(service_bucket(F.col("type")).isNotNull()), nodes, detached).withColumnsRenamed({"instance_id": "of", "part_id": "at"})
+    parts = nodes.select("tree_id", "part_id").distinct()
+    joined = parts.join(figures, (F.col("tree_id") == F.col("of")) & (F.col("part_id") == F.col("at")), "left").drop("of", "at")
+    return joined.withColumnRenamed("tree_id", "instance_id").na.fill(0, ["cost_eur", *(b.lower() for b in BUCKET_NAMES), "n_steps"])
+
+
+def target_names(steps: DataFrame, nodes: DataFrame, detached: DataFrame) -> DataFrame:
+    """Each step's targets with their names: as in the product, else as when they were taken out of it, else their ids."""
+    hit = steps.where(is_secondary(F.col("type"))).select("event_id", "instance_id", F.explode("target_ids").alias("target"))
+    here = nodes.groupBy(F.col("tree_id").alias("ht"), F.col("part_id").alias("hp")).agg(F.min("name").alias("here"))
+    gone = detached.groupBy(F.col("instance_id").alias("gt"), F.col("part_id").alias("gp")).agg(F.min("name").alias("gone"))
+    for right, tree, part in ((here, "ht", "hp"), (gone, "gt", "gp")):
+        hit = hit.join(right, (F.col("instance_id") == F.col(tree)) & (F.col("target") == F.col(part)), "left").drop(tree, part)
+    return hit.select("event_id", "instance_id", "target", F.coalesce(F.nullif("here", F.lit("")), F.nullif("gone", F.lit("")), "target").alias("name"))
+
+
 def _reliability(mtbf, hours) -> list:
     return [F.when(mtbf.isNotNull(), F.greatest(F.lit(0.0), mtbf - hours)).alias("remaining_hrs"), F.coalesce(hours >= mtbf, F.lit(False)).alias("exceeded")]
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Names that one field has had.
 COST_NAMES = ("costEur", "costEUR", "cost", "priceEUR", "priceEur")
 WEIGHT_NAMES = ("weightGRM", "weight_g", "weightGrm", "weightgrm")
+#: Where a service step says which parts it is about.
+TARGET_NAMES = ("repairedPartId", "replacedPartId", "cleanedPartId")
+TARGET_LIST_NAMES = ("repairedPartIds", "cleanedPartIds")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +81,29 @@ def steps(nodes: DataFrame) -> DataFrame:
         "tree_id", "part_id", "lvl", "owner_kind", F.struct("tree_id", "ord_path", "material_pos", "step_pos").alias("step_key"),
         F.coalesce(field(s, "type"), field(s, "type_")).alias("type"), field(s, "processedAt").alias("place_id"), field(s, "destination").alias("dest_id"),
         field(s, "distanceKM", "double").alias("distance_km"), first_field(s, COST_NAMES, "double").alias("cost"), F.coalesce(field(s, "diagnose"), field(s, "diagnosis"), F.lit("")).alias("diagnose"),
-        F.coalesce(field(s, "observedSymptoms", "array<string>"), F.array().cast("array<string>")).alias("symptoms"), field(s, "beginDate").try_cast("timestamp").alias("begin_at"), "step")
+        F.coalesce(field(s, "observedSymptoms", "array<string>"), F.array().cast("array<string>")).alias("symptoms"), field(s, "beginDate").try_cast("timestamp").alias("begin_at"), target_ids(s).alias("target_ids"), "step")
+
+
+def target_ids(step: str) -> Column:
+    """The different parts that a service step is about; of a pair of replaced and new part, the replaced one."""
+    one = F.array(*(field(step, n) for n in TARGET_NAMES))
+    many = [F.coalesce(field(step, n, "array<string>"), F.array().cast("array<string>")) for n in TARGET_LIST_NAMES]
+    pairs = F.transform(field(step, "replacedAndNewParts", "array<variant>"), lambda pair: F.try_variant_get(pair, "$[0]", "string"))
+    found = F.concat(one, *many, F.coalesce(pairs, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(found, lambda i: i != ""))
+
+
+def service_steps(step_rows: DataFrame) -> DataFrame:
+    """Steps on products' root parts, as services take them; a product goes by its root part."""
+    return step_rows.where("lvl = 0 AND owner_kind = 'part'").withColumns({"event_id": F.col("step_key"), "instance_id": F.col("tree_id")})
+
+
+def detached_parts(nodes: DataFrame) -> DataFrame:
+    """Parts taken out of a product, from its root part's history: instance_id, root_part_id, part_id, name, part_static_id."""
+    rows = _exploded(nodes.where("lvl = 0"), "part", "historyOfDetachedParts", ["tree_id", "part_id"], "detached")
+    return rows.select(
+        F.col("tree_id").alias("instance_id"), F.col("part_id").alias("root_part_id"), field("detached", "id").alias("part_id"), field("detached", "name").alias("name"),
+        field("detached", "partStaticLink").alias("part_static_id")).where("part_id <> ''")
 
 
 def emissions(step_rows: DataFrame) -> DataFrame:

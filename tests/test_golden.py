@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from bomwright.operators import materials
+from bomwright.operators import materials, services
 from bomwright.sources import documents
 from tests.golden import MATERIALS, part, z10
 
@@ -43,3 +43,26 @@ def test_repeated_parts_count_once(spark, tmp_path):
     uses = uses_of(spark, nodes_of(spark, tmp_path / "r.json", twice))
     assert {(r.material_static_id, r.grams) for r in materials.shares_by_static(uses).collect()} == {("fr4", 180.0), ("solder", 22.0), ("copper", 520.0)}
     assert materials.rare_earth_metrics(uses).count() == 0
+
+
+def test_services_on_detached_parts_count_for_the_root(spark, machine):
+    steps, detached = documents.service_steps(documents.steps(machine)), documents.detached_parts(machine)
+    assert [(r.root_part_id, r.part_id, r.name) for r in detached.collect()] == [("machine", "burrs", "burrs")]
+    found = {r.part_id: (r.cost_eur, r.repair, r.replace, r.cleaning) for r in services.product_rollup(steps, machine, detached).collect()}
+    some = {"machine": (163.0, 1, 1, 1), "water_system": (79.0, 1, 0, 0), "solenoid": (79.0, 1, 0, 0), "brew_group": (25.0, 0, 0, 1)}
+    assert len(found) == 20 and found == dict.fromkeys(found, (0.0, 0, 0, 0)) | some
+    assert {(r.target, r.name) for r in services.target_names(steps, machine, detached).collect()} == {("solenoid", "solenoid"), ("burrs", "burrs"), ("brew_group", "brew group")}
+
+
+def test_a_step_counts_once_for_the_root(spark, tmp_path):
+    step = {"type": "RemanufacturingServiceStep", "costEur": 5, "repairedPartIds": ["a", ""], "cleanedPartIds": ["a", "b"], "replacedAndNewParts": [["old", {"id": "b"}], ["older", {"id": "c"}], "no pair"]}
+    ignored = [{"type": "RecyclingStep", "costEur": 9, "repairedPartId": "a"}, {"type": "RepairServiceStep", "costEur": 7, "repairedPartId": "elsewhere"}]
+    one = part("root", part("a"), part("b"), historyOfDetachedParts=[{"id": "old"}, {"id": "older", "name": "Older"}, {"id": "old"}], partProcessTracking=[step, *ignored])
+    other = part("other", part("elsewhere"), historyOfDetachedParts=[{"id": "a"}])
+    nodes = nodes_of(spark, tmp_path / "r.json", one, other)
+    steps, detached = documents.service_steps(documents.steps(nodes)), documents.detached_parts(nodes)
+    assert sorted(r.target_ids for r in steps.collect())[-2:] == [["a", "b", "old", "older"], ["elsewhere"]]
+    found = {(r.instance_id, r.part_id): (r.cost_eur, r.n_steps) for r in services.product_rollup(steps, nodes, detached).collect()}
+    assert found == {("root", "root"): (5.0, 1), ("root", "a"): (5.0, 1), ("root", "b"): (5.0, 1), ("other", "other"): (0.0, 0), ("other", "elsewhere"): (0.0, 0)}
+    names = {r.target: r.name for r in services.target_names(steps, nodes, detached).where("instance_id = 'root'").collect()}
+    assert names == {"a": "a", "b": "b", "old": "old", "older": "Older", "elsewhere": "elsewhere"}
