@@ -59,17 +59,18 @@ def text_fingerprints(texts: list[str]) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+    """doc_id and fp, the fingerprint as a signed 64-bit number, and text_hash if ``docs`` has one."""
     id_type = dict(docs.dtypes)["doc_id"]
+    hashed = ["text_hash"] if "text_hash" in docs.columns else []
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 fp = text_fingerprints([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *hashed])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint")
+    return docs.select("doc_id", "text", *hashed).mapInArrow(run, f"doc_id {id_type}, fp bigint" + ", text_hash bigint" * len(hashed))
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -265,16 +266,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id that links reach)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, text_hash if ``docs`` has one, root (names its group) and component_id (the least doc_id that links reach)."""
     small_batches(docs.sparkSession)
     prints = materialize(fingerprinted(docs), "simhash")
     copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     rooted = components(links(copies.select("fp")))
     linked = copies.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    of_print = linked.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return prints.join(of_print, F.col("fp") == F.col("of")).drop("of")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the least doc_id that links reach)."""
+    return grouped(docs.select("doc_id", "text")).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp):

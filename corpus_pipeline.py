@@ -24,11 +24,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of repeated rows, one."""
-    firsts = neardup.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n_rows"))
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # Only rows whose id is not theirs alone are compared by their text.
-    once, again = kept.where("n_rows = 1"), kept.where("n_rows > 1").dropDuplicates(["doc_id", "text"])
+    """Of each group of near-duplicates one row stays, that with the least id and then the least hash of its text; a null id comes last."""
+    text_hash = F.xxhash64("text")
+    rows = neardup.grouped(docs.select("doc_id", "text", text_hash.alias("text_hash")))
+    least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = least.groupBy(F.col("root").alias("first_root")).agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("first_hash"), F.count("*").alias("n_rows"))
+    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_hash == F.col("first_hash")))
+    # Only of groups in which the id is not one row's alone several rows can be here.
+    once, again = kept.where("n_rows = 1"), kept.where("n_rows > 1").dropDuplicates(["first_root"])
     return once.unionByName(again).select(*docs.columns)
 
 
