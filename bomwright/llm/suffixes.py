@@ -52,10 +52,21 @@ def row_key(doc_id: object, text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=repr(doc_id).encode()[:64]).digest(), "little", signed=True)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, kept_bytes: bool = False) -> DataFrame:
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` with each edge moved out to a boundary of UTF-8 characters."""
+    if not gone.any() or data.max() < 0x80:
+        return gone
+    starts = (data & 0xC0) != 0x80
+    starts[0] = True
+    at = np.flatnonzero(starts)
+    return np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(data))))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, kept_bytes: bool = False, characters: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``kept_bytes``, the bytes (kept).
 
-    With ``kept_bytes`` the other columns of ``docs`` come along in a struct, ``carried``.
+    With ``kept_bytes`` the other columns of ``docs`` come along in a struct, ``carried``. With ``characters``, kept
+    (and no other column) is without the rest of characters that are cut in half.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -157,7 +168,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
                     gone = np.cumsum(change[:-1]) > 0
                 rest = data[~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
-                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if kept_bytes else None))
+                kept = data[~whole_characters(data, gone)].tobytes() if characters else rest
+                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), kept if kept_bytes else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)), batch.column(3)], names=out)
 

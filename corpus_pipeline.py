@@ -37,10 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that occur elsewhere are cut out of every text; characters cut in half go with them."""
-    done = suffixes.remove_repeats(docs, kept_bytes=True)
-    valid = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), valid).otherwise(F.translate(valid, "\ufffd", ""))
-    rebuilt = done.withColumn("text", text)
+    done = suffixes.remove_repeats(docs, kept_bytes=True, characters=True)
+    rebuilt = done.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
     columns = {c: F.col(f"carried.`{c}`") for c in docs.columns if c not in ("doc_id", "text")} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return rebuilt.select(*(columns[c].alias(c) for c in docs.columns))
 
