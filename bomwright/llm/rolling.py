@@ -51,6 +51,40 @@ def window_hash(sums: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[length:] - sums[:n]) * powers(len(sums))[1][:n]) if n else np.zeros(0, np.uint64)
 
 
+def tree_hash(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the window of ``length`` symbols at every place where one fits.
+
+    Neighbours are joined to pairs, fours, eights and so on, and the binary digits of the
+    length to a window. Each step mixes, so that sums over symbols, which regular or
+    crafted sequences can make equal, play no part.
+    """
+    out, done, size, spans = None, 0, 1, symbols
+    total = len(symbols) - length + 1
+    if total <= 0:
+        return symbols[:0]
+    while True:
+        if length & size:
+            part = spans[done : done + total]
+            out = part if out is None else mix(out * np.uint64(BASE) + part)
+            done += size
+        if 2 * size > length:
+            return mix(out)
+        spans = mix(spans[:-size] * np.uint64(0xD6E8FEB86659FD93) + spans[size:])
+        size *= 2
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: int = 16) -> np.ndarray:
+    """A hash of each word; long ones, on which sums of powers can be made to agree, by XXH3."""
+    out = span_hash(prefix(BYTES[data]), starts, ends)
+    long = np.flatnonzero(ends - starts > short)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        raw = data.tobytes()
+        out[long] = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of texts and where each text starts in them, the end last; null texts are empty."""
     column = column.cast(pa.large_string()).fill_null("")
