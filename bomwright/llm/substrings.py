@@ -6,14 +6,18 @@ windows that it estimates at two or more are grouped exactly, by a 64-bit hash o
 their words, to find the least doc_id that has each; a window is removed from every
 other document. No repeated window is lost, and windows estimated once (nearly all)
 are never shuffled. Two different windows have one hash with odds of about
-(number of estimated repeats) ** 2 / 2 ** 65.
+(number of estimated repeats) ** 2 / 2 ** 65: the hash joins words pairwise and mixes
+at every step (``rolling.tree_hash``), so regular texts are no worse than others. It
+has no secret, so this does not hold for texts made to collide.
 
-Counts are made by key before anything is shuffled, and rows come back to a
-document, not to a window, so no task sees all places of a common passage.
+Counts are made by key before anything is shuffled, windows that many documents share
+are dealt to several tasks, and rows come back to a document, not to a window, so no
+task sees all places of a common passage.
 
 Defined results: null and empty texts have no words; texts of fewer than 50 words
-keep them all; a null id comes after all others, and documents of equal id never
-remove from each other; repeated rows agree; an empty table gives no rows.
+keep them all; ids may be numbers or texts, in their own order; a null id comes after
+all others, and documents of equal id never remove from each other; repeated rows
+agree; an empty table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
-from .rolling import BYTES, byte_column, chunks, prefix, span_hash, window_hash, word_spans
-from .sketch import Runs, repeated
+from .common import materialize, small_batches, spread_join, table
+from .rolling import byte_column, chunks, prefix, tree_hash, word_hash, word_spans
+from .sketch import Runs, repeated, text_bytes
 
 LENGTH = 50
 BLOCK = 25
@@ -41,7 +45,8 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
         self.starts, self.ends, self.first = word_spans(data, offsets)
-        self.sums = prefix(span_hash(prefix(BYTES[data]), self.starts, self.ends))
+        self.hashes = word_hash(data, self.starts, self.ends)
+        self.sums = prefix(self.hashes)
 
     def joined(self, k: int, keep: np.ndarray | None = None) -> bytes:
         """The kept words of text k, joined by a space."""
@@ -70,7 +75,7 @@ def sketch_windows(docs: DataFrame, length: int, block: int):
             out.append(h[np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))] if len(h) else h)  # once for each document
         return np.concatenate(out)
 
-    return repeated(docs.select("text"), hashes_of)
+    return repeated(docs.select("text"), hashes_of, text_bytes(docs))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, texts: bool = False) -> DataFrame:
@@ -87,7 +92,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, te
                 runs = Runs(words.sums, words.first, length, block)
                 hit = maybe.value(runs.hash)
                 low, high, owner = runs.low[hit], runs.high[hit], runs.owner[hit]
-                hashes = window_hash(words.sums, length)
+                hashes = tree_hash(words.hashes, length)
                 sizes = high - low + 1
                 places = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 keys = hashes[places].view(np.int64)
@@ -106,19 +111,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, te
                 )
 
     kept = materialize(docs.select("doc_id", "text").mapInArrow(split, f"doc_id {id_type}, n_words bigint, kept_sha256 string, kept_text string, text string, keys array<bigint>"), "windows")
-    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    # A null id orders after all others. Whole numbers are ranked as such, as rows of numbers take the least room.
+    whole = id_type in ("tinyint", "smallint", "int", "bigint")
+    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)) if whole else F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("id"))
     suspects = kept.where(F.col("text").isNotNull())
     windows = suspects.select(rank.alias("rank"), F.explode("keys").alias("key"))
-    firsts = windows.groupBy("key").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select(F.col("key").alias("of"), "least")
-    gone = windows.join(firsts, (F.col("key") == F.col("of")) & (F.col("rank") > F.col("least"))).groupBy("rank").agg(F.collect_set("key").alias("gone")).withColumnRenamed("rank", "of")
-    judged = suspects.drop("keys").withColumn("rank", rank).join(gone, F.col("rank") == F.col("of"), "left").select("doc_id", "text", "gone")
+    firsts = windows.groupBy("key").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("places")).where("least < most")
+    firsts = materialize(firsts.select(F.col("key").alias("of"), "least", "places"), "first-windows")
+    later = spread_join(windows, firsts, [("key", "of")], "places", F.xxhash64("rank")).where(F.col("rank") > F.col("least"))
+    gone = later.groupBy("rank").agg(F.collect_set("key").alias("gone")).withColumnRenamed("rank", "of")
+    judged = suspects.drop("keys").withColumn("rank", rank).join(gone, F.col("rank").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "gone")
     out = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
     def cut(batches):
         for batch in batches:
             lists = batch.column(2)
             for at, end, words in _parts(batch.column(1)):
-                hashes = window_hash(words.sums, length).view(np.int64)
+                hashes = tree_hash(words.hashes, length).view(np.int64)
                 rows = []
                 for k in range(end - at):
                     a, b = int(words.first[k]), int(words.first[k + 1])
