@@ -1,8 +1,8 @@
 """SimHash near-duplicates: links between fingerprints at Hamming distance 3 or less, and their components.
 
-Shingles of three words vote on 64 bits. Of four 16-bit blocks at least one is
-equal in two fingerprints that differ in at most three bits, so each fingerprint
-enters four block tables, and only those that share a table's block meet.
+Shingles of three words vote on 64 bits. Fingerprints meet in block tables (see
+``blocks``): four tables of 16 bits, and more tables of wider blocks the more
+fingerprints there are, so that unlike ones rarely meet.
 
 Distances are counted bit-sliced: bit k of 64 fingerprints is one machine word (a
 bit plane), so that one exclusive-or compares 64 of them with a query, and a
@@ -11,17 +11,21 @@ carry-save counter of three words adds up, for all 64, whether they differ by 0,
 planes that are left are not read for them.
 
 A block value that very many fingerprints share is dealt to several tasks as pairs
-of parts of at most ``PART`` fingerprints. Tasks give a forest of links, not all
-pairs, and components are found by large-star and small-star rounds.
+of parts. Tasks give a forest of links, not all pairs, and components are found by
+large-star and small-star rounds, until nothing changes. Nodes with very many links,
+and fingerprints with very many copies, are dealt to several tasks where rows are
+joined (``common.spread_join``).
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; texts of fewer than three words are one shingle; repeated rows are
-copies; null ids are in components without being named unless a component has no
-other id; an empty table gives no rows.
+copies; ids may be of any type that has an order; null ids are in components without
+being named unless a component has no other id; an empty table gives no rows; other
+columns, of any name, are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .blocks import met, table_masks
+from .common import materialize, small_batches, spread_join, table
 from .rolling import bit_counts, majority
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-BLOCK_BITS = 16
 PART = 4096
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -120,11 +124,10 @@ def near_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return found[found < len(left)]
 
 
-def near_all(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All near pairs of two lists, as places in them: queries of b against the planes of a."""
+def near_all(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of two lists, as places in them, for 64 queries of b at a time against the planes of a."""
     planes = planes_of(a)
     width = planes.shape[1]
-    mine, other = [], []
     for at in range(0, len(b), 64):
         some = b[at : at + 64]
         # For each query and plane: all ones where the query's bit is set.
@@ -136,14 +139,11 @@ def near_all(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at_word, lane = found // 64, found % 64
         place = word[at_word] * 64 + lane
         keep = place < len(a)
-        mine.append(place[keep])
-        other.append(query[at_word][keep] + at)
-    return np.concatenate(mine), np.concatenate(other)
+        yield place[keep], query[at_word][keep] + at
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least place in each place's component under the links (i, j)."""
-    label = np.arange(n)
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label``, the least place in each place's component, with the links (i, j) added."""
     while len(i):
         low = np.minimum(label[i], label[j])
         before = label.copy()
@@ -173,18 +173,11 @@ def _run_links(keys: np.ndarray, values: np.ndarray, sides: np.ndarray) -> tuple
             near = near_pairs(values[left], values[right])
             out.append((left[near], right[near]))
     for at, size in zip(edges[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        side = sides[at : at + size]
-        if (side == 2).all():
-            i, j = near_all(values[at : at + size], values[at : at + size])
-            keep = i < j
-            i, j = i[keep] + at, j[keep] + at
-        else:
-            zero, one = np.flatnonzero(side == 0) + at, np.flatnonzero(side == 1) + at
-            if not len(zero) or not len(one):
-                continue
-            i, j = near_all(values[zero], values[one])
-            i, j = zero[i], one[j]
-        root = forest(size, i - at, j - at)
+        side, root = sides[at : at + size], np.arange(size)
+        zero, one = (np.flatnonzero(side == k) for k in (0, 1)) if (side != 2).any() else (root, root)
+        if len(zero) and len(one):
+            for i, j in near_all(values[at + zero], values[at + one]):
+                root = forest(root, zero[i], one[j])
         member = np.flatnonzero(root != np.arange(size))
         out.append((root[member] + at, member + at))
     if not out:
@@ -194,56 +187,27 @@ def _run_links(keys: np.ndarray, values: np.ndarray, sides: np.ndarray) -> tuple
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links a, b between different fingerprints (column fp) within the radius; they connect all that are near."""
-    spark = distinct.sparkSession
-    mask = (1 << BLOCK_BITS) - 1
-    blocks = [F.shiftrightunsigned("fp", BLOCK_BITS * k).bitwiseAND(F.lit(mask)) for k in range(64 // BLOCK_BITS)]
-    tables = distinct.select("fp", F.posexplode(F.array(*blocks)).alias("block", "value"))
-    sizes = tables.groupBy("block", "value").count().select(F.col("block").alias("of"), F.col("value").alias("is"), F.ceil(F.col("count") / PART).alias("parts"))
-    dealt = (
-        tables.join(sizes, (F.col("block") == F.col("of")) & (F.col("value") == F.col("is")))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .select(
-            F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp",
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # its run may go on in the next batch
-            rest = [x[last:] for x in now]
-            yield from found([x[:last] for x in now])
-        if rest is not None:
-            yield from found(rest)
 
     def found(columns):
-        keys, fp, side = columns
-        if len(keys):
-            a, b = _run_links(keys, fp.view(np.uint64), side)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        keys, _, side, fp = columns
+        a, b = _run_links(keys, fp.view(np.uint64), side)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return met(distinct, ["fp"], table_masks(64, RADIUS, distinct.count()), PART, found, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node that has a link a, b.
 
     Large-star and small-star rounds, each written to the shared folder, until
-    nothing changes; every round at least halves the longest way to a root.
+    nothing changes.
     """
+
     def stars(pairs: DataFrame, both: bool) -> DataFrame:
         down = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
         seen = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else down
-        least = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
-        joined = seen.join(least, F.col("u") == F.col("w"))
+        least = materialize(seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")).withColumnRenamed("u", "w"), "stars")
+        joined = spread_join(seen, least, [("u", "w")], "degree", F.xxhash64("v"))
         if both:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).where("a <> b")
@@ -252,17 +216,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = state(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, after = None, state(now)
+    while after[0] and after != before:
         now = materialize(stars(stars(now, True), False).distinct(), "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        before, after = after, state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -270,12 +227,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp, text_hash if ``docs`` has one, root (names its group) and component_id (the least doc_id that links reach)."""
     small_batches(docs.sparkSession)
     prints = materialize(fingerprinted(docs), "simhash")
-    copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
     rooted = components(links(copies.select("fp")))
-    linked = copies.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.select("fp", "root").join(named, "root").select(F.col("fp").alias("of"), "root", "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("of")).drop("of")
+    linked = materialize(copies.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "least", "copies", F.coalesce("root", "fp").alias("root")), "simhash-linked")
+    named = materialize(linked.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "simhash-groups")
+    of_print = materialize(spread_join(linked, named, [("root", "name")], "members", F.xxhash64("of")).select("of", "copies", "root", "component_id"), "simhash-named")
+    return spread_join(prints, of_print, [("fp", "of")], "copies", F.xxhash64("doc_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
