@@ -6,30 +6,37 @@ weight, and the fingerprint has the bits that win over half of the votes. The sh
 of differing bits grows with the angle between the term vectors; ``likeness`` turns
 it back into their cosine, 0 where they have nothing in common.
 
-``within_radius`` finds near fingerprints by permuted block tables: of radius + 1
-blocks of bits at least one is equal in two fingerprints that differ in at most
-radius bits, so each table brings together those that agree on its block.
+``neighbours`` finds, for every fingerprint, all others within a Hamming radius by
+permuted block tables (see ``blocks``). It counts them where they meet and keeps the
+least distance, so that pairs are not written; a pair that meets in several tables
+counts in the first.
 
 Defined results: null and empty texts have fingerprint zero, and likeness 1 to each
 other; equal texts have equal fingerprints; repeated rows are documents that follow
-each other; null ids come first; an empty table gives no rows.
+each other; ids may be of any type that has an order, null ones come first; an empty
+table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .blocks import met, table_masks
+from .common import materialize, small_batches, spread_join, table
 from .rolling import BYTES, bit_counts, byte_column, chunks, majority, mix, prefix, span_hash, word_spans
 
 SHINGLE = 5
 CHUNK = 1 << 20
+RADIUS = 3
+#: More fingerprints with one block than this are dealt to several tasks.
+PART = 4_096
 
 
 def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -119,11 +126,13 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
             yield out([last[0], *nothing], pa.array([first]))
 
     kept = materialize(ordered.mapInArrow(run, f"{done}, part int, head string, tail string"), "fingerprints")
-    # One row per partition: the text of its first document and its last document.
+    # One row per partition that has any: its last document, and the text of its first one. Their numbers come to the driver.
     ends = kept.where(F.col("head").isNotNull())
-    order = Window.orderBy("part")
-    all_ends = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = ends.select("doc_id", F.col("tail").alias("text"), F.coalesce(F.lead("head").over(order), F.first("head").over(all_ends)).alias("following"))
+    numbers = sorted(r["part"] for r in ends.select("part").collect())
+    after = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1], strict=True)), "of int, next_part int")
+    heads = ends.select(F.col("part").alias("head_part"), F.col("head").alias("following"))
+    lasts = ends.join(F.broadcast(after), F.col("part") == F.col("of"))
+    joined = lasts.join(heads, F.col("next_part") == F.col("head_part")).select("doc_id", F.col("tail").alias("text"), "following")
 
     def finish(batches):
         for batch in batches:
@@ -133,25 +142,56 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     return kept.where(F.col("head").isNull()).drop("part", "head", "tail").unionByName(joined.mapInArrow(finish, done))
 
 
-def within_radius(fingerprints: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs of different fingerprints (32 hex digits, column ``fingerprint``) that differ in at most ``radius`` bits.
-
-    Columns ``a`` < ``b`` and ``distance``. Fingerprints are made distinct first, so
-    copies of a document are one. A table joins on one of radius + 1 equal blocks;
-    a pair is reported by the first table that brings it together. Spark splits the
-    partitions of blocks that many fingerprints share.
+def _near_counts(columns: list[np.ndarray], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
+    """Counts of near fingerprints of groups that meet in a table, each pair in the first table in which it meets."""
+    keys, table_, side, low, high = columns
+    low, high = low.view(np.uint64), high.view(np.uint64)
+    halves = [(np.uint64(m & (1 << 64) - 1), np.uint64(m >> 64)) for m in masks]
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(edges, len(keys)))
+    count, least = np.zeros(len(keys), np.int64), np.full(len(keys), 129)
+    for at, size in zip(edges[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        mine = np.arange(at, at + size)
+        left, right = (mine[side[mine] == k] for k in (0, 1)) if side[at] != 2 else (mine, mine)
+        for some in np.array_split(right, -(-len(right) * max(1, len(left)) // 1_000_000)) if len(left) and len(right) else ():
+            a, b = low[left, None] ^ low[some], high[left, None] ^ high[some]
+            apart = np.bitwise_count(a).astype(np.int16) + np.bitwise_count(b)
+            i, j = np.nonzero((apart <= radius) & (left[:, None] != some))
+            first = np.ones(len(i), bool)
+            for m, n in halves[: int(table_[at])]:
+                first &= ((a[i, j] & m) | (b[i, j] & n)) != 0
+            i, j = i[first], j[first]
+            away = apart[i, j]
+            np.add.at(count, some[j], 1)
+            np.minimum.at(least, some[j], away)
+            if side[at] != 2:
+                np.add.at(count, left[i], 1)
+                np.minimum.at(least, left[i], away)
+    near = count > 0
+    yield pa.RecordBatch.from_arrays([pa.array(low[near].view(np.int64)), pa.array(high[near].view(np.int64)), pa.array(count[near]), pa.array(least[near].astype(np.int32))], names=["low", "high", "n_near", "nearest"])
+
+
+def neighbours(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of every different fingerprint (column ``fingerprint``, 32 hex digits; null: none) how many others are within ``radius`` bits.
+
+    Columns: fingerprint, copies (rows that have it), n_near, nearest (bits; null if none).
     """
-    blocks = radius + 1
-    width = -(-128 // blocks)
-    bits = lambda k: F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, 2)
-    distinct = fingerprints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    cut = distinct.withColumn("bits", F.concat(F.lpad(bits(0), 64, "0"), F.lpad(bits(1), 64, "0")))
-    tables = cut.select("fingerprint", F.posexplode(F.array(*(F.substring("bits", k * width + 1, width) for k in range(blocks)))).alias("block", "value"))
-    half = lambda c, k: F.conv(F.substring(c, 16 * k + 1, 16), 16, -10).cast("bigint")
-    apart = sum((F.bit_count(half("a", k).bitwiseXOR(half("b", k))) for k in (0, 1)), F.lit(0))
-    left, right = tables.withColumnRenamed("fingerprint", "a"), tables.withColumnRenamed("fingerprint", "b")
-    return left.join(right, ["block", "value"]).where(F.col("a") < F.col("b")).select("a", "b", apart.alias("distance")).where(F.col("distance") <= radius).distinct()
+    half = lambda k: F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("bigint")
+    known = fingerprints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    distinct = materialize(known.select("fingerprint", "copies", half(0).alias("low"), half(1).alias("high")), "fingerprints-distinct")
+    masks = table_masks(128, radius, distinct.count())
+    counts = met(distinct.select("low", "high"), ["low", "high"], masks, PART, lambda columns: _near_counts(columns, masks, radius), "low bigint, high bigint, n_near bigint, nearest int")
+    summed = counts.groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(F.sum("n_near").alias("n_near"), F.min("nearest").alias("nearest"))
+    joined = distinct.join(summed, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")), "left")
+    return joined.select("fingerprint", "copies", F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")
+
+
+def with_neighbours(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of ``fingerprints_with_edits`` with n_near and nearest of their fingerprint."""
+    near = materialize(neighbours(rows, radius).withColumnRenamed("fingerprint", "of"), "fingerprints-near")
+    return spread_join(rows, near, [("fingerprint", "of")], "copies", F.xxhash64("doc_id", "edited_sha256"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    rows = materialize(fingerprints_with_edits(table(spark, sf_dir, "documents")), "fingerprints-all")
+    return with_neighbours(rows)
