@@ -15,9 +15,15 @@ byte. Scoring a text is two look-ups a byte, for all languages at once.
 Statistics come from a bounded sample: about ``SAMPLE`` documents of each language,
 picked by a hash of the id, of those whose crc32(doc_id) mod 4 is not 2.
 
-Defined results: null text and text without a letter are ``und`` with score 0;
-documents without language or id are never learned from, but predicted; repeated
-rows agree; with nothing to learn from all is ``und``; an empty table gives no rows.
+The table is sent to all tasks. It has at most ``TABLE_BYTES``, whatever the number of
+languages: contexts of three bytes that are rarest in the sample go without a row of
+their own, and are scored as their last two bytes.
+
+Defined results: null text and text without a letter are ``und`` with score 0; of
+languages with equal code lengths the first by name is taken; a NUL byte is read as
+the byte 1; documents without language or id are never learned from, but predicted;
+repeated rows agree; with nothing to learn from all is ``und``; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ ORDER = 3
 #: Documents of each language that statistics come from, about; and the most characters all of them may have.
 SAMPLE = 1_500
 SAMPLE_CHARS = 40_000_000
+#: The most that the table of code lengths may take.
+TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
 
 
@@ -43,7 +51,7 @@ def held_out():
 
 def grams_of(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Each byte with the three before it in its document, as one 32-bit number; before a document there are zeros."""
-    padded = np.concatenate([np.zeros(3, np.uint32), text.astype(np.uint32)])
+    padded = np.concatenate([np.zeros(3, np.uint32), np.maximum(text, 1).astype(np.uint32)])
     at = [padded[3 - k : len(padded) - k] for k in range(4)]
     for k in (1, 2, 3):
         at[k] = at[k].copy()
@@ -92,7 +100,7 @@ class Statistics:
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         if not len(text):
             return out
-        c = self.classes[text].astype(np.int32)
+        c = self.classes[np.maximum(text, 1)].astype(np.int32)
         padded = np.concatenate([np.zeros(3, np.int32), c])
         n, starts = len(c), offsets[:-1]
         a = self.n_classes
@@ -108,7 +116,7 @@ class Statistics:
         return out
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Statistics:
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> Statistics:
     """Unrolls each language's context tree. counts: per language the grams (four bytes each) and how often they occur."""
     langs = sorted(counts)
     seen = np.zeros(256, bool)
@@ -125,7 +133,12 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Statistics:
         # A zero byte before the text is the start of the document.
         codes = [np.where((p == 0) & (k > 0), 0, to_class[p]).astype(np.int64) for k, p in enumerate(parts)]
         trees[lang] = (codes, n)
-    used = np.unique(np.concatenate([(c[3] * a + c[2]) * a + c[1] for c, _ in trees.values()]))
+    contexts = np.concatenate([(c[3] * a + c[2]) * a + c[1] for c, _ in trees.values()])
+    used, at = np.unique(contexts, return_inverse=True)
+    room = max(0, table_bytes // (4 * a * len(langs)) - a * a)
+    if len(used) > room:
+        often = np.bincount(at, np.concatenate([n for _, n in trees.values()]).astype(np.float64), len(used))
+        used = np.sort(used[np.lexsort((used, -often))[:room]])
     states = np.zeros(a**3, np.int32)
     # Contexts of three that were never seen share the state of their last two bytes.
     every2 = np.arange(a * a)
@@ -142,8 +155,10 @@ def _unroll(codes: list[np.ndarray], n: np.ndarray, a: int, used: np.ndarray) ->
     weights = n.astype(np.float64)
     c1, c2 = np.bincount(codes[0], weights, a)[None, :], np.bincount(codes[1] * a + codes[0], weights, a * a).reshape(a, a)
     c3 = np.bincount((codes[2] * a + codes[1]) * a + codes[0], weights, a**3).reshape(a * a, a)
-    index = np.searchsorted(used, (codes[3] * a + codes[2]) * a + codes[1])
-    c4 = np.bincount(index * a + codes[0], weights, len(used) * a).reshape(len(used), a)
+    context = (codes[3] * a + codes[2]) * a + codes[1]
+    index = np.searchsorted(used, context)
+    own = (used[np.minimum(index, len(used) - 1)] == context) if len(used) else np.zeros(len(context), bool)
+    c4 = np.bincount(index[own] * a + codes[0][own], weights[own], len(used) * a).reshape(len(used), a)
     floor = np.full((1, a), 1.0 / 256)
     p1 = _mix(c1, floor)
     p2 = _mix(c2, np.broadcast_to(p1, (a, a)))
