@@ -11,8 +11,8 @@ place by its rank among the pieces of its length. Ranks come from counts of smal
 buckets, so that no task sees all pieces of a common length.
 
 Defined results: null text is the empty text and gives one piece, the end id;
-repeated rows are separate documents; an empty table gives no rows; extra columns
-are left out.
+repeated rows are separate documents, equal to each other; null ids are documents like
+others; an empty table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, table
 from .tokens import END_ID, default_path, encoder
 
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 1_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -154,7 +154,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = 1024, path: str | None = None
     # Bounded: at most one row per length, and layouts do not multiply with the input.
     table_ = spark.createDataFrame(list(by_length.items()), "of long, places array<struct<rank:bigint,sequence:bigint,offset:bigint>>").coalesce(1)
     buckets = max(1, -(-max(counts.values(), default=0) // ROWS_PER_BUCKET))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("of").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = bucketed.groupBy(F.col("length").alias("of"), F.col("bucket").alias("b")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
