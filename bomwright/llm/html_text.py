@@ -9,10 +9,15 @@ ascent on the likelihood of ``TRAINING_PAGES`` labelled pages (``html_pages``).
 Character references are decoded, white space within a block becomes one space, and
 the blocks that are main text are joined by two line feeds.
 
+Text in math, object and noscript elements is text like any other around it. Elements
+that are not text (``HIDDEN``) go with all that they hold, further ones of their kind
+included.
+
 Defined results: null and empty html, and pages without main text, give empty text;
 unclosed and stray tags are read as browsers do for the common cases; an unclosed
-comment or script hides the rest of the page; repeated rows agree; an empty table
-gives no rows.
+comment, script or style hides the rest of the page, as in browsers, any other element
+without an end hides nothing; repeated rows agree; page_id and url may be null or
+repeated; an empty table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +37,10 @@ TRAINING_PAGES = 600
 
 #: Fixed values of HTML: elements that end a line of text, elements whose content is not text, elements without an end.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html ins legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style title textarea template noscript iframe noframes noembed xmp svg math object".split())
+HIDDEN = frozenset("script style title textarea template iframe noframes noembed xmp svg annotation annotation-xml".split())
+#: Elements whose text has no markup, and of these the ones that hide the rest of a page if they do not end.
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+UNENDED = frozenset("script style".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an element of the same group ends, up to the nearest of the boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -43,6 +51,25 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 TOKEN = re.compile(r"[A-Za-z][a-z]*")
 
 
+@lru_cache(100)
+def _tags_of(name: str, starts: bool) -> re.Pattern:
+    close = "/?" if starts else "/"
+    return re.compile(rf"<(?P<close>{close}){re.escape(name)}(?=[\s/>])[^>]*?(?P<void>/?)>", re.I)
+
+
+def end_of(html: str, name: str, at: int) -> int | None:
+    """Where a hidden element that starts before ``at`` ends; elements that may hold others of their kind end with the last of them."""
+    depth = 1
+    for tag in _tags_of(name, name not in RAW).finditer(html, at):
+        if tag["close"]:
+            depth -= 1
+            if not depth:
+                return tag.end()
+        elif not tag["void"]:
+            depth += 1
+    return len(html) if name in UNENDED else None
+
+
 class Block:
     __slots__ = ("tags", "names", "pieces", "linked")
 
@@ -115,8 +142,8 @@ def leaf_blocks(html: str) -> list[tuple[Block, str, int]]:
                     break
             continue
         if name in HIDDEN and not found["rest"].endswith("/"):
-            end = re.compile(f"</{name}\\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = end_of(html, name, at)
+            at = at if end is None else end
             add(" ", at)
             continue
         if name in EMPTY:
