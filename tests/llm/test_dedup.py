@@ -95,7 +95,7 @@ def test_suffixes_keep_columns_and_repeats_in_one_text(spark):
     rows = spark.createDataFrame(rows_of([text, "q" * 199, None]), COLUMNS)
     found = {r.doc_id: r for r in suffixes.remove_repeats(rows, kept_bytes=True).collect()}
     assert found[0].n_removed == 300 and found[0].n_spans == 1 and bytes(found[0].kept) == b""
-    assert bytes(found[1].kept) == b"q" * 199 and found[1].carried.lang == "en" and found[2].n_bytes == 0
+    assert bytes(found[1].kept) == b"q" * 199 and found[1].carried.c0 == "en" and found[2].n_bytes == 0
     assert suffixes.remove_repeats(rows.limit(0)).count() == 0
 
 
@@ -168,7 +168,7 @@ def test_bit_sliced_distances():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 63, 150, dtype=np.uint64)
     b = np.concatenate([a[:70] ^ (np.uint64(1) << r.integers(0, 63, 70, dtype=np.uint64)), r.integers(0, 1 << 63, 30, dtype=np.uint64), a[:3] ^ np.uint64(15), a[:3] ^ np.uint64(7)])
-    i, j = neardup.near_all(a, b)
+    i, j = map(np.concatenate, zip(*neardup.near_all(a, b), strict=True))
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y) for x in range(len(a)) for y in range(len(b)) if int(np.bitwise_count(a[x] ^ b[y])) <= 3}
 
 
@@ -199,11 +199,44 @@ def test_fingerprint_is_the_weighted_majority():
         assert int(fingerprints.fingerprint_texts(pa.array([text]))[0][half]) == expected
 
 
-def test_within_radius(spark):
+def brute_neighbours(values, radius):
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    out = {}
+    for a in set(values):
+        near = [apart(a, b) for b in set(values) if b != a and apart(a, b) <= radius]
+        out[a] = (values.count(a), len(near), min(near, default=None))
+    return out
+
+
+@pytest.mark.parametrize(("radius", "part"), [(3, 4096), (3, 4), (1, 4096), (5, 8)])
+def test_neighbours(spark, monkeypatch, radius, part):
+    monkeypatch.setattr(fingerprints, "PART", part)
     r = random.Random(4)
-    values = [r.getrandbits(128) for _ in range(60)]
-    values += [v ^ (1 << r.randrange(128)) ^ (1 << r.randrange(128)) for v in values[:30]] + [values[0]]
-    df = spark.createDataFrame([(f"{v:032x}",) for v in values] + [(None,)], "fingerprint string")
-    found = {(p.a, p.b, p.distance) for p in fingerprints.within_radius(df, 3).collect()}
-    distinct = sorted({f"{v:032x}" for v in values})
-    assert found == {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in distinct for b in distinct if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
+    flip = lambda v, n: v ^ sum(1 << b for b in r.sample(range(128), n))
+    values = [r.getrandbits(128) for _ in range(40)]
+    values += [flip(v, r.randrange(1, 5)) for v in values[:30]] + [flip(values[0], 1 + k % 2) for k in range(40)] + [values[0]] * 5 + [0, 0]
+    hexed = [f"{v:032x}" for v in values]
+    df = spark.createDataFrame([(h,) for h in hexed] + [(None,)], "fingerprint string")
+    found = {x.fingerprint: (x.copies, x.n_near, x.nearest) for x in fingerprints.neighbours(df, radius).collect()}
+    assert found == brute_neighbours(hexed, radius)
+
+
+@pytest.mark.parametrize("n", [10, 1 << 26, 1 << 36])
+def test_tables_bring_all_within_the_radius_together(n):
+    from bomwright.llm.blocks import table_masks
+
+    masks = table_masks(64, 3, n)
+    assert len(masks) == {10: 4, 1 << 26: 10, 1 << 36: 20}[n]
+    r = random.Random(1)
+    for _ in range(2_000):
+        apart = sum(1 << b for b in r.sample(range(64), 3))
+        assert any(not apart & m for m in masks)
+
+
+def test_fingerprint_query_on_small_tables(spark, tmp_path):
+    rows = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, None), (4, "else " * 30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in fingerprints.op4(spark, str(tmp_path)).collect()}
+    assert len(found) == 4 and found[1].fingerprint == found[2].fingerprint and found[1].n_near == 0 and found[1].nearest is None
+    spark.createDataFrame(rows, "doc_id bigint, text string").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert fingerprints.op4(spark, f"{tmp_path}/none").count() == 0

@@ -103,7 +103,7 @@ def test_mixing(spark):
     out = mixing.pareto_mix(df).toPandas()
     assert (out.taken <= 2 * out["size"]).all()
     sums = out.groupby(out.source.fillna("-")).agg(taken=("taken", "sum"), target=("target", "first"), source_size=("source_size", "first"))
-    assert ((sums.taken - sums.target).abs() <= 37).all() and (sums.target <= 2 * sums.source_size + 1e-9).all()
+    assert ((sums.taken - sums.target).abs() <= 37).all() and (out[out.p >= 1].copies >= 1).all() and (sums.target <= 2 * sums.source_size + 1e-9).all()
     assert abs(sums.target.sum() - 1.5 * sums.source_size.sum()) < 1e-6
     many = mixing.BROADCAST_BANDS
     try:
@@ -114,6 +114,26 @@ def test_mixing(spark):
     assert mixing.pareto_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_by_probability(spark):
+    """Over many seeds each document is drawn as often as its p says, and certain ones always."""
+    r = np.random.default_rng(8)
+    sizes = [int(x) for x in r.choice([2, 5, 20, 90, 400], 4000, p=[0.3, 0.3, 0.2, 0.18, 0.02])]
+    df = spark.createDataFrame([(k, "w " * n, "s") for k, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    for share, given in ((0.3, None), (0.7, None), (0.6, F.when(F.col("doc_id") < 10, 50.0).otherwise(F.lit(1.0) + F.col("doc_id") % 3))):
+        out = mixing.pareto_mix(df, share=share, weight=given).toPandas()
+        assert abs((out.p * out["size"]).sum() - share * sum(sizes)) < 1e-6 * sum(sizes) and out.p.nunique() > 2
+        assert (out.copies[out.p >= 1] == 1).all()
+        for value in out.p.unique():  # the mean of n draws of p
+            some = out.copies[out.p == value]
+            assert abs(some.mean() - value) < 4 * math.sqrt(value * (1 - value) / len(some)) + 0.01
+
+
+def test_mixing_reruns_agree_on_null_and_repeated_ids(spark):
+    rows = [(None if k % 2 else 1, f"{k} " + "w " * (k % 37), "ab"[k % 3 > 0]) for k in range(1500)]
+    take = lambda some, n: sorted(map(str, mixing.pareto_mix(spark.createDataFrame(some, "doc_id bigint, text string, source string").repartition(n)).collect()))
+    assert take(rows, 3) == take(rows[::-1], 5)
+
+
 def test_mixing_equals_sql(spark, sf_dir):
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     theirs = duckdb.execute(f"SELECT doc_id, size, source_size, target, taken, copies FROM ({mixing.OP2_SQL})").fetchall()
@@ -284,3 +304,50 @@ def test_kept_hash_is_of_joined_words(spark):
 
 def test_null_column_of_texts():
     assert langid.has_letter(pa.array([None, "1", "é"], pa.string())).tolist() == [False, False, True]
+
+
+def texts_of(html):
+    return [text for _, text, _ in html_text.leaf_blocks(html)]
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<p>energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> is known</p>", ["energy E=m is known"]),
+        ("<p>a <object data=x><object>inner</object> outer</object> b</p>", ["a inner outer b"]),
+        ("<p>a</p><noscript><p>b</p></noscript><p>c</p>", ["a", "b", "c"]),
+        ("<p>a <svg><title>t</title> never ended</p><p>b</p>", ["a never ended", "b"]),
+        ("<p>a <svg><text>x</text><svg><text>y</text></svg><text>z</text></svg> b</p>", ["a b"]),
+        ("<p>a</p><svg/><p>b</p><script>var x = '<p>no</p>'", ["a", "b"]),
+        ("<p>a</p><template><p>x</p><template>y</template></template>b", ["a", "b"]),
+        ("<p>a<textarea><b>x</textarea>b</p><iframe src=x>", ["a b"]),
+        ("<p>" + "long " * 200_000 + "</p>", [("long " * 200_000).strip()]),
+    ],
+)
+def test_text_of_odd_markup(html, expected):
+    assert texts_of(html) == expected
+
+
+def other_site(r):
+    """A page of a site unlike the training pages, with what belongs to its article."""
+    text = lambda low, high: " ".join("".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))).capitalize() + "."
+    links = lambda n: "".join(f"<td><a href='#'>{text(1, 2)}</a></td>" for _ in range(n))
+    body = [f"<h1 class='hl'>{text(3, 8)}</h1>"] + [f"<p class='txt'>{text(15, 90)}</p>" for _ in range(r.randint(3, 9))]
+    aside = f"<div class='col-right'><h4>{text(1, 3)}</h4><ul>" + "".join(f"<li><a href='#'>{text(2, 5)}</a></li>" for _ in range(6)) + "</ul></div>"
+    before = f"<table class='topnav'><tr>{links(7)}</tr></table><div class='promo-box'><a href='#'>{text(2, 6)}</a></div>"
+    after = f"{aside}<div class='comments-area'><div class='comment-body'>{text(5, 30)}</div></div><footer><div>© 2021 {text(2, 5)}</div></footer>"
+    return f"<body><div id='root'>{before}<div class='col-main'>{''.join(body)}</div>{after}</div></body>", len(body)
+
+
+def test_main_text_of_other_templates():
+    import random
+
+    r, weights, right, total = random.Random(9), html_text.default_weights(), 0, 0
+    for _ in range(60):
+        html, n = other_site(r)
+        blocks = html_text.leaf_blocks(html)
+        truth = ["col-main" in html[max(0, at - 60) : at] or b.tags[-1] == "p" or b.tags[-1] == "h1" for b, _, at in blocks]
+        assert sum(truth) == n
+        right += sum(a == b for a, b in zip(weights.decode(blocks), truth, strict=True))
+        total += len(blocks)
+    assert right / total > 0.85, right / total
