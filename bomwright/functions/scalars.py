@@ -15,9 +15,21 @@ EXACT_UNITS = ("kWh", "kg", "km")
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Half up on the binary value, alike in all IEEE engines."""
-    scale = float(10**digits)
-    return F.floor(x * scale + 0.5) / scale
+    """To the nearest multiple of 10 ** -digits (6 digits at most), of two as near to the even one, by the exact binary value.
+
+    The product with 10 ** digits is known exactly as a double and its error: halves of
+    27 bits (Veltkamp's splitting) times a number of at most 20 bits are exact.
+    """
+    scale = F.lit(float(10**digits))
+    product = x * scale
+    spread = x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    error = (high * scale - product) + (x - high) * scale
+    low = F.floor(product).cast("double")
+    over = (product - low - F.lit(0.5)) + error  # its sign is exact
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
+    # Beyond 2 ** 52 units a double has no such digits left.
+    return F.when(F.abs(product) < F.lit(4503599627370496.0), (low + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
 
 
 def exact_sum(x: Column, scale: int = 6) -> Column:
@@ -161,6 +173,29 @@ def humanised_days(days: Column) -> Column:
     )
 
 
+def euros(x: Column) -> Column:
+    """An amount with two places and the sign of its currency, a dash without one."""
+    return F.when(x.isNull(), F.lit("–")).otherwise(F.concat(F.format_string("%.2f", x), F.lit(" €")))
+
+
+def purity_percent(value: Column) -> Column:
+    """A purity from a number or text as a percentage with two places; shares up to 1 are of one."""
+    p = F.when(F.typeof(value) == "string", F.regexp_replace(value.cast("string"), "%", "")).otherwise(value.cast("string")).try_cast("double")
+    return rounded(F.when(p <= 1.0, p * 100.0).otherwise(p), 2)
+
+
+def coordinates(latitude: Column, longitude: Column, geo_latitude: Column, geo_longitude: Column) -> Column:
+    """Latitude and longitude of a place, or else those of its geo field; null unless both are known."""
+    lat, lon = F.coalesce(latitude, geo_latitude), F.coalesce(longitude, geo_longitude)
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("latitude"), lon.alias("longitude")))
+
+
+def spaced_times(start: Column, end: Column, n: Column) -> Column:
+    """n points of time at even distances from start to end, both included; start alone for one."""
+    step = (F.unix_micros(end) - F.unix_micros(start)) / F.greatest(n - 1, F.lit(1))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.timestamp_micros((F.unix_micros(start) + k * step).cast("bigint"))))
+
+
 def percent(p: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.floor(p * 100.0 + 0.5)))
 

@@ -72,10 +72,18 @@ def spare_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def search(instances: DataFrame, term: str) -> DataFrame:
-    """Passports whose product name or id holds the term, by case-folded text; all for an empty one. Active ones first."""
+    """Passports whose product name or id holds the term, by case-folded text; all for an empty one; ``pos`` orders them, active ones first, then by name and id."""
     t = term.strip().lower()
     hit = F.lower("product_name").contains(t) | F.lower(F.col("instance_id").cast("string")).contains(t)
-    return instances.where(F.coalesce(hit, F.lit(False))).select("instance_id", "product_name", "discontinued")
+    found = instances.where(F.coalesce(hit, F.lit(False))).select("instance_id", "product_name", "discontinued")
+    # Positions within few ranges of the order, and before each range the sizes of those before it.
+    order = [F.coalesce("discontinued", F.lit(False)).cast("int"), F.coalesce("product_name", F.lit("")), F.col("instance_id")]
+    groups = found.groupBy(order[0].alias("g0"), order[1].alias("g1")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("g0", "g1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.row_number().over(Window.partitionBy(order[0], order[1]).orderBy(order[2]))
+    ranked = found.withColumns({"local": local, "f0": order[0], "f1": order[1]})
+    joined = ranked.join(groups.withColumn("before", before), (F.col("f0") == F.col("g0")) & (F.col("f1") == F.col("g1")))
+    return joined.select("instance_id", "product_name", "discontinued", (F.col("before") + F.col("local")).cast("bigint").alias("pos"))
 
 
 def ages(instances: DataFrame, as_of) -> DataFrame:
@@ -110,7 +118,8 @@ def user_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, steps:
     out = instances.select("instance_id", "static_id", "root_part_id")
     for right, key in ((shares, "u"), (counts, "c"), (km, "k"), (ghg, "g")):
         out = out.join(right, F.col("instance_id") == F.col(key), "left").drop(key)
-    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0)
+    figures = ["n_parts", "n_fail", "n_modular", "grams", "recycled_percent", "rare_percent", *processes.CATEGORIES, "steps", "total_km", "ghg_kg"]
+    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0, figures)
 
 
 def end_of_life_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, service_steps: DataFrame) -> DataFrame:
@@ -122,7 +131,8 @@ def end_of_life_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame,
     out = instances.select("instance_id", "static_id", "root_part_id", "discontinued")
     for right, key in ((shares, "u"), (kinds, "b"), (done, "s")):
         out = out.join(right, F.col("instance_id") == F.col(key), "left").drop(key)
-    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0)
+    figures = ["mass_g", "recycled_percent", "rare_percent", "rare_g", "hazardous_g", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES), "n_parts"]
+    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0, figures)
 
 
 def service_summary(instances: DataFrame, nodes: DataFrame, service_steps: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import classify_step, exact_sum, map_category, rounded
+from .trees import first_visits
 
 #: Fixed values.
 CATEGORIES = ("transport", "production", "secondary")
@@ -33,8 +34,8 @@ def transport_km(steps: DataFrame, transports_only: bool = False) -> DataFrame:
 
 
 def ghg_by_scope(emissions: DataFrame) -> DataFrame:
-    """All records by scope, nothing left out or counted once; scopes without records have no row."""
-    return emissions.groupBy("tree_id", "scope").agg(exact_sum(F.col("kg")).alias("kg")).select("tree_id", "scope", rounded(F.col("kg"), 3).alias("kg"))
+    """All records by scope, nothing left out or counted once; scopes without records have no row, a record without scope is Unknown."""
+    return emissions.withColumn("scope", F.coalesce("scope", F.lit("Unknown"))).groupBy("tree_id", "scope").agg(exact_sum(F.col("kg")).alias("kg")).select("tree_id", "scope", rounded(F.col("kg"), 3).alias("kg"))
 
 
 def ghg_by_category(emissions: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def ghg_total(emissions: DataFrame) -> DataFrame:
 
 
 def counted_records(emissions: DataFrame) -> DataFrame:
-    """Records that a footprint counts: not excluded, and each once within its step."""
-    return emissions.where(~F.col("excluded")).dropDuplicates(SAME_RECORD)
+    """Records that a footprint counts: of a part its first visit, not excluded, and each once within its step."""
+    named = first_visits(emissions, "visit").where(~F.col("excluded")).withColumn("category", F.coalesce("category", F.lit("Uncategorized")))
+    return named.dropDuplicates(SAME_RECORD)
 
 
 def footprint(emissions: DataFrame) -> DataFrame:
@@ -62,7 +64,9 @@ def footprint(emissions: DataFrame) -> DataFrame:
 
 
 def footprint_by_category(emissions: DataFrame) -> DataFrame:
-    sums = counted_records(emissions).where(F.col("category").isNotNull()).groupBy("tree_id", "scope", "category").agg(exact_sum(F.col("kg")).alias("kg"))
+    """By scope and category; all but scope 3 are "direct"."""
+    named = counted_records(emissions).withColumn("category", F.when(F.col("scope") == "Scope 3", F.col("category")).otherwise("direct"))
+    sums = named.groupBy("tree_id", F.coalesce("scope", F.lit("")).alias("scope"), "category").agg(exact_sum(F.col("kg")).alias("kg"))
     return sums.select("tree_id", "scope", "category", rounded(F.col("kg"), 6).alias("kg"))
 
 
@@ -71,7 +75,11 @@ def _mappable(places: DataFrame) -> DataFrame:
 
 
 def map_nodes(steps: DataFrame, places: DataFrame) -> DataFrame:
-    """Places with coordinates and how many steps of each category happened there; a destination is a place even if nothing did."""
+    """Places with coordinates and how many steps of each category happened there; a destination is a place even if nothing did.
+
+    A part counts where a walk level by level meets it first.
+    """
+    steps = first_visits(steps, "level_visit")
     kind = map_category(F.col("type"))
     seen = F.explode(F.array(F.struct(F.col("place_id").alias("at"), kind.alias("kind")), F.struct(F.col("dest_id").alias("at"), F.lit(None).cast("string").alias("kind"))))
     counts = (
@@ -82,7 +90,8 @@ def map_nodes(steps: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def map_edges(steps: DataFrame, places: DataFrame) -> DataFrame:
-    """Transports between places that both have coordinates, with direction and middle; loops stay."""
+    """Transports between places that both have coordinates, with direction and middle; loops stay. Parts count once."""
+    steps = first_visits(steps, "level_visit")
     moves = steps.where((map_category(F.col("type")) == "transport") & F.col("dest_id").isNotNull() & F.col("place_id").isNotNull()).groupBy("tree_id", "place_id", "dest_id").agg(F.count("*").alias("n"))
     at = _mappable(places).select("place_id", F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"))
     to = _mappable(places).select(F.col("place_id").alias("dest_id"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
@@ -94,6 +103,7 @@ def map_edges(steps: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def map_totals(steps: DataFrame) -> DataFrame:
-    """Steps by category whether or not their place is known."""
+    """Steps by category whether or not their place is known. Parts count once."""
+    steps = first_visits(steps, "level_visit")
     kind = map_category(F.col("type"))
     return steps.groupBy("tree_id").agg(*(F.count_if(kind == c).alias(c) for c in CATEGORIES), F.count("*").alias("total"))

@@ -39,6 +39,29 @@ def closure(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree_id", F.col("part_id").alias("descendant"), "lvl", "has_failstate", "is_modular", F.posexplode("path").alias("at", "ancestor")).select("tree_id", "ancestor", "descendant", (F.col("lvl") - F.col("at")).alias("distance"), "has_failstate", "is_modular")
 
 
+def first_visits(rows: DataFrame, visit: str) -> DataFrame:
+    """Rows of the first visit of each part of a product; ``visit`` says where the part is and orders like the walk.
+
+    A path of places among siblings is a walk from the root, a level before it one level by level.
+    """
+    first = F.min(visit).over(Window.partitionBy("tree_id", "part_id"))
+    return rows.withColumn("first_visit", first).where(F.col(visit) == F.col("first_visit")).drop("first_visit")
+
+
+def find_part(nodes: DataFrame, part_id) -> DataFrame:
+    """In each product the place of a part and its parent: of several the last one in a walk from the root, as a stack finds it."""
+    found = nodes.where(F.col("part_id") == part_id)
+    order = Window.partitionBy("tree_id").orderBy(F.desc("ord_path" if "ord_path" in nodes.columns else "path"))
+    return found.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+def picker_options(nodes: DataFrame) -> DataFrame:
+    """What a part picker offers: every part of a product once, by label."""
+    once = nodes.groupBy("tree_id", "part_id").agg(F.min(F.coalesce("name", F.col("part_id").cast("string"))).alias("label"))
+    order = Window.partitionBy("tree_id").orderBy("label", "part_id")
+    return once.withColumn("pos", F.row_number().over(order))
+
+
 def subtree_counts(nodes: DataFrame) -> DataFrame:
     """For every part: parts, failing parts and modular parts in its subtree, itself included."""
     return closure(nodes).groupBy(F.col("ancestor").alias("part_id")).agg(F.count("*").alias("n_parts"), F.count_if("has_failstate").alias("n_fail"), F.count_if("is_modular").alias("n_modular"))

@@ -79,7 +79,7 @@ SQL: dict[str, str] = {
     "material_recycled_share": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, 100.0::DOUBLE - CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS virgin_percent FROM named"),
     "material_overall_shares": with_views([USES, OVERALL], "SELECT tree_id, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE AS rare_percent FROM overall"),
     "material_purity_mean": with_views([USES, PURITY], "SELECT * FROM pure"),
-    "rare_earth_metrics": with_views([USES], f""", named AS (SELECT tree_id, material_name, sum(weight_g::DECIMAL(18,6)) AS g, bool_or(rare) AS rare FROM once GROUP BY ALL), totals AS (SELECT tree_id, sum(g)::DOUBLE AS total FROM named GROUP BY ALL)
+    "rare_earth_metrics": with_views([USES], f""", named AS (SELECT tree_id, material_name, sum(weight_g::DECIMAL(18,6)) AS g, bool_or(rare) AS rare FROM once_material GROUP BY ALL), totals AS (SELECT tree_id, sum(g)::DOUBLE AS total FROM named GROUP BY ALL)
 SELECT tree_id, material_name, {rounded('g::DOUBLE', 4)} AS grams, {rounded('CASE WHEN total > 0 THEN g::DOUBLE / total ELSE 0 END * 100.0::DOUBLE', 2)} AS percent FROM named JOIN totals USING (tree_id) WHERE rare"""),
     "material_shares_by_static": with_views([USES, BY_STATIC], "SELECT * FROM shares"),
     "material_summary_by_name": with_views([USES, BY_STATIC, PURITY], f""", named AS (
@@ -113,18 +113,18 @@ SELECT p.instance_id, c.descendant AS part_id, t.name AS part_name, r.linked_id
 SELECT tree_id, {rounded('p', 3)} AS parts_km, {rounded('m', 3)} AS materials_km, {rounded('p + m', 3)} AS total_km FROM sums"""),
     "transport_km_transports_only": with_views(STEPS, f""", sums AS (SELECT tree_id, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) AS p, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS m FROM steps WHERE type = 'TransportStep' GROUP BY ALL)
 SELECT tree_id, {rounded('p', 3)} AS parts_km, {rounded('m', 3)} AS materials_km, {rounded('p + m', 3)} AS total_km FROM sums"""),
-    "ghg_by_scope": with_views(EMISSIONS, f"SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY tree_id, scope"),
+    "ghg_by_scope": with_views(EMISSIONS, f"SELECT tree_id, coalesce(scope, 'Unknown') AS scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL"),
     "ghg_by_category": with_views(EMISSIONS, f"SELECT tree_id, CASE WHEN scope = 'Scope 3' THEN coalesce(category, 'Uncategorized') ELSE 'direct' END AS category, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY 1, 2"),
     "ghg_total": with_views(EMISSIONS, f"SELECT tree_id, {rounded(exact('kg', 3), 3)} AS kg FROM (SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL) GROUP BY tree_id"),
     "ghg_footprint_dedup": with_views(EMISSIONS, f"SELECT t.tree_id, s.scope, {rounded('coalesce(kg, 0)', 6)} AS kg FROM (SELECT DISTINCT tree_id FROM counted) t CROSS JOIN (VALUES ('Scope 1'), ('Scope 2'), ('Scope 3')) s(scope) LEFT JOIN (SELECT tree_id, scope, {exact('kg')} AS kg FROM counted GROUP BY ALL) c ON c.tree_id = t.tree_id AND c.scope = s.scope"),
-    "ghg_footprint_by_category": with_views(EMISSIONS, f"SELECT tree_id, scope, category, {rounded(exact('kg'), 6)} AS kg FROM counted WHERE category IS NOT NULL GROUP BY tree_id, scope, category"),
-    "map_nodes": with_views([STEPS, PLACES], f""", seen AS (SELECT tree_id, place_id, type AS kind FROM steps UNION ALL SELECT tree_id, dest_id, NULL FROM steps WHERE dest_id IS NOT NULL)
+    "ghg_footprint_by_category": with_views(EMISSIONS, f"SELECT tree_id, coalesce(scope, '') AS scope, CASE WHEN scope = 'Scope 3' THEN category ELSE 'direct' END AS category, {rounded(exact('kg'), 6)} AS kg FROM counted GROUP BY 1, 2, 3"),
+    "map_nodes": with_views([STEPS, PLACES], f""", seen AS (SELECT tree_id, place_id, type AS kind FROM mapped UNION ALL SELECT tree_id, dest_id, NULL FROM mapped WHERE dest_id IS NOT NULL)
 SELECT tree_id, place_id, name, latitude, longitude, {MAP_COUNTS} FROM seen JOIN places USING (place_id) WHERE latitude IS NOT NULL GROUP BY ALL"""),
     "map_edges": with_views([STEPS, PLACES], f""", moves AS (SELECT tree_id, a.place_id AS source, b.place_id AS target, a.latitude AS lat1, a.longitude AS lon1, b.latitude AS lat2, b.longitude AS lon2, count(*) AS n
-  FROM steps s JOIN places a ON s.place_id = a.place_id JOIN places b ON s.dest_id = b.place_id WHERE s.type = 'TransportStep' AND a.latitude IS NOT NULL AND b.latitude IS NOT NULL GROUP BY ALL), turned AS (
+  FROM mapped s JOIN places a ON s.place_id = a.place_id JOIN places b ON s.dest_id = b.place_id WHERE s.type = 'TransportStep' AND a.latitude IS NOT NULL AND b.latitude IS NOT NULL GROUP BY ALL), turned AS (
   SELECT *, degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360.0::DOUBLE AS b FROM moves)
 SELECT tree_id, source, target, 'transport' AS category, n, {rounded('CASE WHEN b >= 360 THEN b - 360 ELSE b END', 6)} AS bearing, (lat1 + lat2) / 2.0::DOUBLE AS mid_lat, (lon1 + lon2) / 2.0::DOUBLE AS mid_lon FROM turned"""),
-    "map_totals": with_views(STEPS, f"SELECT tree_id, {MAP_COUNTS}, count(*) AS total FROM (SELECT tree_id, type AS kind FROM steps) GROUP BY tree_id"),
+    "map_totals": with_views(STEPS, f"SELECT tree_id, {MAP_COUNTS}, count(*) AS total FROM (SELECT tree_id, type AS kind FROM mapped) GROUP BY tree_id"),
     "service_bucket_totals": with_views([SERVICES, BUCKETS], "SELECT * FROM bucketed"),
     "service_rollup_ancestors": with_views([CLOSURE, SERVICES], f"SELECT instance_id, ancestor AS part_id, {exact('cost')} AS cost_eur, {kinds()}, count(*) AS n_steps FROM services JOIN closure ON target = descendant GROUP BY instance_id, ancestor"),
     "mtbf_remaining": with_views([PARTS, PASSPORTS], f"SELECT instance_id, mtbf_hrs, {MTBF} FROM passports LEFT JOIN parts ON root_part_id = part_id"),
@@ -147,7 +147,7 @@ SELECT static_id, type, count(*) AS n, count(*) / any_value(p) AS avg_per_instan
     "passport_organisations": with_views([PASSPORTS, ORGANISATIONS], "SELECT p.instance_id, m.name AS manufacturer, m.eori AS manufacturer_eori, i.name AS importer, i.url AS importer_url FROM passports p LEFT JOIN organisations m ON m.org_id = manufacturer_id LEFT JOIN organisations i ON i.org_id = importer_id"),
     "returning_places": with_views([LINES, PLACES], ", asked AS (SELECT static_id, unnest([0, 1, 2]) AS pos, unnest([static_id % 25, static_id % 7, static_id + 10]) AS of FROM listed) SELECT static_id, pos, place_id, name, latitude, longitude FROM asked JOIN places ON of = place_id"),
     "spare_parts": with_views([LINES, PARTS], ", asked AS (SELECT static_id, unnest([0, 1, 2]) AS pos, unnest([static_id, static_id * 3, static_id + 1000000]) AS spare_id FROM listed) SELECT static_id, pos, spare_id, coalesce(name, spare_id::VARCHAR) AS name FROM asked LEFT JOIN parts ON spare_id = part_id"),
-    "passport_search": with_views(PASSPORTS, "SELECT instance_id, product_name, discontinued FROM passports WHERE contains(lower(product_name), 'urgent') OR contains(instance_id::VARCHAR, 'urgent')"),
+    "passport_search": with_views(PASSPORTS, "SELECT instance_id, product_name, discontinued, row_number() OVER (ORDER BY discontinued, product_name, instance_id) AS pos FROM passports WHERE contains(lower(product_name), 'urgent') OR contains(instance_id::VARCHAR, 'urgent')"),
     "passport_ages": with_views(PASSPORTS, "SELECT instance_id, greatest(0.0, floor((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(declared_at)) / 86400000000.0::DOUBLE)) AS age_days FROM passports"),
     "gs1_check_digit": """WITH bodies AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 12, '4') AS body FROM orders)
 SELECT o_orderkey, body, ((10 - list_sum(list_transform(range(1, 13), lambda i: substr(reverse(body), i::INT, 1)::INT * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10)::INT AS check_digit FROM bodies""",

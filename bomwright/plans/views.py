@@ -18,27 +18,41 @@ CLOSURE = f"""{NODE}, closure AS (
   FROM (SELECT *, unnest(range(1, lvl + 2)) AS i FROM node)
 )"""
 USES = """uses AS (
-  SELECT l_orderkey AS tree_id, l_partkey AS part_id, l_partkey AS material_instance_id, p_brand || '/' || p_type AS material_static_id, p_type AS material_name,
+  SELECT l_orderkey AS tree_id, l_partkey % 20 AS part_id, (l_partkey + l_suppkey) % 30 AS material_instance_id, p_brand || '/' || p_type AS material_static_id, p_type AS material_name,
          p_brand IN ('Brand#1', 'Brand#2') AS rare, p_brand IN ('Brand#3', 'Brand#4') AS hazardous,
          CASE WHEN p_brand = 'Brand#3' THEN ['H302', 'H319'] WHEN p_brand = 'Brand#4' THEN ['H319'] ELSE [] END AS warnings,
          l_quantity AS weight_g, l_discount * 1000.0::DOUBLE AS pct_recycled,
          CASE WHEN l_linenumber % 2 = 0 THEN (1.0::DOUBLE - l_tax) * 100.0::DOUBLE ELSE 1.0::DOUBLE - l_tax END AS purity,
-         l_linenumber AS line, l_extendedprice AS price, l_discount AS discount, l_tax AS tax
+         l_linenumber AS line, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_partkey AS key, l_suppkey AS supplier
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), once AS (
-  SELECT * FROM uses QUALIFY row_number() OVER (PARTITION BY tree_id, material_instance_id ORDER BY line, weight_g, price, discount, tax) = 1
+  -- each line is a visit of its part; the first visit counts, with all its materials
+  SELECT * FROM uses QUALIFY row_number() OVER (PARTITION BY tree_id, part_id ORDER BY line, weight_g, price, discount, tax, key, supplier) = 1
+), once_material AS (
+  SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY tree_id, material_instance_id ORDER BY line, weight_g, price, discount, tax, key, supplier) = 1
 )"""
 EMISSIONS = """emissions AS (
-  SELECT l_orderkey AS tree_id, l_partkey AS step_part, l_linenumber AS step_line, CASE l_returnflag WHEN 'A' THEN 'Scope 1' WHEN 'N' THEN 'Scope 2' WHEN 'R' THEN 'Scope 3' END AS scope,
-         CASE WHEN l_linenumber <> 7 THEN p_type END AS category, l_quantity AS quantity, l_tax AS factor, l_extendedprice / 1000.0::DOUBLE AS kg, l_linestatus = 'F' AND l_linenumber % 3 = 0 AS excluded
+  SELECT l_orderkey AS tree_id, l_partkey % 20 AS part_id, l_partkey AS step_part, l_linenumber AS step_line,
+         CASE WHEN l_suppkey % 23 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'Scope 1' WHEN l_returnflag = 'N' THEN 'Scope 2' WHEN l_returnflag = 'R' THEN 'Scope 3' END AS scope,
+         CASE WHEN l_linenumber % 3 <> 1 THEN p_type END AS category, l_quantity AS quantity, l_tax AS factor, l_extendedprice / 1000.0::DOUBLE AS kg, l_linestatus = 'F' AND l_linenumber % 3 = 0 AS excluded
   FROM lineitem JOIN part ON l_partkey = p_partkey
-), counted AS (SELECT DISTINCT * FROM emissions WHERE NOT excluded)"""
+), visited AS (
+  -- of a part that is there several times only the first visit counts
+  SELECT *, min({'line': step_line, 'key': step_part}) OVER (PARTITION BY tree_id, part_id) AS first FROM emissions
+), counted AS (
+  SELECT DISTINCT tree_id, step_part, step_line, scope, coalesce(category, 'Uncategorized') AS category, quantity, factor, kg FROM visited
+  WHERE NOT excluded AND step_line = first.line AND step_part = first.key
+)"""
 STEPS = """steps AS (
-  SELECT l_orderkey AS tree_id, CASE WHEN l_linestatus = 'F' THEN 'material' ELSE 'part' END AS owner_kind,
+  SELECT l_orderkey AS tree_id, l_partkey % 20 AS part_id, CASE WHEN l_linestatus = 'F' THEN 'material' ELSE 'part' END AS owner_kind,
          CASE l_returnflag WHEN 'A' THEN 'ProductionStep' WHEN 'N' THEN 'TransportStep' WHEN 'R' THEN 'RemanufacturingServiceStep' END AS type,
          s_nationkey AS place_id, CASE WHEN l_returnflag = 'N' THEN c_nationkey END AS dest_id,
-         CASE WHEN l_returnflag = 'N' OR l_linenumber = 1 THEN l_quantity * 10.0::DOUBLE END AS distance_km
+         CASE WHEN l_returnflag = 'N' OR l_linenumber = 1 THEN l_quantity * 10.0::DOUBLE END AS distance_km, l_partkey % 2 AS lvl, l_linenumber AS line, l_partkey AS key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+), mapped AS (
+  -- the map walks level by level and takes each part where it meets it first
+  SELECT * FROM (SELECT *, min({'lvl': lvl, 'line': line, 'key': key}) OVER (PARTITION BY tree_id, part_id) AS first FROM steps)
+  WHERE lvl = first.lvl AND line = first.line AND key = first.key
 )"""
 PLACES = """places AS (
   SELECT n_nationkey AS place_id, n_name AS name, CASE WHEN n_nationkey <> 24 THEN (n_nationkey * 7 - 84)::DOUBLE END AS latitude,
@@ -69,7 +83,8 @@ SYMPTOMS = f"""{SERVICES}, symptom_rows AS (
 
 
 def rounded(x: str, digits: int) -> str:
-    return f"(floor(({x}) * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE)"
+    """By the C library, half to even on the exact binary value; never minus zero."""
+    return f"(printf('%.{digits}f', {x})::DOUBLE + 0.0::DOUBLE)"
 
 
 def exact(x: str, scale: int = 6) -> str:

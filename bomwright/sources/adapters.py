@@ -28,6 +28,11 @@ def lookup(column, values: dict):
     return out
 
 
+def part_of_line():
+    """Which part of its product a line item stands for. Several lines of an order may be one part: visits of it."""
+    return F.col("l_partkey") % 20
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part_id, parent_id (null for roots), name, is_modular, has_failstate, mtbf_hrs."""
     key = F.col("p_partkey")
@@ -55,14 +60,14 @@ def material_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand, line = F.col("p_brand"), F.col("l_linenumber")
     return (
         read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("l_orderkey").alias("tree_id"), F.col("l_partkey").alias("part_id"), F.col("l_partkey").alias("material_instance_id"),
+            F.col("l_orderkey").alias("tree_id"), part_of_line().alias("part_id"), ((F.col("l_partkey") + F.col("l_suppkey")) % 30).alias("material_instance_id"),
             F.concat(brand, F.lit("/"), F.col("p_type")).alias("material_static_id"), F.col("p_type").alias("material_name"),
             brand.isin("Brand#1", "Brand#2").alias("rare"), brand.isin("Brand#3", "Brand#4").alias("hazardous"),
             F.when(brand == "Brand#3", F.array(F.lit("H302"), F.lit("H319"))).when(brand == "Brand#4", F.array(F.lit("H319"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
             F.col("l_quantity").alias("weight_g"), (F.col("l_discount") * 1000.0).alias("pct_recycled"),
             F.when(line % 2 == 0, (1.0 - F.col("l_tax")) * 100.0).otherwise(1.0 - F.col("l_tax")).alias("purity"),
             # where it is in its product; no two uses that differ have the same place
-            F.struct(line.cast("bigint").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")).alias("place"),
+            F.struct(line.cast("bigint").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("supplier")).alias("place"),
         )
         .withColumn("visit", F.col("place"))  # each line is a visit of its part
     )
@@ -73,8 +78,9 @@ def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     return (
         read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("l_orderkey").alias("tree_id"), F.struct(F.col("l_partkey").alias("part"), line.alias("line")).alias("step_key"),
-            lookup(F.col("l_returnflag"), SCOPES).alias("scope"), F.when(line != 7, F.col("p_type")).alias("category"),
+            F.col("l_orderkey").alias("tree_id"), part_of_line().alias("part_id"), F.struct(line.alias("line"), F.col("l_partkey").alias("part")).alias("visit"),
+            F.struct(F.col("l_partkey").alias("part"), line.alias("line")).alias("step_key"),
+            F.when(F.col("l_suppkey") % 23 != 0, lookup(F.col("l_returnflag"), SCOPES)).alias("scope"), F.when(line % 3 != 1, F.col("p_type")).alias("category"),
             F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("factor"), (F.col("l_extendedprice") / 1000.0).alias("kg"),
             F.lit("calculated").alias("method"), ((F.col("l_linestatus") == "F") & (line % 3 == 0)).alias("excluded"),
         )
@@ -92,9 +98,10 @@ def process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            F.col("l_orderkey").alias("tree_id"), F.when(F.col("l_linestatus") == "F", "material").otherwise("part").alias("owner_kind"), kind.alias("type"),
+            F.col("l_orderkey").alias("tree_id"), part_of_line().alias("part_id"), F.when(F.col("l_linestatus") == "F", "material").otherwise("part").alias("owner_kind"), kind.alias("type"),
             F.col("s_nationkey").alias("place_id"), F.when(kind == "TransportStep", F.col("c_nationkey")).alias("dest_id"),
             F.when((kind == "TransportStep") | (F.col("l_linenumber") == 1), F.col("l_quantity") * 10.0).alias("distance_km"),
+            F.struct((F.col("l_partkey") % 2).alias("lvl"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("key")).alias("level_visit"),
         )
     )
 

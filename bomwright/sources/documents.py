@@ -78,7 +78,7 @@ def steps(nodes: DataFrame) -> DataFrame:
     of_materials = _exploded(uses, "material", "materialProcessTracking", ["tree_id", "ord_path", "lvl", "part_id", "material_pos"], "step").withColumn("owner_kind", F.lit("material"))
     s = "step"
     return of_parts.unionByName(of_materials).select(
-        "tree_id", "part_id", "lvl", "owner_kind", F.struct("tree_id", "ord_path", "material_pos", "step_pos").alias("step_key"),
+        "tree_id", "part_id", "lvl", "owner_kind", F.col("ord_path").alias("visit"), F.struct("lvl", "ord_path").alias("level_visit"), F.struct("tree_id", "ord_path", "material_pos", "step_pos").alias("step_key"),
         F.coalesce(field(s, "type"), field(s, "type_")).alias("type"), field(s, "processedAt").alias("place_id"), field(s, "destination").alias("dest_id"),
         field(s, "distanceKM", "double").alias("distance_km"), first_field(s, COST_NAMES, "double").alias("cost"), F.coalesce(field(s, "diagnose"), field(s, "diagnosis"), F.lit("")).alias("diagnose"),
         F.coalesce(field(s, "observedSymptoms", "array<string>"), F.array().cast("array<string>")).alias("symptoms"), field(s, "beginDate").try_cast("timestamp").alias("begin_at"), target_ids(s).alias("target_ids"), "step")
@@ -107,8 +107,8 @@ def detached_parts(nodes: DataFrame) -> DataFrame:
 
 
 def emissions(step_rows: DataFrame) -> DataFrame:
-    rows = _exploded(step_rows, "step", "ghgEmissionRecords", ["tree_id", "step_key"], "record")
+    rows = _exploded(step_rows, "step", "ghgEmissionRecords", ["tree_id", "part_id", "visit", "step_key"], "record")
     r = "record"
     return rows.select(
-        "tree_id", "step_key", field(r, "scope").alias("scope"), field(r, "scope3_category").alias("category"), field(r, "activity.quantity", "double").alias("quantity"), field(r, "emission_factor.value", "double").alias("factor"),
+        "tree_id", "part_id", "visit", "step_key", field(r, "scope").alias("scope"), field(r, "scope3_category").alias("category"), field(r, "activity.quantity", "double").alias("quantity"), field(r, "emission_factor.value", "double").alias("factor"),
         field(r, "emissions_kg_co2e", "double").alias("kg"), field(r, "calculation_method").alias("method"), F.coalesce(field(r, "excluded_from_aggregation", "boolean"), F.lit(False)).alias("excluded"))
