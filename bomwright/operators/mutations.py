@@ -43,48 +43,111 @@ def recycle(instances: DataFrame, steps: DataFrame, new: DataFrame) -> tuple[Dat
 
 
 def replace_parts(nodes: DataFrame, commands: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Swaps subtrees: (nodes, detached, failed).
+    """Swaps subtrees, a product's commands one after another: (nodes, detached, failed).
 
     ``nodes``: tree_id, part_id, parent_id, path (ids from the root) and more.
-    ``commands``: tree_id, old_id, new_id. ``new_nodes``: new_id (the new subtree's
-    root), part_id, parent_id, path (from that root) and the same other columns.
-    What goes is the old part with all below it; it is kept in ``detached``. Root
-    parts and unknown parts fail. Of commands whose old parts lie within each
-    other the outermost is applied; several rounds apply commands one after another.
+    ``commands``: tree_id, old_id, new_id and seq, the order within a product (without it
+    old_id is). ``new_nodes``: new_id (the new subtree's root), part_id, parent_id, path
+    (from that root) and the same other columns.
+
+    What goes is the old part with all below it at that time; it is kept in
+    ``detached`` with detached_with, the part it went with. Root parts and unknown
+    parts fail, and so does a part that an earlier command has taken out.
     """
-    wanted = commands.select(F.col("tree_id").alias("ct"), "old_id", F.col("new_id").alias("with_id"))
+    seq = "seq" if "seq" in commands.columns else "old_id"
+    wanted = commands.select(F.col("tree_id").alias("ct"), "old_id", F.col("new_id").alias("with_id"), F.col(seq).alias("nth"))
     at = nodes.select(F.col("tree_id").alias("nt"), F.col("part_id").alias("np"), F.col("parent_id").alias("old_parent"), F.col("path").alias("old_path"))
-    found = wanted.join(at, (F.col("ct") == F.col("nt")) & (F.col("old_id") == F.col("np")), "left")
-    failed = found.where(F.col("np").isNull() | F.col("old_parent").isNull()).select(F.col("ct").alias("tree_id"), "old_id", F.when(F.col("np").isNull(), "no such part").otherwise("root cannot be replaced").alias("reason"))
-    good = found.where(F.col("old_parent").isNotNull()).select("ct", "old_id", "with_id", "old_parent", "old_path")
-    others = good.select(F.col("ct").alias("ot"), F.col("old_id").alias("other"))
-    inner = good.select("ct", "old_id", F.explode(F.slice("old_path", F.lit(1), F.size("old_path") - 1)).alias("up")).join(others, (F.col("ct") == F.col("ot")) & (F.col("up") == F.col("other")), "left_semi").select(F.col("ct").alias("it"), F.col("old_id").alias("io")).distinct()
-    outer = good.join(inner, (F.col("ct") == F.col("it")) & (F.col("old_id") == F.col("io")), "left_anti")
-    below = nodes.select(F.col("tree_id").alias("bt"), F.col("part_id").alias("bp"), F.explode("path").alias("up"))
-    gone = below.join(outer, (F.col("bt") == F.col("ct")) & (F.col("up") == F.col("old_id"))).select("bt", "bp", F.col("old_id").alias("detached_with"))
-    match = (F.col("tree_id") == F.col("bt")) & (F.col("part_id") == F.col("bp"))
-    kept = nodes.join(gone, match, "left_anti")
-    detached = nodes.join(gone, match).drop("bt", "bp")
-    fresh = outer.join(new_nodes, F.col("with_id") == F.col("new_id")).drop("new_id")
-    fresh = fresh.withColumn("tree_id", F.col("ct")).withColumn("parent_id", F.when(F.col("part_id") == F.col("with_id"), F.col("old_parent")).otherwise(F.col("parent_id")))
-    fresh = fresh.withColumn("path", F.concat(F.slice("old_path", F.lit(1), F.size("old_path") - 1), F.col("path"))).drop("ct", "old_id", "with_id", "old_parent", "old_path")
+    found = wanted.join(at, (F.col("ct") == F.col("nt")) & (F.col("old_id") == F.col("np")), "left").drop("nt")
+    unfit = F.when(F.col("np").isNull(), "no such part").when(F.col("old_parent").isNull(), "root cannot be replaced")
+    # A product's commands in one row. A command is lost if an earlier sound one took out its part or one above; that one may
+    # be lost itself, but then to a still earlier one that took out this part too.
+    sound = found.withColumn("unfit", unfit)
+    command = F.struct("nth", "old_id", "with_id", "old_parent", "old_path", "unfit")
+    listed = sound.groupBy("ct").agg(F.array_sort(F.collect_list(command)).alias("all"))
+    earlier = lambda c, i: F.exists(F.slice("all", F.lit(1), i), lambda e: e["unfit"].isNull() & F.array_contains(c["old_path"], e["old_id"]))
+    judged = listed.select("ct", F.transform("all", lambda c, i: F.struct(c["old_id"].alias("old_id"), c["with_id"].alias("with_id"), c["old_parent"].alias("old_parent"), c["old_path"].alias("old_path"), F.coalesce(c["unfit"], F.when(earlier(c, i), "no such part")).alias("reason"))).alias("all"))
+    failed = judged.select(F.col("ct").alias("tree_id"), F.explode("all").alias("c")).where("c.reason IS NOT NULL").select("tree_id", "c.old_id", "c.reason")
+    done = judged.select("ct", F.filter("all", lambda c: c["reason"].isNull()).alias("done")).where(F.size("done") > 0)
+    # Of commands within each other the inner was the earlier: what is below it went with it, its new parts with the outer one.
+    place = lambda path, c: F.array_position(path, c["old_id"])
+    marked = nodes.join(done, F.col("tree_id") == F.col("ct"), "left").withColumn("above", F.filter(F.coalesce("done", F.array()), lambda c: F.array_contains(F.col("path"), c["old_id"])))
+    kept = marked.where(F.size("above") == 0).drop("ct", "done", "above")
+    deepest = lambda path, cs: F.array_max(F.transform(cs, lambda c: F.struct(place(path, c).alias("at"), c["old_id"].alias("id"))))["id"]
+    detached = marked.where(F.size("above") > 0).withColumn("detached_with", deepest(F.col("path"), F.col("above"))).drop("ct", "done", "above")
+    each = done.select("ct", "done", F.explode("done").alias("c")).withColumn("outer", F.filter("done", lambda o: (o["old_id"] != F.col("c.old_id")) & F.array_contains(F.col("c.old_path"), o["old_id"])))
+    fresh = each.join(new_nodes, F.col("c.with_id") == F.col("new_id")).drop("new_id").withColumn("tree_id", F.col("ct"))
+    fresh = fresh.withColumn("parent_id", F.when(F.col("part_id") == F.col("c.with_id"), F.col("c.old_parent")).otherwise(F.col("parent_id")))
+    fresh = fresh.withColumn("path", F.concat(F.slice("c.old_path", F.lit(1), F.size("c.old_path") - 1), F.col("path")))
     if "lvl" in nodes.columns:
         fresh = fresh.withColumn("lvl", F.size("path") - 1)
-    return kept.unionByName(fresh, allowMissingColumns=True), detached, failed
+    placed = fresh.where(F.size("outer") == 0).drop("ct", "done", "c", "outer")
+    went = fresh.where(F.size("outer") > 0).withColumn("detached_with", deepest(F.col("c.old_path"), F.col("outer"))).drop("ct", "done", "c", "outer")
+    return kept.unionByName(placed, allowMissingColumns=True), detached.unionByName(went, allowMissingColumns=True), failed
+
+
+def replace_with_steps(nodes: DataFrame, steps: DataFrame, commands: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``replace_parts``, and the step of each command that did not fail is added: (nodes, steps, detached, failed).
+
+    ``commands`` also have the columns of ``steps`` that a step fills.
+    """
+    changed, detached, failed = replace_parts(nodes, commands, new_nodes)
+    # Of several commands for one part the first may have been done.
+    first = commands.withColumn("nth", F.row_number().over(Window.partitionBy("tree_id", "old_id").orderBy("seq" if "seq" in commands.columns else "old_id")))
+    once = failed.groupBy(F.col("tree_id").alias("ct"), F.col("old_id").alias("co")).agg(F.count("*").alias("n_failed"))
+    asked = commands.groupBy(F.col("tree_id").alias("at"), F.col("old_id").alias("ao")).agg(F.count("*").alias("n_asked"))
+    some = first.join(asked, (F.col("tree_id") == F.col("at")) & (F.col("old_id") == F.col("ao"))).join(once, (F.col("tree_id") == F.col("ct")) & (F.col("old_id") == F.col("co")), "left")
+    good = some.where(F.col("nth") <= F.col("n_asked") - F.coalesce("n_failed", F.lit(0))).select(*(c for c in commands.columns if c in steps.columns))
+    return changed, steps.unionByName(good, allowMissingColumns=True), detached, failed
+
+
+def rework(nodes: DataFrame, steps: DataFrame, new: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Remanufacturing and refurbishment steps: (nodes, steps, detached, failed).
+
+    ``new``: event_id, tree_id, repaired_ids, cleaned_ids, pairs (old_id and new_id, in
+    order) and the columns of ``steps``; one step for a product. Repaired and cleaned parts
+    must be in the product, then pairs are swapped in order. A step one of whose parts is
+    missing changes nothing and is not added.
+    """
+    checked = F.array_distinct(F.concat(F.coalesce("repaired_ids", F.array()), F.coalesce("cleaned_ids", F.array())))
+    missing = _known(new.select("event_id", "tree_id", F.explode(checked).alias("target")), nodes, "target").where("NOT known").select(F.col("event_id").alias("lost"), F.lit("no such part").alias("why"))
+    pairs = new.select("event_id", "tree_id", F.posexplode("pairs").alias("seq", "pair")).select("event_id", "tree_id", "seq", "pair.old_id", "pair.new_id")
+    _, _, refused = replace_parts(nodes, pairs, new_nodes)
+    of_event = new.select(F.col("tree_id").alias("et"), F.col("event_id").alias("lost"))
+    refused = refused.join(of_event, F.col("tree_id") == F.col("et")).select("lost", F.col("reason").alias("why"))
+    lost = missing.unionByName(refused).groupBy("lost").agg(F.min("why").alias("why"))
+    good = new.join(lost, F.col("event_id") == F.col("lost"), "left_anti")
+    sound = pairs.join(good.select(F.col("event_id").alias("kept")), F.col("event_id") == F.col("kept"), "left_semi").drop("event_id")
+    changed, detached, _ = replace_parts(nodes, sound, new_nodes)
+    failed = new.join(lost, F.col("event_id") == F.col("lost")).select("event_id", "tree_id", F.col("why").alias("reason"))
+    return changed, steps.unionByName(good.select(*(c for c in good.columns if c in steps.columns)), allowMissingColumns=True), detached, failed
 
 
 def add_links(lines: DataFrame, column: str, commands: DataFrame, distinct: bool) -> tuple[DataFrame, DataFrame]:
-    """Appends ids to a list of each line (spare parts: ``distinct``, an id already there fails; returning places: twice is fine)."""
-    asked = commands.select(F.col("static_id").alias("of"), "link", F.row_number().over(Window.partitionBy("static_id", "link").orderBy("static_id")).alias("nth"))
+    """Appends ids to a list of each line, in the order of ``seq`` if commands have one, else of the ids.
+
+    Spare parts: ``distinct``, an id already there fails; returning places: twice is fine.
+    """
+    seq = F.col("seq") if "seq" in commands.columns else F.col("link")
+    asked = commands.select(F.col("static_id").alias("of"), "link", seq.alias("seq")).withColumn("nth", F.row_number().over(Window.partitionBy("of", "link").orderBy("seq")))
     present = lines.select(F.col("static_id").alias("at"), F.explode(column).alias("has")).distinct()
     judged = asked.join(present, (F.col("of") == F.col("at")) & (F.col("link") == F.col("has")), "left")
     clash = (F.col("has").isNotNull() | (F.col("nth") > 1)) if distinct else F.lit(False)
-    new = judged.where(~clash).groupBy("of").agg(F.array_sort(F.collect_list("link")).alias("new_links"))
+    new = judged.where(~clash).groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "link"))), lambda x: x["link"]).alias("new_links"))
     failed = judged.where(clash).select(F.col("of").alias("static_id"), "link", F.lit("already there").alias("reason"))
     joined = lines.join(new, F.col("static_id") == F.col("of"), "left")
     return joined.withColumn(column, F.when(F.col("of").isNull(), F.col(column)).otherwise(F.concat(F.coalesce(column, F.array()), "new_links"))).drop("of", "new_links"), failed
 
 
+def add_returning_places(lines: DataFrame, places: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Appends places to the lines' lists, and those that are not known yet to the places: (lines, places).
+
+    ``commands``: static_id, the columns of a place, and seq.
+    """
+    changed, _ = add_links(lines, "returning_place_ids", commands.select("static_id", F.col("place_id").alias("link"), "seq"), distinct=False)
+    new = commands.join(places.select(F.col("place_id").alias("known")), F.col("place_id") == F.col("known"), "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("place_id").orderBy("seq", "static_id"))).where("nth = 1")
+    return changed, places.unionByName(new.select(*(c for c in places.columns if c in commands.columns)), allowMissingColumns=True)
+
+
 def add_materials(uses: DataFrame, new: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds uses of materials to parts; those of unknown parts fail."""
     judged = _known(new, parts, "part_id")

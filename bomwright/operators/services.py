@@ -1,7 +1,9 @@
 """Service steps: roll-ups over part trees, reliability, and what symptoms point to across sibling products.
 
-``steps`` has one row per service step on a product's root part; ``seen`` is the
-order in which steps would be read and settles ties as "first seen".
+``steps`` has one row per service step on a product's root part, or, for the statistics of
+lines (``diagnosis_summary``, ``secondary_totals``, ``secondary_entries``,
+``service_modular``), on any part of it (``whole_tree``); ``seen`` is the order in which
+steps would be read and settles ties as "first seen".
 """
 
 from __future__ import annotations
@@ -19,6 +21,17 @@ def _counts(bucket) -> list:
     return [F.count_if(bucket == b).alias(b.lower()) for b in BUCKET_NAMES]
 
 
+def whole_tree(steps: DataFrame) -> DataFrame:
+    """Services among the steps of all parts of products; a part that is there several times counts each time."""
+    return steps.where((F.col("owner_kind") == "part") & is_secondary(F.col("type"))).drop("owner_kind")
+
+
+def with_line_totals(rows: DataFrame, instances: DataFrame) -> DataFrame:
+    """Adds total_instances, all products of the line, those without a root part included."""
+    lines = instances.groupBy(F.col("static_id").alias("of_line")).agg(F.count("*").alias("total_instances"))
+    return rows.join(lines, F.col("static_id") == F.col("of_line")).drop("of_line")
+
+
 def bucket_totals(steps: DataFrame) -> DataFrame:
     """Cost and number of services of each kind; recycling and services of no kind are in neither."""
     bucket = service_bucket(F.col("type"))
@@ -33,15 +46,16 @@ def rollup_to_ancestors(steps: DataFrame, nodes: DataFrame, detached: DataFrame
     targets in that tree only.
     """
     trees = ["tree_id"] if "tree_id" in steps.columns else []
-    hit = steps.where(is_secondary(F.col("type"))).select("event_id", "instance_id", "type", "cost", *trees, F.explode("target_ids").alias("target"))
-    above = closure(nodes).select("descendant", F.col("ancestor").alias("part_id"), *(F.col(t).alias("in_tree") for t in trees))
-    within = F.col("target") == F.col("descendant")
-    credited = ["event_id", "instance_id", "type", "cost", "part_id"]
-    found = hit.join(above, within & (F.col("tree_id") == F.col("in_tree")) if trees else within).select(*credited)
+    keys = ["event_id", "instance_id", "type", "cost"]
+    hit = steps.where(is_secondary(F.col("type"))).select(*keys, *trees, F.explode("target_ids").alias("target"))
+    above = nodes.select(F.col("part_id").alias("at"), "path", *(F.col(t).alias("in_tree") for t in trees))
+    within = F.col("target") == F.col("at")
+    found = hit.join(above, within & (F.col("tree_id") == F.col("in_tree")) if trees else within).select(*keys, "path")
     if detached is not None:
-        gone = detached.select(F.col("instance_id").alias("of"), F.col("part_id").alias("gone_id"), F.col("root_part_id").alias("part_id")).distinct()
-        found = found.unionByName(hit.join(gone, (F.col("instance_id") == F.col("of")) & (F.col("target") == F.col("gone_id"))).select(*credited))
-    once = found.dropDuplicates(["event_id", "part_id"])
+        gone = detached.select(F.col("instance_id").alias("of"), F.col("part_id").alias("gone_id"), F.array("root_part_id").alias("path")).distinct()
+        found = found.unionByName(hit.join(gone, (F.col("instance_id") == F.col("of")) & (F.col("target") == F.col("gone_id"))).select(*keys, "path"))
+    # The union of a step's paths, made where its targets meet, before it is spread over parts.
+    once = found.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("path"))).alias("parts")).select(*keys, F.explode("parts").alias("part_id"))
     return once.groupBy("instance_id", "part_id").agg(exact_sum(F.col("cost")).alias("cost_eur"), *_counts(service_bucket(F.col("type"))), F.count("*").alias("n_steps"))
 
 
@@ -152,9 +166,11 @@ def top_parts(steps: DataFrame, names: DataFrame, k: int = 10, by_type: bool = F
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "name", "n", "rank")
 
 
-def secondary_totals(steps: DataFrame) -> DataFrame:
-    """Per product line the six tracked types, zero where there is none."""
-    counts = steps.groupBy("static_id").agg(*(F.count_if(F.col("type") == t).alias(t) for t in SERVICE_TYPES))
+def secondary_totals(steps: DataFrame, instances: DataFrame) -> DataFrame:
+    """Per product line the six tracked types, zero where there is none, also for lines without any step."""
+    lines = instances.select(F.col("static_id").alias("line")).distinct()
+    found = steps.groupBy("static_id").agg(*(F.count_if(F.col("type") == t).alias(t) for t in SERVICE_TYPES))
+    counts = lines.join(found, F.col("line") == F.col("static_id"), "left").drop("static_id").withColumnRenamed("line", "static_id").na.fill(0, list(SERVICE_TYPES))
     rows = F.explode(F.array(*(F.struct(F.lit(t).alias("type"), F.col(t).alias("n")) for t in SERVICE_TYPES)))
     return counts.select("static_id", rows.alias("r")).select("static_id", "r.type", "r.n")
 

@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import allow_deep_trees
+
 ARROW = " → "
 
 
 def flatten(parts: DataFrame) -> DataFrame:
     """Every part with its root (tree_id), level, path of ids and breadcrumb of names; a part that is its own ancestor ends its branch."""
+    allow_deep_trees(parts.sparkSession)
     return parts.sparkSession.sql(
         """
         WITH RECURSIVE node AS (
@@ -90,17 +93,37 @@ def tree_summary(nodes: DataFrame) -> DataFrame:
     )
 
 
+def positions(rows: DataFrame, order: list, bucket: list) -> DataFrame:
+    """Adds ``pos``, the place of each row of a tree in ``order``, from 1.
+
+    ``bucket`` orders alike but more coarsely. Rows are ranked within their bucket, and
+    buckets, of which there are few, within the tree, so no task sorts a whole tree.
+    """
+    names = [f"bucket_{k}" for k in range(len(bucket))]
+    cut = rows.withColumns(dict(zip(names, bucket, strict=True)))
+    before = Window.partitionBy("of_tree").orderBy(*(f"of_{n}" for n in names)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(F.col("tree_id").alias("of_tree"), *(F.col(n).alias(f"of_{n}") for n in names)).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = cut.withColumn("pos", F.row_number().over(Window.partitionBy("tree_id", *names).orderBy(*order)))
+    joined = ranked.join(sizes, [F.col("tree_id") == F.col("of_tree"), *(F.col(n) == F.col(f"of_{n}") for n in names)])
+    return joined.withColumn("pos", (F.col("pos") + F.col("before")).cast("int")).drop("of_tree", "before", *names, *(f"of_{n}" for n in names))
+
+
+#: A tree's parts are ranked by the first so many parts of their paths, then within these.
+PREFIX = 3
+
+
 def expanded(nodes: DataFrame, cap: int = 2000) -> DataFrame:
     """The first parts of each tree that a view opens, level by level, up to its cap (a feature of that view)."""
-    order = Window.partitionBy("tree_id").orderBy("lvl", "path")
-    return nodes.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cap).select("tree_id", "part_id", "lvl", "pos")
+    ranked = positions(nodes.select("tree_id", "part_id", "lvl", "path"), ["lvl", "path"], [F.col("lvl"), F.slice("path", 1, PREFIX)])
+    return ranked.where(F.col("pos") <= cap).select("tree_id", "part_id", "lvl", "pos")
 
 
 def layout(nodes: DataFrame) -> DataFrame:
     """Rows of a drawn tree: leaves one below the other in walking order, a parent midway between its first and last leaf."""
     parents = nodes.select(F.col("parent_id").alias("has_child")).where(F.col("has_child").isNotNull()).distinct()
     leaves = nodes.join(parents, F.col("part_id") == F.col("has_child"), "left_anti")
-    rows = leaves.select("part_id", "path", F.row_number().over(Window.partitionBy("tree_id").orderBy("path")).alias("row"))
+    rows = positions(leaves.select("tree_id", "part_id", "path"), ["path"], [F.slice("path", 1, PREFIX)]).withColumnRenamed("pos", "row")
     return rows.select(F.explode("path").alias("part_id"), "row").groupBy("part_id").agg(((F.min("row") + F.max("row")) / 2.0).alias("y"))
 
 

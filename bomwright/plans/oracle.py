@@ -42,9 +42,9 @@ LINES = """listed AS (
   SELECT o_custkey % 50 AS static_id, min('Product ' || o_orderpriority) AS product_name FROM orders GROUP BY ALL
 )"""
 MODULAR = """modular AS (
-  SELECT l.static_id, l.instance_id, count(*) FILTER (type = 'RepairServiceStep') AS repairs, count(*) FILTER (type = 'ReplaceServiceStep') AS replaces,
+  SELECT l.static_id, l.instance_id, count(s.event_id) FILTER (type = 'RepairServiceStep') AS repairs, count(s.event_id) FILTER (type = 'ReplaceServiceStep') AS replaces,
          coalesce(any_value(m), 0)::BIGINT AS modulars
-  FROM lines l JOIN services s USING (instance_id) LEFT JOIN (SELECT ancestor, count(*) FILTER (is_modular) AS m FROM closure GROUP BY ALL) ON ancestor = l.instance_id % 200
+  FROM lines l LEFT JOIN tree_services s USING (instance_id) LEFT JOIN (SELECT ancestor, count(*) FILTER (is_modular) AS m FROM closure GROUP BY ALL) ON ancestor = l.root_part_id
   GROUP BY ALL
 )"""
 
@@ -132,14 +132,20 @@ SELECT tree_id, source, target, 'transport' AS category, n, {rounded('CASE WHEN
     "symptom_top2_diagnoses": top2(f"floor({MICROS} / 86400000000.0::DOUBLE)"),
     "symptom_top2_fractional_days": top2(f"{MICROS} / 86400000000.0::DOUBLE"),
     "symptom_instance_counts": with_views(SYMPTOMS, "SELECT static_id, symptom, count(DISTINCT instance_id) AS n_instances, row_number() OVER (PARTITION BY static_id ORDER BY count(DISTINCT instance_id) DESC, min(seen))::INT AS pos FROM symptom_rows GROUP BY static_id, symptom"),
-    "diagnosis_summary_argmax": with_views(SYMPTOMS, """, counts AS (SELECT static_id, symptom, diagnose, count(*) AS n, min(seen) AS first FROM symptom_rows GROUP BY ALL)
-SELECT static_id, symptom, first(diagnose ORDER BY n DESC, first) AS most_likely, (SELECT count(DISTINCT instance_id) FROM symptom_rows r WHERE r.static_id = c.static_id AND r.symptom = c.symptom) AS n_instances, string_agg(diagnose || '=' || n, ',' ORDER BY diagnose) AS diagnosis_counts
-FROM counts c GROUP BY static_id, symptom"""),
+    "diagnosis_summary_argmax": with_views(SERVICES, """, raw AS (SELECT static_id, instance_id, diagnose, seen + i - 1 AS seen, symptoms[i] AS symptom FROM (SELECT *, unnest([1, 2]) AS i FROM tree_services)), said AS (SELECT * FROM raw WHERE symptom <> ''),
+ counts AS (SELECT static_id, symptom, diagnose, count(*) AS n, min(seen) AS first FROM said GROUP BY ALL)
+SELECT static_id, symptom, first(diagnose ORDER BY n DESC, first) AS most_likely, (SELECT count(DISTINCT instance_id) FROM said r WHERE r.static_id = c.static_id AND r.symptom = c.symptom) AS n_instances, any_value(total_instances) AS total_instances,
+       string_agg(diagnose || '=' || n, ',' ORDER BY diagnose) AS diagnosis_counts
+FROM counts c JOIN totals USING (static_id) GROUP BY static_id, symptom"""),
     "operation_totals": with_views(SERVICES, """, products AS (SELECT static_id, count(*) AS p FROM lines GROUP BY ALL), rows AS (SELECT static_id, type FROM services UNION ALL SELECT static_id, 'SecondaryValueStep' FROM services)
 SELECT static_id, type, count(*) AS n, count(*) / any_value(p) AS avg_per_instance FROM rows JOIN products USING (static_id) GROUP BY static_id, type"""),
     "top10_parts_overall": top10("static_id"),
     "top10_parts_by_operation": top10("static_id, type"),
-    "secondary_steps_aggregate": with_views(SERVICES, f"SELECT l.static_id, t.type, count(s.event_id) AS n FROM (SELECT DISTINCT static_id FROM services) l CROSS JOIN (VALUES {', '.join(f'({t!r})' for t in TYPES)}) t(type) LEFT JOIN services s ON s.static_id = l.static_id AND s.type = t.type GROUP BY ALL"),
+    "secondary_steps_aggregate": with_views(SERVICES, f"SELECT l.static_id, t.type, count(s.event_id) AS n, any_value(total_instances) AS total_instances FROM totals l CROSS JOIN (VALUES {', '.join(f'({t!r})' for t in TYPES)}) t(type) LEFT JOIN tree_services s ON s.static_id = l.static_id AND s.type = t.type GROUP BY ALL"),
+    "secondary_entries": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, 0.0::DOUBLE AS cleaning_count, 0.0::DOUBLE AS chalk_count, 0.0::DOUBLE AS brewing_count, 0.0::DOUBLE AS grinding_count FROM tree_services"),
+    "secondary_entries_true_counters": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, coalesce((o_orderkey % 13)::DOUBLE, 0) AS cleaning_count, coalesce((o_orderkey % 7)::DOUBLE, 0) AS chalk_count, coalesce((o_orderkey % 29)::DOUBLE, 0) AS brewing_count, coalesce((o_orderkey % 31)::DOUBLE, 0) AS grinding_count FROM tree_services LEFT JOIN orders ON o_orderkey = instance_id"),
+    "part_mtbf": with_views([CLOSURE, PASSPORTS], f"SELECT instance_id, descendant AS part_id, mtbf_hrs, {MTBF} FROM passports JOIN closure ON root_part_id = ancestor"),
+    "part_picker": with_views(NODE, "SELECT tree_id, part_id, coalesce(name, part_id::VARCHAR) AS label, row_number() OVER (PARTITION BY tree_id ORDER BY coalesce(name, part_id::VARCHAR), part_id)::INT AS pos FROM node"),
     "service_modular_counts": with_views([CLOSURE, SERVICES, MODULAR], "SELECT * FROM modular"),
     "service_modular_by_line": with_views([CLOSURE, SERVICES, MODULAR], "SELECT static_id, count(*) AS n_instances, " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in ("repairs", "replaces", "modulars")) + ", " + ", ".join(f"{rounded(f'sum({k}) / count(*)', 2)} AS avg_{k}" for k in ("repairs", "replaces", "modulars")) + " FROM modular GROUP BY static_id"),
     "service_history": with_views(SERVICES, "SELECT instance_id, event_id, replace(replace(type, 'ServiceStep', ''), 'Step', '') AS type, nullif(cost, 0) AS cost, diagnose, array_to_string(symptoms, ',') AS symptoms, begin_at FROM services"),
@@ -158,11 +164,24 @@ SELECT o_orderkey, body, ((10 - list_sum(list_transform(range(1, 13), lambda i:
 SELECT org_id, concat_ws(',', CASE WHEN eori = 'DE1' THEN 'eori' END, CASE WHEN type <> 'Manufacturer' THEN 'manufacturer' END) AS reasons FROM checked WHERE eori = 'DE1' OR type <> 'Manufacturer'"""),
     "validation_uniqueness": "SELECT l_orderkey, l_linenumber, count(*) AS n, 'unique' AS reasons FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "mutation_toggle_fail": with_views(NODE, "SELECT tree_id, part_id, CASE WHEN part_id % 10 = 3 THEN NOT has_failstate ELSE has_failstate END AS has_failstate FROM node"),
-    "mutation_replace_part": with_views(NODE, """, outermost AS (SELECT * FROM node WHERE part_id IN (10, 11)), kept AS (SELECT * FROM node WHERE NOT list_has_any(path, [10, 11]))
-SELECT tree_id, part_id, parent_id, lvl, array_to_string(path, '/') AS path FROM kept
-UNION ALL SELECT tree_id, -part_id - 1, parent_id, lvl, array_to_string(path[:-2], '/') || '/' || (-part_id - 1) FROM outermost
-UNION ALL SELECT tree_id, -part_id - 1001, -part_id - 1, lvl + 1, array_to_string(path[:-2], '/') || '/' || (-part_id - 1) || '/' || (-part_id - 1001) FROM outermost"""),
-    "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, bool_or(type = 'RecyclingStep' AND coalesce(cost, 0) > 50) AS discontinued FROM services GROUP BY ALL"),
+    "mutation_replace_part": with_views(CLOSURE, """, asked AS (
+  SELECT tree_id, part_id AS old_id, -(part_id * 2 + again) - 1 AS new_id, (part_id * 7919) % 100003 * 2 + again AS seq, parent_id, lvl, path
+  FROM (SELECT *, unnest(CASE WHEN part_id % 2 = 0 THEN [0, 1] ELSE [0] END) AS again FROM node WHERE part_id % 7 = 3)
+), judged AS (
+  SELECT *, parent_id IS NULL AS is_root, EXISTS (SELECT 1 FROM asked e WHERE e.tree_id = a.tree_id AND e.seq < a.seq AND e.parent_id IS NOT NULL AND list_contains(a.path, e.old_id)) AS gone FROM asked a
+), done AS (SELECT * FROM judged WHERE NOT is_root AND NOT gone), fresh AS (
+  SELECT tree_id, new_id AS part_id, parent_id, lvl, path[:-2] AS over, old_id, [new_id] AS own FROM done
+  UNION ALL SELECT tree_id, new_id - 1000000, new_id, lvl + 1, path[:-2], old_id, [new_id, new_id - 1000000] FROM done
+), above AS (  -- the innermost part that was taken out at or above a place
+  SELECT n.tree_id, n.part_id, max_by(d.old_id, d.lvl) AS with_id FROM node n JOIN done d ON d.tree_id = n.tree_id AND list_contains(n.path, d.old_id) GROUP BY ALL
+), over AS (
+  SELECT f.tree_id, f.part_id, max_by(d.old_id, d.lvl) AS with_id FROM fresh f JOIN done d ON d.tree_id = f.tree_id AND list_contains(f.over, d.old_id) GROUP BY ALL
+)
+SELECT 'kept' AS kind, tree_id, part_id, parent_id, lvl, array_to_string(path, '/') AS path, NULL::VARCHAR AS note FROM node n WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.tree_id = n.tree_id AND a.part_id = n.part_id)
+UNION ALL SELECT 'detached', n.tree_id, n.part_id, n.parent_id, n.lvl, array_to_string(n.path, '/'), with_id::VARCHAR FROM node n JOIN above a ON a.tree_id = n.tree_id AND a.part_id = n.part_id
+UNION ALL SELECT CASE WHEN with_id IS NULL THEN 'kept' ELSE 'detached' END, f.tree_id, f.part_id, f.parent_id, f.lvl, array_to_string(list_concat(over, own), '/'), with_id::VARCHAR FROM fresh f LEFT JOIN over o ON o.tree_id = f.tree_id AND o.part_id = f.part_id
+UNION ALL SELECT 'failed', tree_id, old_id, NULL, NULL, NULL, CASE WHEN is_root THEN 'root cannot be replaced' ELSE 'no such part' END FROM judged WHERE is_root OR gone"""),
+    "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, instance_id IN (SELECT instance_id FROM services WHERE type = 'RecyclingStep' AND cost > 50) AS discontinued FROM lines"),
     "mutation_add_spare": with_views(LINES, "SELECT static_id, concat_ws(',', static_id, static_id * 3, static_id + 1000000, CASE WHEN static_id + 7 NOT IN (static_id, static_id * 3, static_id + 1000000) THEN static_id + 7 END) AS spare_ids FROM listed"),
     "jsonld_place": with_views(PLACES, f"""SELECT place_id, '{CONTEXT}"@type":"schema:Place","@id":"' || place_id || '","schema:name":' || {text('name')} || ',"schema:identifier":{{"@type":"schema:PropertyValue","propertyID":"GLN","value":"' || place_id || '"}},"schema:geo":{{"@type":"schema:GeoCoordinates"'
   || coalesce(',"schema:latitude":' || latitude || ',"schema:longitude":' || longitude, '') || '}}}}' AS json FROM places"""),

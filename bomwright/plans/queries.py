@@ -18,11 +18,6 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.flatten(A.parts(spark, sf_dir))
 
 
-def service_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products that service steps are about."""
-    return A.service_steps(spark, sf_dir).select("static_id", "instance_id").distinct().withColumn("root_part_id", F.col("instance_id") % A.PARTS_IN_SERVICE)
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product lines with the places that take them back and their spare parts."""
     s = F.col("static_id")
@@ -43,13 +38,17 @@ def service_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return services.service_modular(A.service_steps(spark, sf_dir), service_instances(spark, sf_dir), nodes(spark, sf_dir))
+    return services.service_modular(A.tree_services(spark, sf_dir), A.service_instances(spark, sf_dir), nodes(spark, sf_dir))
 
 
 def diagnosis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = services.diagnosis_summary(A.service_steps(spark, sf_dir))
+    found = services.with_line_totals(services.diagnosis_summary(A.tree_services(spark, sf_dir)), A.service_instances(spark, sf_dir))
     shown = F.array_join(F.transform(F.map_entries("diagnosis_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return found.select("static_id", "symptom", "most_likely", "n_instances", shown.alias("diagnosis_counts"))
+    return found.select("static_id", "symptom", "most_likely", "n_instances", "total_instances", shown.alias("diagnosis_counts"))
+
+
+def secondary_totals(steps: DataFrame, instances: DataFrame) -> DataFrame:
+    return services.with_line_totals(services.secondary_totals(steps, instances), instances)
 
 
 def organisations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,19 +82,29 @@ def toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("tree_id", "part_id", "has_failstate")
 
 
+def replacements(all_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every seventh part, once or twice, to be swapped for a new part with one child: commands and new parts."""
+    asked = all_nodes.where("part_id % 7 = 3").select("tree_id", F.col("part_id").alias("old_id"), F.explode(F.when(F.col("part_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    commands = asked.select("tree_id", "old_id", (-(F.col("old_id") * 2 + F.col("again")) - 1).alias("new_id"), ((F.col("old_id") * 7919) % 100003 * 2 + F.col("again")).alias("seq"))
+    roots = commands.select("new_id", F.col("new_id").alias("part_id"), F.lit(None).cast("bigint").alias("parent_id"), F.array("new_id").alias("path"))
+    children = commands.select("new_id", (F.col("new_id") - 1000000).alias("part_id"), F.col("new_id").alias("parent_id"), F.array(F.col("new_id"), F.col("new_id") - 1000000).alias("path"))
+    return commands, roots.unionByName(children)
+
+
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts 10, 11 and 17, one within another's subtree where there are any, each swapped for a new part with one child."""
+    """All trees after the replacements, what was taken out of them, and the commands that failed."""
     all_nodes = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path")
-    commands = all_nodes.where(F.col("part_id").isin(10, 11, 80, 0)).select("tree_id", F.col("part_id").alias("old_id"), (-F.col("part_id") - 1).alias("new_id"))
-    roots = commands.select("new_id", F.col("new_id").alias("part_id"), F.lit(None).cast("bigint").alias("parent_id"), F.array("new_id").alias("path"))
-    children = commands.select("new_id", (F.col("new_id") - 1000).alias("part_id"), F.col("new_id").alias("parent_id"), F.array(F.col("new_id"), F.col("new_id") - 1000).alias("path"))
-    kept, _, _ = mutations.replace_parts(all_nodes, commands, roots.unionByName(children))
-    return kept.select("tree_id", "part_id", "parent_id", "lvl", F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"))
+    commands, new_nodes = replacements(all_nodes)
+    kept, detached, failed = mutations.replace_parts(all_nodes, commands, new_nodes)
+    shown = lambda df, kind, gone_with: df.select(F.lit(kind).alias("kind"), "tree_id", "part_id", "parent_id", "lvl", F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), gone_with.alias("note"))
+    refused = failed.select(F.lit("failed").alias("kind"), "tree_id", F.col("old_id").alias("part_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("int").alias("lvl"), F.lit(None).cast("string").alias("path"), F.col("reason").alias("note"))
+    return shown(kept, "kept", F.lit(None).cast("string")).unionByName(shown(detached, "detached", F.col("detached_with").cast("string"))).unionByName(refused)
 
 
 def recycled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owned = service_instances(spark, sf_dir).withColumn("discontinued", F.lit(False))
+    owned = A.service_instances(spark, sf_dir).withColumn("discontinued", F.lit(False))
     new = A.service_steps(spark, sf_dir).where("type = 'RecyclingStep' AND cost > 50")
+    owned = owned.select("static_id", "instance_id", "discontinued")
     return mutations.recycle(owned, A.service_steps(spark, sf_dir).limit(0), new)[0].select("static_id", "instance_id", "discontinued")
 
 
@@ -149,7 +158,7 @@ def service_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passports.utility_summary(A.service_steps(spark, sf_dir), service_instances(spark, sf_dir), A.parts(spark, sf_dir))
+    return passports.utility_summary(A.service_steps(spark, sf_dir), A.service_instances(spark, sf_dir), A.parts(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -192,10 +201,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "symptom_top2_fractional_days": on(A.service_steps, partial(services.symptom_top_diagnoses, whole=False)),
     "symptom_instance_counts": on(A.service_steps, services.symptom_instances),
     "diagnosis_summary_argmax": diagnosis_summary,
-    "operation_totals": on_two(A.service_steps, service_instances, services.operation_totals),
+    "operation_totals": on_two(A.service_steps, A.service_instances, services.operation_totals),
     "top10_parts_overall": on_two(A.service_steps, A.parts, services.top_parts),
     "top10_parts_by_operation": on_two(A.service_steps, A.parts, partial(services.top_parts, by_type=True)),
-    "secondary_steps_aggregate": on(A.service_steps, services.secondary_totals),
+    "secondary_steps_aggregate": on_two(A.tree_services, A.service_instances, secondary_totals),
+    "secondary_entries": on_two(A.tree_services, A.service_instances, services.secondary_entries),
+    "secondary_entries_true_counters": on_two(A.tree_services, A.service_instances, partial(services.secondary_entries, compatible=False)),
+    "part_mtbf": on_two(A.passports, nodes, services.part_mtbf),
+    "part_picker": on(nodes, trees.picker_options),
     "service_modular_counts": modular,
     "service_modular_by_line": lambda spark, sf_dir: services.service_modular_by_line(modular(spark, sf_dir)),
     "service_history": on(A.service_steps, lambda s: services.history(s).withColumn("symptoms", F.array_join("symptoms", ","))),

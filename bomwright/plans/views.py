@@ -76,7 +76,15 @@ SERVICES = """ev AS (
          value AS cost, CASE WHEN k % 5 = 0 THEN '' ELSE 'D' || (k % 5) END AS diagnose, ['S' || (k % 7), 'S' || (k % 3)] AS symptoms, event_id % 200 AS target,
          ts AS begin_at, TIMESTAMP '2024-01-01' + to_hours(user_id) AS declared_at, user_id * 1000000000 + event_id * 10 AS seen
   FROM ev
-), lines AS (SELECT static_id, instance_id FROM services GROUP BY ALL)"""
+), lines AS (SELECT o_orderkey % 10 AS static_id, o_orderkey AS instance_id, CASE WHEN o_orderkey % 11 <> 5 THEN o_orderkey % 200 END AS root_part_id FROM orders),
+ totals AS (SELECT static_id, count(*) AS total_instances FROM lines GROUP BY ALL), tree_services AS (
+  -- services on root parts and on parts below, of products that have a root part
+  SELECT event_id, instance_id, static_id, type, cost, diagnose, symptoms, seen FROM services WHERE instance_id % 11 <> 5
+  UNION ALL
+  SELECT -(l_orderkey * 10 + l_linenumber), l_orderkey, l_orderkey % 10, 'RemanufacturingServiceStep', l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'D' || l_linenumber END, ['', ' S' || (l_linenumber % 3)],
+         l_orderkey * 1000000000 + 900000000 + l_linenumber * 10
+  FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_orderkey % 11 <> 5
+)"""
 SYMPTOMS = f"""{SERVICES}, symptom_rows AS (
   SELECT static_id, instance_id, diagnose, seen + i - 1 AS seen, symptoms[i] AS symptom FROM (SELECT *, unnest([1, 2]) AS i FROM services)
 )"""

@@ -142,3 +142,26 @@ def service_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("event_id") % PARTS_IN_SERVICE).alias("target_ids"), F.col("ts").alias("begin_at"),
         F.timestamp_add("HOUR", user, F.lit("2024-01-01").cast("timestamp_ntz")).alias("declared_at"), (user * 1000000000 + F.col("event_id") * 10).alias("seen"),
     )
+
+
+def service_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All products, also those without any service; some have no root part."""
+    key = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        (key % 10).alias("static_id"), key.alias("instance_id"), F.when(key % 11 != 5, key % PARTS_IN_SERVICE).alias("root_part_id"),
+        (key % 13).cast("double").alias("cleaning_count"), (key % 7).cast("double").alias("chalk_count"), (key % 29).cast("double").alias("brewing_count"), (key % 31).cast("double").alias("grinding_count"),
+    )
+
+
+def tree_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services on any part of a product: those on root parts, and remanufacturing of parts below; products without a root part have none."""
+    on_root = service_steps(spark, sf_dir).select("event_id", "instance_id", "static_id", "type", "cost", "diagnose", "symptoms", "seen")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    below = (
+        read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'").select(
+            (-(order * 10 + line)).alias("event_id"), order.alias("instance_id"), (order % 10).alias("static_id"), F.lit("RemanufacturingServiceStep").alias("type"), F.col("l_quantity").alias("cost"),
+            F.when(line % 2 == 0, "").otherwise(F.concat(F.lit("D"), line.cast("string"))).alias("diagnose"), F.array(F.lit(""), F.concat(F.lit(" S"), (line % 3).cast("string"))).alias("symptoms"),
+            # after the steps of the root part; lines of one order and number are alike
+            (order * 1000000000 + 900000000 + line * 10).alias("seen"))
+    )
+    return on_root.unionByName(below).where(F.col("instance_id") % 11 != 5)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import allow_deep_trees
+
 #: Names that one field has had.
 COST_NAMES = ("costEur", "costEUR", "cost", "priceEUR", "priceEur")
 WEIGHT_NAMES = ("weightGRM", "weight_g", "weightGrm", "weightgrm")
@@ -35,6 +37,7 @@ def first_field(variant: str, names: tuple[str, ...], kind: str) -> Column:
 
 def part_nodes(records: DataFrame) -> DataFrame:
     """Every part of every record: tree_id, ord_path, lvl, part_id, parent_id, names along the path, and the part itself (``part``)."""
+    allow_deep_trees(records.sparkSession)
     return records.sparkSession.sql(
         """
         WITH RECURSIVE node AS (
