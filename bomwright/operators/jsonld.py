@@ -10,129 +10,241 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The prefixes of the export's context, and the action that stands for each type of step.
-PREFIXES = {"schema": "https://schema.org/", "dpp": "https://example.org/dpp#"}
+from ..functions.scalars import SECONDARY_TYPES
+
+#: Fixed values of the format: the context, the action that stands for each type of step, and the keys of the fields below.
+CONTEXT = {
+    "schema": "https://schema.org/", "dpp": "https://example.org/dpp#",
+    "name": "schema:name", "url": "schema:url", "identifier": "schema:identifier", "additionalType": "schema:additionalType",
+    "address": "schema:address", "geo": "schema:geo", "latitude": "schema:latitude", "longitude": "schema:longitude",
+    "managedBy": "dpp:managedBy", "isVariantOf": "schema:isVariantOf", "hasPart": "schema:hasPart",
+    "height": "schema:height", "width": "schema:width", "depth": "schema:depth", "weight": "schema:weight",
+    "additionalProperty": "schema:additionalProperty", "startTime": "schema:startTime", "endTime": "schema:endTime", "priceSpecification": "schema:priceSpecification",
+    "ghgEmissionRecords": "dpp:ghgEmissionRecords", "scope": "dpp:scope", "scope3Category": "dpp:scope3Category", "activity": "dpp:activity",
+    "emissionFactor": "dpp:emissionFactor", "emissionsKgCO2e": "dpp:emissionsKgCO2e", "calculationMethod": "dpp:calculationMethod",
+    "provenance": "dpp:provenance", "excludedFromAggregation": "dpp:excludedFromAggregation",
+    "destination": "dpp:destination", "modeOfTransport": "dpp:modeOfTransport", "distanceKM": "dpp:distanceKM", "reasonForTransport": "dpp:reasonForTransport",
+}
 ACTIONS = {
     "ProductionStep": "schema:ManufactureAction", "TransportStep": "schema:TransferAction", "RepairServiceStep": "schema:RepairAction", "CleaningServiceStep": "schema:CleanAction",
     "ReplaceServiceStep": "schema:UpdateAction", "RefurbishmentServiceStep": "schema:UpdateAction", "RemanufacturingServiceStep": "schema:UpdateAction",
 }
+#: A line's documents, and a product's counters with their columns and units.
+DOCUMENTS = ("dataSheet", "installationOperatingGuide", "ceConformityDeclaration", "ecodesignConformityDeclaration", "repairAndServiceManual", "DisassemblyInstructions", "recyclingEOLInstructions")
+COUNTERS = (("cleaningCount", "cleaning_count", None), ("chalkCount", "chalk_count", None), ("brewingCount", "brewing_count", None), ("coffeeGrindingCount", "grinding_count", None), ("operatingHRS", "operating_hrs", "HRS"))
+
+Has = set[str]
 
 
-def node(kind: Column | str, **fields: Column) -> Column:
-    """A struct with its type first. A field's name is its key, its first ``__`` standing for a colon and ``at_`` for @."""
+def node(kind: Column | str, fields: dict[str, Column | None]) -> Column:
+    """A struct with its type first; fields that are None are left out."""
     named = [(F.lit(kind) if isinstance(kind, str) else kind).alias("@type")]
-    for key, value in fields.items():
-        named.append(value.alias(f"@{key[3:]}" if key.startswith("at_") else key.replace("__", ":", 1)))
-    return F.struct(*named)
+    return F.struct(*named, *(value.alias(key) for key, value in fields.items() if value is not None))
+
+
+def of(row: Column, has: Has, column: str) -> Column | None:
+    return row[column] if column in has else None
+
+
+def given(value: Column | None, make) -> Column | None:
+    """``make`` of a value, null where the value is; None if there is no such column."""
+    return None if value is None else F.when(value.isNotNull(), make(value))
 
 
 def when_known(column: Column, value: Column) -> Column:
     return F.when(column.isNotNull(), value)
 
 
-def property_value(name: str, value: Column) -> Column:
-    return when_known(value, node("schema:PropertyValue", propertyID=F.lit(name), value=value))
+def property_value(name: str, value: Column | None, url: bool = False) -> Column | None:
+    return given(value, lambda v: node("schema:PropertyValue", {"propertyID": F.lit(name), "value": v, "url": v if url else None}))
+
+
+def quantity(name: str | None, value: Column | None, unit: str | None) -> Column | None:
+    return given(value, lambda v: node("schema:QuantitativeValue", {"name": F.lit(name) if name else None, "value": v, "unitCode": F.lit(unit) if unit else None}))
+
+
+def document(value: Column | None) -> Column | None:
+    return given(value, lambda d: node("schema:CreativeWork", {k: d[k] for k in ("name", "url", "description")}))
+
 
+def iso(value: Column | None) -> Column | None:
+    return None if value is None else F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
 
-def quantity(name: str | None, value: Column, unit: str | None) -> Column:
-    fields = {"name": F.lit(name)} if name else {}
-    return when_known(value, node("schema:QuantitativeValue", **fields, value=value, **({"unitCode": F.lit(unit)} if unit else {})))
+
+def text(value: Column | None) -> Column | None:
+    return None if value is None else value.cast("string")
 
 
 def with_context(json: Column) -> Column:
     """The context before the fields of an object."""
-    context = "{" + ",".join(f'"{k}":"{v}"' for k, v in PREFIXES.items()) + "}"
+    context = "{" + ",".join(f'"{k}":"{v}"' for k, v in CONTEXT.items()) + "}"
     return F.concat(F.lit('{"@context":' + context + ","), F.substr(json, F.lit(2)))
 
 
-def organisation(o: Column) -> Column:
-    return when_known(o["org_id"], node(
-        "schema:Organisation", at_id=o["org_id"], schema__name=o["name"], schema__url=o["url"], schema__identifier=property_value("GLN", o["org_id"]),
-        dpp__eoriNumber=property_value("EORI", o["eori"]), dpp__subtype=o["type"], schema__additionalType=F.concat(F.lit("dpp:"), o["type"])))
+def organisation(o: Column, has: Has) -> Column:
+    return when_known(o["org_id"], node("schema:Organisation", {
+        "@id": o["org_id"], "schema:name": o["name"], "schema:alternateName": of(o, has, "trade_name"), "schema:url": of(o, has, "url"), "schema:identifier": property_value("GLN", o["org_id"]),
+        "dpp:eoriNumber": property_value("EORI", of(o, has, "eori")), "dpp:lucidNumber": property_value("LUCID", of(o, has, "lucid")),
+        "dpp:subtype": o["type"], "schema:additionalType": F.concat(F.lit("dpp:"), o["type"])}))
 
 
-def place(p: Column, owner: Column | None = None) -> Column:
-    fields = {"dpp__managedBy": owner} if owner is not None else {}
-    return when_known(p["place_id"], node(
-        "schema:Place", at_id=p["place_id"].cast("string"), schema__name=p["name"], schema__identifier=property_value("GLN", p["place_id"].cast("string")),
-        schema__geo=node("schema:GeoCoordinates", schema__latitude=p["latitude"], schema__longitude=p["longitude"]), **fields))
+#: What an organisation that is part of another row has.
+OWNER = {"org_id", "name", "trade_name", "url", "eori", "lucid", "type"}
 
 
-def material_static(m: Column) -> Column:
-    return node("schema:Product", at_id=m["material_static_id"], schema__name=m["material_name"], dpp__hazardous=m["hazardous"], dpp__rareEarth=m["rare"], dpp__warnings=F.when(F.size(m["warnings"]) > 0, m["warnings"]))
+def embedded(row: Column, has: Has, column: str) -> Column | None:
+    """An organisation that a row holds as a struct."""
+    return organisation(row[column], OWNER) if column in has else None
 
 
-def material_instance(m: Column, static: Column | None = None) -> Column:
-    """Purity is not exported."""
-    return node(
-        "dpp:MaterialInstance", at_id=m["material_instance_id"].cast("string"), schema__weight=quantity("weight", m["weight_g"], "GRM"),
-        dpp__percentRecycled=quantity("percentRecycled", m["pct_recycled"], "P1"), schema__isVariantOf=static if static is not None else node("schema:Product", at_id=m["material_static_id"]))
+def place(p: Column, has: Has) -> Column:
+    """With address, coordinates and, if the row has one, its ``owner``."""
+    address = {"addressCountry": of(p, has, "country"), "addressLocality": of(p, has, "city"), "postalCode": of(p, has, "postal_code")}
+    return when_known(p["place_id"], node("schema:Place", {
+        "@id": text(p["place_id"]), "schema:name": p["name"], "schema:identifier": property_value("GLN", text(p["place_id"])), "schema:address": node("schema:PostalAddress", address),
+        "schema:geo": node("schema:GeoCoordinates", {"schema:latitude": p["latitude"], "schema:longitude": p["longitude"]}), "dpp:managedBy": embedded(p, has, "owner")}))
 
 
-def emission(e: Column) -> Column:
-    return node(
-        "dpp:GHGEmissionRecord", dpp__scope=e["scope"], dpp__scope3Category=e["category"], dpp__emissions=quantity("emissions", e["kg"], "KGM"), dpp__calculationMethod=e["method"],
-        dpp__activity=node("dpp:ActivityData", dpp__quantity=e["quantity"]), dpp__emissionFactor=node("dpp:EmissionFactor", dpp__value=e["factor"]))
+def material_static(m: Column, has: Has) -> Column:
+    return node("schema:ProductModel", {
+        "@id": m["material_static_id"], "schema:name": m["material_name"], "schema:description": of(m, has, "description"), "schema:manufacturer": embedded(m, has, "manufacturer"),
+        "dpp:casNumber": property_value("CAS", of(m, has, "cas_number")), "dpp:isoDesignation": property_value("ISO Designation", of(m, has, "iso_designation")), "dpp:eclassClassification": property_value("ECLASS", of(m, has, "eclass")),
+        "dpp:hazardous": m["hazardous"], "dpp:rareEarth": m["rare"], "dpp:warnings": F.coalesce(m["warnings"], F.array().cast("array<string>")),
+        "dpp:reachCertification": document(of(m, has, "reach_certification"))})
 
 
-def action(kind: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, kind), F.concat(F.lit("dpp:"), F.coalesce(kind, F.lit("ProcessStep"))))
+def material_instance(m: Column, has: Has) -> Column:
+    """With its static material if the row has that; purity is not exported."""
+    recycled = F.array(node("schema:PropertyValue", {"name": F.lit("percentRecycled"), "value": m["pct_recycled"]}))
+    return node("schema:Product", {
+        "@id": text(m["material_instance_id"]), "isVariantOf": material_static(m, has) if "material_name" in has else None, "dpp:batchNumber": of(m, has, "batch_number"),
+        "schema:weight": quantity("weight", m["weight_g"], "GRM"), "additionalProperty": recycled})
 
 
-def service_step(s: Column) -> Column:
-    """Cost, diagnosis, symptoms and targets; the target of a cleaning is not exported."""
-    price = when_known(s["cost"], node("schema:PriceSpecification", schema__price=s["cost"], schema__priceCurrency=F.lit("EUR")))
-    some = lambda c: F.when(F.size(c) > 0, c)
-    return node(
-        action(s["type"]), dpp__stepType=s["type"], startTime=F.date_format(s["begin_at"], "yyyy-MM-dd'T'HH:mm:ss"), priceSpecification=price,
-        dpp__diagnose=F.nullif(s["diagnose"], F.lit("")), dpp__observedSymptoms=some(s["symptoms"]), dpp__targetIds=F.when(s["type"] != "CleaningServiceStep", some(s["target_ids"])))
+def emission(e: Column, has: Has) -> Column:
+    activity = {"dpp:activityType": of(e, has, "activity_type"), "dpp:quantity": e["quantity"], "dpp:unit": of(e, has, "activity_unit")}
+    factor = {"dpp:description": of(e, has, "factor_description"), "dpp:value": e["factor"], "dpp:unit": of(e, has, "factor_unit"), "dpp:technology": of(e, has, "technology")}
+    return node("dpp:GHGEmissionRecord", {
+        "dpp:scope": e["scope"], "dpp:scope3Category": e["category"], "dpp:activity": node("dpp:ActivityData", activity), "dpp:emissionFactor": node("dpp:EmissionFactor", factor),
+        "dpp:emissionsKgCO2e": e["kg"], "dpp:calculationMethod": e["method"], "dpp:provenance": of(e, has, "provenance"), "dpp:excludedFromAggregation": e["excluded"]})
 
 
-def transport_step(s: Column, origin: Column, destination: Column) -> Column:
-    return node(action(s["type"]), dpp__stepType=s["type"], location=origin, dpp__destination=destination, dpp__distanceKM=quantity("distanceKM", s["distance_km"], "KM"))
+def action(kind: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, kind), F.concat(F.lit("dpp:"), F.coalesce(kind, F.lit("ProcessStep"))))
 
 
-def passport(p: Column) -> Column:
-    """A product instance with what identifies it, its line, its dates and counters."""
-    counter = lambda name, column: quantity(name, p[column], None)
-    return node(
-        "schema:IndividualProduct", at_id=p["instance_id"].cast("string"), schema__name=p["product_name"], schema__isVariantOf=node("schema:ProductModel", at_id=p["static_id"].cast("string")),
-        dpp__dateOfDeclaration=F.date_format(p["declared_at"], "yyyy-MM-dd'T'HH:mm:ss"), dpp__operatingHRS=quantity("operatingHRS", p["operating_hrs"], "HUR"), dpp__discontinued=p["discontinued"],
-        dpp__cleaningCount=counter("cleaningCount", "cleaning_count"), dpp__chalkCount=counter("chalkCount", "chalk_count"), dpp__brewingCount=counter("brewingCount", "brewing_count"), dpp__coffeeGrindingCount=counter("coffeeGrindingCount", "grinding_count"))
+def step(s: Column, has: Has) -> Column:
+    """A step of any type with the fields of its type; the target of a cleaning, and what a production says, are not exported."""
+    kind, some = s["type"], lambda c: None if c is None else F.when(F.size(c) > 0, c)
+    is_service = kind.isin(*SECONDARY_TYPES)
+    only = lambda ok, value: None if value is None else F.when(ok, value)
+    moved, many = kind == "TransportStep", kind.isin("RefurbishmentServiceStep", "RemanufacturingServiceStep")
+    filled = lambda column: given(of(s, has, column), lambda v: F.nullif(v, F.lit("")))
+    return node(action(kind), {
+        "dpp:stepType": kind, "startTime": iso(of(s, has, "begin_at")), "endTime": iso(of(s, has, "end_at")), "location": of(s, has, "location"),
+        "dpp:destination": only(moved, of(s, has, "destination")), "dpp:modeOfTransport": only(moved, filled("mode")), "dpp:distanceKM": only(moved, quantity("distanceKM", of(s, has, "distance_km"), "KM")), "dpp:reasonForTransport": only(moved, filled("reason_for_transport")),
+        "priceSpecification": only(is_service, given(of(s, has, "cost"), lambda v: node("schema:PriceSpecification", {"schema:price": v, "schema:priceCurrency": F.lit("EUR")}))),
+        "dpp:diagnose": only(is_service, filled("diagnose")), "dpp:observedSymptoms": only(is_service, some(of(s, has, "symptoms"))),
+        "dpp:repairedPartId": only(kind == "RepairServiceStep", filled("repaired_id")), "dpp:replacedPartId": only(kind == "ReplaceServiceStep", filled("replaced_id")),
+        "dpp:repairedPartIds": only(many, some(of(s, has, "repaired_ids"))), "dpp:cleanedPartIds": only(many, some(of(s, has, "cleaned_ids"))),
+        "dpp:reason": only(kind == "RecyclingStep", filled("reason")), "dpp:ghgEmissionRecords": some(of(s, has, "records"))})
+
+
+def sizes(row: Column, has: Has) -> dict[str, Column | None]:
+    return {f"schema:{n}": quantity(n, of(row, has, c), u) for n, c, u in (("height", "height_cm", "CM"), ("width", "width_cm", "CM"), ("depth", "depth_cm", "CM"), ("weight", "weight_g", "GRM"))}
+
+
+def part_static(p: Column, has: Has) -> Column:
+    return node("schema:ProductModel", {
+        "@id": text(p["part_static_id"]), "schema:name": p["name"], "schema:description": of(p, has, "description"), "schema:manufacturer": embedded(p, has, "manufacturer"),
+        **sizes(p, has), "dpp:avvDispose": property_value("AVV", of(p, has, "avv_dispose")), "dpp:mtbf": quantity("MTBF", of(p, has, "mtbf_hrs"), "HRS")})
+
+
+def part_instance(p: Column, has: Has) -> Column:
+    """Without the parts, materials and steps in it, which ``part_trees`` adds."""
+    return node("schema:Product", {
+        "@id": text(p["part_id"]), "isVariantOf": part_static(p, has) if "part_static_id" in has else None, "schema:serialNumber": of(p, has, "serial_number"), "dpp:batchNumber": of(p, has, "batch_number"),
+        "dpp:isModular": p["is_modular"], "dpp:hasFailstate": p["has_failstate"]})
+
+
+def line(d: Column, has: Has) -> Column:
+    """A product line: what it is, its organisations, documents, spare parts and places."""
+    filled = lambda column: None if column not in has else F.when(F.size(d[column]) > 0, d[column])
+    return node("schema:ProductModel", {
+        "@id": text(d["static_id"]), "schema:name": d["product_name"], "schema:description": of(d, has, "description"), "dpp:EAN": of(d, has, "ean"),
+        "dpp:GS1DigitalLink": property_value("GS1DigitalLink", of(d, has, "digital_link"), url=True), "schema:category": of(d, has, "product_class"), **sizes(d, has),
+        "schema:datePublished": iso(of(d, has, "published_at")), "dpp:guaranteeDescription": given(of(d, has, "guarantee"), lambda v: node("schema:CreativeWork", {"name": v})), "dpp:taricCode": of(d, has, "taric_code"),
+        "schema:manufacturer": embedded(d, has, "manufacturer"), "dpp:responsibleOperator": embedded(d, has, "operator"), "dpp:importer": embedded(d, has, "importer"),
+        "dpp:expectedMtbfHRS": quantity("expectedMtbfHRS", of(d, has, "expected_mtbf_hrs"), "HRS"), **{f"dpp:{name}": document(of(d, has, name)) for name in DOCUMENTS},
+        "dpp:has_spare_parts": filled("spare_parts"), "dpp:returningPlaces": filled("returning_places"), "dpp:toolsForMaintenance": filled("tools"),
+        "dpp:qualificationForRepair": property_value("QualificationForRepair", of(d, has, "qualification")), "dpp:weeeRegistrationNumber": property_value("WEEE", of(d, has, "weee_number")),
+        "dpp:backupLink": property_value("BackupLink", of(d, has, "backup_link"), url=True), "dpp:imageFileIds": filled("images")})
+
+
+def passport(p: Column, has: Has) -> Column:
+    """A product with its identifier, its line if the row has ``line``, its dates, place and counters."""
+    counters = [given(of(p, has, c), lambda v, n=n, u=u: node("schema:PropertyValue", {"name": F.lit(n), "value": v, "unitCode": F.lit(u).cast("string")})) for n, c, u in COUNTERS]
+    known = F.filter(F.array(*(c for c in counters if c is not None)), lambda c: c.isNotNull())
+    return node("schema:Product", {
+        "@id": text(p["instance_id"]), "dpp:SGTIN": property_value("SGTIN", text(p["instance_id"])), "isVariantOf": of(p, has, "line"),
+        "dpp:minimalValidityOfData": iso(of(p, has, "valid_until")), "dpp:dateOfDeclaration": iso(of(p, has, "declared_at")), "dpp:endOfGuarantee": iso(of(p, has, "guarantee_end")),
+        "schema:location": of(p, has, "location"), "schema:additionalProperty": F.when(F.size(known) > 0, known),
+        "dpp:discontinued": F.coalesce(p["discontinued"], F.lit(False)), "dpp:backupLink": property_value("BackupLink", of(p, has, "backup_link"), url=True)})
 
 
 def exported(rows: DataFrame, key: str, make, context: bool = True) -> DataFrame:
-    """Key and JSON text of every row; ``make`` builds the node from the row as a struct."""
-    json = F.to_json(make(F.struct("*")))
+    """Key and JSON text of every row; ``make`` builds the node from the row as a struct and the names of its columns."""
+    json = F.to_json(make(F.struct("*"), set(rows.columns)))
     return rows.select(key, (with_context(json) if context else json).alias("json"))
 
 
-def part_trees(nodes: DataFrame) -> DataFrame:
-    """Every part with all below it, nested: tree_id, part_id, json. One pass for each level, from the deepest up."""
-    own = F.to_json(node("dpp:PartInstance", at_id=F.col("part_id").cast("string"), schema__name=F.col("name"), dpp__isModular=F.col("is_modular"), dpp__hasFailstate=F.col("has_failstate")))
+def contents(uses: DataFrame, steps: DataFrame) -> DataFrame:
+    """What parts hold beside parts, as JSON: tree_id, part_id, materials and tracking (steps of the part itself), each a list or null."""
+    of_uses = uses.select("tree_id", "part_id", F.col("place").alias("at"), F.to_json(material_instance(F.struct("*"), set(uses.columns))).alias("material"), F.lit(None).cast("string").alias("tracked"))
+    own = steps.where(F.col("owner_kind") == "part")
+    of_steps = own.select("tree_id", "part_id", F.col("step_key").alias("at"), F.lit(None).cast("string").alias("material"), F.to_json(step(F.struct("*"), set(own.columns))).alias("tracked"))
+    joined = lambda rows, column: rows.groupBy("tree_id", "part_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column]), ",").alias(column))
+    right = joined(of_steps, "tracked").withColumnsRenamed({"tree_id": "st", "part_id": "sp"})
+    both = joined(of_uses, "material").join(right, (F.col("tree_id") == F.col("st")) & (F.col("part_id") == F.col("sp")), "full")
+    return both.select(F.coalesce("tree_id", "st").alias("tree_id"), F.coalesce("part_id", "sp").alias("part_id"), F.col("material").alias("materials"), F.col("tracked").alias("tracking"))
+
+
+def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool = False) -> DataFrame:
+    """Every part, or every root, with all below it, nested: tree_id, part_id, parent_id, json. One pass for each level, from the deepest up.
+
+    ``held``: ``contents`` of the parts. A part id that is in a tree twice has the same contents in both places.
+    """
+    own = F.to_json(part_instance(F.struct("*"), set(nodes.columns)))
     flat = nodes.select("tree_id", "part_id", "parent_id", "lvl", own.alias("own"))
-    deepest = nodes.agg(F.max("lvl")).first()[0] or 0
-    below, out = None, None
+    if held is None:
+        flat = flat.withColumns({"materials": F.lit(None).cast("string"), "tracking": F.lit(None).cast("string")})
+    else:
+        right = held.withColumnsRenamed({"tree_id": "ht", "part_id": "hp"})
+        flat = flat.join(right, (F.col("tree_id") == F.col("ht")) & (F.col("part_id") == F.col("hp")), "left").drop("ht", "hp")
+    flat = flat.persist()
+    deepest = flat.agg(F.max("lvl")).first()[0] or 0
+    listed = lambda key, column: F.coalesce(F.concat(F.lit(f',"dpp:{key}":['), F.col(column), F.lit("]")), F.lit(""))
+    done, out = None, None
     for level in range(deepest, -1, -1):
         here = flat.where(F.col("lvl") == level)
-        if below is None:
-            done = here.withColumn("json", F.col("own"))
+        if done is None:
+            joined = here.withColumn("inner", F.lit(None).cast("string"))
         else:
-            inner = below.groupBy(F.col("tree_id").alias("bt"), F.col("parent_id").alias("bp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_id", "json"))), lambda c: c["json"]), ",").alias("inner"))
-            joined = here.join(inner, (F.col("tree_id") == F.col("bt")) & (F.col("part_id") == F.col("bp")), "left")
-            nested = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"dpp:compositeParts":['), "inner", F.lit("]}"))
-            done = joined.withColumn("json", F.when(F.col("inner").isNull(), F.col("own")).otherwise(nested)).drop("bt", "bp", "inner")
-        below = done
-        rows = done.select("tree_id", "part_id", "parent_id", "json")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+            inner = done.groupBy(F.col("tree_id").alias("bt"), F.col("parent_id").alias("bp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_id", "json"))), lambda c: c["json"]), ",").alias("inner"))
+            joined = here.join(inner, (F.col("tree_id") == F.col("bt")) & (F.col("part_id") == F.col("bp")), "left").drop("bt", "bp")
+        json = F.concat(F.expr("left(own, length(own) - 1)"), listed("compositeParts", "inner"), listed("compositeMaterials", "materials"), listed("partProcessTracking", "tracking"), F.lit("}"))
+        done = joined.select("tree_id", "part_id", "parent_id", json.alias("json"))
+        if not roots_only:
+            done = done.persist()
+            out = done if out is None else out.unionByName(done)
+    return done if roots_only else out
 
 
 def bundle(lines: DataFrame, instances: DataFrame) -> DataFrame:
     """One JSON array per line: the line, then its products in order of their ids."""
-    first = exported(lines, "static_id", lambda s: node("schema:ProductModel", at_id=s["static_id"].cast("string"), schema__name=s["product_name"])).select("static_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "json")
-    rest = instances.select("static_id", F.lit(1).alias("kind"), F.col("instance_id").alias("id"), with_context(F.to_json(passport(F.struct("*")))).alias("json"))
+    first = exported(lines, "static_id", line).select("static_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "json")
+    rest = instances.select("static_id", F.lit(1).alias("kind"), F.col("instance_id").alias("id"), with_context(F.to_json(passport(F.struct("*"), set(instances.columns)))).alias("json"))
     items = first.unionByName(rest).groupBy("static_id").agg(F.array_sort(F.collect_list(F.struct("kind", "id", "json"))).alias("items"))
     return items.select("static_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda i: i["json"]), ","), F.lit("]")).alias("json"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from ..operators.jsonld import CONTEXT as FORMAT_CONTEXT
 from .views import CLOSURE, EMISSIONS, NODE, ORGANISATIONS, PARTS, PASSPORTS, PLACES, SERVICES, STEPS, SYMPTOMS, USES, exact, rounded, with_views
 
 SERVICE_KINDS = ("Repair", "Replace", "Cleaning", "Remanufacturing", "Refurbishment")
@@ -66,7 +69,7 @@ def top10(keys: str) -> str:
 SELECT {keys}, name, n, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first)::INT AS rank FROM counts QUALIFY rank <= 10""".lstrip())
 
 
-CONTEXT = '{"@context":{"schema":"https://schema.org/","dpp":"https://example.org/dpp#"},'
+CONTEXT = '{"@context":' + json.dumps(FORMAT_CONTEXT, separators=(",", ":")) + ","
 
 
 def text(column: str) -> str:
@@ -74,6 +77,36 @@ def text(column: str) -> str:
     return f"to_json({column})"
 
 
+def value(key: str, name: str, of: str, unit: str = "") -> str:
+    """A property value or quantity of a column, left out where it is null."""
+    return f"""coalesce(',"{key}":{{"@type":"schema:QuantitativeValue","name":"{name}","value":' || {of} || '{unit and f',"unitCode":"{unit}"'}}}', '')"""
+
+
+def identifier(key: str, name: str, of: str) -> str:
+    return f"""coalesce(',"{key}":{{"@type":"schema:PropertyValue","propertyID":"{name}","value":' || to_json({of}::VARCHAR) || '}}', '')"""
+
+
+LINE_NODE = """'"@type":"schema:ProductModel","@id":"' || static_id || '","schema:name":' || to_json(product_name) || '}'"""
+COUNTED = """'{"@type":"schema:PropertyValue","name":"cleaningCount","value":' || (instance_id % 13)::DOUBLE || '},{"@type":"schema:PropertyValue","name":"chalkCount","value":' || (instance_id % 7)::DOUBLE || '},'
+  || '{"@type":"schema:PropertyValue","name":"brewingCount","value":' || (instance_id % 29)::DOUBLE || '},{"@type":"schema:PropertyValue","name":"coffeeGrindingCount","value":' || (instance_id % 31)::DOUBLE || '},'
+  || '{"@type":"schema:PropertyValue","name":"operatingHRS","value":' || operating_hrs || ',"unitCode":"HRS"}'"""
+
+
+def passport_json(variant: str) -> str:
+    return f"""'{CONTEXT}"@type":"schema:Product","@id":"' || instance_id || '"' || {identifier("dpp:SGTIN", "SGTIN", "instance_id")} || {variant}
+  || ',"dpp:dateOfDeclaration":"' || strftime(declared_at, '%Y-%m-%dT%H:%M:%S') || '","schema:additionalProperty":[' || {COUNTED} || '],"dpp:discontinued":' || discontinued || '}}'"""
+
+
+def nested_parts(depth: int = 12) -> str:
+    """Part trees, put together from the deepest level up."""
+    ctes = f""", own AS (SELECT tree_id, part_id, parent_id, lvl, '{{"@type":"schema:Product","@id":"' || part_id || '","dpp:isModular":' || is_modular || ',"dpp:hasFailstate":' || has_failstate AS own FROM node),
+ j{depth} AS (SELECT tree_id, part_id, parent_id, own || '}}' AS json FROM own WHERE lvl = {depth})"""
+    for k in range(depth - 1, -1, -1):
+        ctes += f""", j{k} AS (SELECT tree_id, part_id, parent_id, own || coalesce(',"dpp:compositeParts":[' || inner_json || ']', '') || '}}' AS json
+ FROM own LEFT JOIN (SELECT parent_id AS pid, string_agg(json, ',' ORDER BY part_id) AS inner_json FROM j{k + 1} GROUP BY ALL) ON pid = part_id WHERE lvl = {k})"""
+    return ctes + " SELECT tree_id, json FROM j0"
+
+
 SQL: dict[str, str] = {
     "material_mass_by_name": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN total > 0 THEN grams / total ELSE 0 END * 100.0::DOUBLE AS percent FROM named JOIN (SELECT tree_id, sum(weight_g::DECIMAL(18,6))::DOUBLE AS total FROM uses GROUP BY ALL) USING (tree_id)"),
     "material_recycled_share": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, 100.0::DOUBLE - CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS virgin_percent FROM named"),
@@ -183,15 +216,26 @@ UNION ALL SELECT CASE WHEN with_id IS NULL THEN 'kept' ELSE 'detached' END, f.tr
 UNION ALL SELECT 'failed', tree_id, old_id, NULL, NULL, NULL, CASE WHEN is_root THEN 'root cannot be replaced' ELSE 'no such part' END FROM judged WHERE is_root OR gone"""),
     "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, instance_id IN (SELECT instance_id FROM services WHERE type = 'RecyclingStep' AND cost > 50) AS discontinued FROM lines"),
     "mutation_add_spare": with_views(LINES, "SELECT static_id, concat_ws(',', static_id, static_id * 3, static_id + 1000000, CASE WHEN static_id + 7 NOT IN (static_id, static_id * 3, static_id + 1000000) THEN static_id + 7 END) AS spare_ids FROM listed"),
-    "jsonld_place": with_views(PLACES, f"""SELECT place_id, '{CONTEXT}"@type":"schema:Place","@id":"' || place_id || '","schema:name":' || {text('name')} || ',"schema:identifier":{{"@type":"schema:PropertyValue","propertyID":"GLN","value":"' || place_id || '"}},"schema:geo":{{"@type":"schema:GeoCoordinates"'
-  || coalesce(',"schema:latitude":' || latitude || ',"schema:longitude":' || longitude, '') || '}}}}' AS json FROM places"""),
-    "jsonld_organisation": with_views(ORGANISATIONS, f"""SELECT org_id, '{CONTEXT}"@type":"schema:Organisation","@id":"' || org_id || '","schema:name":' || {text('name')} || ',"schema:url":"' || url || '","schema:identifier":{{"@type":"schema:PropertyValue","propertyID":"GLN","value":"' || org_id || '"}}'
-  || coalesce(',"dpp:eoriNumber":{{"@type":"schema:PropertyValue","propertyID":"EORI","value":"' || eori || '"}}', '') || ',"dpp:subtype":"' || type || '","schema:additionalType":"dpp:' || type || '"}}' AS json FROM organisations"""),
-    "jsonld_material": with_views(USES, f""", statics AS (SELECT DISTINCT p_brand || '/' || p_type AS id, p_type AS name, p_brand IN ('Brand#3', 'Brand#4') AS hazardous, p_brand IN ('Brand#1', 'Brand#2') AS rare, CASE p_brand WHEN 'Brand#3' THEN ',"dpp:warnings":["H302","H319"]' WHEN 'Brand#4' THEN ',"dpp:warnings":["H319"]' ELSE '' END AS w FROM part)
-SELECT id AS material_static_id, '{CONTEXT}"@type":"schema:Product","@id":' || {text('id')} || ',"schema:name":' || {text('name')} || ',"dpp:hazardous":' || hazardous || ',"dpp:rareEarth":' || rare || w || '}}' AS json FROM statics"""),
-    "jsonld_passport": with_views(PASSPORTS, f"""SELECT instance_id, '{CONTEXT}"@type":"schema:IndividualProduct","@id":"' || instance_id || '","schema:name":' || {text('product_name')} || ',"schema:isVariantOf":{{"@type":"schema:ProductModel","@id":"' || static_id || '"}},"dpp:dateOfDeclaration":"' || strftime(declared_at, '%Y-%m-%dT%H:%M:%S') || '"'
-  || ',"dpp:operatingHRS":{{"@type":"schema:QuantitativeValue","name":"operatingHRS","value":' || operating_hrs || ',"unitCode":"HUR"}},"dpp:discontinued":' || discontinued
-  || {" || ".join(f"""',"dpp:{name}":{{"@type":"schema:QuantitativeValue","name":"{name}","value":' || (instance_id % {n})::DOUBLE || '}}'""" for name, n in (("cleaningCount", 13), ("chalkCount", 7), ("brewingCount", 29), ("coffeeGrindingCount", 31)))} || '}}' AS json FROM passports"""),
+    "jsonld_place": with_views(PLACES, f"""SELECT place_id, '{CONTEXT}"@type":"schema:Place","@id":"' || place_id || '","schema:name":' || {text('name')} || {identifier("schema:identifier", "GLN", "place_id")}
+  || ',"schema:address":{{"@type":"schema:PostalAddress","addressCountry":' || {text('name')} || ',"postalCode":"' || lpad(place_id::VARCHAR, 5, '0') || '"}},"schema:geo":{{"@type":"schema:GeoCoordinates"'
+  || coalesce(',"schema:latitude":' || latitude || ',"schema:longitude":' || longitude, '') || '}},"dpp:managedBy":{{"@type":"schema:Organisation","@id":"R' || r_regionkey || '","schema:name":' || {text('r_name')}
+  || {identifier("schema:identifier", "GLN", "'R' || r_regionkey")} || ',"dpp:subtype":"Operator","schema:additionalType":"dpp:Operator"}}}}' AS json FROM places JOIN region ON managed_by = r_regionkey"""),
+    "jsonld_organisation": f"""SELECT org_id, '{CONTEXT}"@type":"schema:Organisation","@id":"' || org_id || '","schema:name":' || {text('name')} || coalesce(',"schema:alternateName":' || {text('trade_name')}, '') || ',"schema:url":"' || url || '"'
+  || {identifier("schema:identifier", "GLN", "org_id")} || {identifier("dpp:eoriNumber", "EORI", "eori")} || {identifier("dpp:lucidNumber", "LUCID", "lucid")} || ',"dpp:subtype":"' || type || '","schema:additionalType":"dpp:' || type || '"}}' AS json FROM (
+  SELECT 'M' || s_suppkey AS org_id, s_name AS name, NULL AS trade_name, 'Manufacturer' AS type, 'https://s' || s_suppkey || '.example' AS url, 'DE' || lpad(s_suppkey::VARCHAR, 10, '0') AS eori, CASE WHEN s_suppkey % 2 = 0 THEN 'DE' || lpad(s_suppkey::VARCHAR, 20, '0') END AS lucid FROM supplier
+  UNION ALL SELECT 'I' || c_custkey, c_name, 'T ' || c_name, 'Importer', 'https://c' || c_custkey || '.example', NULL, NULL FROM customer)""",
+    "jsonld_material": with_views(USES, f""", statics AS (SELECT DISTINCT p_brand || '/' || p_type AS id, p_type AS name, p_brand IN ('Brand#3', 'Brand#4') AS hazardous, p_brand IN ('Brand#1', 'Brand#2') AS rare, CASE p_brand WHEN 'Brand#3' THEN '"H302","H319"' WHEN 'Brand#4' THEN '"H319"' ELSE '' END AS w FROM part)
+SELECT id AS material_static_id, '{CONTEXT}"@type":"schema:ProductModel","@id":' || {text('id')} || ',"schema:name":' || {text('name')} || ',"dpp:hazardous":' || hazardous || ',"dpp:rareEarth":' || rare || ',"dpp:warnings":[' || w || ']}}' AS json FROM statics"""),
+    "jsonld_part_static": with_views(PARTS, f"""SELECT part_id, '{CONTEXT}"@type":"schema:ProductModel","@id":"' || part_id || '","schema:name":' || {text('name')} || {value("dpp:mtbf", "MTBF", "mtbf_hrs", "HRS")} || '}}' AS json FROM parts"""),
+    "jsonld_service_step": with_views(SERVICES, """SELECT event_id, '{"@type":"' || CASE type WHEN 'RepairServiceStep' THEN 'schema:RepairAction' WHEN 'CleaningServiceStep' THEN 'schema:CleanAction' WHEN 'RecyclingStep' THEN 'dpp:RecyclingStep' ELSE 'schema:UpdateAction' END || '","dpp:stepType":"' || type || '"'
+  || ',"startTime":"' || strftime(begin_at, '%Y-%m-%dT%H:%M:%S') || '"' || coalesce(',"priceSpecification":{"@type":"schema:PriceSpecification","schema:price":' || cost || ',"schema:priceCurrency":"EUR"}', '')
+  || CASE WHEN diagnose <> '' THEN ',"dpp:diagnose":"' || diagnose || '"' ELSE '' END || ',"dpp:observedSymptoms":["' || symptoms[1] || '","' || symptoms[2] || '"]'
+  || CASE type WHEN 'RepairServiceStep' THEN ',"dpp:repairedPartId":"' || target || '"' WHEN 'ReplaceServiceStep' THEN ',"dpp:replacedPartId":"' || target || '"' ELSE '' END || '}' AS json FROM services"""),
+    "jsonld_line": with_views(LINES, f"SELECT static_id, '{CONTEXT}' || {LINE_NODE} AS json FROM listed"),
+    "jsonld_passport": with_views([PASSPORTS, LINES], f"""SELECT instance_id, {passport_json(f"""',"isVariantOf":{{' || (SELECT {LINE_NODE.replace('static_id', 'l.static_id').replace('product_name', 'l.product_name')} FROM listed l WHERE l.static_id = p.static_id)""")} AS json FROM passports p"""),
+    "jsonld_bundle": with_views([PASSPORTS, LINES], f""", products AS (SELECT static_id, string_agg({passport_json("''")}, ',' ORDER BY instance_id) AS inner_json FROM passports GROUP BY static_id)
+SELECT static_id, '[{CONTEXT}' || {LINE_NODE} || ',' || inner_json || ']' AS json FROM listed JOIN products USING (static_id)"""),
+    "jsonld_part_tree": with_views(NODE, nested_parts()),
     "user_summary": with_views([CLOSURE, PASSPORTS, USES, OVERALL, STEPS, EMISSIONS], f""", t AS (SELECT ancestor, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (is_modular) AS n_modular FROM closure GROUP BY ALL),
  m AS (SELECT tree_id, {rounded('grams', 3)} AS grams, {rounded('CASE WHEN grams > 0 THEN wp / grams ELSE 0 END', 2)} AS recycled_percent, {rounded('CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE', 2)} AS rare_percent FROM overall),
  c AS (SELECT tree_id, {NAME_COUNTS.replace('AS total', 'AS steps')}, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) + coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS km FROM steps GROUP BY ALL),

@@ -126,7 +126,8 @@ def scalar_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonld.exported(A.places(spark, sf_dir), "place_id", jsonld.place)
+    owned = A.places(spark, sf_dir).join(A.owners(spark, sf_dir), F.col("managed_by") == F.col("of"), "left")
+    return jsonld.exported(owned, "place_id", jsonld.place)
 
 
 def organisation_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +138,35 @@ def material_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonld.exported(A.material_static(spark, sf_dir), "material_static_id", jsonld.material_static)
 
 
+def part_static_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonld.exported(A.parts(spark, sf_dir).withColumn("part_static_id", F.col("part_id").cast("string")), "part_id", jsonld.part_static)
+
+
+def step_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.service_steps(spark, sf_dir).withColumn("repaired_id", F.col("target_ids")[0].cast("string"))
+    return jsonld.exported(rows.withColumn("replaced_id", F.col("repaired_id")), "event_id", jsonld.step, context=False)
+
+
+def line_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonld.exported(lines(spark, sf_dir).select("static_id", "product_name"), "static_id", jsonld.line)
+
+
+def with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with their line's node."""
+    nodes_ = lines(spark, sf_dir).select(F.col("static_id").alias("of"), jsonld.line(F.struct("static_id", "product_name"), {"static_id", "product_name"}).alias("line"))
+    return A.passports(spark, sf_dir).join(nodes_, F.col("static_id") == F.col("of")).drop("of")
+
+
 def passport_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonld.exported(A.passports(spark, sf_dir), "instance_id", jsonld.passport)
+    return jsonld.exported(with_lines(spark, sf_dir), "instance_id", jsonld.passport)
+
+
+def bundle_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonld.bundle(lines(spark, sf_dir).select("static_id", "product_name"), A.passports(spark, sf_dir))
 
 
 def part_tree_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonld.part_trees(nodes(spark, sf_dir)).where("parent_id IS NULL").select("tree_id", "json")
+    return jsonld.part_trees(nodes(spark, sf_dir), roots_only=True).select("tree_id", "json")
 
 
 def user_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +254,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonld_organisation": organisation_exports,
     "jsonld_material": material_exports,
     "jsonld_passport": passport_exports,
+    "jsonld_part_static": part_static_exports,
+    "jsonld_service_step": step_exports,
+    "jsonld_line": line_exports,
+    "jsonld_bundle": bundle_exports,
     "jsonld_part_tree": part_tree_exports,
     "user_summary": user_summary,
     "end_of_life_summary": end_of_life_summary,

@@ -111,15 +111,23 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = key != 24
     return read(spark, sf_dir, "nation").select(
         key.alias("place_id"), F.col("n_name").alias("name"), F.when(known, (key * 7 - 84).cast("double")).alias("latitude"), F.when(known, (key * 14 - 168).cast("double")).alias("longitude"), F.col("n_regionkey").alias("managed_by"),
+        F.col("n_name").alias("country"), F.lit(None).cast("string").alias("city"), F.lpad(key.cast("string"), 5, "0").alias("postal_code"),
     )
 
 
 def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    makers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("M"), F.col("s_suppkey")).alias("org_id"), F.col("s_name").alias("name"), F.lit("Manufacturer").alias("type"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example")).alias("url"), F.concat(F.lit("DE"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0")).alias("eori"))
-    importers = read(spark, sf_dir, "customer").select(F.concat(F.lit("I"), F.col("c_custkey")).alias("org_id"), F.col("c_name").alias("name"), F.lit("Importer").alias("type"), F.concat(F.lit("https://c"), F.col("c_custkey"), F.lit(".example")).alias("url"), F.lit(None).cast("string").alias("eori"))
+    makers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("M"), F.col("s_suppkey")).alias("org_id"), F.col("s_name").alias("name"), F.lit("Manufacturer").alias("type"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example")).alias("url"), F.concat(F.lit("DE"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0")).alias("eori"), F.lit(None).cast("string").alias("trade_name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("DE"), F.lpad(F.col("s_suppkey").cast("string"), 20, "0"))).alias("lucid"))
+    importers = read(spark, sf_dir, "customer").select(F.concat(F.lit("I"), F.col("c_custkey")).alias("org_id"), F.col("c_name").alias("name"), F.lit("Importer").alias("type"), F.concat(F.lit("https://c"), F.col("c_custkey"), F.lit(".example")).alias("url"), F.lit(None).cast("string").alias("eori"), F.concat(F.lit("T "), F.col("c_name")).alias("trade_name"), F.lit(None).cast("string").alias("lucid"))
     return makers.unionByName(importers)
 
 
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who manages places: of, and the organisation as ``owner``."""
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    named = F.struct(F.concat(F.lit("R"), F.col("r_regionkey")).alias("org_id"), F.col("r_name").alias("name"), none("trade_name"), none("url"), none("eori"), none("lucid"), F.lit("Operator").alias("type"))
+    return read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("of"), named.alias("owner"))
+
+
 def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product instances: instance_id, static_id, declared_at, operating_hrs, discontinued, root_part_id, counters."""
     key = F.col("o_orderkey")

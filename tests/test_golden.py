@@ -3,8 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from bomwright.operators import materials, services
+from bomwright.functions import scalars
+from bomwright.functions.scalars import rounded
+from bomwright.operators import jsonld, materials, processes, services
 from bomwright.sources import documents
 from tests.golden import MATERIALS, part, z10
 
@@ -66,3 +69,60 @@ def test_a_step_counts_once_for_the_root(spark, tmp_path):
     assert found == {("root", "root"): (5.0, 1), ("root", "a"): (5.0, 1), ("root", "b"): (5.0, 1), ("other", "other"): (0.0, 0), ("other", "elsewhere"): (0.0, 0)}
     names = {r.target: r.name for r in services.target_names(steps, nodes, detached).where("instance_id = 'root'").collect()}
     assert names == {"a": "a", "b": "b", "old": "old", "older": "Older", "elsewhere": "elsewhere"}
+
+
+def test_exports_hold_parts_materials_and_steps(spark, machine):
+    flat = machine.withColumn("path", F.col("ord_path"))
+    held = jsonld.contents(uses_of(spark, machine), documents.steps(machine))
+    root = json.loads(jsonld.part_trees(flat, held, roots_only=True).first().json)
+    assert root["@type"] == "schema:Product" and root["@id"] == "machine"
+
+    def walk(node):
+        yield node
+        for child in node.get("dpp:compositeParts", []):
+            yield from walk(child)
+
+    every = list(walk(root))
+    assert len(every) == 20 and len({p["@id"] for p in every}) == 20
+    materials_of = [m for p in every for m in p.get("dpp:compositeMaterials", [])]
+    assert sum(m["schema:weight"]["value"] for m in materials_of) == 11204.0
+    assert all(m["isVariantOf"]["@type"] == "schema:ProductModel" and m["additionalProperty"][0]["name"] == "percentRecycled" for m in materials_of)
+    kinds = [s["@type"] for s in root["dpp:partProcessTracking"]]
+    assert kinds == ["schema:ManufactureAction", "schema:RepairAction", "schema:UpdateAction", "schema:CleanAction"]
+    assert [s["priceSpecification"]["schema:price"] for s in root["dpp:partProcessTracking"][1:]] == [79.0, 59.0, 25.0]
+
+
+def test_footprint_counts_first_visits_and_each_record_once(spark, tmp_path):
+    record = lambda kg, scope="Scope 3", **more: {"scope": scope, "activity": {"quantity": 1}, "emission_factor": {"value": 1}, "emissions_kg_co2e": kg, "calculation_method": "m", **more}
+    step = lambda *records: {"type": "ProductionStep", "processedAt": "p", "ghgEmissionRecords": list(records)}
+    twice = part("shared", partProcessTracking=[step(record(1.0), record(1.0), record(2.5, "Scope 2", scope3_category="odd"), record(8.0, excluded_from_aggregation=True)), step(record(1.0))])
+    nodes = nodes_of(spark, tmp_path / "g.json", part("root", part("a", twice), twice, partProcessTracking=[step(record(0.125, "Scope 1"))]))
+    rows = documents.emissions(documents.steps(nodes))
+    assert {(r.scope, r.kg) for r in processes.footprint(rows).collect()} == {("Scope 1", 0.125), ("Scope 2", 2.5), ("Scope 3", 2.0)}
+    assert {(r.scope, r.category, r.kg) for r in processes.footprint_by_category(rows).collect()} == {("Scope 1", "direct", 0.125), ("Scope 2", "direct", 2.5), ("Scope 3", "Uncategorized", 2.0)}
+    assert {(r.scope, r.kg) for r in processes.ghg_by_scope(rows).collect()} == {("Scope 1", 0.125), ("Scope 2", 5.0), ("Scope 3", 22.0)}
+    places = spark.createDataFrame([("p", "P", 1.0, 2.0)], "place_id string, name string, latitude double, longitude double")
+    assert [(r.place_id, r.production) for r in processes.map_nodes(documents.steps(nodes), places).collect()] == [("p", 3)]
+
+
+def test_rounding_is_exact(spark):
+    import random
+
+    r = random.Random(1)
+    values = [0.125, 2.5, 0.5, 1.5, 2.675, 1.005, -0.125, -2.5, 1e17, None, *(r.uniform(-1000, 1000) for _ in range(500)), *(k / 8 for k in range(-80, 80)), *(k / 1000 + 0.0005 for k in range(-80, 80))]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for n in (0, 2, 3, 6):
+        assert all(y == (None if x is None else round(x, n)) for x, y in df.select("x", rounded(F.col("x"), n)).collect())
+
+
+def test_shown_forms(spark):
+    row = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-02 00:00:00' AS b, cast(null as double) AS none, 0.97D AS share, 97.125D AS p, '98.5%' AS said, 1234.5D AS eur, 3.0D AS lat, 4.0D AS lon")
+    c = F.col
+    found = row.select(
+        scalars.spaced_times(c("a"), c("b"), F.lit(3)).alias("times"), scalars.purity_percent(c("share")).alias("share"), scalars.purity_percent(c("p")).alias("p"), scalars.purity_percent(c("said")).alias("said"),
+        scalars.euros(c("eur")).alias("eur"), scalars.euros(c("none")).alias("dash"), scalars.coordinates(c("none"), c("none"), c("lat"), c("lon")).alias("at"), scalars.coordinates(c("lat"), c("none"), c("none"), c("none")).alias("nowhere"),
+        scalars.is_gs1(F.lit("4006381333931"), 13).alias("ean"), scalars.gs1_number(F.lit("400638133393")).alias("number"), scalars.units_compatible(F.lit("kg"), F.lit("kgCO2e/km")).alias("units"), scalars.emissions_kg(F.lit(2.0), F.lit(0.5)).alias("kg"),
+        scalars.symptoms_from_text(F.lit(" a, ,b ")).alias("symptoms"), scalars.is_rare_name(F.lit("NdFeB")).alias("rare")).first()
+    assert [t.hour for t in found.times] == [0, 12, 0] and (found.share, found.p, found.said) == (97.0, 97.12, 98.5)
+    assert (found.eur, found.dash) == ("1234.50 €", "–") and (found["at"].latitude, found.nowhere) == (3.0, None)
+    assert (found.ean, found.number, found.units, found.kg, found.symptoms, found.rare) == (True, "4006381333931", False, 1.0, ["a", "b"], True)
