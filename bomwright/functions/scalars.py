@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Service steps proper, and all step types that count as one.
@@ -32,6 +32,11 @@ def rounded(x: Column, digits: int) -> Column:
     return F.when(F.abs(product) < F.lit(4503599627370496.0), (low + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
 
 
+def with_rounded(rows: DataFrame, **columns: tuple[Column, int]) -> DataFrame:
+    """Adds columns rounded to so many digits. They are computed in a step of their own, so that rounding, which names its argument often, stays small."""
+    return rows.withColumns({name: x for name, (x, _) in columns.items()}).withColumns({name: rounded(F.col(name), digits) for name, (_, digits) in columns.items()})
+
+
 def exact_sum(x: Column, scale: int = 6) -> Column:
     """A sum that does not depend on the order of rows."""
     return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")

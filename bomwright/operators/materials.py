@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exact_sum, purity, ratio, rounded
+from ..functions.scalars import exact_sum, purity, ratio, with_rounded
 
 
 def _product():
@@ -70,7 +70,8 @@ def rare_earth_metrics(uses: DataFrame) -> DataFrame:
     """Rare materials, parts and material instances counted once."""
     names = _named(once_per_material(once_per_part(uses))).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.bool_or("rare").alias("rare"))
     total = F.sum("g").over(_product()).cast("double")
-    return names.withColumn("total", total).where("rare").select("tree_id", "material_name", rounded(F.col("g").cast("double"), 4).alias("grams"), rounded(ratio(F.col("g").cast("double"), F.col("total")) * 100.0, 2).alias("percent"))
+    found = names.withColumn("total", total).where("rare")
+    return with_rounded(found, grams=(F.col("g").cast("double"), 4), percent=(ratio(F.col("g").cast("double"), F.col("total")) * 100.0, 2)).select("tree_id", "material_name", "grams", "percent")
 
 
 def shares_by_static(uses: DataFrame) -> DataFrame:
@@ -80,9 +81,9 @@ def shares_by_static(uses: DataFrame) -> DataFrame:
         F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
     total = F.sum("g").over(_product()).cast("double")
     grams = F.col("g").cast("double")
-    return sums.withColumn("total", F.when(total > 0, total).otherwise(1.0)).select(
-        "tree_id", "material_static_id", "material_name", "rare", "hazardous", rounded(grams, 2).alias("grams"),
-        rounded(ratio(F.col("wp"), grams), 2).alias("recycled_percent"), rounded(grams / F.col("total") * 100.0, 2).alias("percent"))
+    totalled = sums.withColumn("total", F.when(total > 0, total).otherwise(1.0))
+    shares = with_rounded(totalled, percent=(grams / F.col("total") * 100.0, 2), recycled_percent=(ratio(F.col("wp"), grams), 2), grams=(grams, 2))
+    return shares.select("tree_id", "material_static_id", "material_name", "rare", "hazardous", "grams", "recycled_percent", "percent")
 
 
 def summary_by_name(uses: DataFrame) -> DataFrame:
@@ -91,8 +92,9 @@ def summary_by_name(uses: DataFrame) -> DataFrame:
     names = shares_by_static(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
     total = F.sum("g").over(_product()).cast("double")
     grams = F.col("g").cast("double")
-    shared = names.select(
-        "tree_id", "material_name", "rare", "hazardous", rounded(grams, 4).alias("grams"), rounded(ratio(grams, total) * 100.0, 2).alias("percent"), rounded(ratio(F.col("wp"), grams), 2).alias("recycled_percent"))
+    totalled = names.withColumn("total", total)
+    shared = with_rounded(totalled, percent=(ratio(grams, F.col("total")) * 100.0, 2), recycled_percent=(ratio(F.col("wp"), grams), 2), grams=(grams, 4))
+    shared = shared.select("tree_id", "material_name", "rare", "hazardous", "grams", "percent", "recycled_percent")
     pure = purity_by_name(uses).select(F.col("tree_id").alias("t"), F.col("material_name").alias("m"), "mean_purity")
     return shared.join(pure, (F.col("tree_id") == F.col("t")) & (F.col("material_name") == F.col("m")), "left").drop("t", "m")
 

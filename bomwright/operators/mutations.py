@@ -59,29 +59,33 @@ def replace_parts(nodes: DataFrame, commands: DataFrame, new_nodes: DataFrame) -
     at = nodes.select(F.col("tree_id").alias("nt"), F.col("part_id").alias("np"), F.col("parent_id").alias("old_parent"), F.col("path").alias("old_path"))
     found = wanted.join(at, (F.col("ct") == F.col("nt")) & (F.col("old_id") == F.col("np")), "left").drop("nt")
     unfit = F.when(F.col("np").isNull(), "no such part").when(F.col("old_parent").isNull(), "root cannot be replaced")
-    # A product's commands in one row. A command is lost if an earlier sound one took out its part or one above; that one may
-    # be lost itself, but then to a still earlier one that took out this part too.
-    sound = found.withColumn("unfit", unfit)
-    command = F.struct("nth", "old_id", "with_id", "old_parent", "old_path", "unfit")
-    listed = sound.groupBy("ct").agg(F.array_sort(F.collect_list(command)).alias("all"))
-    earlier = lambda c, i: F.exists(F.slice("all", F.lit(1), i), lambda e: e["unfit"].isNull() & F.array_contains(c["old_path"], e["old_id"]))
-    judged = listed.select("ct", F.transform("all", lambda c, i: F.struct(c["old_id"].alias("old_id"), c["with_id"].alias("with_id"), c["old_parent"].alias("old_parent"), c["old_path"].alias("old_path"), F.coalesce(c["unfit"], F.when(earlier(c, i), "no such part")).alias("reason"))).alias("all"))
-    failed = judged.select(F.col("ct").alias("tree_id"), F.explode("all").alias("c")).where("c.reason IS NOT NULL").select("tree_id", "c.old_id", "c.reason")
-    done = judged.select("ct", F.filter("all", lambda c: c["reason"].isNull()).alias("done")).where(F.size("done") > 0)
+    # A command is lost if an earlier sound one took out its part or one above; that one may be lost itself, but then to a
+    # still earlier one that took out this part too.
+    sound = found.where(unfit.isNull()).select("ct", "nth", "old_id", "with_id", "old_parent", "old_path")
+    took = sound.select(F.col("ct").alias("tt"), F.col("old_id").alias("took"), F.col("nth").alias("then"))
+    at_or_above = (F.col("ct") == F.col("tt")) & (F.col("up") == F.col("took"))
+    lost = sound.select("ct", "nth", "old_id", F.explode("old_path").alias("up")).join(took, at_or_above & (F.col("then") < F.col("nth")), "left_semi").select(F.col("ct").alias("lt"), F.col("nth").alias("ln"), F.col("old_id").alias("lo")).distinct()
+    same = (F.col("ct") == F.col("lt")) & (F.col("nth") == F.col("ln")) & (F.col("old_id") == F.col("lo"))
+    done = sound.join(lost, same, "left_anti")
+    failed = found.where(unfit.isNotNull()).select(F.col("ct").alias("tree_id"), "old_id", unfit.alias("reason")).unionByName(lost.select(F.col("lt").alias("tree_id"), F.col("lo").alias("old_id"), F.lit("no such part").alias("reason")))
     # Of commands within each other the inner was the earlier: what is below it went with it, its new parts with the outer one.
-    place = lambda path, c: F.array_position(path, c["old_id"])
-    marked = nodes.join(done, F.col("tree_id") == F.col("ct"), "left").withColumn("above", F.filter(F.coalesce("done", F.array()), lambda c: F.array_contains(F.col("path"), c["old_id"])))
-    kept = marked.where(F.size("above") == 0).drop("ct", "done", "above")
-    deepest = lambda path, cs: F.array_max(F.transform(cs, lambda c: F.struct(place(path, c).alias("at"), c["old_id"].alias("id"))))["id"]
-    detached = marked.where(F.size("above") > 0).withColumn("detached_with", deepest(F.col("path"), F.col("above"))).drop("ct", "done", "above")
-    each = done.select("ct", "done", F.explode("done").alias("c")).withColumn("outer", F.filter("done", lambda o: (o["old_id"] != F.col("c.old_id")) & F.array_contains(F.col("c.old_path"), o["old_id"])))
+    out = done.select(F.col("ct").alias("tt"), F.col("old_id").alias("took"))
+    above = (
+        nodes.select(F.col("tree_id").alias("ct"), F.col("part_id").alias("of"), F.posexplode("path").alias("at", "up")).join(out, at_or_above)
+        .groupBy(F.col("ct").alias("at_tree"), F.col("of").alias("at_part")).agg(F.max_by("took", "at").alias("detached_with"))
+    )
+    marked = nodes.join(above, (F.col("tree_id") == F.col("at_tree")) & (F.col("part_id") == F.col("at_part")), "left").drop("at_tree", "at_part")
+    kept = marked.where(F.col("detached_with").isNull()).drop("detached_with")
+    detached = marked.where(F.col("detached_with").isNotNull())
+    over = done.select("ct", "old_id", F.posexplode(F.slice("old_path", F.lit(1), F.size("old_path") - 1)).alias("at", "up")).join(out, at_or_above).groupBy(F.col("ct").alias("ot"), F.col("old_id").alias("oo")).agg(F.max_by("took", "at").alias("detached_with"))
+    each = done.join(over, (F.col("ct") == F.col("ot")) & (F.col("old_id") == F.col("oo")), "left").select("ct", "detached_with", F.struct("old_id", "with_id", "old_parent", "old_path").alias("c"))
     fresh = each.join(new_nodes, F.col("c.with_id") == F.col("new_id")).drop("new_id").withColumn("tree_id", F.col("ct"))
     fresh = fresh.withColumn("parent_id", F.when(F.col("part_id") == F.col("c.with_id"), F.col("c.old_parent")).otherwise(F.col("parent_id")))
     fresh = fresh.withColumn("path", F.concat(F.slice("c.old_path", F.lit(1), F.size("c.old_path") - 1), F.col("path")))
     if "lvl" in nodes.columns:
         fresh = fresh.withColumn("lvl", F.size("path") - 1)
-    placed = fresh.where(F.size("outer") == 0).drop("ct", "done", "c", "outer")
-    went = fresh.where(F.size("outer") > 0).withColumn("detached_with", deepest(F.col("c.old_path"), F.col("outer"))).drop("ct", "done", "c", "outer")
+    placed = fresh.where(F.col("detached_with").isNull()).drop("ct", "c", "detached_with")
+    went = fresh.where(F.col("detached_with").isNotNull()).drop("ct", "c")
     return kept.unionByName(placed, allowMissingColumns=True), detached.unionByName(went, allowMissingColumns=True), failed
 
 

@@ -93,7 +93,8 @@ def replacements(all_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All trees after the replacements, what was taken out of them, and the commands that failed."""
-    all_nodes = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path")
+    # The trees are read several times; they are walked once.
+    all_nodes = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path").persist()
     commands, new_nodes = replacements(all_nodes)
     kept, detached, failed = mutations.replace_parts(all_nodes, commands, new_nodes)
     shown = lambda df, kind, gone_with: df.select(F.lit(kind).alias("kind"), "tree_id", "part_id", "parent_id", "lvl", F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), gone_with.alias("note"))
