@@ -65,6 +65,20 @@ def returning_places(lines: DataFrame, places: DataFrame) -> DataFrame:
     return listed.join(places, F.col("of") == F.col("place_id")).select("static_id", "pos", "place_id", "name", "latitude", "longitude")
 
 
+def with_step_places(steps: DataFrame, places: DataFrame) -> DataFrame:
+    """Steps of parts or materials with the places where they were done and went to as ``place`` and ``destination``; null where unknown."""
+    out = steps
+    for link, name in (("place_id", "place"), ("dest_id", "destination")):
+        shown = places.select(F.col("place_id").alias("of"), F.struct("place_id", "name", "latitude", "longitude").alias(name))
+        out = out.join(shown, F.col(link) == F.col("of"), "left").drop("of")
+    return out
+
+
+def steps_of_part(steps: DataFrame, places: DataFrame, part_id) -> DataFrame:
+    """What a look-up of one part shows: its steps and those of its materials, places resolved."""
+    return with_step_places(steps.where(F.col("part_id") == part_id), places)
+
+
 def spare_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
     listed = lines.select("static_id", F.posexplode("spare_ids").alias("pos", "spare_id"))
     names = parts.select(F.col("part_id").alias("of"), "name")

@@ -196,6 +196,29 @@ SELECT o_orderkey, body, ((10 - list_sum(list_transform(range(1, 13), lambda i:
     "validation_rejects": with_views(ORGANISATIONS, """, checked AS (SELECT org_id, type, CASE WHEN regexp_extract(org_id, '[0-9]+')::INT % 7 = 0 THEN 'DE1' ELSE eori END AS eori FROM organisations)
 SELECT org_id, concat_ws(',', CASE WHEN eori = 'DE1' THEN 'eori' END, CASE WHEN type <> 'Manufacturer' THEN 'manufacturer' END) AS reasons FROM checked WHERE eori = 'DE1' OR type <> 'Manufacturer'"""),
     "validation_uniqueness": "SELECT l_orderkey, l_linenumber, count(*) AS n, 'unique' AS reasons FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "validation_passports": """WITH judged AS (
+  SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 19 = 0 THEN 'sgtin' END, CASE WHEN o_orderkey % 40 = 0 THEN 'timeline' END, CASE WHEN o_orderkey % 13 = 0 THEN 'cleaning_count' END,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'chalk_count' END, CASE WHEN o_custkey % 53 NOT IN (SELECT o_custkey % 50 FROM orders) THEN 'line' END,
+    CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 27 NOT IN (SELECT n_nationkey FROM nation) THEN 'location' END) AS reasons FROM orders
+) SELECT o_orderkey, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL""",
+    "validation_steps": with_views(STEPS, """, judged AS (
+  SELECT tree_id, concat_ws(',', CASE WHEN part_id = 7 OR place_id NOT IN (SELECT n_nationkey FROM nation) THEN 'place' END, CASE WHEN part_id = 0 THEN 'cost' END,
+    CASE WHEN dest_id IS NOT NULL AND (distance_km > 450 OR dest_id NOT IN (SELECT n_nationkey FROM nation)) THEN 'destination' END) AS reasons FROM steps
+) SELECT tree_id, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL"""),
+    "validation_lines": with_views([LINES, ORGANISATIONS], """, asked AS (
+  SELECT static_id AS line, 'M' || static_id AS maker, CASE WHEN static_id % 2 = 0 THEN 'I' ELSE 'M' END || static_id AS operator, CASE WHEN static_id % 3 = 0 THEN CASE WHEN static_id % 5 = 0 THEN 'M' ELSE 'I' END || static_id END AS importer,
+         [static_id % 25, static_id % 7, static_id + 10] AS back, [static_id, static_id * 3, static_id + 1000000] AS spares FROM listed
+), judged AS (
+  SELECT line, concat_ws(',', CASE WHEN line % 7 = 0 THEN 'gtin' END, CASE WHEN line < 2 THEN 'mtbf' END,
+    CASE WHEN maker NOT IN (SELECT org_id FROM organisations WHERE type = 'Manufacturer') THEN 'manufacturer' END, CASE WHEN operator NOT IN (SELECT org_id FROM organisations) THEN 'operator' END,
+    CASE WHEN importer IS NOT NULL AND importer NOT IN (SELECT org_id FROM organisations WHERE type = 'Importer') THEN 'importer' END,
+    CASE WHEN len(list_distinct(spares)) < 3 OR NOT list_has_all((SELECT list(p_partkey) FROM part), spares) THEN 'spares' END,
+    CASE WHEN len(list_distinct(back)) < 3 OR NOT list_has_all((SELECT list(n_nationkey) FROM nation), back) THEN 'returning_places' END) AS reasons FROM asked
+) SELECT line, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL"""),
+    "validation_material_statics": """WITH made AS (SELECT p_partkey, p_type || '/' || p_size AS name, CASE WHEN p_partkey % 41 = 0 THEN -1 ELSE p_partkey % 41 END AS maker FROM part), judged AS (
+  SELECT p_partkey, concat_ws(',', CASE WHEN maker NOT IN (SELECT s_suppkey FROM supplier) THEN 'manufacturer' END, CASE WHEN count(*) OVER (PARTITION BY name, maker) > 1 THEN 'name' END) AS reasons FROM made
+) SELECT p_partkey, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL""",
+    "step_places": with_views([STEPS, PLACES], "SELECT tree_id, owner_kind, type, p.name AS place, p.latitude, d.name AS destination, count(*) AS n FROM steps s LEFT JOIN places p ON s.place_id = p.place_id LEFT JOIN places d ON dest_id = d.place_id GROUP BY ALL"),
     "mutation_toggle_fail": with_views(NODE, "SELECT tree_id, part_id, CASE WHEN part_id % 10 = 3 THEN NOT has_failstate ELSE has_failstate END AS has_failstate FROM node"),
     "mutation_replace_part": with_views(CLOSURE, """, asked AS (
   SELECT tree_id, part_id AS old_id, -(part_id * 2 + again) - 1 AS new_id, (part_id * 7919) % 100003 * 2 + again AS seq, parent_id, lvl, path

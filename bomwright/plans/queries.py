@@ -63,6 +63,58 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("org_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+def reasons_of(checked: rules.Checked, *keys: str) -> DataFrame:
+    """The rows of an entity that break a rule, by their keys: how many, and the rules."""
+    broken = rules.judge(checked).where(F.size("reasons") > 0).withColumn("reasons", F.array_join("reasons", ","))
+    return broken.groupBy(*keys, "reasons").agg(F.count("*").alias("n"))
+
+
+def bad_passports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All products as they might be registered: some with a short number, an unknown line or place, a guarantee that ends before it begins, a negative counter."""
+    key = F.col("o_orderkey")
+    rows = A.read(spark, sf_dir, "orders").select(
+        F.lpad(key.cast("string"), 34, "0").alias("number"), key, (F.col("o_custkey") % 53).alias("static_id"), F.when(key % 4 != 0, key % 27).alias("location_id"),
+        F.col("o_orderdate").alias("declared_at"), F.timestamp_add("DAY", (key % 40 - 1).cast("int"), F.col("o_orderdate")).alias("guarantee_end"),
+        *((key % n - 1).cast("double").alias(c) for c, n in (("cleaning_count", 13), ("chalk_count", 17))), *(F.lit(None).cast("double").alias(c) for c in ("brewing_count", "grinding_count", "operating_hrs")),
+    )
+    rows = rows.withColumn("instance_id", F.when(key % 19 == 0, F.substring("number", 2, 33)).otherwise(F.col("number")))
+    return reasons_of(rules.checked_passports(rows, lines(spark, sf_dir), A.places(spark, sf_dir)), "o_orderkey")
+
+
+def bad_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps, as if some had gone to unknown places, had none, or had cost less than nothing."""
+    distance = F.col("distance_km")
+    rows = A.process_steps(spark, sf_dir).select(
+        "tree_id", F.when(F.col("part_id") != 7, F.col("place_id")).alias("place_id"), F.when(distance > 450, F.col("dest_id") + 100).otherwise(F.col("dest_id")).alias("dest_id"),
+        distance, (F.col("part_id") - 1).cast("double").alias("cost"))
+    return reasons_of(rules.checked_steps(rows, A.places(spark, sf_dir)), "tree_id")
+
+
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All product lines, some of them with a short number or links to what is not there, is there twice, or is of another type."""
+    s = F.col("static_id")
+    rows = lines(spark, sf_dir).select(
+        F.lpad(s.cast("string"), 14, "0").alias("number"), s.alias("line"), F.concat(F.lit("M"), s).alias("manufacturer_id"), F.concat(F.when(s % 2 == 0, "I").otherwise("M"), s).alias("operator_id"),
+        F.when(s % 3 == 0, F.concat(F.when(s % 5 == 0, "M").otherwise("I"), s)).alias("importer_id"), "spare_ids", "returning_place_ids", F.lit(None).cast("string").alias("ean"), (s - 2).cast("double").alias("expected_mtbf_hrs"))
+    rows = rows.withColumn("static_id", F.when(F.col("line") % 7 == 0, F.substring("number", 2, 13)).otherwise(F.col("number")))
+    statics = A.parts(spark, sf_dir).select(F.col("part_id").alias("part_static_id"))
+    return reasons_of(rules.checked_lines(rows, A.organisations(spark, sf_dir), statics, A.places(spark, sf_dir)), "line")
+
+
+def bad_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts' materials, as if each came from one of forty-one manufacturers, of which one is not known."""
+    rows = A.read(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")).alias("material_name"), F.concat(F.lit("M"), F.when(F.col("p_partkey") % 41 == 0, -1).otherwise(F.col("p_partkey") % 41)).alias("manufacturer_id"))
+    known = A.organisations(spark, sf_dir)
+    return reasons_of(rules.checked_material_statics(rows.withColumn("material_static_id", F.concat(F.lit("urn:uuid:00000000-0000-0000-0000-"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))), None, known), "p_partkey")
+
+
+def step_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each product between the places where they were done and went to."""
+    found = passports.with_step_places(A.process_steps(spark, sf_dir), A.places(spark, sf_dir))
+    names = found.select("tree_id", "owner_kind", "type", F.col("place.name").alias("place"), F.col("place.latitude").alias("latitude"), F.col("destination.name").alias("destination"))
+    return names.groupBy(*names.columns).agg(F.count("*").alias("n"))
+
+
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items whose order and line number are not theirs alone, and whose part number is not known."""
     items = A.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -247,6 +299,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scalar_shapes": scalar_shapes,
     "validation_rejects": rejects,
     "validation_uniqueness": duplicates,
+    "validation_passports": bad_passports,
+    "validation_steps": bad_steps,
+    "validation_lines": bad_lines,
+    "validation_material_statics": bad_materials,
+    "step_places": step_places,
     "mutation_toggle_fail": toggled,
     "mutation_replace_part": replaced,
     "mutation_recycle": recycled_lines,

@@ -131,6 +131,68 @@ def test_rule_sets_catch_bad_rows(spark):
     assert [r.reasons for r in rules.judged(uses, rules.material_rules()).collect()] == [[], ["id", "weight", "recycled", "purity", "batch"]]
 
 
+URN = "urn:uuid:00000000-0000-0000-0000-00000000000"
+LINK_TABLES = {
+    "orgs": ([("M", "Manufacturer"), ("I", "Importer"), ("T", "Transport")], "org_id string, type string"),
+    "places": ([("p", "Berlin")], "place_id string, name string"),
+    "statics": ([("s1",), ("s2",)], "part_static_id string"),
+    "stuff": ([("steel",)], "material_static_id string"),
+    "steps": ([(URN + "1", "p", None), (URN + "1", "p", "p"), (URN + "2", "p", "q"), (URN + "2", None, None), (URN + "3", "q", None)], "owner_id string, place_id string, dest_id string"),
+}
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    tables = {name: spark.createDataFrame(rows, schema) for name, (rows, schema) in LINK_TABLES.items()}
+    return tables | {"steps": tables["steps"].withColumns({"distance_km": F.lit(1.0), "cost": F.lit(None).cast("double")})}
+
+
+def broken(checked, key):
+    return {r[key]: r.reasons for r in rules.judge(checked).collect()}
+
+
+def test_parts_and_materials_need_known_statics_and_places_of_steps(spark, linked):
+    parts = spark.createDataFrame([(URN + "1", "s1"), (URN + "2", "s2"), (URN + "3", "gone"), (URN + "4", None), ("x", "s1")], "part_id string, part_static_id string")
+    checked = rules.checked_parts(parts, linked["statics"], linked["steps"], linked["places"])
+    assert broken(checked, "part_id") == {URN + "1": [], URN + "2": ["steps"], URN + "3": ["static", "steps"], URN + "4": ["static"], "x": ["id"]}
+    new, refused = rules.insert_checked(checked, parts.limit(0), "part_id")
+    assert new.columns == parts.columns and [r.part_id for r in new.collect()] == [URN + "1"] and refused.count() == 4
+    uses = spark.createDataFrame([(URN + "1", "steel"), (URN + "2", "tin")], "material_instance_id string, material_static_id string").withColumns({"weight_g": F.lit(1.0), "pct_recycled": F.lit(0.0), "purity": F.lit(1.0), "batch_number": F.lit("b")})
+    assert broken(rules.checked_materials(uses, linked["stuff"], linked["steps"], linked["places"]), "material_instance_id") == {URN + "1": [], URN + "2": ["static", "steps"]}
+
+
+def test_lines_link_to_organisations_of_the_right_type(spark, linked):
+    n = "0000000000000"
+    rows = [(n + "1", "M", "T", "I", ["s1", "s2"], ["p"]), (n + "2", "I", "gone", "M", ["s1", "s1"], ["q"]), (n + "3", "M", "M", None, None, []), (n + "4", None, None, None, [None], ["p", "p"])]
+    lines = spark.createDataFrame(rows, "static_id string, manufacturer_id string, operator_id string, importer_id string, spare_ids array<string>, returning_place_ids array<string>")
+    lines = lines.withColumns({"ean": F.lit(None).cast("string"), "expected_mtbf_hrs": F.lit(0.0)})
+    found = broken(rules.checked_lines(lines, linked["orgs"], linked["statics"], linked["places"]), "static_id")
+    assert found == {n + "1": [], n + "2": ["manufacturer", "operator", "importer", "spares", "returning_places"], n + "3": [], n + "4": ["manufacturer", "operator", "spares", "returning_places"]}
+
+
+def test_products_and_places_need_what_they_link_to(spark, linked):
+    rows = spark.createDataFrame([("0" * 34, "1", None), ("1" * 34, "9", "p"), ("2" * 34, "1", "q")], "instance_id string, static_id string, location_id string")
+    rows = rows.withColumns({"declared_at": F.lit("2024-01-01").cast("timestamp"), "guarantee_end": F.lit("2024-01-01").cast("timestamp"), **{c: F.lit(None).cast("double") for c in ("cleaning_count", "chalk_count", "brewing_count", "grinding_count", "operating_hrs")}})
+    found = broken(rules.checked_passports(rows, spark.createDataFrame([("1",)], "static_id string"), linked["places"]), "instance_id")
+    assert found == {"0" * 34: [], "1" * 34: ["line"], "2" * 34: ["location"]}
+    places = spark.createDataFrame([("4006381333931", "T", "B", "1"), ("4006381333932", "X", " ", None)], "place_id string, managed_by string, city string, postal_code string")
+    places = places.withColumns({"name": F.lit("n"), "latitude": F.lit(0.0), "longitude": F.lit(0.0), "country": F.lit("de")})
+    assert broken(rules.checked_places(places, linked["orgs"]), "place_id") == {"4006381333931": [], "4006381333932": ["city", "postal_code", "managed_by"]}
+
+
+def test_a_manufacturers_materials_differ_by_name(spark, linked):
+    rows = spark.createDataFrame([(URN + "1", "Steel", "M"), (URN + "2", "Tin", "M"), (URN + "3", "Tin", "M"), (URN + "4", "Zinc", "I")], "material_static_id string, material_name string, manufacturer_id string")
+    stored = spark.createDataFrame([("Steel", "M"), ("Zinc", "M")], "material_name string, manufacturer_id string")
+    assert broken(rules.checked_material_statics(rows, stored, linked["orgs"]), "material_static_id") == {URN + "1": ["name"], URN + "2": ["name"], URN + "3": ["name"], URN + "4": ["manufacturer"]}
+
+
+def test_steps_show_their_places(spark, linked):
+    places = linked["places"].withColumns({"latitude": F.lit(1.0), "longitude": F.lit(2.0)})
+    steps = linked["steps"].withColumnRenamed("owner_id", "part_id")
+    found = [(r.place and r.place.name, r.destination and r.destination.name) for r in passports.steps_of_part(steps, places, URN + "2").collect()]
+    assert sorted(found, key=str) == [("Berlin", None), (None, None)]
+
+
 def test_lookup_raises_and_lists_are_empty(spark):
     table = spark.createDataFrame([(1, "x")], "instance_id bigint, product_name string").withColumn("discontinued", F.lit(False))
     assert passports.lookup(table, "instance_id", 1).count() == 1
