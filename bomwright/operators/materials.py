@@ -35,11 +35,15 @@ def recycled_by_name(uses: DataFrame) -> DataFrame:
     return sums.select("tree_id", "material_name", "grams", recycled.alias("recycled_percent"), (100.0 - recycled).alias("virgin_percent"))
 
 
-def overall_shares(uses: DataFrame) -> DataFrame:
-    """Recycled and rare-earth percentages of the product; a name is rare if any static material of that name is."""
+def totals_by_name(uses: DataFrame) -> DataFrame:
+    """Exact mass (g), and mass times recycled percentage (wp), of each name; a name is rare if any static material of that name is."""
     w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
-    names = _named(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"))
-    sums = names.groupBy("tree_id").agg(F.sum("g").cast("double").alias("grams"), F.sum("wp").cast("double").alias("wp"), F.sum(F.when(F.col("rare"), F.col("g")).otherwise(0)).cast("double").alias("rare_g"))
+    return _named(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"))
+
+
+def overall_shares(uses: DataFrame) -> DataFrame:
+    """Recycled and rare-earth percentages of the product."""
+    sums = totals_by_name(uses).groupBy("tree_id").agg(F.sum("g").cast("double").alias("grams"), F.sum("wp").cast("double").alias("wp"), F.sum(F.when(F.col("rare"), F.col("g")).otherwise(0)).cast("double").alias("rare_g"))
     return sums.select("tree_id", "grams", ratio(F.col("wp"), F.col("grams")).alias("recycled_percent"), (ratio(F.col("rare_g"), F.col("grams")) * 100.0).alias("rare_percent"))
 
 

@@ -51,6 +51,49 @@ MODULAR = """modular AS (
   GROUP BY ALL
 )"""
 
+#: Blocks of the views, as text.
+LINKED = """linked_rows AS (
+  SELECT p.instance_id, c.descendant AS part_id, n.name AS part_name, r.linked_id, q.product_name AS linked_name FROM passports p JOIN closure c ON c.ancestor = p.root_part_id AND c.distance > 0
+  JOIN (SELECT root_part_id, min(instance_id) AS linked_id FROM passports GROUP BY ALL) r ON r.root_part_id = c.descendant AND r.linked_id <> p.instance_id
+  JOIN passports q ON q.instance_id = r.linked_id JOIN node n ON n.part_id = c.descendant
+), linked_text AS (SELECT instance_id AS of, string_agg(concat_ws(':', part_name, part_id, linked_id, linked_name), ';' ORDER BY part_name, part_id) AS linked FROM linked_rows GROUP BY ALL)"""
+PART_TEXT = """part_text AS (
+  SELECT part_id AS of, first_level, n_parts, n_fail FROM (SELECT ancestor AS part_id, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail FROM closure GROUP BY ALL)
+  LEFT JOIN (SELECT parent_id, string_agg(concat_ws(':', part_id, name, is_modular, has_failstate), ';' ORDER BY part_id) AS first_level FROM node WHERE parent_id IS NOT NULL GROUP BY ALL) ON parent_id = part_id
+)"""
+
+
+def thousandths(x: str, times: int = 1000) -> str:
+    return f"floor({x} * {times}.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+
+
+MATERIAL_TEXT = f"""heavy AS (
+  SELECT tree_id, material_name, {exact('weight_g')} AS g, sum(weight_g::DECIMAL(18,6) * pct_recycled::DECIMAL(18,6))::DOUBLE AS wp FROM uses GROUP BY ALL
+), totalled AS (SELECT *, sum(g::DECIMAL(18,6)) OVER (PARTITION BY tree_id)::DOUBLE AS total FROM heavy
+), percents AS (SELECT *, CASE WHEN g > 0 THEN wp / g ELSE 0 END AS recycled, CASE WHEN total > 0 THEN g / total ELSE 0 END * 100.0::DOUBLE AS share FROM totalled
+), material_text AS (
+  SELECT tree_id AS of, string_agg(concat_ws(':', material_name, {thousandths('g')}, {thousandths('share', 100)}, {thousandths('recycled', 100)}, {thousandths('(100.0::DOUBLE - recycled)', 100)}), ';' ORDER BY g DESC, material_name) AS materials
+  FROM percents GROUP BY ALL
+)"""
+HELD = f"""bearing AS (
+  SELECT tree_id, kind, material_name, part_id, sum(weight_g::DECIMAL(18,6)) AS g, list(warnings) AS w
+  FROM (SELECT *, unnest([CASE WHEN rare THEN 'rare' END, CASE WHEN hazardous THEN 'hazardous' END]) AS kind FROM uses) WHERE kind IS NOT NULL GROUP BY ALL
+), crumbs AS (SELECT part_id, array_to_string(names, ' → ') AS crumb FROM node), held AS (
+  SELECT tree_id, kind, material_name, sum(g)::DOUBLE AS grams, list_sort(list_distinct(flatten(flatten(list(w))))) AS warnings,
+         string_agg(coalesce(crumb, b.part_id::VARCHAR) || '=' || {thousandths('g::DOUBLE')}, '+' ORDER BY b.part_id) AS parts
+  FROM bearing b LEFT JOIN crumbs c ON c.part_id = b.part_id GROUP BY ALL
+), held_text AS (
+  SELECT tree_id AS of, string_agg(shown, ';' ORDER BY material_name) FILTER (kind = 'rare') AS rare, string_agg(shown, ';' ORDER BY material_name) FILTER (kind = 'hazardous') AS hazardous
+  FROM (SELECT *, concat_ws(':', material_name, {thousandths('grams')}, array_to_string(warnings, '+'), parts) AS shown FROM held) GROUP BY ALL
+)"""
+
+
+def document(kind: str, n: int, field: str) -> str:
+    """Name or address of a line's document; lines whose number n divides have none."""
+    address = f"'https://docs.example/{kind}/' || static_id"
+    name = f"CASE WHEN static_id % 2 = 0 THEN '{kind}' ELSE {address} END"
+    return f"CASE WHEN static_id % {n} <> 0 THEN {name if field == 'name' else address} END"
+
 
 def top2(days: str) -> str:
     return with_views([SYMPTOMS], f"""
@@ -278,5 +321,31 @@ FROM passports p LEFT JOIN parts ON root_part_id = part_id LEFT JOIN near ON roo
  counts AS (SELECT static_id, coalesce(name, target::VARCHAR) AS name, count(*) AS n, min(seen) AS first FROM services LEFT JOIN parts ON target = part_id GROUP BY ALL), p AS (SELECT static_id, first(name ORDER BY n DESC, first) AS top_part FROM counts GROUP BY ALL),
  y AS (SELECT static_id, symptom, count(DISTINCT instance_id) AS n, min(seen) AS first FROM symptom_rows GROUP BY ALL), z AS (SELECT static_id, first(symptom ORDER BY n DESC, first) AS top_symptom FROM y GROUP BY ALL)
 SELECT static_id, n_instances, operations, operations / n_instances AS avg_per_instance, top_part, top_symptom FROM n JOIN o USING (static_id) JOIN p USING (static_id) JOIN z USING (static_id)"""),
+    "user_view": with_views([CLOSURE, PASSPORTS, ORGANISATIONS, USES, OVERALL, STEPS, EMISSIONS, PLACES, LINES, LINKED, PART_TEXT, MATERIAL_TEXT], f""", m AS (
+  SELECT tree_id AS of, {rounded('CASE WHEN grams > 0 THEN wp / grams ELSE 0 END', 2)} AS recycled_percent, {rounded('CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE', 2)} AS rare_percent FROM overall
+), c AS (
+  SELECT tree_id AS of, {NAME_COUNTS.replace('AS total', 'AS n_steps')}, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) AS p, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS m FROM steps GROUP BY ALL
+), s AS (SELECT tree_id, coalesce(scope, 'Unknown') AS scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL
+), g AS (SELECT tree_id AS of, {rounded(exact('kg', 3), 3)} AS ghg_kg, string_agg(scope || ':' || {thousandths('kg')}, ';' ORDER BY scope) AS scopes FROM s GROUP BY ALL
+), k AS (SELECT tree_id, CASE WHEN scope = 'Scope 3' THEN coalesce(category, 'Uncategorized') ELSE 'direct' END AS category, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY 1, 2
+), h AS (SELECT tree_id AS of, string_agg(category || ':' || {thousandths('kg')}, ';' ORDER BY category) AS categories FROM k GROUP BY ALL
+), b AS (SELECT static_id AS of, string_agg(name, ';' ORDER BY pos) AS returning_places FROM (SELECT static_id, unnest([0, 1, 2]) AS pos, unnest([static_id % 25, static_id % 7, static_id + 10]) AS asked FROM listed) JOIN places ON asked = place_id GROUP BY ALL
+), d AS (
+  SELECT static_id AS of, concat_ws(';', {', '.join(document(kind, n + 3, 'name') for n, kind in enumerate(('data_sheet', 'operating_guide', 'repair_manual', 'disassembly', 'recycling')))}) AS documents,
+         {document('ce_conformity', 8, 'name')} AS ce_conformity, (static_id + 3)::DOUBLE AS weight_g, CASE WHEN static_id % 3 = 0 THEN '/images/' || static_id || '/images/' || static_id ELSE '' END AS images FROM listed
+) SELECT instance_id, product_name, mo.name AS manufacturer, io.name AS importer, oo.name AS operator, (instance_id % 29)::DOUBLE AS brewing_count, coalesce(recycled_percent, 0) AS recycled_percent, coalesce(rare_percent, 0) AS rare_percent,
+  coalesce(transport, 0) AS transport, coalesce(production, 0) AS production, coalesce(secondary, 0) AS secondary, coalesce(n_steps, 0) AS n_steps,
+  {rounded('coalesce(c.p, 0)', 3)} AS parts_km, {rounded('coalesce(c.m, 0)', 3)} AS materials_km, {rounded('coalesce(c.p + c.m, 0)', 3)} AS total_km, coalesce(ghg_kg, 0) AS ghg_kg, coalesce(n_parts, 0) AS n_parts, coalesce(n_fail, 0) AS n_fail,
+  ce_conformity, weight_g, coalesce(first_level, '') AS first_level, coalesce(materials, '') AS materials, coalesce(linked, '') AS linked, coalesce(scopes, '') AS scopes, coalesce(categories, '') AS categories,
+  coalesce(returning_places, '') AS returning_places, documents, images
+FROM passports x LEFT JOIN organisations mo ON mo.org_id = manufacturer_id LEFT JOIN organisations io ON io.org_id = importer_id LEFT JOIN organisations oo ON oo.org_id = 'M' || (static_id * 2)
+  LEFT JOIN m ON m.of = instance_id LEFT JOIN c ON c.of = instance_id LEFT JOIN g ON g.of = instance_id LEFT JOIN h ON h.of = instance_id LEFT JOIN linked_text l ON l.of = instance_id LEFT JOIN material_text mt ON mt.of = instance_id
+  LEFT JOIN part_text pt ON pt.of = root_part_id LEFT JOIN b ON b.of = static_id LEFT JOIN d ON d.of = static_id"""),
+    "end_of_life_view": with_views([CLOSURE, PASSPORTS, ORGANISATIONS, USES, OVERALL, SERVICES, BUCKETS, LINKED, PART_TEXT, MATERIAL_TEXT, HELD], f"""
+SELECT x.instance_id, oo.name AS operator, coalesce(grams, 0) AS grams, coalesce(CASE WHEN grams > 0 THEN wp / grams ELSE 0 END, 0) AS recycled_percent, coalesce(CASE WHEN grams > 0 THEN o.rare_g / grams ELSE 0 END, 0) * 100.0::DOUBLE AS rare_percent,
+  coalesce(cost_eur, 0) AS cost_eur, {', '.join(f'coalesce({k.lower()}, 0) AS {k.lower()}' for k in SERVICE_KINDS)}, coalesce(n_parts, 0) AS n_parts, coalesce(n_fail, 0) AS n_fail,
+  {document('disassembly', 6, 'url')} AS disassembly, {document('recycling', 7, 'name')} AS recycling, coalesce(first_level, '') AS first_level, coalesce(materials, '') AS materials, coalesce(linked, '') AS linked, coalesce(rare, '') AS rare, coalesce(hazardous, '') AS hazardous
+FROM passports x LEFT JOIN organisations oo ON oo.org_id = 'M' || (static_id * 2) LEFT JOIN overall o ON o.tree_id = x.instance_id LEFT JOIN bucketed s ON s.instance_id = x.instance_id LEFT JOIN linked_text l ON l.of = x.instance_id
+  LEFT JOIN material_text mt ON mt.of = x.instance_id LEFT JOIN held_text ht ON ht.of = x.instance_id LEFT JOIN part_text pt ON pt.of = root_part_id"""),
     "service_windows": with_views(SERVICES, f"SELECT date_trunc('day', begin_at)::TIMESTAMP AS from_at, (date_trunc('day', begin_at) + INTERVAL 1 DAY)::TIMESTAMP AS to_at, type, count(*) AS n, {exact('cost')} AS cost FROM services GROUP BY ALL"),
 }

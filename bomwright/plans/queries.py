@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gs1_check_digit, humanised_days, percent, rounded, weight_kg
-from ..operators import jsonld, materials, mutations, passports, processes, rules, services, trees
+from ..operators import jsonld, materials, mutations, passports, processes, rules, services, trees, views
 from ..sources import adapters as A
 from ..streaming import service_steps as streams
 
@@ -234,6 +234,65 @@ def service_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passports.service_summary(A.passports(spark, sf_dir), nodes(spark, sf_dir), A.service_steps(spark, sf_dir))
 
 
+def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product lines with their measures, images and documents, some of which have no name and some of which are missing."""
+    s = F.col("static_id")
+    address = lambda kind: F.concat(F.lit(f"https://docs.example/{kind}/"), s.cast("string"))
+    document = lambda kind, n: F.when(s % n != 0, F.struct(F.when(s % 2 == 0, F.lit(kind)).otherwise("").alias("name"), address(kind).alias("url")))
+    kinds = {kind: document(kind, n + 3) for n, kind in enumerate((*views.USER_DOCUMENTS, *views.COMPLIANCE))}
+    sizes = {c: (s + k).cast("double") for k, c in enumerate(views.EXTRAS[:4])}
+    image = F.struct(s.cast("string").alias("file_id"), F.concat(F.lit("front-"), s.cast("string"), F.lit(".png")).alias("filename"))
+    return lines(spark, sf_dir).withColumns(kinds | sizes | {"taric_code": s.cast("string"), "images": F.when(s % 3 == 0, F.array(image)).otherwise(F.array().cast("array<struct<file_id:string,filename:string>>"))})
+
+
+def with_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with an operator, which for some lines is not known."""
+    return A.passports(spark, sf_dir).withColumn("operator_id", F.concat(F.lit("M"), F.col("static_id") * 2))
+
+
+def shown_list(name: str, form: Callable) -> Column:
+    return F.array_join(F.transform(name, form), ";").alias(name)
+
+
+def whole(x, times: int) -> Column:
+    return F.floor(x * float(times) + 0.5).cast("bigint").cast("string")
+
+
+def parts_shown(c) -> Column:
+    return F.concat_ws(":", c["part_id"].cast("string"), c["name"], c["is_modular"].cast("string"), c["has_failstate"].cast("string"))
+
+
+#: Lists of the views as text.
+SHOWN = {
+    "first_level": parts_shown,
+    "materials": lambda m: F.concat_ws(":", m["material_name"], whole(m["grams"], 1000), whole(m["percent"], 100), whole(m["recycled_percent"], 100), whole(m["virgin_percent"], 100)),
+    "linked": lambda x: F.concat_ws(":", x["part_name"], x["part_id"].cast("string"), x["linked_id"].cast("string"), x["linked_name"]),
+}
+
+
+def user_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that owners see of a product, its lists as text."""
+    found = views.user_view(
+        with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), A.places(spark, sf_dir), nodes(spark, sf_dir),
+        A.material_use(spark, sf_dir), A.process_steps(spark, sf_dir), A.emissions(spark, sf_dir))
+    figures = lambda label: lambda e: F.concat_ws(":", e[label], whole(e["kg"], 1000))
+    forms = SHOWN | {"scopes": figures("scope"), "categories": figures("category"), "returning_places": lambda p: p["name"], "documents": lambda d: d["name"], "images": lambda i: i["url"]}
+    return found.select(
+        "instance_id", "product_name", *(F.col(f"{r}.name").alias(r) for r in views.ROLES), F.col("counters.brewing_count").alias("brewing_count"), "recycled_percent", "rare_percent", *views.processes.CATEGORIES,
+        "n_steps", "parts_km", "materials_km", "total_km", "ghg_kg", "n_parts", "n_fail", F.col("compliance.ce_conformity.name").alias("ce_conformity"), F.col("extras.weight_g").alias("weight_g"),
+        *(shown_list(name, form) for name, form in forms.items()))
+
+
+def end_of_life_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that dismantlers see of a product, its lists as text."""
+    found = views.end_of_life_view(with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.service_steps(spark, sf_dir))
+    held = lambda m: F.concat_ws(":", m["material_name"], whole(m["grams"], 1000), F.array_join(m["warnings"], "+"), F.array_join(F.transform(m["parts"], lambda p: F.concat_ws("=", p["path"], whole(p["grams"], 1000))), "+"))
+    forms = SHOWN | {"rare": held, "hazardous": held}
+    return found.select(
+        "instance_id", F.col("operator.name").alias("operator"), "grams", "recycled_percent", "rare_percent", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES), "n_parts", "n_fail",
+        F.col("manuals.disassembly.url").alias("disassembly"), F.col("manuals.recycling.name").alias("recycling"), *(shown_list(name, form) for name, form in forms.items()))
+
+
 def utility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passports.utility_summary(A.service_steps(spark, sf_dir), A.service_instances(spark, sf_dir), A.parts(spark, sf_dir))
 
@@ -321,5 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "end_of_life_summary": end_of_life_summary,
     "service_summary": service_summary,
     "utility_summary": utility_summary,
+    "user_view": user_view,
+    "end_of_life_view": end_of_life_view,
     "service_windows": on(A.service_steps, streams.windowed),
 }
