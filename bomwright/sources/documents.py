@@ -42,14 +42,16 @@ def part_nodes(records: DataFrame) -> DataFrame:
         """
         WITH RECURSIVE node AS (
           SELECT try_variant_get(record, '$.id', 'string') AS tree_id, try_variant_get(record, '$.id', 'string') AS part_id, CAST(NULL AS STRING) AS parent_id,
-                 0 AS lvl, CAST(array() AS ARRAY<INT>) AS ord_path, array(try_variant_get(record, '$.id', 'string')) AS path, record AS part
+                 0 AS lvl, CAST(array() AS ARRAY<INT>) AS ord_path, array(try_variant_get(record, '$.id', 'string')) AS path,
+                 array(coalesce(try_variant_get(record, '$.name', 'string'), try_variant_get(record, '$.id', 'string'))) AS names, record AS part
           FROM {records}
           UNION ALL
           SELECT n.tree_id, try_variant_get(c.value, '$.id', 'string'), n.part_id, n.lvl + 1, concat(n.ord_path, array(c.pos)),
-                 concat(n.path, array(try_variant_get(c.value, '$.id', 'string'))), c.value
+                 concat(n.path, array(try_variant_get(c.value, '$.id', 'string'))),
+                 concat(n.names, array(coalesce(try_variant_get(c.value, '$.name', 'string'), try_variant_get(c.value, '$.id', 'string')))), c.value
           FROM node n, LATERAL variant_explode(try_variant_get(n.part, '$.compositeParts', 'variant')) c
         )
-        SELECT tree_id, part_id, parent_id, lvl, ord_path, path, try_variant_get(part, '$.name', 'string') AS name,
+        SELECT tree_id, part_id, parent_id, lvl, ord_path, path, names, try_variant_get(part, '$.name', 'string') AS name,
                try_variant_get(part, '$.partStaticLink', 'string') AS part_static_id,
                coalesce(try_variant_get(part, '$.isModular', 'boolean'), false) AS is_modular,
                coalesce(try_variant_get(part, '$.hasFailstate', 'boolean'), false) AS has_failstate,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomwright.functions import scalars
 from bomwright.functions.scalars import rounded
-from bomwright.operators import jsonld, materials, processes, services
+from bomwright.operators import jsonld, materials, processes, services, views
 from bomwright.sources import documents
 from tests.golden import MATERIALS, part, z10
 
@@ -71,6 +71,47 @@ def test_a_step_counts_once_for_the_root(spark, tmp_path):
     assert names == {"a": "a", "b": "b", "old": "old", "older": "Older", "elsewhere": "elsewhere"}
 
 
+def view_tables(spark):
+    """A machine and two of its parts as products, of a line with two documents of which one has no name; nothing is known of a third product."""
+    counters = ", ".join(f"{c} double" for c in views.COUNTERS)
+    rows = [(i, line, f"Product {i}", i, None, False, *[None] * 5, "M", None, "gone") for i, line in (("machine", "l"), ("grinder", "l"), ("electronics", "l"), ("nowhere", None))]
+    instances = spark.createDataFrame(rows, f"instance_id string, static_id string, product_name string, root_part_id string, declared_at timestamp, discontinued boolean, {counters}, manufacturer_id string, importer_id string, operator_id string")
+    document = "struct<name:string,url:string>"
+    kinds = {k: F.lit(None).cast(document) for k in (*views.USER_DOCUMENTS, *views.COMPLIANCE)} | {"data_sheet": F.struct(F.lit("Sheet").alias("name"), F.lit("u1").alias("url")), "recycling": F.struct(F.lit(" ").alias("name"), F.lit("u2").alias("url"))}
+    lines = spark.createDataFrame([("l", ["p2", "gone", "p1"], [("f", "front.png")])], "static_id string, returning_place_ids array<string>, images array<struct<file_id:string,filename:string>>")
+    lines = lines.withColumns(kinds | {c: F.lit(None).cast("double") for c in views.EXTRAS})
+    organisations = spark.createDataFrame([("M", "Maker", "u", "Manufacturer", None)], "org_id string, name string, url string, type string, eori string")
+    places = spark.createDataFrame([("p1", "One", 1.0, 2.0), ("p2", "Two", None, None)], "place_id string, name string, latitude double, longitude double")
+    return instances, lines, organisations, places
+
+
+def test_views_of_a_product(spark, machine):
+    instances, lines, organisations, places = view_tables(spark)
+    steps, uses = documents.steps(machine), uses_of(spark, machine)
+    found = {r.instance_id: r for r in views.user_view(instances, lines, organisations, places, machine, uses, steps, documents.emissions(steps)).collect()}
+    one, none = found["machine"], found["nowhere"]
+    assert (one.n_parts, len(one.first_level), one.first_level[0].name, one.first_level[8].name) == (20, 9, "housing", "milk system")
+    assert [(x.part_name, x.linked_id, x.linked_name) for x in one.linked] == [("electronics", "electronics", "Product electronics"), ("grinder", "grinder", "Product grinder")]
+    assert sum(m.grams for m in one.materials) == 11204.0 and one.materials[0].material_name == "stl_general" and abs(sum(m.percent for m in one.materials) - 100.0) < 1e-9
+    assert (one.rare_percent, one.recycled_percent, one.production, one.n_steps, one.counters.cleaning_count) == (0.71, 0.0, 1, 4, 0.0)
+    assert [(d.name, d.url) for d in one.documents] == [("Sheet", "u1"), ("u2", "u2")] and one.compliance.ce_conformity is None
+    assert [p.name for p in one.returning_places] == ["Two", "One"] and [i.url for i in one.images] == ["/images/l/images/f"]
+    assert (one.manufacturer.name, one.importer, one.operator) == ("Maker", None, None)
+    assert found["grinder"].n_parts == 4 and found["grinder"].linked == [] and found["grinder"].materials == []
+    assert (none.n_parts, none.first_level, none.linked, none.scopes, none.ghg_kg, none.documents, none.returning_places) == (0, [], [], [], 0.0, [], [])
+
+
+def test_end_of_life_view_of_a_product(spark, machine):
+    instances, lines, organisations, _ = view_tables(spark)
+    services_done = documents.service_steps(documents.steps(machine))
+    found = {r.instance_id: r for r in views.end_of_life_view(instances, lines, organisations, machine, uses_of(spark, machine), services_done).collect()}
+    one = found["machine"]
+    assert (one.cost_eur, one.repair, one.replace, one.cleaning, one.grams) == (163.0, 1, 1, 1, 11204.0)
+    assert [(h.material_name, h.grams, h.warnings, [(p.name, p.path) for p in h.parts]) for h in one.hazardous] == [("fr4", 360.0, ["H302"], [("main pcb", "machine → electronics → main pcb"), ("ui pcb", "machine → electronics → ui pcb")])]
+    assert [(h.material_name, h.grams, [p.part_id for p in h.parts]) for h in one.rare] == [("ndfeb", 80.0, ["motor"])]
+    assert one.manuals.recycling.url == "u2" and found["nowhere"].hazardous == [] and found["nowhere"].cost_eur == 0.0
+
+
 def test_exports_hold_parts_materials_and_steps(spark, machine):
     flat = machine.withColumn("path", F.col("ord_path"))
     held = jsonld.contents(uses_of(spark, machine), documents.steps(machine))
