@@ -34,17 +34,26 @@ from .rolling import BYTES, bit_counts, byte_column, chunks, majority, mix, pref
 
 SHINGLE = 5
 CHUNK = 1 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 RADIUS = 3
 #: More fingerprints with one block than this are dealt to several tasks.
 PART = 4_096
 
 
-def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """Two 64-bit halves of each text's fingerprint."""
+def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE, alike: bool = False) -> np.ndarray:
+    """Two 64-bit halves of each text's fingerprint.
+
+    ``alike``: A-Z count as a-z, every different shingle votes once, and where votes are
+    even a bit of the sum of all hashes decides, so that bits of short texts too are set in
+    half of all texts.
+    """
     data, offsets = byte_column(texts)
     out = np.zeros((len(texts), 2), np.uint64)
     for at, end in chunks(offsets, CHUNK):
         part, local = data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        if alike:
+            part = LOWER[part]
         starts, ends, first = word_spans(part, local)
         sums = prefix(span_hash(prefix(BYTES[part]), starts, ends))
         n_words = np.diff(first)
@@ -54,8 +63,20 @@ def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         places = np.repeat(first[:-1] - begin, size) + np.arange(size.sum())
         stops = np.minimum(places + shingle, np.repeat(first[1:], size))
         h = span_hash(sums, places, stops)
+        if alike:
+            text = np.repeat(np.arange(end - at), size)
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+            h, size = h[new], np.bincount(text[new], minlength=end - at)
+            begin = np.cumsum(size) - size
         for half in (0, 1):
-            out[at:end, half] = majority(bit_counts(h, begin, begin + size), size)
+            counts = bit_counts(h, begin, begin + size)
+            out[at:end, half] = majority(counts, size)
+            if alike:
+                sums = np.append(np.uint64(0), np.cumsum(h))
+                even = np.packbits(2 * counts == size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+                out[at:end, half] |= even & mix(sums[begin + size] - sums[begin])
             h = mix(h + np.uint64(0x632BE59BD9B4E019))
     return out
 

@@ -16,6 +16,12 @@ large-star and small-star rounds, until nothing changes. Nodes with very many li
 and fingerprints with very many copies, are dealt to several tasks where rows are
 joined (``common.spread_join``).
 
+``grouped(similar=True)`` is the wider search of the pipeline: 128 bits of five-word
+shingles, and links at up to 24 differing bits, where texts of a similarity of 0.8
+have 19 on average. So wide a radius is beyond block tables that lose nothing: each
+table looks at randomly drawn bits, and there are as many as bring 95 of 100 such pairs
+together at least once. The planes, counters and abandoned blocks are the same.
+
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; texts of fewer than three words are one shingle; repeated rows are
 copies; ids may be of any type that has an order; null ids are in components without
@@ -25,6 +31,7 @@ columns, of any name, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,14 +40,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import met, table_masks
+from .blocks import GROUP, met, table_masks
 from .common import materialize, small_batches, spread_join, table
+from .fingerprints import fingerprint_texts, hex_of
 from .rolling import bit_counts, majority
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 PART = 4096
+#: Similar texts: bits of a fingerprint; the bits in which texts that share four fifths of their
+#: shingles (of both together) differ on average, and about a standard deviation more.
+BITS = 128
+SIMILAR_BITS = 20
+SIMILAR_RADIUS = 24
+#: The share of pairs that far apart which meet in a table at least once.
+FOUND = 0.95
+#: Words of planes compared at a time.
+ITEMS = 1 << 15
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -86,27 +103,31 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(differ, n_words: int, radius: int = RADIUS, step: int = 8) -> np.ndarray:
-    """Which lanes differ in at most ``radius`` (3) of 64 planes, as words.
+def within(differ, n_words: int, radius: int = RADIUS, planes: int = 64, step: int = 8) -> np.ndarray:
+    """Which lanes differ in at most ``radius`` planes, as words.
 
     ``differ(planes, words)`` gives, for a slice of planes and an index of words, the
-    bits that differ. ``ones`` and ``twos`` are the carry-save counter, ``over`` what it
-    cannot hold; a word all of whose lanes are over is not looked at again.
+    bits that differ. ``counter`` is the carry-save counter, lowest digit first; it
+    starts so high that it overflows into ``over`` just beyond the radius. A word all of
+    whose lanes are over is not looked at again.
     """
-    assert radius == 3
     alive = np.arange(n_words)
-    ones, twos, over = (np.zeros(n_words, np.uint64) for _ in range(3))
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, 64, step):
+    digits = radius.bit_length()
+    start = (1 << digits) - 1 - radius
+    counter = [np.full(n_words, full if start >> k & 1 else 0, np.uint64) for k in range(digits)]
+    over = np.zeros(n_words, np.uint64)
+    for at in range(0, planes, step):
         bits = differ(slice(at, at + step), alive)
-        a, b, c = ones[alive], twos[alive], over[alive]
-        for plane in bits:
-            carry = a & plane
-            a = a ^ plane
-            c = c | (b & carry)
-            b = b ^ carry
-        ones[alive], twos[alive], over[alive] = a, b, c
-        alive = alive[c != full]
+        now, past = [digit[alive] for digit in counter], over[alive]
+        for carry in bits:
+            for k in range(digits):
+                now[k], carry = now[k] ^ carry, now[k] & carry
+            past |= carry
+        for digit, value in zip(counter, now, strict=True):
+            digit[alive] = value
+        over[alive] = past
+        alive = alive[past != full]
         if not len(alive):
             break
     return ~over
@@ -223,12 +244,92 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, text_hash if ``docs`` has one, root (names its group) and component_id (the least doc_id that links reach)."""
+def sampled_masks(n: int) -> list[int]:
+    """The bits that each of the tables for similar texts looks at, for n fingerprints: so many that unlike ones rarely meet, and tables enough for ``FOUND``."""
+    size = max(8, math.ceil(math.log2(max(1, n / GROUP))))
+    met_once = (1 - SIMILAR_BITS / BITS) ** size
+    draw = np.random.default_rng(11)
+    return [sum(1 << int(b) for b in draw.choice(BITS, size, replace=False)) for _ in range(math.ceil(math.log(1 - FOUND) / math.log(1 - met_once)))]
+
+
+def _similar_links(keys: np.ndarray, sides: np.ndarray, halves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, among fingerprints of equal key within the radius for similar texts; sides as in ``_run_links``. Keys are sorted.
+
+    Each group's fingerprints fill whole words of the planes, and each of its queries is
+    compared with those of its words that hold fingerprints before it.
+    """
+    group = np.append(0, np.cumsum(keys[1:] != keys[:-1])) if len(keys) else keys
+    n_groups = int(group[-1]) + 1 if len(keys) else 0
+    shared = np.bincount(group, minlength=n_groups)[group] > 1
+    stored, asked = np.flatnonzero(shared & (sides != 1)), np.flatnonzero(shared & (sides != 0))
+    n_stored = np.bincount(group[stored], minlength=n_groups)
+    n_words = -(-n_stored // 64)
+    first_word, first_stored = np.cumsum(n_words) - n_words, np.cumsum(n_stored) - n_stored
+    rank = np.arange(len(stored)) - first_stored[group[stored]]
+    row_at = np.full(64 * int(n_words.sum()), -1)
+    row_at[64 * first_word[group[stored]] + rank] = stored
+    planes = np.concatenate([planes_of(np.where(row_at < 0, np.uint64(0), half[row_at])) for half in halves])
+    rank_of = np.zeros(len(keys), np.int64)
+    rank_of[stored] = rank
+    compared = np.where(sides[asked] == 2, rank_of[asked] // 64 + 1, n_words[group[asked]])
+    ends = np.cumsum(compared)
+    root = np.arange(len(keys))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, ITEMS):
+        item = np.arange(at, min(at + ITEMS, int(ends[-1])))
+        which = np.searchsorted(ends, item, "right")
+        query = asked[which]
+        word = first_word[group[query]] + item - (ends - compared)[which]
+        values = [half[query] for half in halves]
+
+        def differ(p: slice, w: np.ndarray, values=values, word=word) -> np.ndarray:
+            own = [-((values[k // 64][w] >> np.uint64(k % 64)) & np.uint64(1)) for k in range(p.start, p.stop)]
+            return planes[p][:, word[w]] ^ np.stack(own)
+
+        found = lanes(within(differ, len(item), SIMILAR_RADIUS, BITS))
+        a, b = row_at[word[found // 64] * 64 + found % 64], query[found // 64]
+        keep = (a >= 0) & ((sides[b] == 1) | (a < b))
+        root = forest(root, a[keep], b[keep])
+    member = np.flatnonzero(root != np.arange(len(keys)))
+    return root[member], member
+
+
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """Links a, b between different 128-bit fingerprints (column fp, 32 hex digits) of similar texts."""
+    half = lambda k: F.conv(F.substring("fp", 16 * k + 1, 16), 16, -10).cast("bigint")
+    halves = distinct.select(half(0).alias("low"), half(1).alias("high"))
+
+    def found(columns):
+        keys, _, side, low, high = columns
+        values = np.stack([low.view(np.uint64), high.view(np.uint64)], 1)
+        a, b = _similar_links(keys, side, [values[:, 0].copy(), values[:, 1].copy()])
+        yield pa.RecordBatch.from_arrays([pa.array(hex_of(values[x]), pa.string()) for x in (a, b)], names=["a", "b"])
+
+    return met(halves, ["low", "high"], sampled_masks(distinct.count()), PART, found, "a string, b string")
+
+
+def similar_fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id and fp, the 128-bit fingerprint of five-word shingles as 32 hex digits, and text_hash if ``docs`` has one."""
+    id_type = dict(docs.dtypes)["doc_id"]
+    hashed = ["text_hash"] if "text_hash" in docs.columns else []
+
+    def run(batches):
+        for batch in batches:
+            fp = hex_of(fingerprint_texts(batch.column(1), alike=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.string()), *batch.columns[2:]], names=["doc_id", "fp", *hashed])
+
+    return docs.select("doc_id", "text", *hashed).mapInArrow(run, f"doc_id {id_type}, fp string" + ", text_hash bigint" * len(hashed))
+
+
+def grouped(docs: DataFrame, similar: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, text_hash if ``docs`` has one, root (names its group) and component_id (the least doc_id that links reach).
+
+    ``similar``: by the wider links of texts that have four fifths of their five-word
+    shingles in common.
+    """
     small_batches(docs.sparkSession)
-    prints = materialize(fingerprinted(docs), "simhash")
+    prints = materialize(similar_fingerprinted(docs) if similar else fingerprinted(docs), "simhash")
     copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
-    rooted = components(links(copies.select("fp")))
+    rooted = components((similar_links if similar else links)(copies.select("fp")))
     linked = materialize(copies.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "least", "copies", F.coalesce("root", "fp").alias("root")), "simhash-linked")
     named = materialize(linked.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "simhash-groups")
     of_print = materialize(spread_join(linked, named, [("root", "name")], "members", F.xxhash64("of")).select("of", "copies", "root", "component_id"), "simhash-named")

@@ -172,6 +172,67 @@ def test_bit_sliced_distances():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y) for x in range(len(a)) for y in range(len(b)) if int(np.bitwise_count(a[x] ^ b[y])) <= 3}
 
 
+def five_word_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts_are_grouped(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(500)]
+    texts, kinds = [], []
+    for kind in range(30):
+        base = r.choices(vocabulary, k=r.choice([60, 300, 900]))
+        for copy in range(8):
+            words = list(base)
+            for k in r.sample(range(len(words)), len(words) // 60 if copy else 0):
+                words[k] = "changed"
+            texts.append(" ".join(words).upper() if copy == 3 else " ".join(words))
+            kinds.append(kind)
+    texts += [None, "", "one two", "ONE  two", "one two three"] + [f"{k} a b c d e" for k in range(40)] + ["De " * 400 + f"tail {k} of one long text" for k in range(3)]
+    kinds += ["none", "none", "short", "short", "other"] + list(range(100, 140)) + ["tail"] * 3
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, component_id string")
+    group = {row.doc_id: row.component_id for row in neardup.grouped(df.select("doc_id", "text"), similar=True).collect()}
+    assert len(group) == len(texts)
+    shingles = [five_word_shingles(t or "") for t in texts]
+    alike = apart = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(shingles[a] | shingles[b])
+            if both == 0 or len(shingles[a] & shingles[b]) >= 0.8 * both:
+                alike += 1
+                apart += group[a] != group[b]
+            assert group[a] != group[b] or kinds[a] == kinds[b]
+    assert alike > 200 and apart <= 0.05 * alike
+
+
+@pytest.mark.parametrize("part", [neardup.PART, 16])
+def test_similar_links_connect_all_that_meet(spark, monkeypatch, part):
+    monkeypatch.setattr(neardup, "PART", part)
+    r = random.Random(6)
+    base = [r.getrandbits(128) for _ in range(25)]
+    values = list({x ^ sum(1 << b for b in r.sample(range(128), r.randrange(15))) for x in base for _ in range(8)})
+    df = spark.createDataFrame([(f"{v:032x}",) for v in values], "fp string")
+    root = {row.node: row.root for row in neardup.components(neardup.similar_links(df)).collect()}
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    masks = neardup.sampled_masks(len(values))
+    # hex_of writes the lower half first
+    swapped = {v: v >> 64 | (v & (1 << 64) - 1) << 64 for v in values}
+    for a in values:
+        for b in values:
+            differ = swapped[a] ^ swapped[b]
+            if a < b and differ.bit_count() <= neardup.SIMILAR_RADIUS and any(not differ & m for m in masks):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert {v: int(root.get(f"{v:032x}", f"{v:032x}"), 16) for v in values} == {v: find(v) for v in values}
+
+
 def test_fingerprints_with_edits(spark):
     texts = ["Ünïcode " * 9, None, "", "abc", "abcdefgh", "one two three four five six seven eight nine ten " * 40, "one two three four five six seven eight nine ten " * 40]
     df = spark.createDataFrame(rows_of(texts, range(0, 70, 10)), COLUMNS)

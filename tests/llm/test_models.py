@@ -274,7 +274,7 @@ def test_pipeline_stages(spark, sf_dir):
     kept = common.materialize(corpus_pipeline.language_id(spark, docs, sf_dir), "test")
     assert kept.columns == columns and kept.count() >= 0.98 * docs.where("text IS NOT NULL").count()
     unique = common.materialize(corpus_pipeline.near_dedup(spark, kept, sf_dir), "test")
-    groups = neardup.near_duplicates(kept).toPandas()
+    groups = neardup.grouped(kept.select("doc_id", "text"), similar=True).toPandas()
     assert sorted(r.doc_id for r in unique.collect()) == sorted(groups.component_id.unique())
     cut = common.materialize(corpus_pipeline.suffix_dedup(spark, unique, sf_dir), "test")
     assert cut.columns == columns and cut.count() == unique.count()
