@@ -43,11 +43,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays, that with the least id, then the least hash of its text, then of its other columns.
 
+    Near-duplicates have four fifths of their five-word shingles in common, as far as
+    128 bits show it, or are linked by others that have.
     A null id comes last; null, empty and wordless texts are one group; of repeated rows
     one stays, also where ids are null or shared; an empty table gives no rows.
     """
     others, text_hash = _others(docs), F.xxhash64("text")
-    rows = neardup.grouped(docs.select("doc_id", "text", text_hash.alias("text_hash")))
+    rows = neardup.grouped(docs.select("doc_id", "text", text_hash.alias("text_hash")), similar=True)
     least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     firsts = least.groupBy(F.col("root").alias("first_root")).agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("first_hash"), F.count("*").alias("n_rows"))
     whole = docs.select("doc_id", "text", text_hash.alias("text_hash"), packed(others).alias("carried"))
