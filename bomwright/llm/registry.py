@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, langid, mixing, neardup, packing, quality, substrings, suffixes, token_files
+from . import fingerprints, html_text, langid, merkle, mixing, neardup, packing, periodic, quality, secrets, substrings, suffixes, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bit_sliced_near_dedup": neardup.op8,
         "op9_arrow_token_files": token_files.op9,
         "op10_crf_main_text": html_text.op10,
+        "op11_password_guess_cost": secrets.op11,
+        "op12_merkle_manifest": merkle.op12,
+        "op13_periodic_runs": periodic.op13,
     }
 
 
