@@ -262,7 +262,7 @@ def find_secrets(docs: DataFrame, least: float = SECRET) -> DataFrame:
     order = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["log_guesses"].alias("log_guesses"), x["parts"].alias("parts"))
     ordered = F.array_sort(F.transform(F.concat(fixed, added), order))
     named_spans = F.transform(ordered, lambda x: x.withField("kind", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)))
-    return rows.join(by_row, F.col("row") == F.col("of_row"), "left").select(*restored(keep, keep), named_spans.alias("spans"))
+    return rows.join(by_row, F.col("row") == F.col("of_row"), "left").select("carried", named_spans.alias("spans")).select(*restored(keep, keep), "spans")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
