@@ -37,11 +37,6 @@ def with_rounded(rows: DataFrame, **columns: tuple[Column, int]) -> DataFrame:
     return rows.withColumns({name: x for name, (x, _) in columns.items()}).withColumns({name: rounded(F.col(name), digits) for name, (_, digits) in columns.items()})
 
 
-def exact_sum(x: Column, scale: int = 6) -> Column:
-    """A sum that does not depend on the order of rows."""
-    return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
-
-
 def ratio(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(default))
 

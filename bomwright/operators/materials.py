@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exact_sum, purity, ratio, with_rounded
+from ..functions.exact import exact_sum
+from ..functions.scalars import purity, ratio, with_rounded
 
 
 def _product():
@@ -22,36 +23,35 @@ def _named(uses: DataFrame) -> DataFrame:
 
 
 def mass_by_name(uses: DataFrame) -> DataFrame:
-    grams = _named(uses).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"))
-    total = F.sum("g").over(_product()).cast("double")
-    return grams.select("tree_id", "material_name", F.col("g").cast("double").alias("grams"), (ratio(F.col("g").cast("double"), total) * 100.0).alias("percent"))
+    grams = _named(uses).groupBy("tree_id", "material_name").agg(exact_sum(F.col("weight_g")).alias("grams"))
+    return grams.select("tree_id", "material_name", "grams", (ratio(F.col("grams"), exact_sum(F.col("grams"), _product())) * 100.0).alias("percent"))
 
 
 def recycled_by_name(uses: DataFrame) -> DataFrame:
     """Mass-weighted recycled and virgin percentages of each material."""
-    w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
-    sums = _named(uses).groupBy("tree_id", "material_name").agg(exact_sum(w).alias("grams"), F.sum(w * p).cast("double").alias("wp"))
+    w, p = F.col("weight_g"), F.col("pct_recycled")
+    sums = _named(uses).groupBy("tree_id", "material_name").agg(exact_sum(w).alias("grams"), exact_sum(w * p).alias("wp"))
     recycled = ratio(F.col("wp"), F.col("grams"))
     return sums.select("tree_id", "material_name", "grams", recycled.alias("recycled_percent"), (100.0 - recycled).alias("virgin_percent"))
 
 
 def totals_by_name(uses: DataFrame) -> DataFrame:
     """Exact mass (g), and mass times recycled percentage (wp), of each name; a name is rare if any static material of that name is."""
-    w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
-    return _named(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"))
+    w, p = F.col("weight_g"), F.col("pct_recycled")
+    return _named(uses).groupBy("tree_id", "material_name").agg(exact_sum(w).alias("g"), exact_sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"))
 
 
 def overall_shares(uses: DataFrame) -> DataFrame:
     """Recycled and rare-earth percentages of the product."""
-    sums = totals_by_name(uses).groupBy("tree_id").agg(F.sum("g").cast("double").alias("grams"), F.sum("wp").cast("double").alias("wp"), F.sum(F.when(F.col("rare"), F.col("g")).otherwise(0)).cast("double").alias("rare_g"))
+    sums = totals_by_name(uses).groupBy("tree_id").agg(exact_sum(F.col("g")).alias("grams"), exact_sum(F.col("wp")).alias("wp"), exact_sum(F.when(F.col("rare"), F.col("g")).otherwise(0.0)).alias("rare_g"))
     return sums.select("tree_id", "grams", ratio(F.col("wp"), F.col("grams")).alias("recycled_percent"), (ratio(F.col("rare_g"), F.col("grams")) * 100.0).alias("rare_percent"))
 
 
 def purity_by_name(uses: DataFrame) -> DataFrame:
     """Mass-weighted mean purity, a share; null without mass."""
-    w = F.col("weight_g").cast("decimal(18,6)")
-    heavy = _named(uses).where("weight_g > 0 AND purity IS NOT NULL").withColumn("share", purity(F.col("purity")).cast("decimal(18,8)"))
-    return heavy.groupBy("tree_id", "material_name").agg((F.sum(w * F.col("share")).cast("double") / F.sum(w).cast("double")).alias("mean_purity"))
+    w = F.col("weight_g")
+    heavy = _named(uses).where("weight_g > 0 AND purity IS NOT NULL").withColumn("share", purity(F.col("purity")))
+    return heavy.groupBy("tree_id", "material_name").agg((exact_sum(w * F.col("share")) / exact_sum(w)).alias("mean_purity"))
 
 
 def once_per_part(uses: DataFrame) -> DataFrame:
@@ -72,19 +72,19 @@ def once_per_material(uses: DataFrame) -> DataFrame:
 
 def rare_earth_metrics(uses: DataFrame) -> DataFrame:
     """Rare materials, parts and material instances counted once."""
-    names = _named(once_per_material(once_per_part(uses))).groupBy("tree_id", "material_name").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.bool_or("rare").alias("rare"))
-    total = F.sum("g").over(_product()).cast("double")
+    names = _named(once_per_material(once_per_part(uses))).groupBy("tree_id", "material_name").agg(exact_sum(F.col("weight_g")).alias("g"), F.bool_or("rare").alias("rare"))
+    total = exact_sum(F.col("g"), _product())
     found = names.withColumn("total", total).where("rare")
-    return with_rounded(found, grams=(F.col("g").cast("double"), 4), percent=(ratio(F.col("g").cast("double"), F.col("total")) * 100.0, 2)).select("tree_id", "material_name", "grams", "percent")
+    return with_rounded(found, grams=(F.col("g"), 4), percent=(ratio(F.col("g"), F.col("total")) * 100.0, 2)).select("tree_id", "material_name", "grams", "percent")
 
 
 def shares_by_static(uses: DataFrame) -> DataFrame:
     """Mass, recycled percentage and share of each static material, parts counted once, all to two places."""
-    w, p = F.col("weight_g").cast("decimal(18,6)"), F.col("pct_recycled").cast("decimal(18,6)")
+    w, p = F.col("weight_g"), F.col("pct_recycled")
     sums = _named(once_per_part(uses)).groupBy("tree_id", "material_static_id", "material_name").agg(
-        F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
-    total = F.sum("g").over(_product()).cast("double")
-    grams = F.col("g").cast("double")
+        exact_sum(w).alias("g"), exact_sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
+    total = exact_sum(F.col("g"), _product())
+    grams = F.col("g")
     totalled = sums.withColumn("total", F.when(total > 0, total).otherwise(1.0))
     shares = with_rounded(totalled, percent=(grams / F.col("total") * 100.0, 2), recycled_percent=(ratio(F.col("wp"), grams), 2), grams=(grams, 2))
     return shares.select("tree_id", "material_static_id", "material_name", "rare", "hazardous", "grams", "recycled_percent", "percent")
@@ -92,10 +92,10 @@ def shares_by_static(uses: DataFrame) -> DataFrame:
 
 def summary_by_name(uses: DataFrame) -> DataFrame:
     """Summary by name, added up from masses and recycled percentages already rounded to two places."""
-    w, p = F.col("grams").cast("decimal(18,2)"), F.col("recycled_percent").cast("decimal(18,2)")
-    names = shares_by_static(uses).groupBy("tree_id", "material_name").agg(F.sum(w).alias("g"), F.sum(w * p).cast("double").alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
-    total = F.sum("g").over(_product()).cast("double")
-    grams = F.col("g").cast("double")
+    w, p = F.col("grams"), F.col("recycled_percent")
+    names = shares_by_static(uses).groupBy("tree_id", "material_name").agg(exact_sum(w).alias("g"), exact_sum(w * p).alias("wp"), F.bool_or("rare").alias("rare"), F.bool_or("hazardous").alias("hazardous"))
+    total = exact_sum(F.col("g"), _product())
+    grams = F.col("g")
     totalled = names.withColumn("total", total)
     shared = with_rounded(totalled, percent=(ratio(grams, F.col("total")) * 100.0, 2), recycled_percent=(ratio(F.col("wp"), grams), 2), grams=(grams, 4))
     shared = shared.select("tree_id", "material_name", "rare", "hazardous", "grams", "percent", "recycled_percent")
@@ -105,7 +105,7 @@ def summary_by_name(uses: DataFrame) -> DataFrame:
 
 def hazardous_locations(uses: DataFrame) -> DataFrame:
     """Hazardous materials by part, parts counted once, with their warnings and share of the product's rounded mass."""
-    totals = shares_by_static(uses).groupBy(F.col("tree_id").alias("t")).agg(exact_sum(F.col("grams"), 2).alias("total"))
+    totals = shares_by_static(uses).groupBy(F.col("tree_id").alias("t")).agg(exact_sum(F.col("grams")).alias("total"))
     found = _named(once_per_part(uses)).where("hazardous")
     by_part = found.groupBy("tree_id", "material_name", "part_id").agg(exact_sum(F.col("weight_g")).alias("grams"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))), ",").alias("warnings"))
     return by_part.join(totals, F.col("tree_id") == F.col("t")).select("tree_id", "material_name", "part_id", "grams", "warnings", (F.col("grams") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0) * 100.0).alias("percent"))
@@ -121,7 +121,6 @@ def end_of_life_buckets(uses: DataFrame) -> DataFrame:
 def pie(shares: DataFrame) -> DataFrame:
     """Start and end of each material's slice, 0 to 1, the heaviest first."""
     order = _product().orderBy(F.desc("grams"), "material_name")
-    w = F.col("grams").cast("decimal(18,6)")
-    to = F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
-    total = F.sum(w).over(_product()).cast("double")
+    to = exact_sum(F.col("grams"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = exact_sum(F.col("grams"), _product())
     return shares.select("tree_id", "material_name", ((to - F.col("grams")) / total).alias("from_share"), (to / total).alias("to_share"))

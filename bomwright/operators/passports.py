@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
 from ..functions.scalars import age_days, clean_text, rounded
 from . import materials, processes, services, trees
 
@@ -139,7 +140,7 @@ def user_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, steps:
 def end_of_life_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, service_steps: DataFrame) -> DataFrame:
     """What dismantlers see: materials unrounded, rare and hazardous mass, services."""
     shares = materials.overall_shares(uses).withColumnRenamed("tree_id", "u").withColumnRenamed("grams", "mass_g")
-    kinds = materials.end_of_life_buckets(uses).groupBy(F.col("tree_id").alias("b")).agg(*(F.sum(F.when(F.col("bucket") == k, F.col("grams").cast("decimal(24,6)"))).cast("double").alias(f"{k}_g") for k in ("rare", "hazardous")))
+    kinds = materials.end_of_life_buckets(uses).groupBy(F.col("tree_id").alias("b")).agg(*(exact_sum(F.when(F.col("bucket") == k, F.col("grams"))).alias(f"{k}_g") for k in ("rare", "hazardous")))
     done = services.bucket_totals(service_steps).withColumnRenamed("instance_id", "s")
     parts = trees.subtree_counts(nodes).select(F.col("part_id").alias("root"), "n_parts")
     out = instances.select("instance_id", "static_id", "root_part_id", "discontinued")

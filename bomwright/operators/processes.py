@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import classify_step, exact_sum, map_category, rounded
+from ..functions.exact import exact_sum
+from ..functions.scalars import classify_step, map_category, rounded
 from .trees import first_visits
 
 #: Fixed values.
@@ -46,7 +47,7 @@ def ghg_by_category(emissions: DataFrame) -> DataFrame:
 
 def ghg_total(emissions: DataFrame) -> DataFrame:
     """The total, added up from scopes already rounded."""
-    return ghg_by_scope(emissions).groupBy("tree_id").agg(exact_sum(F.col("kg"), 3).alias("kg")).select("tree_id", rounded(F.col("kg"), 3).alias("kg"))
+    return ghg_by_scope(emissions).groupBy("tree_id").agg(exact_sum(F.col("kg")).alias("kg")).select("tree_id", rounded(F.col("kg"), 3).alias("kg"))
 
 
 def counted_records(emissions: DataFrame) -> DataFrame:

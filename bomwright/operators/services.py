@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BUCKETS, SERVICE_TYPES, exact_sum, fractional_days, is_secondary, ratio, rounded, service_bucket, shown_cost, short_type, trimmed_symptoms, whole_days
+from ..functions.exact import exact_sum
+from ..functions.scalars import BUCKETS, SERVICE_TYPES, fractional_days, is_secondary, ratio, rounded, service_bucket, shown_cost, short_type, trimmed_symptoms, whole_days
 from .trees import closure
 
 BUCKET_NAMES = tuple(name for _, name in BUCKETS)
@@ -115,7 +116,7 @@ def diagnosis_figures(steps: DataFrame, whole: bool) -> DataFrame:
     """Mean cost and mean days since declaration of each diagnosis; days before it do not count."""
     days = whole_days(F.col("begin_at"), F.col("declared_at")) if whole else fractional_days(F.col("begin_at"), F.col("declared_at"))
     known = steps.where(is_secondary(F.col("type")) & (F.coalesce("diagnose", F.lit("")) != "")).withColumn("days", F.when(days >= 0, days))
-    sums = known.groupBy("static_id", "diagnose").agg(exact_sum(F.coalesce("cost", F.lit(0.0))).alias("cost"), F.count("*").alias("n"), F.sum(F.col("days").cast("decimal(24,9)")).cast("double").alias("days"), F.count("days").alias("n_days"))
+    sums = known.groupBy("static_id", "diagnose").agg(exact_sum(F.coalesce("cost", F.lit(0.0))).alias("cost"), F.count("*").alias("n"), exact_sum(F.col("days")).alias("days"), F.count("days").alias("n_days"))
     return sums.select(F.col("static_id").alias("of"), F.col("diagnose").alias("is"), (F.col("cost") / F.col("n")).alias("avg_cost"), F.when(F.col("n_days") > 0, F.col("days") / F.col("n_days")).alias("avg_days"))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..functions.scalars import exact_sum, ratio, rounded
+from ..functions.exact import exact_sum
+from ..functions.scalars import ratio, rounded
 from . import materials, passports, processes, services, trees
 
 ROLES = ("manufacturer", "importer", "operator")
@@ -56,19 +57,19 @@ def part_blocks(nodes: DataFrame) -> DataFrame:
 
 def material_block(uses: DataFrame) -> DataFrame:
     """Of each product, by ``of``: its materials, the heaviest first, their mass, and what of it is recycled and rare, in percent."""
-    g, wp = F.col("g").cast("double"), F.col("wp").cast("double")
+    g, wp = F.col("g"), F.col("wp")
     recycled = ratio(wp, g)
     item = F.struct((-F.col("g")).alias("order"), "material_name", g.alias("grams"), recycled.alias("recycled_percent"), (100.0 - recycled).alias("virgin_percent"))
-    rare = F.when(F.col("rare"), F.col("g")).otherwise(0)
+    rare = F.when(F.col("rare"), F.col("g")).otherwise(0.0)
     sums = materials.totals_by_name(uses).groupBy(F.col("tree_id").alias("of")).agg(
-        F.sort_array(F.collect_list(item)).alias("items"), F.sum("g").cast("double").alias("grams"), F.sum("wp").cast("double").alias("recycled"), F.sum(rare).cast("double").alias("rare"))
+        F.sort_array(F.collect_list(item)).alias("items"), exact_sum(F.col("g")).alias("grams"), exact_sum(F.col("wp")).alias("recycled"), exact_sum(rare).alias("rare"))
     with_share = F.transform("items", lambda m: m.dropFields("order").withField("percent", ratio(m["grams"], F.col("grams")) * 100.0))
     return sums.select("of", with_share.alias("materials"), "grams", ratio(F.col("recycled"), F.col("grams")).alias("recycled_percent"), (ratio(F.col("rare"), F.col("grams")) * 100.0).alias("rare_percent"))
 
 
 def emission_blocks(emissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each product, by ``of``: emissions by scope with their total, and by category."""
-    scopes = processes.ghg_by_scope(emissions).groupBy(F.col("tree_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("scope", "kg"))).alias("scopes"), exact_sum(F.col("kg"), 3).alias("ghg_kg"))
+    scopes = processes.ghg_by_scope(emissions).groupBy(F.col("tree_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("scope", "kg"))).alias("scopes"), exact_sum(F.col("kg")).alias("ghg_kg"))
     return scopes.withColumn("ghg_kg", rounded(F.col("ghg_kg"), 3)), gathered(processes.ghg_by_category(emissions), "tree_id", "categories", "category", "kg")
 
 
@@ -88,11 +89,11 @@ def holding_blocks(uses: DataFrame, names: DataFrame) -> list[DataFrame]:
     out = []
     for kind in ("rare", "hazardous"):
         held = uses.where(F.col(kind)).withColumn("material_name", F.coalesce("material_name", F.lit("Unknown")))
-        parts = held.groupBy("tree_id", "material_name", "part_id").agg(F.sum(F.col("weight_g").cast("decimal(18,6)")).alias("g"), F.flatten(F.collect_set("warnings")).alias("w"))
+        parts = held.groupBy("tree_id", "material_name", "part_id").agg(exact_sum(F.col("weight_g")).alias("g"), F.flatten(F.collect_set("warnings")).alias("w"))
         parts = parts.join(shown, F.col("part_id") == F.col("named"), "left")
-        item = F.struct("part_id", F.coalesce("name", F.col("part_id").cast("string")).alias("name"), F.coalesce("path", F.col("part_id").cast("string")).alias("path"), F.col("g").cast("double").alias("grams"))
+        item = F.struct("part_id", F.coalesce("name", F.col("part_id").cast("string")).alias("name"), F.coalesce("path", F.col("part_id").cast("string")).alias("path"), F.col("g").alias("grams"))
         by_name = parts.groupBy("tree_id", "material_name").agg(
-            F.sum("g").cast("double").alias("grams"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"), F.sort_array(F.collect_list(item)).alias("parts"))
+            exact_sum(F.col("g")).alias("grams"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"), F.sort_array(F.collect_list(item)).alias("parts"))
         out.append(gathered(by_name, "tree_id", kind, "material_name", "grams", "warnings", "parts"))
     return out
 

@@ -20,22 +20,22 @@ def kinds(of: str = "type") -> str:
 MAP_COUNTS = ", ".join(f"count(*) FILTER (kind = '{t}') AS {c}" for c, t in CATEGORIES.items())
 NAME_COUNTS = "count(*) FILTER (type = 'TransportStep') AS transport, count(*) FILTER (type IN ('ProductionStep', 'RemanufacturingServiceStep')) AS production, 0::BIGINT AS secondary, count(*) AS total"
 
-NAMED_MASS = f"named AS (SELECT tree_id, material_name, {exact('weight_g')} AS grams, sum(weight_g::DECIMAL(18,6) * pct_recycled::DECIMAL(18,6))::DOUBLE AS wp, bool_or(rare) AS rare FROM uses GROUP BY ALL)"
+NAMED_MASS = f"named AS (SELECT tree_id, material_name, {exact('weight_g')} AS grams, {exact('weight_g * pct_recycled')} AS wp, bool_or(rare) AS rare FROM uses GROUP BY ALL)"
 OVERALL = f"""overall AS (
-  SELECT tree_id, {exact('weight_g')} AS grams, sum(weight_g::DECIMAL(18,6) * pct_recycled::DECIMAL(18,6))::DOUBLE AS wp,
-         coalesce(sum(CASE WHEN name_rare THEN weight_g::DECIMAL(18,6) ELSE 0 END)::DOUBLE, 0) AS rare_g
+  SELECT tree_id, {exact('weight_g')} AS grams, {exact('weight_g * pct_recycled')} AS wp,
+         coalesce({exact('CASE WHEN name_rare THEN weight_g ELSE 0 END')}, 0) AS rare_g
   FROM (SELECT *, bool_or(rare) OVER (PARTITION BY tree_id, material_name) AS name_rare FROM uses) GROUP BY tree_id
 )"""
 BY_STATIC = f"""sums AS (
-  SELECT tree_id, material_static_id, material_name, sum(weight_g::DECIMAL(18,6)) AS g, sum(weight_g::DECIMAL(18,6) * pct_recycled::DECIMAL(18,6))::DOUBLE AS wp, bool_or(rare) AS rare, bool_or(hazardous) AS hazardous
+  SELECT tree_id, material_static_id, material_name, {exact('weight_g')} AS g, {exact('weight_g * pct_recycled')} AS wp, bool_or(rare) AS rare, bool_or(hazardous) AS hazardous
   FROM once GROUP BY ALL
-), totals AS (SELECT tree_id, CASE WHEN sum(g)::DOUBLE > 0 THEN sum(g)::DOUBLE ELSE 1 END AS total FROM sums GROUP BY ALL), shares AS (
+), totals AS (SELECT tree_id, CASE WHEN {exact('g')} > 0 THEN {exact('g')} ELSE 1 END AS total FROM sums GROUP BY ALL), shares AS (
   SELECT tree_id, material_static_id, material_name, rare, hazardous, {rounded('g::DOUBLE', 2)} AS grams,
          {rounded('CASE WHEN g::DOUBLE > 0 THEN wp / g::DOUBLE ELSE 0 END', 2)} AS recycled_percent, {rounded('g::DOUBLE / total * 100.0::DOUBLE', 2)} AS percent
   FROM sums JOIN totals USING (tree_id)
 )"""
-PURITY = """pure AS (
-  SELECT tree_id, material_name, sum(weight_g::DECIMAL(18,6) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN purity > 1.5 THEN purity / 100.0::DOUBLE ELSE purity END))::DECIMAL(18,8))::DOUBLE / sum(weight_g::DECIMAL(18,6))::DOUBLE AS mean_purity
+PURITY = f"""pure AS (
+  SELECT tree_id, material_name, {exact('weight_g * least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN purity > 1.5 THEN purity / 100.0::DOUBLE ELSE purity END))')} / {exact('weight_g')} AS mean_purity
   FROM uses WHERE weight_g > 0 GROUP BY ALL
 )"""
 MTBF = """CASE WHEN mtbf_hrs IS NOT NULL THEN greatest(0.0, mtbf_hrs - operating_hrs) END AS remaining_hrs, coalesce(operating_hrs >= mtbf_hrs, false) AS exceeded"""
@@ -68,18 +68,18 @@ def thousandths(x: str, times: int = 1000) -> str:
 
 
 MATERIAL_TEXT = f"""heavy AS (
-  SELECT tree_id, material_name, {exact('weight_g')} AS g, sum(weight_g::DECIMAL(18,6) * pct_recycled::DECIMAL(18,6))::DOUBLE AS wp FROM uses GROUP BY ALL
-), totalled AS (SELECT *, sum(g::DECIMAL(18,6)) OVER (PARTITION BY tree_id)::DOUBLE AS total FROM heavy
+  SELECT tree_id, material_name, {exact('weight_g')} AS g, {exact('weight_g * pct_recycled')} AS wp FROM uses GROUP BY ALL
+), totalled AS (SELECT *, {exact('g', 'OVER (PARTITION BY tree_id)')} AS total FROM heavy
 ), percents AS (SELECT *, CASE WHEN g > 0 THEN wp / g ELSE 0 END AS recycled, CASE WHEN total > 0 THEN g / total ELSE 0 END * 100.0::DOUBLE AS share FROM totalled
 ), material_text AS (
   SELECT tree_id AS of, string_agg(concat_ws(':', material_name, {thousandths('g')}, {thousandths('share', 100)}, {thousandths('recycled', 100)}, {thousandths('(100.0::DOUBLE - recycled)', 100)}), ';' ORDER BY g DESC, material_name) AS materials
   FROM percents GROUP BY ALL
 )"""
 HELD = f"""bearing AS (
-  SELECT tree_id, kind, material_name, part_id, sum(weight_g::DECIMAL(18,6)) AS g, list(warnings) AS w
+  SELECT tree_id, kind, material_name, part_id, {exact('weight_g')} AS g, list(warnings) AS w
   FROM (SELECT *, unnest([CASE WHEN rare THEN 'rare' END, CASE WHEN hazardous THEN 'hazardous' END]) AS kind FROM uses) WHERE kind IS NOT NULL GROUP BY ALL
 ), crumbs AS (SELECT part_id, array_to_string(names, ' → ') AS crumb FROM node), held AS (
-  SELECT tree_id, kind, material_name, sum(g)::DOUBLE AS grams, list_sort(list_distinct(flatten(flatten(list(w))))) AS warnings,
+  SELECT tree_id, kind, material_name, {exact('g')} AS grams, list_sort(list_distinct(flatten(flatten(list(w))))) AS warnings,
          string_agg(coalesce(crumb, b.part_id::VARCHAR) || '=' || {thousandths('g::DOUBLE')}, '+' ORDER BY b.part_id) AS parts
   FROM bearing b LEFT JOIN crumbs c ON c.part_id = b.part_id GROUP BY ALL
 ), held_text AS (
@@ -100,7 +100,7 @@ def top2(days: str) -> str:
 , counts AS (SELECT static_id, symptom, diagnose, count(*) AS n, min(seen) AS first FROM symptom_rows GROUP BY ALL), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY static_id, symptom)::BIGINT AS total, row_number() OVER (PARTITION BY static_id, symptom ORDER BY n DESC, first) AS rank FROM counts
 ), timed AS (SELECT *, {days} AS days FROM services WHERE diagnose <> ''), figures AS (
-  SELECT static_id, diagnose, {exact('coalesce(cost, 0)')} / count(*) AS avg_cost, sum(days::DECIMAL(24,9)) FILTER (days >= 0)::DOUBLE / nullif(count(*) FILTER (days >= 0), 0) AS avg_days FROM timed GROUP BY ALL
+  SELECT static_id, diagnose, {exact('coalesce(cost, 0)')} / count(*) AS avg_cost, {exact('CASE WHEN days >= 0 THEN days END', bits=80)} / nullif(count(*) FILTER (days >= 0), 0) AS avg_days FROM timed GROUP BY ALL
 )
 SELECT r.static_id, r.symptom, r.rank::INT AS rank, r.diagnose, r.n, r.n / r.total AS probability, f.avg_cost, f.avg_days
 FROM ranked r LEFT JOIN figures f USING (static_id, diagnose) WHERE rank <= 2""".lstrip())
@@ -151,27 +151,27 @@ def nested_parts(depth: int = 12) -> str:
 
 
 SQL: dict[str, str] = {
-    "material_mass_by_name": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN total > 0 THEN grams / total ELSE 0 END * 100.0::DOUBLE AS percent FROM named JOIN (SELECT tree_id, sum(weight_g::DECIMAL(18,6))::DOUBLE AS total FROM uses GROUP BY ALL) USING (tree_id)"),
+    "material_mass_by_name": with_views([USES, NAMED_MASS], f"SELECT tree_id, material_name, grams, CASE WHEN total > 0 THEN grams / total ELSE 0 END * 100.0::DOUBLE AS percent FROM named JOIN (SELECT tree_id, {exact('weight_g')} AS total FROM uses GROUP BY ALL) USING (tree_id)"),
     "material_recycled_share": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, 100.0::DOUBLE - CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS virgin_percent FROM named"),
     "material_overall_shares": with_views([USES, OVERALL], "SELECT tree_id, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE AS rare_percent FROM overall"),
     "material_purity_mean": with_views([USES, PURITY], "SELECT * FROM pure"),
-    "rare_earth_metrics": with_views([USES], f""", named AS (SELECT tree_id, material_name, sum(weight_g::DECIMAL(18,6)) AS g, bool_or(rare) AS rare FROM once_material GROUP BY ALL), totals AS (SELECT tree_id, sum(g)::DOUBLE AS total FROM named GROUP BY ALL)
+    "rare_earth_metrics": with_views([USES], f""", named AS (SELECT tree_id, material_name, {exact('weight_g')} AS g, bool_or(rare) AS rare FROM once_material GROUP BY ALL), totals AS (SELECT tree_id, {exact('g')} AS total FROM named GROUP BY ALL)
 SELECT tree_id, material_name, {rounded('g::DOUBLE', 4)} AS grams, {rounded('CASE WHEN total > 0 THEN g::DOUBLE / total ELSE 0 END * 100.0::DOUBLE', 2)} AS percent FROM named JOIN totals USING (tree_id) WHERE rare"""),
     "material_shares_by_static": with_views([USES, BY_STATIC], "SELECT * FROM shares"),
     "material_summary_by_name": with_views([USES, BY_STATIC, PURITY], f""", named AS (
-  SELECT tree_id, material_name, bool_or(rare) AS rare, bool_or(hazardous) AS hazardous, sum(grams::DECIMAL(18,2)) AS g, sum(grams::DECIMAL(18,2) * recycled_percent::DECIMAL(18,2))::DOUBLE AS wp FROM shares GROUP BY ALL
-), all_grams AS (SELECT tree_id, sum(g)::DOUBLE AS total FROM named GROUP BY ALL)
+  SELECT tree_id, material_name, bool_or(rare) AS rare, bool_or(hazardous) AS hazardous, {exact('grams')} AS g, {exact('grams * recycled_percent')} AS wp FROM shares GROUP BY ALL
+), all_grams AS (SELECT tree_id, {exact('g')} AS total FROM named GROUP BY ALL)
 SELECT tree_id, material_name, rare, hazardous, {rounded('g::DOUBLE', 4)} AS grams, {rounded('CASE WHEN all_grams.total > 0 THEN g::DOUBLE / all_grams.total ELSE 0 END * 100.0::DOUBLE', 2)} AS percent,
        {rounded('CASE WHEN g > 0 THEN wp / g::DOUBLE ELSE 0 END', 2)} AS recycled_percent, mean_purity
 FROM named JOIN all_grams USING (tree_id) LEFT JOIN pure USING (tree_id, material_name)"""),
-    "hazardous_locations": with_views([USES, BY_STATIC], f""", mass AS (SELECT tree_id, {exact('grams', 2)} AS total FROM shares GROUP BY ALL), flat AS (SELECT DISTINCT tree_id, material_name, part_id, unnest(warnings) AS w FROM once WHERE hazardous), found AS (
+    "hazardous_locations": with_views([USES, BY_STATIC], f""", mass AS (SELECT tree_id, {exact('grams')} AS total FROM shares GROUP BY ALL), flat AS (SELECT DISTINCT tree_id, material_name, part_id, unnest(warnings) AS w FROM once WHERE hazardous), found AS (
   SELECT tree_id, material_name, part_id, {exact('weight_g')} AS grams FROM once WHERE hazardous GROUP BY ALL
 ), said AS (SELECT tree_id, material_name, part_id, string_agg(w, ',' ORDER BY w) AS warnings FROM flat GROUP BY ALL)
 SELECT tree_id, material_name, part_id, grams, warnings, grams / CASE WHEN mass.total > 0 THEN mass.total ELSE 1 END * 100.0::DOUBLE AS percent FROM found JOIN said USING (tree_id, material_name, part_id) JOIN mass USING (tree_id)"""),
     "end_of_life_buckets": with_views([USES], f""", rows AS (SELECT *, 'rare' AS bucket FROM uses WHERE rare UNION ALL SELECT *, 'hazardous' FROM uses WHERE hazardous), ids AS (SELECT DISTINCT tree_id, bucket, material_name, part_id FROM rows)
 SELECT tree_id, bucket, material_name, grams, parts FROM (SELECT tree_id, bucket, material_name, {exact('weight_g')} AS grams FROM rows GROUP BY ALL) JOIN (SELECT tree_id, bucket, material_name, string_agg(part_id::VARCHAR, ',' ORDER BY part_id) AS parts FROM ids GROUP BY ALL) USING (tree_id, bucket, material_name)"""),
-    "pie_cumulative_share": with_views([USES, NAMED_MASS], """SELECT tree_id, material_name, (upto - grams) / total AS from_share, upto / total AS to_share FROM (
-  SELECT *, sum(grams::DECIMAL(18,6)) OVER (PARTITION BY tree_id ORDER BY grams DESC, material_name ROWS UNBOUNDED PRECEDING)::DOUBLE AS upto, sum(grams::DECIMAL(18,6)) OVER (PARTITION BY tree_id)::DOUBLE AS total FROM named)"""),
+    "pie_cumulative_share": with_views([USES, NAMED_MASS], f"""SELECT tree_id, material_name, (upto - grams) / total AS from_share, upto / total AS to_share FROM (
+  SELECT *, {exact('grams', 'OVER (PARTITION BY tree_id ORDER BY grams DESC, material_name ROWS UNBOUNDED PRECEDING)')} AS upto, {exact('grams', 'OVER (PARTITION BY tree_id)')} AS total FROM named)"""),
     "tree_flatten": with_views(NODE, "SELECT tree_id, part_id, parent_id, lvl, name, is_modular, has_failstate, mtbf_hrs FROM node"),
     "tree_breadcrumbs": with_views(NODE, "SELECT tree_id, part_id, lvl, array_to_string(names, ' → ') AS breadcrumb FROM node"),
     "tree_descendant_counts": with_views(CLOSURE, "SELECT ancestor AS part_id, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (is_modular) AS n_modular FROM closure GROUP BY ALL"),
@@ -185,13 +185,15 @@ SELECT part_id, (min(row) + max(row)) / 2.0::DOUBLE AS y FROM (SELECT unnest(pat
     "linked_sub_passports": with_views([CLOSURE, PASSPORTS], """, roots AS (SELECT root_part_id, min(instance_id) AS linked_id FROM passports GROUP BY ALL)
 SELECT p.instance_id, c.descendant AS part_id, t.name AS part_name, r.linked_id FROM passports p JOIN closure c ON p.root_part_id = c.ancestor AND distance > 0 JOIN roots r ON r.root_part_id = c.descendant JOIN parts t ON t.part_id = c.descendant WHERE r.linked_id <> p.instance_id"""),
     "step_category_counts": with_views(STEPS, f"SELECT tree_id, {NAME_COUNTS} FROM steps GROUP BY ALL"),
-    "transport_km": with_views(STEPS, f""", sums AS (SELECT tree_id, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) AS p, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS m FROM steps GROUP BY ALL)
+    "transport_km": with_views(STEPS, f""", sums AS (SELECT tree_id, coalesce({exact("CASE WHEN owner_kind = 'part' THEN distance_km END")}, 0) AS p, coalesce({exact("CASE WHEN owner_kind = 'material' THEN distance_km END")}, 0) AS m FROM steps GROUP BY ALL)
 SELECT tree_id, {rounded('p', 3)} AS parts_km, {rounded('m', 3)} AS materials_km, {rounded('p + m', 3)} AS total_km FROM sums"""),
-    "transport_km_transports_only": with_views(STEPS, f""", sums AS (SELECT tree_id, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) AS p, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS m FROM steps WHERE type = 'TransportStep' GROUP BY ALL)
+    "transport_km_transports_only": with_views(STEPS, f""", sums AS (SELECT tree_id, coalesce({exact("CASE WHEN owner_kind = 'part' THEN distance_km END")}, 0) AS p, coalesce({exact("CASE WHEN owner_kind = 'material' THEN distance_km END")}, 0) AS m FROM steps WHERE type = 'TransportStep' GROUP BY ALL)
 SELECT tree_id, {rounded('p', 3)} AS parts_km, {rounded('m', 3)} AS materials_km, {rounded('p + m', 3)} AS total_km FROM sums"""),
     "ghg_by_scope": with_views(EMISSIONS, f"SELECT tree_id, coalesce(scope, 'Unknown') AS scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL"),
     "ghg_by_category": with_views(EMISSIONS, f"SELECT tree_id, CASE WHEN scope = 'Scope 3' THEN coalesce(category, 'Uncategorized') ELSE 'direct' END AS category, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY 1, 2"),
-    "ghg_total": with_views(EMISSIONS, f"SELECT tree_id, {rounded(exact('kg', 3), 3)} AS kg FROM (SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL) GROUP BY tree_id"),
+    "ghg_total": with_views(EMISSIONS, f"SELECT tree_id, {rounded(exact('kg'), 3)} AS kg FROM (SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL) GROUP BY tree_id"),
+    "ghg_sums_of_all_sizes": with_views(EMISSIONS, f""", sized AS (SELECT tree_id, quantity * [4e-9::DOUBLE, 1e11::DOUBLE, 0.1::DOUBLE][step_line % 3 + 1] AS kg FROM emissions)
+SELECT tree_id, {exact('kg', bits=81)} AS kg, coalesce({exact('CASE WHEN kg <= 1e10 THEN kg END', bits=81)}, 0) AS small_kg FROM sized GROUP BY ALL"""),
     "ghg_footprint_dedup": with_views(EMISSIONS, f"SELECT t.tree_id, s.scope, {rounded('coalesce(kg, 0)', 6)} AS kg FROM (SELECT DISTINCT tree_id FROM counted) t CROSS JOIN (VALUES ('Scope 1'), ('Scope 2'), ('Scope 3')) s(scope) LEFT JOIN (SELECT tree_id, scope, {exact('kg')} AS kg FROM counted GROUP BY ALL) c ON c.tree_id = t.tree_id AND c.scope = s.scope"),
     "ghg_footprint_by_category": with_views(EMISSIONS, f"SELECT tree_id, coalesce(scope, '') AS scope, CASE WHEN scope = 'Scope 3' THEN category ELSE 'direct' END AS category, {rounded(exact('kg'), 6)} AS kg FROM counted GROUP BY 1, 2, 3"),
     "map_nodes": with_views([STEPS, PLACES], f""", seen AS (SELECT tree_id, place_id, type AS kind FROM mapped UNION ALL SELECT tree_id, dest_id, NULL FROM mapped WHERE dest_id IS NOT NULL)
@@ -304,13 +306,13 @@ SELECT static_id, '[{CONTEXT}' || {LINE_NODE} || ',' || inner_json || ']' AS jso
     "jsonld_part_tree": with_views(NODE, nested_parts()),
     "user_summary": with_views([CLOSURE, PASSPORTS, USES, OVERALL, STEPS, EMISSIONS], f""", t AS (SELECT ancestor, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (is_modular) AS n_modular FROM closure GROUP BY ALL),
  m AS (SELECT tree_id, {rounded('grams', 3)} AS grams, {rounded('CASE WHEN grams > 0 THEN wp / grams ELSE 0 END', 2)} AS recycled_percent, {rounded('CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE', 2)} AS rare_percent FROM overall),
- c AS (SELECT tree_id, {NAME_COUNTS.replace('AS total', 'AS steps')}, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) + coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS km FROM steps GROUP BY ALL),
- g AS (SELECT tree_id, {rounded(exact('kg', 3), 3)} AS kg FROM (SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL) GROUP BY tree_id)
+ c AS (SELECT tree_id, {NAME_COUNTS.replace('AS total', 'AS steps')}, coalesce({exact("CASE WHEN owner_kind = 'part' THEN distance_km END")}, 0) + coalesce({exact("CASE WHEN owner_kind = 'material' THEN distance_km END")}, 0) AS km FROM steps GROUP BY ALL),
+ g AS (SELECT tree_id, {rounded(exact('kg'), 3)} AS kg FROM (SELECT tree_id, scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL) GROUP BY tree_id)
 SELECT instance_id, static_id, root_part_id, coalesce(grams, 0) AS grams, coalesce(recycled_percent, 0) AS recycled_percent, coalesce(rare_percent, 0) AS rare_percent, coalesce(transport, 0) AS transport, coalesce(production, 0) AS production, coalesce(secondary, 0) AS secondary, coalesce(steps, 0) AS steps,
        {rounded('coalesce(km, 0)', 3)} AS total_km, coalesce(kg, 0) AS ghg_kg, coalesce(n_parts, 0) AS n_parts, coalesce(n_fail, 0) AS n_fail, coalesce(n_modular, 0) AS n_modular
 FROM passports p LEFT JOIN t ON root_part_id = ancestor LEFT JOIN m ON m.tree_id = instance_id LEFT JOIN c ON c.tree_id = instance_id LEFT JOIN g ON g.tree_id = instance_id"""),
     "end_of_life_summary": with_views([CLOSURE, PASSPORTS, USES, OVERALL, SERVICES, BUCKETS], f""", t AS (SELECT ancestor, count(*) AS n_parts FROM closure GROUP BY ALL),
- b AS (SELECT tree_id, coalesce(sum(weight_g::DECIMAL(18,6)) FILTER (rare)::DOUBLE, 0) AS rare_g, coalesce(sum(weight_g::DECIMAL(18,6)) FILTER (hazardous)::DOUBLE, 0) AS hazardous_g FROM uses GROUP BY ALL)
+ b AS (SELECT tree_id, coalesce({exact('CASE WHEN rare THEN weight_g END')}, 0) AS rare_g, coalesce({exact('CASE WHEN hazardous THEN weight_g END')}, 0) AS hazardous_g FROM uses GROUP BY ALL)
 SELECT p.instance_id, static_id, root_part_id, discontinued, coalesce(grams, 0) AS mass_g, coalesce(CASE WHEN grams > 0 THEN wp / grams ELSE 0 END, 0) AS recycled_percent, coalesce(CASE WHEN grams > 0 THEN o.rare_g / grams ELSE 0 END, 0) * 100.0::DOUBLE AS rare_percent,
        coalesce(b.rare_g, 0) AS rare_g, coalesce(hazardous_g, 0) AS hazardous_g, coalesce(cost_eur, 0) AS cost_eur, {', '.join(f'coalesce({k.lower()}, 0) AS {k.lower()}' for k in SERVICE_KINDS)}, coalesce(n_parts, 0) AS n_parts
 FROM passports p LEFT JOIN t ON root_part_id = ancestor LEFT JOIN overall o ON o.tree_id = p.instance_id LEFT JOIN b ON b.tree_id = p.instance_id LEFT JOIN bucketed s ON s.instance_id = p.instance_id"""),
@@ -324,9 +326,9 @@ SELECT static_id, n_instances, operations, operations / n_instances AS avg_per_i
     "user_view": with_views([CLOSURE, PASSPORTS, ORGANISATIONS, USES, OVERALL, STEPS, EMISSIONS, PLACES, LINES, LINKED, PART_TEXT, MATERIAL_TEXT], f""", m AS (
   SELECT tree_id AS of, {rounded('CASE WHEN grams > 0 THEN wp / grams ELSE 0 END', 2)} AS recycled_percent, {rounded('CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE', 2)} AS rare_percent FROM overall
 ), c AS (
-  SELECT tree_id AS of, {NAME_COUNTS.replace('AS total', 'AS n_steps')}, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'part')::DOUBLE, 0) AS p, coalesce(sum(distance_km::DECIMAL(18,6)) FILTER (owner_kind = 'material')::DOUBLE, 0) AS m FROM steps GROUP BY ALL
+  SELECT tree_id AS of, {NAME_COUNTS.replace('AS total', 'AS n_steps')}, coalesce({exact("CASE WHEN owner_kind = 'part' THEN distance_km END")}, 0) AS p, coalesce({exact("CASE WHEN owner_kind = 'material' THEN distance_km END")}, 0) AS m FROM steps GROUP BY ALL
 ), s AS (SELECT tree_id, coalesce(scope, 'Unknown') AS scope, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY ALL
-), g AS (SELECT tree_id AS of, {rounded(exact('kg', 3), 3)} AS ghg_kg, string_agg(scope || ':' || {thousandths('kg')}, ';' ORDER BY scope) AS scopes FROM s GROUP BY ALL
+), g AS (SELECT tree_id AS of, {rounded(exact('kg'), 3)} AS ghg_kg, string_agg(scope || ':' || {thousandths('kg')}, ';' ORDER BY scope) AS scopes FROM s GROUP BY ALL
 ), k AS (SELECT tree_id, CASE WHEN scope = 'Scope 3' THEN coalesce(category, 'Uncategorized') ELSE 'direct' END AS category, {rounded(exact('kg'), 3)} AS kg FROM emissions GROUP BY 1, 2
 ), h AS (SELECT tree_id AS of, string_agg(category || ':' || {thousandths('kg')}, ';' ORDER BY category) AS categories FROM k GROUP BY ALL
 ), b AS (SELECT static_id AS of, string_agg(name, ';' ORDER BY pos) AS returning_places FROM (SELECT static_id, unnest([0, 1, 2]) AS pos, unnest([static_id % 25, static_id % 7, static_id + 10]) AS asked FROM listed) JOIN places ON asked = place_id GROUP BY ALL

@@ -95,8 +95,11 @@ def rounded(x: str, digits: int) -> str:
     return f"(printf('%.{digits}f', {x})::DOUBLE + 0.0::DOUBLE)"
 
 
-def exact(x: str, scale: int = 6) -> str:
-    return f"sum(({x})::DECIMAL(18,{scale}))::DOUBLE"
+def exact(x: str, over: str = "", bits: int = 64) -> str:
+    """A sum as whole multiples of 2 ** -bits, which these values are, rounded once: the first 59 bits or so of the total and one for the rest."""
+    p = "(2.0::DOUBLE ** greatest(0, floor(log2(greatest(abs(v), 1)::DOUBLE))::INT - 58))::HUGEINT"
+    near = f"list_transform([{p}], lambda p: sign(v) * (abs(v) // p * 2 + CASE WHEN abs(v) % p > 0 THEN 1 ELSE 0 END)::DOUBLE * p::DOUBLE)[1]"
+    return f"(list_transform([sum((({x})::DOUBLE * {2.0 ** bits!r}::DOUBLE)::HUGEINT) {over}], lambda v: {near})[1] / {2.0 ** (bits + 1)!r}::DOUBLE)"
 
 
 def with_views(views: str | list[str], body: str) -> str:
