@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import exact_sum
 from ..functions.scalars import age_days, clean_text, rounded
 from . import materials, processes, services, trees
+from .ranks import ranked
 
 
 class NotFound(LookupError):
@@ -91,14 +92,8 @@ def search(instances: DataFrame, term: str) -> DataFrame:
     t = term.strip().lower()
     hit = F.lower("product_name").contains(t) | F.lower(F.col("instance_id").cast("string")).contains(t)
     found = instances.where(F.coalesce(hit, F.lit(False))).select("instance_id", "product_name", "discontinued")
-    # Positions within few ranges of the order, and before each range the sizes of those before it.
-    order = [F.coalesce("discontinued", F.lit(False)).cast("int"), F.coalesce("product_name", F.lit("")), F.col("instance_id")]
-    groups = found.groupBy(order[0].alias("g0"), order[1].alias("g1")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("g0", "g1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy(order[0], order[1]).orderBy(order[2]))
-    ranked = found.withColumns({"local": local, "f0": order[0], "f1": order[1]})
-    joined = ranked.join(groups.withColumn("before", before), (F.col("f0") == F.col("g0")) & (F.col("f1") == F.col("g1")))
-    return joined.select("instance_id", "product_name", "discontinued", (F.col("before") + F.col("local")).cast("bigint").alias("pos"))
+    order = {"o0": F.coalesce("discontinued", F.lit(False)).cast("int"), "o1": F.coalesce("product_name", F.lit("")), "o2": F.col("instance_id")}
+    return ranked(found.withColumns(order), list(order)).drop(*order).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def ages(instances: DataFrame, as_of) -> DataFrame:
@@ -123,18 +118,18 @@ def image_content(lines: DataFrame, blobs: DataFrame, static_id, file_id: str) -
 def user_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, steps: DataFrame, emissions: DataFrame) -> DataFrame:
     """What owners see: parts, materials, steps, distances and emissions of each product.
 
-    Materials, steps and emissions are keyed by the product, parts by its root part.
+    Materials, steps and emissions are keyed by the product, parts by its tree.
     """
-    parts = trees.subtree_counts(nodes).select(F.col("part_id").alias("root"), "n_parts", "n_fail", "n_modular")
+    parts = trees.tree_summary(nodes).select(F.col("tree_id").alias("root"), "n_parts", "n_fail", "n_modular")
     shares = materials.overall_shares(uses).select(F.col("tree_id").alias("u"), rounded(F.col("grams"), 3).alias("grams"), rounded(F.col("recycled_percent"), 2).alias("recycled_percent"), rounded(F.col("rare_percent"), 2).alias("rare_percent"))
     counts = processes.category_counts(steps).withColumnRenamed("tree_id", "c").withColumnRenamed("total", "steps")
     km = processes.transport_km(steps).select(F.col("tree_id").alias("k"), "total_km")
     ghg = processes.ghg_total(emissions).select(F.col("tree_id").alias("g"), F.col("kg").alias("ghg_kg"))
-    out = instances.select("instance_id", "static_id", "root_part_id")
+    out = trees.with_trees(instances).select("instance_id", "static_id", "root_part_id", "of_tree")
     for right, key in ((shares, "u"), (counts, "c"), (km, "k"), (ghg, "g")):
         out = out.join(right, F.col("instance_id") == F.col(key), "left").drop(key)
     figures = ["n_parts", "n_fail", "n_modular", "grams", "recycled_percent", "rare_percent", *processes.CATEGORIES, "steps", "total_km", "ghg_kg"]
-    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0, figures)
+    return out.join(parts, F.col("of_tree") == F.col("root"), "left").drop("root", "of_tree").na.fill(0, figures)
 
 
 def end_of_life_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame, service_steps: DataFrame) -> DataFrame:
@@ -142,22 +137,22 @@ def end_of_life_summary(instances: DataFrame, nodes: DataFrame, uses: DataFrame,
     shares = materials.overall_shares(uses).withColumnRenamed("tree_id", "u").withColumnRenamed("grams", "mass_g")
     kinds = materials.end_of_life_buckets(uses).groupBy(F.col("tree_id").alias("b")).agg(*(exact_sum(F.when(F.col("bucket") == k, F.col("grams"))).alias(f"{k}_g") for k in ("rare", "hazardous")))
     done = services.bucket_totals(service_steps).withColumnRenamed("instance_id", "s")
-    parts = trees.subtree_counts(nodes).select(F.col("part_id").alias("root"), "n_parts")
-    out = instances.select("instance_id", "static_id", "root_part_id", "discontinued")
+    parts = trees.tree_summary(nodes).select(F.col("tree_id").alias("root"), "n_parts")
+    out = trees.with_trees(instances).select("instance_id", "static_id", "root_part_id", "discontinued", "of_tree")
     for right, key in ((shares, "u"), (kinds, "b"), (done, "s")):
         out = out.join(right, F.col("instance_id") == F.col(key), "left").drop(key)
     figures = ["mass_g", "recycled_percent", "rare_percent", "rare_g", "hazardous_g", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES), "n_parts"]
-    return out.join(parts, F.col("root_part_id") == F.col("root"), "left").drop("root").na.fill(0, figures)
+    return out.join(parts, F.col("of_tree") == F.col("root"), "left").drop("root", "of_tree").na.fill(0, figures)
 
 
 def service_summary(instances: DataFrame, nodes: DataFrame, service_steps: DataFrame) -> DataFrame:
     """What service staff see: reliability, failing parts among root and first level, services done."""
-    near = trees.closure(nodes).where("distance <= 1").groupBy("ancestor").agg(F.count_if("has_failstate").alias("n_top_fail"))
+    near = nodes.where("lvl <= 1").groupBy("tree_id").agg(F.count_if("has_failstate").alias("n_top_fail"))
     reliable = services.product_mtbf(instances, nodes).withColumnRenamed("instance_id", "m")
     done = services.bucket_totals(service_steps).withColumnRenamed("instance_id", "s")
-    out = instances.select("instance_id", "static_id", "root_part_id", "operating_hrs")
+    out = trees.with_trees(instances).select("instance_id", "static_id", "root_part_id", "of_tree", "operating_hrs")
     out = out.join(reliable, F.col("instance_id") == F.col("m"), "left").drop("m").join(done, F.col("instance_id") == F.col("s"), "left").drop("s")
-    return out.join(near, F.col("root_part_id") == F.col("ancestor"), "left").drop("ancestor").na.fill(0, ["n_top_fail", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES)])
+    return out.join(near, F.col("of_tree") == F.col("tree_id"), "left").drop("tree_id", "of_tree").na.fill(0, ["n_top_fail", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES)])
 
 
 def utility_summary(service_steps: DataFrame, instances: DataFrame, names: DataFrame) -> DataFrame:

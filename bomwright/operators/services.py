@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import exact_sum
 from ..functions.scalars import BUCKETS, SERVICE_TYPES, fractional_days, is_secondary, ratio, rounded, service_bucket, shown_cost, short_type, trimmed_symptoms, whole_days
-from .trees import closure
+from .trees import with_trees
 
 BUCKET_NAMES = tuple(name for _, name in BUCKETS)
 
@@ -83,22 +83,21 @@ def _reliability(mtbf, hours) -> list:
 
 
 def part_mtbf(instances: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every part of every product by the product's hours; null remaining and not exceeded without a known MTBF."""
-    below = closure(nodes).select("ancestor", "descendant").join(nodes.select("part_id", "mtbf_hrs"), F.col("descendant") == F.col("part_id"))
-    joined = instances.select("instance_id", "root_part_id", "operating_hrs").join(below, F.col("root_part_id") == F.col("ancestor"))
-    return joined.select("instance_id", F.col("descendant").alias("part_id"), "mtbf_hrs", *_reliability(F.col("mtbf_hrs"), F.col("operating_hrs")))
+    """Every part of every product's tree by the product's hours; null remaining and not exceeded without a known MTBF."""
+    joined = with_trees(instances).select("instance_id", "of_tree", "operating_hrs").join(nodes.select("tree_id", "part_id", "mtbf_hrs"), F.col("of_tree") == F.col("tree_id"))
+    return joined.select("instance_id", "part_id", "mtbf_hrs", *_reliability(F.col("mtbf_hrs"), F.col("operating_hrs")))
 
 
 def product_mtbf(instances: DataFrame, nodes: DataFrame) -> DataFrame:
-    roots = nodes.select("part_id", "mtbf_hrs")
-    joined = instances.join(roots, F.col("root_part_id") == F.col("part_id"), "left")
+    roots = nodes.where("lvl = 0").select(F.col("tree_id").alias("root_tree"), "mtbf_hrs")
+    joined = with_trees(instances).join(roots, F.col("of_tree") == F.col("root_tree"), "left")
     return joined.select("instance_id", "mtbf_hrs", *_reliability(F.col("mtbf_hrs"), F.col("operating_hrs")))
 
 
 def mtbf_counts(instances: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per product how many parts it has and how many are past their MTBF; parts of one MTBF meet products as one row."""
-    kinds = closure(nodes).select("ancestor", "descendant").join(nodes.select("part_id", "mtbf_hrs"), F.col("descendant") == F.col("part_id")).groupBy("ancestor", "mtbf_hrs").agg(F.count("*").alias("n"))
-    joined = instances.select("instance_id", "root_part_id", "operating_hrs").join(kinds, F.col("root_part_id") == F.col("ancestor"))
+    kinds = nodes.groupBy("tree_id", "mtbf_hrs").agg(F.count("*").alias("n"))
+    joined = with_trees(instances).select("instance_id", "of_tree", "operating_hrs").join(kinds, F.col("of_tree") == F.col("tree_id"))
     past = F.coalesce(F.col("operating_hrs") >= F.col("mtbf_hrs"), F.lit(False))
     return joined.groupBy("instance_id").agg(
         F.sum("n").alias("n_parts"), F.sum(F.when(past, F.col("n")).otherwise(0)).alias("n_exceeded"),
@@ -187,9 +186,9 @@ def secondary_entries(steps: DataFrame, instances: DataFrame, compatible: bool =
 def service_modular(steps: DataFrame, instances: DataFrame, nodes: DataFrame) -> DataFrame:
     """Repairs, replacements and modular parts of each product."""
     done = steps.groupBy(F.col("instance_id").alias("of")).agg(F.count_if(F.col("type") == "RepairServiceStep").alias("repairs"), F.count_if(F.col("type") == "ReplaceServiceStep").alias("replaces"))
-    parts = closure(nodes).groupBy("ancestor").agg(F.count_if("is_modular").alias("modulars"))
+    parts = nodes.groupBy("tree_id").agg(F.count_if("is_modular").alias("modulars"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    joined = instances.join(done, F.col("instance_id") == F.col("of"), "left").join(parts, F.col("root_part_id") == F.col("ancestor"), "left")
+    joined = with_trees(instances).select("static_id", "instance_id", "of_tree").join(done, F.col("instance_id") == F.col("of"), "left").join(parts, F.col("of_tree") == F.col("tree_id"), "left")
     return joined.select("static_id", "instance_id", zero("repairs"), zero("replaces"), zero("modulars"))
 
 

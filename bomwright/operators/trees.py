@@ -1,45 +1,103 @@
 """Part trees: flattening, ancestors, counts over subtrees, and breadcrumbs.
 
-A forest is a table of part_id and parent_id. It is flattened by one recursive
-query: a level of the trees is one join of the level above with the parts.
+A forest is a table of part_id and parent_id. It is flattened by pointer doubling: every
+part knows an ancestor, and in each round takes that one's ancestor for its own, so the
+number of rounds is the logarithm of the depth. Rounds are written to the shared folder.
+
+A part may be in several trees, and a sub-part may be a product with a tree of its own,
+so a part of a tree goes by (tree_id, part_id), never by part_id alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import allow_deep_trees
+from ..stages import written
+from .ranks import ranked
 
 ARROW = " → "
+FIELDS = ("name", "is_modular", "has_failstate", "mtbf_hrs")
+
 
+def flatten(parts: DataFrame, paths: bool = True) -> DataFrame:
+    """Every part with its root (tree_id) and level, and with ``paths`` the ids (path) and names (names) from the root to it.
 
-def flatten(parts: DataFrame) -> DataFrame:
-    """Every part with its root (tree_id), level, path of ids and breadcrumb of names; a part that is its own ancestor ends its branch."""
-    allow_deep_trees(parts.sparkSession)
-    return parts.sparkSession.sql(
-        """
-        WITH RECURSIVE node AS (
-          SELECT part_id AS tree_id, part_id, parent_id, 0 AS lvl, array(part_id) AS path, array(coalesce(name, cast(part_id AS string))) AS names
-          FROM {parts} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.tree_id, p.part_id, p.parent_id, n.lvl + 1, concat(n.path, array(p.part_id)), concat(n.names, array(coalesce(p.name, cast(p.part_id AS string))))
-          FROM node n JOIN {parts} p ON p.parent_id = n.part_id WHERE NOT array_contains(n.path, p.part_id)
-        )
-        SELECT n.tree_id, n.part_id, n.parent_id, n.lvl, n.path, n.names, p.name, p.is_modular, p.has_failstate, p.mtbf_hrs
-        FROM node n JOIN {parts} p ON p.part_id = n.part_id
-        """,
-        parts=parts,
-    )
+    A part with several parents is in several places. Of a part that is its own ancestor
+    no branch comes back to it; parts that no root leads to are left out. ``paths=False``
+    is for trees of thousands of levels, whose paths would be longer than all else; there
+    each part has one parent.
+    """
+    label = F.coalesce("name", F.col("part_id").cast("string"))
+    is_root = F.col("parent_id").isNull()
+    start = parts.select("part_id", "parent_id", F.coalesce("parent_id", "part_id").alias("top"), F.when(is_root, 0).otherwise(1).alias("lvl"), is_root.alias("done"))
+    if paths:
+        start = start.withColumns({"path": F.array("part_id")}).join(parts.select(F.col("part_id").alias("of"), label.alias("label")).dropDuplicates(["of"]), F.col("part_id") == F.col("of"))
+        start = start.withColumn("names", F.array("label")).drop("of", "label")
+    arrays = ["path", "names"] if paths else []
+    now, most = written(start, "walks"), parts.count()
+    for _ in range(max(1, most).bit_length()):
+        if now.where("NOT done").isEmpty():
+            break
+        up = now.select(F.col("part_id").alias("at"), F.col("top").alias("next_top"), F.col("lvl").alias("more"), F.col("done").alias("next_done"), *(F.col(c).alias(f"up_{c}") for c in arrays))
+        met = now.where("NOT done").join(up, F.col("top") == F.col("at"))
+        if paths:
+            met = met.where(~F.arrays_overlap("path", "up_path"))
+        joined = met.select("part_id", "parent_id", F.col("next_top").alias("top"), (F.col("lvl") + F.col("more")).alias("lvl"), F.col("next_done").alias("done"), *(F.concat(f"up_{c}", c).alias(c) for c in arrays))
+        now = written(now.where("done").unionByName(joined), "walks")
+    rest = parts.select(F.col("part_id").alias("of"), *FIELDS).dropDuplicates(["of"])
+    return now.where("done").join(rest, F.col("part_id") == F.col("of")).select(F.col("top").alias("tree_id"), "part_id", "parent_id", "lvl", *arrays, *FIELDS)
+
+
+def product_trees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The tree of each product: the part that is its root (the one column of ``roots``), with all below it, a tree_id of its own.
+
+    A sub-part that is a product too is in the trees of both, so its parts come twice. Of
+    a root that is in several places the highest one is taken, then the least; what is
+    below it is alike everywhere, unless it has a tree of its own, which is that place.
+    """
+    own = roots.select(F.col(roots.columns[0]).alias("product")).distinct()
+    places = nodes.join(own, F.col("part_id") == F.col("product")).groupBy("product").agg(F.min(F.struct("lvl", "tree_id", "path")).alias("at"))
+    places = places.select("product", F.col("at.lvl").alias("up"), F.col("at.tree_id").alias("in_tree"), F.col("at.path").alias("over"))
+    above = nodes.select("*", F.explode("path").alias("above"))
+    below = above.join(places, (F.col("above") == F.col("product")) & (F.col("tree_id") == F.col("in_tree")) & (F.slice("path", 1, F.size("over")) == F.col("over")))
+    cut = lambda c: F.slice(c, F.col("up") + 1, F.size(c)).alias(c)
+    changed = {"tree_id": F.col("product").alias("tree_id"), "parent_id": F.when(F.col("lvl") > F.col("up"), F.col("parent_id")).alias("parent_id"), "lvl": (F.col("lvl") - F.col("up")).alias("lvl")}
+    changed |= {c: cut(c) for c in ("path", "names", "ord_path")}
+    return below.select(*(changed.get(c, F.col(c)) for c in nodes.columns))
+
+
+def with_trees(instances: DataFrame) -> DataFrame:
+    """Products with the tree they have (of_tree): their own tree_id, or that of their root part."""
+    return instances.withColumn("of_tree", F.col("tree_id" if "tree_id" in instances.columns else "root_part_id"))
 
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree_id", "part_id", "lvl", F.array_join("names", ARROW).alias("breadcrumb"))
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """Every part with each of its ancestors and itself (distance 0)."""
-    return nodes.select("tree_id", F.col("part_id").alias("descendant"), "lvl", "has_failstate", "is_modular", F.posexplode("path").alias("at", "ancestor")).select("tree_id", "ancestor", "descendant", (F.col("lvl") - F.col("at")).alias("distance"), "has_failstate", "is_modular")
+def _key(nodes: DataFrame) -> str:
+    """What names a place in a tree: where the part is among its siblings, if known, else its ids from the root."""
+    return "ord_path" if "ord_path" in nodes.columns else "path"
+
+
+def subtree_sums(nodes: DataFrame, **values: Column) -> DataFrame:
+    """tree_id, part_id and the sum of each value over a part's subtree, itself included; a part that is in several places of its tree has one row for each.
+
+    By pointer doubling: what has been summed up to 2 ** k levels down is added to the
+    ancestor 2 ** k levels up, in as many rounds as the depth has binary digits, so
+    no part is repeated for each of its ancestors.
+    """
+    by_path = "path" in nodes.columns
+    key = F.col(_key(nodes)) if by_path else F.col("part_id")
+    up = F.when(F.col("lvl") > 0, F.expr(f"slice({_key(nodes)}, 1, size({_key(nodes)}) - 1)") if by_path else F.col("parent_id"))
+    now = written(nodes.select("tree_id", "part_id", key.alias("place"), up.alias("up"), *(x.cast("bigint").alias(c) for c, x in values.items())), "sums")
+    while not now.where("up IS NOT NULL").isEmpty():
+        below = now.where("up IS NOT NULL").groupBy(F.col("tree_id").alias("bt"), F.col("up").alias("bp")).agg(*(F.sum(c).alias(f"more_{c}") for c in values))
+        higher = now.select(F.col("tree_id").alias("ht"), F.col("place").alias("hp"), F.col("up").alias("next_up"))
+        added = now.join(below, (F.col("tree_id") == F.col("bt")) & (F.col("place") == F.col("bp")), "left").join(higher, (F.col("tree_id") == F.col("ht")) & (F.col("up") == F.col("hp")), "left")
+        now = written(added.select("tree_id", "part_id", "place", F.col("next_up").alias("up"), *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in values)), "sums")
+    return now.select("tree_id", "part_id", *values)
 
 
 def first_visits(rows: DataFrame, visit: str) -> DataFrame:
@@ -61,19 +119,20 @@ def find_part(nodes: DataFrame, part_id) -> DataFrame:
 def picker_options(nodes: DataFrame) -> DataFrame:
     """What a part picker offers: every part of a product once, by label."""
     once = nodes.groupBy("tree_id", "part_id").agg(F.min(F.coalesce("name", F.col("part_id").cast("string"))).alias("label"))
-    order = Window.partitionBy("tree_id").orderBy("label", "part_id")
-    return once.withColumn("pos", F.row_number().over(order))
+    return ranked(once, ["label", "part_id"], ["tree_id"])
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """For every part: parts, failing parts and modular parts in its subtree, itself included."""
-    return closure(nodes).groupBy(F.col("ancestor").alias("part_id")).agg(F.count("*").alias("n_parts"), F.count_if("has_failstate").alias("n_fail"), F.count_if("is_modular").alias("n_modular"))
+    """For every part of a tree: parts, failing parts and modular parts in its subtree, itself included. Of a part in several places of its tree the subtrees are alike."""
+    counts = subtree_sums(nodes, n_parts=F.lit(1), n_fail=F.coalesce("has_failstate", F.lit(False)), n_modular=F.coalesce("is_modular", F.lit(False)))
+    return counts.groupBy("tree_id", "part_id").agg(*(F.max(c).alias(c) for c in ("n_parts", "n_fail", "n_modular")))
 
 
 def direct_children(nodes: DataFrame) -> DataFrame:
-    """Children of each part by name, a missing name first."""
-    order = Window.partitionBy("parent_id").orderBy(F.coalesce("name", F.lit("")), "part_id")
-    return nodes.where(F.col("parent_id").isNotNull()).select("parent_id", "part_id", "name", "is_modular", "has_failstate", F.row_number().over(order).alias("pos"))
+    """Children of each part of a tree by name, a missing name first; of a part in several places once."""
+    order = Window.partitionBy("tree_id", "parent_id").orderBy(F.coalesce("name", F.lit("")), "part_id")
+    once = nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "parent_id", "part_id", "name", "is_modular", "has_failstate").distinct()
+    return once.withColumn("pos", F.row_number().over(order))
 
 
 def first_level(nodes: DataFrame) -> DataFrame:
@@ -121,19 +180,18 @@ def expanded(nodes: DataFrame, cap: int = 2000) -> DataFrame:
 
 def layout(nodes: DataFrame) -> DataFrame:
     """Rows of a drawn tree: leaves one below the other in walking order, a parent midway between its first and last leaf."""
-    parents = nodes.select(F.col("parent_id").alias("has_child")).where(F.col("has_child").isNotNull()).distinct()
-    leaves = nodes.join(parents, F.col("part_id") == F.col("has_child"), "left_anti")
-    rows = positions(leaves.select("tree_id", "part_id", "path"), ["path"], [F.slice("path", 1, PREFIX)]).withColumnRenamed("pos", "row")
-    return rows.select(F.explode("path").alias("part_id"), "row").groupBy("part_id").agg(((F.min("row") + F.max("row")) / 2.0).alias("y"))
+    place = _key(nodes)
+    parents = nodes.where("lvl > 0").select(F.col("tree_id").alias("pt"), F.expr(f"slice({place}, 1, size({place}) - 1)").alias("has_child")).distinct()
+    leaves = nodes.join(parents, (F.col("tree_id") == F.col("pt")) & (F.col(place) == F.col("has_child")), "left_anti")
+    rows = positions(leaves.select("tree_id", place), [place], [F.slice(place, 1, PREFIX)]).withColumnRenamed("pos", "row")
+    above = rows.select("tree_id", "row", F.explode(F.transform(F.sequence(F.lit(1), F.size(place)), lambda n: F.slice(place, 1, n))).alias("at"))
+    ends = above.groupBy(F.col("tree_id").alias("lt"), "at").agg(((F.min("row") + F.max("row")) / 2.0).alias("y"))
+    return nodes.select("tree_id", "part_id", F.col(place).alias("here")).join(ends, (F.col("tree_id") == F.col("lt")) & (F.col("here") == F.col("at"))).select("tree_id", "part_id", "y")
 
 
 def linked_passports(instances: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Parts below a product's root that are the root of another product; of several, the least."""
-    below = closure(nodes).where("distance > 0").select("ancestor", "descendant")
-    roots = instances.groupBy("root_part_id").agg(F.min("instance_id").alias("linked_id"))
-    names = nodes.select(F.col("part_id").alias("named"), F.col("name").alias("part_name"))
-    return (
-        instances.select("instance_id", "root_part_id").join(below, F.col("root_part_id") == F.col("ancestor")).drop("root_part_id")
-        .join(roots, F.col("descendant") == F.col("root_part_id")).where("linked_id <> instance_id")
-        .join(names, F.col("descendant") == F.col("named")).select("instance_id", F.col("descendant").alias("part_id"), "part_name", "linked_id")
-    )
+    """Parts below a product's root that are the root of another product; of several, the least. A part in several places is one link."""
+    below = nodes.where("lvl > 0").select("tree_id", "part_id", F.col("name").alias("part_name")).distinct()
+    roots = instances.groupBy(F.col("root_part_id").alias("linked_part")).agg(F.min("instance_id").alias("linked_id"))
+    found = with_trees(instances).select("instance_id", "of_tree").join(below, F.col("of_tree") == F.col("tree_id"))
+    return found.join(roots, F.col("part_id") == F.col("linked_part")).where("linked_id <> instance_id").select("instance_id", "part_id", "part_name", "linked_id")

@@ -47,12 +47,12 @@ def line_blocks(lines: DataFrame, places: DataFrame, base_url: str) -> DataFrame
 
 
 def part_blocks(nodes: DataFrame) -> DataFrame:
-    """Of each part, by ``of``: the parts in it, in their order, and how many there are and fail below and with it."""
+    """Of each tree, by ``of``: the parts right below its root, in their order, and how many parts it has and how many fail."""
     place = "ord_path" if "ord_path" in nodes.columns else "path"
-    children = gathered(nodes.where("parent_id IS NOT NULL"), "parent_id", "first_level", place, "part_id", "name", "is_modular", "has_failstate")
+    children = gathered(nodes.where("lvl = 1"), "tree_id", "first_level", place, "part_id", "name", "is_modular", "has_failstate")
     shown = F.transform("first_level", lambda c: F.struct(c["part_id"].alias("part_id"), c["name"].alias("name"), c["is_modular"].alias("is_modular"), c["has_failstate"].alias("has_failstate")))
-    counts = trees.subtree_counts(nodes).select("part_id", "n_parts", "n_fail")
-    return attached(counts, "part_id", children.withColumn("first_level", shown)).withColumnRenamed("part_id", "of")
+    counts = trees.tree_summary(nodes).select("tree_id", "n_parts", "n_fail")
+    return attached(counts, "tree_id", children.withColumn("first_level", shown)).withColumnRenamed("tree_id", "of")
 
 
 def material_block(uses: DataFrame) -> DataFrame:
@@ -80,17 +80,19 @@ def linked_block(instances: DataFrame, nodes: DataFrame) -> DataFrame:
     return gathered(links, "instance_id", "linked", F.coalesce("part_name", F.lit("")).alias("part_name"), "part_id", "linked_id", "linked_name")
 
 
-def holding_blocks(uses: DataFrame, names: DataFrame) -> list[DataFrame]:
+def holding_blocks(uses: DataFrame, instances: DataFrame, names: DataFrame) -> list[DataFrame]:
     """Of each product, by ``of``: its rare and its hazardous materials by name, with warnings and the parts that hold them.
 
-    ``names``: part_id, name and path as the parts are to be shown; of several the least.
+    ``names``: tree_id, part_id, name and path as the parts of a tree are to be shown; of
+    several places in a tree the least. A part that is not in the product's tree goes by its id.
     """
-    shown = names.groupBy(F.col("part_id").alias("named")).agg(F.min("name").alias("name"), F.min("path").alias("path"))
+    trees_of = trees.with_trees(instances).select(F.col("instance_id").alias("product"), "of_tree")
+    in_tree = names.groupBy(F.col("tree_id").alias("shown_tree"), F.col("part_id").alias("named")).agg(F.min("name").alias("name"), F.min("path").alias("path"))
     out = []
     for kind in ("rare", "hazardous"):
         held = uses.where(F.col(kind)).withColumn("material_name", F.coalesce("material_name", F.lit("Unknown")))
         parts = held.groupBy("tree_id", "material_name", "part_id").agg(exact_sum(F.col("weight_g")).alias("g"), F.flatten(F.collect_set("warnings")).alias("w"))
-        parts = parts.join(shown, F.col("part_id") == F.col("named"), "left")
+        parts = parts.join(trees_of, F.col("tree_id") == F.col("product"), "left").join(in_tree, (F.col("of_tree") == F.col("shown_tree")) & (F.col("part_id") == F.col("named")), "left")
         item = F.struct("part_id", F.coalesce("name", F.col("part_id").cast("string")).alias("name"), F.coalesce("path", F.col("part_id").cast("string")).alias("path"), F.col("g").alias("grams"))
         by_name = parts.groupBy("tree_id", "material_name").agg(
             exact_sum(F.col("g")).alias("grams"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"), F.sort_array(F.collect_list(item)).alias("parts"))
@@ -100,7 +102,7 @@ def holding_blocks(uses: DataFrame, names: DataFrame) -> list[DataFrame]:
 
 def _products(instances: DataFrame, organisations: DataFrame) -> DataFrame:
     counters = F.struct(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in COUNTERS)).alias("counters")
-    rows = instances.select("instance_id", "static_id", "product_name", "root_part_id", "declared_at", "discontinued", counters, *(f"{r}_id" for r in ROLES))
+    rows = trees.with_trees(instances).select("instance_id", "static_id", "product_name", "root_part_id", "of_tree", "declared_at", "discontinued", counters, *(f"{r}_id" for r in ROLES))
     return passports.with_organisations(rows, organisations, ROLES)
 
 
@@ -113,7 +115,7 @@ def user_view(instances: DataFrame, lines: DataFrame, organisations: DataFrame,
     out = _products(instances, organisations)
     for block in (made, counts, km, *emission_blocks(emissions), linked_block(instances, nodes)):
         out = attached(out, "instance_id", block)
-    out = attached(attached(out, "root_part_id", part_blocks(nodes)), "static_id", line_blocks(lines, places, base_url).drop("manuals"))
+    out = attached(attached(out, "of_tree", part_blocks(nodes)).drop("of_tree"), "static_id", line_blocks(lines, places, base_url).drop("manuals"))
     figures = ["recycled_percent", "rare_percent", *processes.CATEGORIES, "n_steps", "parts_km", "materials_km", "total_km", "ghg_kg", "n_parts", "n_fail"]
     return out.na.fill(0, figures)
 
@@ -123,8 +125,8 @@ def end_of_life_view(instances: DataFrame, lines: DataFrame, organisations: Data
     names = trees.breadcrumbs(nodes).withColumnRenamed("breadcrumb", "path").join(nodes.select("tree_id", "part_id", "name"), ["tree_id", "part_id"])
     done = services.bucket_totals(service_steps).withColumnRenamed("instance_id", "of")
     out = _products(instances, organisations)
-    for block in (material_block(uses), *holding_blocks(uses, names), done, linked_block(instances, nodes)):
+    for block in (material_block(uses), *holding_blocks(uses, instances, names), done, linked_block(instances, nodes)):
         out = attached(out, "instance_id", block)
     manuals = F.struct(*(passports.minimal_document(F.col(c)).alias(c) for c in ("disassembly", "recycling")))
-    out = attached(attached(out, "root_part_id", part_blocks(nodes)), "static_id", lines.select(F.col("static_id").alias("of"), manuals.alias("manuals")))
+    out = attached(attached(out, "of_tree", part_blocks(nodes)).drop("of_tree"), "static_id", lines.select(F.col("static_id").alias("of"), manuals.alias("manuals")))
     return out.na.fill(0, ["grams", "recycled_percent", "rare_percent", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES), "n_parts", "n_fail"])

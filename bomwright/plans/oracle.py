@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from ..operators.jsonld import CONTEXT as FORMAT_CONTEXT
-from .views import CLOSURE, EMISSIONS, NODE, ORGANISATIONS, PARTS, PASSPORTS, PLACES, SERVICES, STEPS, SYMPTOMS, USES, exact, rounded, with_views
+from .views import CLOSURE, EMISSIONS, NODE, ORGANISATIONS, PARTS, PASSPORTS, PLACES, PRODUCT_NODE, PRODUCT_ONLY, SERVICES, STEPS, SYMPTOMS, USES, exact, rounded, with_views
 
 SERVICE_KINDS = ("Repair", "Replace", "Cleaning", "Remanufacturing", "Refurbishment")
 TYPES = ("RepairServiceStep", "ReplaceServiceStep", "CleaningServiceStep", "RemanufacturingServiceStep", "RefurbishmentServiceStep", "RecyclingStep")
@@ -75,13 +75,13 @@ MATERIAL_TEXT = f"""heavy AS (
   SELECT tree_id AS of, string_agg(concat_ws(':', material_name, {thousandths('g')}, {thousandths('share', 100)}, {thousandths('recycled', 100)}, {thousandths('(100.0::DOUBLE - recycled)', 100)}), ';' ORDER BY g DESC, material_name) AS materials
   FROM percents GROUP BY ALL
 )"""
-HELD = f"""bearing AS (
+HELD = f"""{PRODUCT_ONLY}, bearing AS (
   SELECT tree_id, kind, material_name, part_id, {exact('weight_g')} AS g, list(warnings) AS w
   FROM (SELECT *, unnest([CASE WHEN rare THEN 'rare' END, CASE WHEN hazardous THEN 'hazardous' END]) AS kind FROM uses) WHERE kind IS NOT NULL GROUP BY ALL
-), crumbs AS (SELECT part_id, array_to_string(names, ' → ') AS crumb FROM node), held AS (
+), crumbs AS (SELECT tree_id AS of_tree, part_id, array_to_string(names, ' → ') AS crumb FROM pnode), held AS (
   SELECT tree_id, kind, material_name, {exact('g')} AS grams, list_sort(list_distinct(flatten(flatten(list(w))))) AS warnings,
          string_agg(coalesce(crumb, b.part_id::VARCHAR) || '=' || {thousandths('g::DOUBLE')}, '+' ORDER BY b.part_id) AS parts
-  FROM bearing b LEFT JOIN crumbs c ON c.part_id = b.part_id GROUP BY ALL
+  FROM bearing b JOIN passports p ON p.instance_id = b.tree_id LEFT JOIN crumbs c ON c.of_tree = p.root_part_id AND c.part_id = b.part_id GROUP BY ALL
 ), held_text AS (
   SELECT tree_id AS of, string_agg(shown, ';' ORDER BY material_name) FILTER (kind = 'rare') AS rare, string_agg(shown, ';' ORDER BY material_name) FILTER (kind = 'hazardous') AS hazardous
   FROM (SELECT *, concat_ws(':', material_name, {thousandths('grams')}, array_to_string(warnings, '+'), parts) AS shown FROM held) GROUP BY ALL
@@ -174,14 +174,14 @@ SELECT tree_id, bucket, material_name, grams, parts FROM (SELECT tree_id, bucket
   SELECT *, {exact('grams', 'OVER (PARTITION BY tree_id ORDER BY grams DESC, material_name ROWS UNBOUNDED PRECEDING)')} AS upto, {exact('grams', 'OVER (PARTITION BY tree_id)')} AS total FROM named)"""),
     "tree_flatten": with_views(NODE, "SELECT tree_id, part_id, parent_id, lvl, name, is_modular, has_failstate, mtbf_hrs FROM node"),
     "tree_breadcrumbs": with_views(NODE, "SELECT tree_id, part_id, lvl, array_to_string(names, ' → ') AS breadcrumb FROM node"),
-    "tree_descendant_counts": with_views(CLOSURE, "SELECT ancestor AS part_id, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (is_modular) AS n_modular FROM closure GROUP BY ALL"),
-    "tree_direct_children": with_views(PARTS, "SELECT parent_id, part_id, name, is_modular, has_failstate, row_number() OVER (PARTITION BY parent_id ORDER BY coalesce(name, ''), part_id)::INT AS pos FROM parts WHERE parent_id IS NOT NULL"),
+    "tree_descendant_counts": with_views(PRODUCT_NODE, "SELECT a.tree_id, a.part_id, count(*) AS n_parts, count(*) FILTER (d.has_failstate) AS n_fail, count(*) FILTER (d.is_modular) AS n_modular FROM pnode a JOIN (SELECT *, unnest(path) AS above FROM pnode) d ON d.tree_id = a.tree_id AND d.above = a.part_id GROUP BY ALL"),
+    "tree_direct_children": with_views(PRODUCT_NODE, "SELECT tree_id, parent_id, part_id, name, is_modular, has_failstate, row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY coalesce(name, ''), part_id)::INT AS pos FROM pnode WHERE parent_id IS NOT NULL"),
     "tree_first_level": with_views(NODE, "SELECT tree_id, part_id, name, is_modular, has_failstate FROM node WHERE lvl = 1"),
-    "tree_fail_counts": with_views(NODE, "SELECT tree_id, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (has_failstate AND lvl <= 1) AS n_top_fail, count(*) FILTER (is_modular) AS n_modular, max(lvl) AS depth, greatest(0, count(*) - count(*) FILTER (has_failstate)) AS n_healthy FROM node GROUP BY ALL"),
+    "tree_fail_counts": with_views(PRODUCT_NODE, "SELECT tree_id, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (has_failstate AND lvl <= 1) AS n_top_fail, count(*) FILTER (is_modular) AS n_modular, max(lvl) AS depth, greatest(0, count(*) - count(*) FILTER (has_failstate)) AS n_healthy FROM pnode GROUP BY ALL"),
     "failing_parts": with_views(NODE, "SELECT tree_id, part_id, name, array_to_string(names, ' → ') AS breadcrumb, array_to_string(path, '/') AS path FROM node WHERE has_failstate"),
     "tree_expanded": with_views(NODE, "SELECT tree_id, part_id, lvl, row_number() OVER (PARTITION BY tree_id ORDER BY lvl, path)::INT AS pos FROM node QUALIFY pos <= 2000"),
-    "tree_layout": with_views(NODE, """, leaves AS (SELECT path, row_number() OVER (PARTITION BY tree_id ORDER BY path) AS row FROM node WHERE part_id NOT IN (SELECT parent_id FROM node WHERE parent_id IS NOT NULL))
-SELECT part_id, (min(row) + max(row)) / 2.0::DOUBLE AS y FROM (SELECT unnest(path) AS part_id, row FROM leaves) GROUP BY part_id"""),
+    "tree_layout": with_views(PRODUCT_NODE, """, leaves AS (SELECT tree_id, path, row_number() OVER (PARTITION BY tree_id ORDER BY path) AS row FROM pnode WHERE part_id NOT IN (SELECT parent_id FROM parts WHERE parent_id IS NOT NULL))
+SELECT tree_id, part_id, (min(row) + max(row)) / 2.0::DOUBLE AS y FROM (SELECT tree_id, unnest(path) AS part_id, row FROM leaves) GROUP BY ALL"""),
     "linked_sub_passports": with_views([CLOSURE, PASSPORTS], """, roots AS (SELECT root_part_id, min(instance_id) AS linked_id FROM passports GROUP BY ALL)
 SELECT p.instance_id, c.descendant AS part_id, t.name AS part_name, r.linked_id FROM passports p JOIN closure c ON p.root_part_id = c.ancestor AND distance > 0 JOIN roots r ON r.root_part_id = c.descendant JOIN parts t ON t.part_id = c.descendant WHERE r.linked_id <> p.instance_id"""),
     "step_category_counts": with_views(STEPS, f"SELECT tree_id, {NAME_COUNTS} FROM steps GROUP BY ALL"),
@@ -223,7 +223,7 @@ SELECT static_id, type, count(*) AS n, count(*) / any_value(p) AS avg_per_instan
     "secondary_entries": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, 0.0::DOUBLE AS cleaning_count, 0.0::DOUBLE AS chalk_count, 0.0::DOUBLE AS brewing_count, 0.0::DOUBLE AS grinding_count FROM tree_services"),
     "secondary_entries_true_counters": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, coalesce((o_orderkey % 13)::DOUBLE, 0) AS cleaning_count, coalesce((o_orderkey % 7)::DOUBLE, 0) AS chalk_count, coalesce((o_orderkey % 29)::DOUBLE, 0) AS brewing_count, coalesce((o_orderkey % 31)::DOUBLE, 0) AS grinding_count FROM tree_services LEFT JOIN orders ON o_orderkey = instance_id"),
     "part_mtbf": with_views([CLOSURE, PASSPORTS], f"SELECT instance_id, descendant AS part_id, mtbf_hrs, {MTBF} FROM passports JOIN closure ON root_part_id = ancestor"),
-    "part_picker": with_views(NODE, "SELECT tree_id, part_id, coalesce(name, part_id::VARCHAR) AS label, row_number() OVER (PARTITION BY tree_id ORDER BY coalesce(name, part_id::VARCHAR), part_id)::INT AS pos FROM node"),
+    "part_picker": with_views(PRODUCT_NODE, "SELECT tree_id, part_id, coalesce(name, part_id::VARCHAR) AS label, row_number() OVER (PARTITION BY tree_id ORDER BY coalesce(name, part_id::VARCHAR), part_id)::INT AS pos FROM pnode"),
     "service_modular_counts": with_views([CLOSURE, SERVICES, MODULAR], "SELECT * FROM modular"),
     "service_modular_by_line": with_views([CLOSURE, SERVICES, MODULAR], "SELECT static_id, count(*) AS n_instances, " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in ("repairs", "replaces", "modulars")) + ", " + ", ".join(f"{rounded(f'sum({k}) / count(*)', 2)} AS avg_{k}" for k in ("repairs", "replaces", "modulars")) + " FROM modular GROUP BY static_id"),
     "service_history": with_views(SERVICES, "SELECT instance_id, event_id, replace(replace(type, 'ServiceStep', ''), 'Step', '') AS type, nullif(cost, 0) AS cost, diagnose, array_to_string(symptoms, ',') AS symptoms, begin_at FROM services"),

@@ -19,6 +19,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.flatten(A.parts(spark, sf_dir))
 
 
+def product_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's own tree. Products are of parts of all levels, so a part is in the trees of several."""
+    return trees.product_trees(nodes(spark, sf_dir), A.passports(spark, sf_dir).select("root_part_id"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product lines with the places that take them back and their spare parts."""
     s = F.col("static_id")
@@ -39,7 +44,7 @@ def service_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return services.service_modular(A.tree_services(spark, sf_dir), A.service_instances(spark, sf_dir), nodes(spark, sf_dir))
+    return services.service_modular(A.tree_services(spark, sf_dir), A.service_instances(spark, sf_dir), product_nodes(spark, sf_dir))
 
 
 def diagnosis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,15 +238,15 @@ def part_tree_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passports.user_summary(A.passports(spark, sf_dir), nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.process_steps(spark, sf_dir), A.emissions(spark, sf_dir))
+    return passports.user_summary(A.passports(spark, sf_dir), product_nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.process_steps(spark, sf_dir), A.emissions(spark, sf_dir))
 
 
 def end_of_life_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passports.end_of_life_summary(A.passports(spark, sf_dir), nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.service_steps(spark, sf_dir))
+    return passports.end_of_life_summary(A.passports(spark, sf_dir), product_nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.service_steps(spark, sf_dir))
 
 
 def service_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passports.service_summary(A.passports(spark, sf_dir), nodes(spark, sf_dir), A.service_steps(spark, sf_dir))
+    return passports.service_summary(A.passports(spark, sf_dir), product_nodes(spark, sf_dir), A.service_steps(spark, sf_dir))
 
 
 def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +288,7 @@ SHOWN = {
 def user_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that owners see of a product, its lists as text."""
     found = views.user_view(
-        with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), A.places(spark, sf_dir), nodes(spark, sf_dir),
+        with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), A.places(spark, sf_dir), product_nodes(spark, sf_dir),
         A.material_use(spark, sf_dir), A.process_steps(spark, sf_dir), A.emissions(spark, sf_dir))
     figures = lambda label: lambda e: F.concat_ws(":", e[label], whole(e["kg"], 1000))
     forms = SHOWN | {"scopes": figures("scope"), "categories": figures("category"), "returning_places": lambda p: p["name"], "documents": lambda d: d["name"], "images": lambda i: i["url"]}
@@ -295,7 +300,7 @@ def user_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def end_of_life_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that dismantlers see of a product, its lists as text."""
-    found = views.end_of_life_view(with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.service_steps(spark, sf_dir))
+    found = views.end_of_life_view(with_operators(spark, sf_dir), line_details(spark, sf_dir), A.organisations(spark, sf_dir), product_nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.service_steps(spark, sf_dir))
     held = lambda m: F.concat_ws(":", m["material_name"], whole(m["grams"], 1000), F.array_join(m["warnings"], "+"), F.array_join(F.transform(m["parts"], lambda p: F.concat_ws("=", p["path"], whole(p["grams"], 1000))), "+"))
     forms = SHOWN | {"rare": held, "hazardous": held}
     return found.select(
@@ -320,14 +325,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pie_cumulative_share": on(A.material_use, lambda uses: materials.pie(materials.mass_by_name(uses))),
     "tree_flatten": on(nodes, lambda n: n.select("tree_id", "part_id", "parent_id", "lvl", "name", "is_modular", "has_failstate", "mtbf_hrs")),
     "tree_breadcrumbs": on(nodes, trees.breadcrumbs),
-    "tree_descendant_counts": on(nodes, trees.subtree_counts),
-    "tree_direct_children": on(nodes, trees.direct_children),
+    "tree_descendant_counts": on(product_nodes, trees.subtree_counts),
+    "tree_direct_children": on(product_nodes, trees.direct_children),
     "tree_first_level": on(nodes, trees.first_level),
-    "tree_fail_counts": on(nodes, trees.tree_summary),
+    "tree_fail_counts": on(product_nodes, trees.tree_summary),
     "failing_parts": on(nodes, trees.failing_parts),
     "tree_expanded": on(nodes, trees.expanded),
-    "tree_layout": on(nodes, trees.layout),
-    "linked_sub_passports": on_two(A.passports, nodes, trees.linked_passports),
+    "tree_layout": on(product_nodes, trees.layout),
+    "linked_sub_passports": on_two(A.passports, product_nodes, trees.linked_passports),
     "step_category_counts": on(A.process_steps, processes.category_counts),
     "transport_km": on(A.process_steps, processes.transport_km),
     "transport_km_transports_only": on(A.process_steps, partial(processes.transport_km, transports_only=True)),
@@ -342,8 +347,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_totals": on(A.process_steps, processes.map_totals),
     "service_bucket_totals": on(A.service_steps, services.bucket_totals),
     "service_rollup_ancestors": service_rollup,
-    "mtbf_remaining": on_two(A.passports, nodes, services.product_mtbf),
-    "mtbf_exceeded_counts": on_two(A.passports, nodes, services.mtbf_counts),
+    "mtbf_remaining": on_two(A.passports, product_nodes, services.product_mtbf),
+    "mtbf_exceeded_counts": on_two(A.passports, product_nodes, services.mtbf_counts),
     "symptom_top2_diagnoses": on(A.service_steps, services.symptom_top_diagnoses),
     "symptom_top2_fractional_days": on(A.service_steps, partial(services.symptom_top_diagnoses, whole=False)),
     "symptom_instance_counts": on(A.service_steps, services.symptom_instances),
@@ -354,8 +359,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "secondary_steps_aggregate": on_two(A.tree_services, A.service_instances, secondary_totals),
     "secondary_entries": on_two(A.tree_services, A.service_instances, services.secondary_entries),
     "secondary_entries_true_counters": on_two(A.tree_services, A.service_instances, partial(services.secondary_entries, compatible=False)),
-    "part_mtbf": on_two(A.passports, nodes, services.part_mtbf),
-    "part_picker": on(nodes, trees.picker_options),
+    "part_mtbf": on_two(A.passports, product_nodes, services.part_mtbf),
+    "part_picker": on(product_nodes, trees.picker_options),
     "service_modular_counts": modular,
     "service_modular_by_line": lambda spark, sf_dir: services.service_modular_by_line(modular(spark, sf_dir)),
     "service_history": on(A.service_steps, lambda s: services.history(s).withColumn("symptoms", F.array_join("symptoms", ","))),

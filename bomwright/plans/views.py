@@ -17,6 +17,15 @@ CLOSURE = f"""{NODE}, closure AS (
   SELECT tree_id, part_id AS descendant, path[i] AS ancestor, lvl - (i - 1) AS distance, has_failstate, is_modular, mtbf_hrs
   FROM (SELECT *, unnest(range(1, lvl + 2)) AS i FROM node)
 )"""
+#: Each product's own tree: that of its root part, which may be in other products' trees too.
+PRODUCT_ONLY = """pnode AS (
+  SELECT part_id AS tree_id, part_id, NULL::BIGINT AS parent_id, 0 AS lvl, [part_id] AS path, [coalesce(name, part_id::VARCHAR)] AS names, name, is_modular, has_failstate, mtbf_hrs
+  FROM parts WHERE part_id IN (SELECT o_orderkey % 200 FROM orders)
+  UNION ALL
+  SELECT n.tree_id, p.part_id, p.parent_id, n.lvl + 1, list_append(n.path, p.part_id), list_append(n.names, coalesce(p.name, p.part_id::VARCHAR)), p.name, p.is_modular, p.has_failstate, p.mtbf_hrs
+  FROM pnode n JOIN parts p ON p.parent_id = n.part_id
+)"""
+PRODUCT_NODE = f"{PARTS}, {PRODUCT_ONLY}"
 USES = """uses AS (
   SELECT l_orderkey AS tree_id, l_partkey % 20 AS part_id, (l_partkey + l_suppkey) % 30 AS material_instance_id, p_brand || '/' || p_type AS material_static_id, p_type AS material_name,
          p_brand IN ('Brand#1', 'Brand#2') AS rare, p_brand IN ('Brand#3', 'Brand#4') AS hazardous,

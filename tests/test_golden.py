@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomwright.functions import scalars
 from bomwright.functions.scalars import rounded
-from bomwright.operators import jsonld, materials, processes, services, views
+from bomwright.operators import jsonld, materials, processes, services, trees, views
 from bomwright.sources import documents
 from tests.golden import MATERIALS, part, z10
 
@@ -88,7 +88,8 @@ def view_tables(spark):
 def test_views_of_a_product(spark, machine):
     instances, lines, organisations, places = view_tables(spark)
     steps, uses = documents.steps(machine), uses_of(spark, machine)
-    found = {r.instance_id: r for r in views.user_view(instances, lines, organisations, places, machine, uses, steps, documents.emissions(steps)).collect()}
+    own = trees.product_trees(machine, instances.select("root_part_id"))
+    found = {r.instance_id: r for r in views.user_view(instances, lines, organisations, places, own, uses, steps, documents.emissions(steps)).collect()}
     one, none = found["machine"], found["nowhere"]
     assert (one.n_parts, len(one.first_level), one.first_level[0].name, one.first_level[8].name) == (20, 9, "housing", "milk system")
     assert [(x.part_name, x.linked_id, x.linked_name) for x in one.linked] == [("electronics", "electronics", "Product electronics"), ("grinder", "grinder", "Product grinder")]
