@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import written
+from .command_log import outcome
+
 
 def _known(commands: DataFrame, parts: DataFrame, target: str) -> DataFrame:
     keys = parts.select(F.col("tree_id").alias("kt"), F.col("part_id").alias("kp")).distinct()
@@ -42,6 +45,20 @@ def recycle(instances: DataFrame, steps: DataFrame, new: DataFrame) -> tuple[Dat
     return joined.withColumn("discontinued", F.col("discontinued") | F.col("ended").isNotNull()).drop("ended"), steps.unionByName(new, allowMissingColumns=True)
 
 
+def _timed(commands: DataFrame, *seq: str) -> DataFrame:
+    """Commands with t, their time: by ``seq``, then by the parts they name. Commands that are alike in all of it are one."""
+    return commands.withColumn("t", F.struct(*seq, "old_id", "new_id")).dropDuplicates(["tree_id", "t"])
+
+
+def _split(states: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    kept = states.where("gone_at IS NULL").select(*columns)
+    return kept, states.where("gone_at IS NOT NULL").select(*columns, F.col("gone_with").alias("detached_with"))
+
+
+def _columns(nodes: DataFrame, new_nodes: DataFrame) -> list[str]:
+    return [*nodes.columns, *(c for c in new_nodes.columns if c not in (*nodes.columns, "new_id"))]
+
+
 def replace_parts(nodes: DataFrame, commands: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Swaps subtrees, a product's commands one after another: (nodes, detached, failed).
 
@@ -51,42 +68,13 @@ def replace_parts(nodes: DataFrame, commands: DataFrame, new_nodes: DataFrame) -
     (from that root) and the same other columns.
 
     What goes is the old part with all below it at that time; it is kept in
-    ``detached`` with detached_with, the part it went with. Root parts and unknown
-    parts fail, and so does a part that an earlier command has taken out.
+    ``detached`` with detached_with, the part it went with. A command may name a part
+    that an earlier one put in. Root parts and unknown parts fail, and so does a part that
+    an earlier command has taken out, or that was to be put in by one that failed.
     """
-    seq = "seq" if "seq" in commands.columns else "old_id"
-    wanted = commands.select(F.col("tree_id").alias("ct"), "old_id", F.col("new_id").alias("with_id"), F.col(seq).alias("nth"))
-    at = nodes.select(F.col("tree_id").alias("nt"), F.col("part_id").alias("np"), F.col("parent_id").alias("old_parent"), F.col("path").alias("old_path"))
-    found = wanted.join(at, (F.col("ct") == F.col("nt")) & (F.col("old_id") == F.col("np")), "left").drop("nt")
-    unfit = F.when(F.col("np").isNull(), "no such part").when(F.col("old_parent").isNull(), "root cannot be replaced")
-    # A command is lost if an earlier sound one took out its part or one above; that one may be lost itself, but then to a
-    # still earlier one that took out this part too.
-    sound = found.where(unfit.isNull()).select("ct", "nth", "old_id", "with_id", "old_parent", "old_path")
-    took = sound.select(F.col("ct").alias("tt"), F.col("old_id").alias("took"), F.col("nth").alias("then"))
-    at_or_above = (F.col("ct") == F.col("tt")) & (F.col("up") == F.col("took"))
-    lost = sound.select("ct", "nth", "old_id", F.explode("old_path").alias("up")).join(took, at_or_above & (F.col("then") < F.col("nth")), "left_semi").select(F.col("ct").alias("lt"), F.col("nth").alias("ln"), F.col("old_id").alias("lo")).distinct()
-    same = (F.col("ct") == F.col("lt")) & (F.col("nth") == F.col("ln")) & (F.col("old_id") == F.col("lo"))
-    done = sound.join(lost, same, "left_anti")
-    failed = found.where(unfit.isNotNull()).select(F.col("ct").alias("tree_id"), "old_id", unfit.alias("reason")).unionByName(lost.select(F.col("lt").alias("tree_id"), F.col("lo").alias("old_id"), F.lit("no such part").alias("reason")))
-    # Of commands within each other the inner was the earlier: what is below it went with it, its new parts with the outer one.
-    out = done.select(F.col("ct").alias("tt"), F.col("old_id").alias("took"))
-    above = (
-        nodes.select(F.col("tree_id").alias("ct"), F.col("part_id").alias("of"), F.posexplode("path").alias("at", "up")).join(out, at_or_above)
-        .groupBy(F.col("ct").alias("at_tree"), F.col("of").alias("at_part")).agg(F.max_by("took", "at").alias("detached_with"))
-    )
-    marked = nodes.join(above, (F.col("tree_id") == F.col("at_tree")) & (F.col("part_id") == F.col("at_part")), "left").drop("at_tree", "at_part")
-    kept = marked.where(F.col("detached_with").isNull()).drop("detached_with")
-    detached = marked.where(F.col("detached_with").isNotNull())
-    over = done.select("ct", "old_id", F.posexplode(F.slice("old_path", F.lit(1), F.size("old_path") - 1)).alias("at", "up")).join(out, at_or_above).groupBy(F.col("ct").alias("ot"), F.col("old_id").alias("oo")).agg(F.max_by("took", "at").alias("detached_with"))
-    each = done.join(over, (F.col("ct") == F.col("ot")) & (F.col("old_id") == F.col("oo")), "left").select("ct", "detached_with", F.struct("old_id", "with_id", "old_parent", "old_path").alias("c"))
-    fresh = each.join(new_nodes, F.col("c.with_id") == F.col("new_id")).drop("new_id").withColumn("tree_id", F.col("ct"))
-    fresh = fresh.withColumn("parent_id", F.when(F.col("part_id") == F.col("c.with_id"), F.col("c.old_parent")).otherwise(F.col("parent_id")))
-    fresh = fresh.withColumn("path", F.concat(F.slice("c.old_path", F.lit(1), F.size("c.old_path") - 1), F.col("path")))
-    if "lvl" in nodes.columns:
-        fresh = fresh.withColumn("lvl", F.size("path") - 1)
-    placed = fresh.where(F.col("detached_with").isNull()).drop("ct", "c", "detached_with")
-    went = fresh.where(F.col("detached_with").isNotNull()).drop("ct", "c")
-    return kept.unionByName(placed, allowMissingColumns=True), detached.unionByName(went, allowMissingColumns=True), failed
+    states, told = outcome(nodes, _timed(commands, *(["seq"] if "seq" in commands.columns else [])), new_nodes)
+    kept, detached = _split(states, _columns(nodes, new_nodes))
+    return kept, detached, told.where("NOT done").select("tree_id", "old_id", "reason")
 
 
 def replace_with_steps(nodes: DataFrame, steps: DataFrame, commands: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -94,36 +82,43 @@ def replace_with_steps(nodes: DataFrame, steps: DataFrame, commands: DataFrame,
 
     ``commands`` also have the columns of ``steps`` that a step fills.
     """
-    changed, detached, failed = replace_parts(nodes, commands, new_nodes)
-    # Of several commands for one part the first may have been done.
-    first = commands.withColumn("nth", F.row_number().over(Window.partitionBy("tree_id", "old_id").orderBy("seq" if "seq" in commands.columns else "old_id")))
-    once = failed.groupBy(F.col("tree_id").alias("ct"), F.col("old_id").alias("co")).agg(F.count("*").alias("n_failed"))
-    asked = commands.groupBy(F.col("tree_id").alias("at"), F.col("old_id").alias("ao")).agg(F.count("*").alias("n_asked"))
-    some = first.join(asked, (F.col("tree_id") == F.col("at")) & (F.col("old_id") == F.col("ao"))).join(once, (F.col("tree_id") == F.col("ct")) & (F.col("old_id") == F.col("co")), "left")
-    good = some.where(F.col("nth") <= F.col("n_asked") - F.coalesce("n_failed", F.lit(0))).select(*(c for c in commands.columns if c in steps.columns))
-    return changed, steps.unionByName(good, allowMissingColumns=True), detached, failed
+    states, told = outcome(nodes, _timed(commands, *(["seq"] if "seq" in commands.columns else [])), new_nodes)
+    kept, detached = _split(states, _columns(nodes, new_nodes))
+    good = told.where("done").select(*(c for c in commands.columns if c in steps.columns))
+    return kept, steps.unionByName(good, allowMissingColumns=True), detached, told.where("NOT done").select("tree_id", "old_id", "reason")
 
 
 def rework(nodes: DataFrame, steps: DataFrame, new: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Remanufacturing and refurbishment steps: (nodes, steps, detached, failed).
 
     ``new``: event_id, tree_id, repaired_ids, cleaned_ids, pairs (old_id and new_id, in
-    order) and the columns of ``steps``; one step for a product. Repaired and cleaned parts
-    must be in the product, then pairs are swapped in order. A step one of whose parts is
-    missing changes nothing and is not added.
+    order) and the columns of ``steps``. A product's steps are done one after another, by
+    seq if there is one, else by event_id. Repaired and cleaned parts must be in the product
+    when the step's turn comes, then pairs are swapped in order. A step one of whose parts
+    is missing changes nothing and is not added; later steps do not see it.
+
+    In each round the first step that fails in a product is left out, as those before it
+    are known to work; products are worked on together, so there are as many rounds as one
+    product has steps that fail, and one more.
     """
-    checked = F.array_distinct(F.concat(F.coalesce("repaired_ids", F.array()), F.coalesce("cleaned_ids", F.array())))
-    missing = _known(new.select("event_id", "tree_id", F.explode(checked).alias("target")), nodes, "target").where("NOT known").select(F.col("event_id").alias("lost"), F.lit("no such part").alias("why"))
-    pairs = new.select("event_id", "tree_id", F.posexplode("pairs").alias("seq", "pair")).select("event_id", "tree_id", "seq", "pair.old_id", "pair.new_id")
-    _, _, refused = replace_parts(nodes, pairs, new_nodes)
-    of_event = new.select(F.col("tree_id").alias("et"), F.col("event_id").alias("lost"))
-    refused = refused.join(of_event, F.col("tree_id") == F.col("et")).select("lost", F.col("reason").alias("why"))
-    lost = missing.unionByName(refused).groupBy("lost").agg(F.min("why").alias("why"))
-    good = new.join(lost, F.col("event_id") == F.col("lost"), "left_anti")
-    sound = pairs.join(good.select(F.col("event_id").alias("kept")), F.col("event_id") == F.col("kept"), "left_semi").drop("event_id")
-    changed, detached, _ = replace_parts(nodes, sound, new_nodes)
-    failed = new.join(lost, F.col("event_id") == F.col("lost")).select("event_id", "tree_id", F.col("why").alias("reason"))
-    return changed, steps.unionByName(good.select(*(c for c in good.columns if c in steps.columns)), allowMissingColumns=True), detached, failed
+    turn = F.col("seq") if "seq" in new.columns else F.col("event_id")
+    looked_for = F.array_distinct(F.concat(F.coalesce("repaired_ids", F.array()), F.coalesce("cleaned_ids", F.array())))
+    swapped = new.select("event_id", "tree_id", turn.alias("turn"), F.posexplode("pairs").alias("nth", "pair")).select("event_id", "tree_id", "turn", F.lit(1).alias("phase"), "nth", "pair.old_id", "pair.new_id")
+    asked = new.select("event_id", "tree_id", turn.alias("turn"), F.lit(0).alias("phase"), F.posexplode(looked_for).alias("nth", "old_id")).withColumn("new_id", F.lit(None).cast(swapped.schema["new_id"].dataType))
+    log = written(_timed(asked.unionByName(swapped), "turn", "event_id", "phase", "nth"), "rework")
+    failed = None
+    while True:
+        left = log if failed is None else log.join(failed.select(F.col("event_id").alias("lost")), F.col("event_id") == F.col("lost"), "left_anti")
+        states, told = outcome(nodes, left, new_nodes)
+        first = told.where("NOT done").groupBy("tree_id").agg(F.min(F.struct("t", "event_id", "reason")).alias("f")).select("f.event_id", "tree_id", "f.reason")
+        first = written(first, "failed")
+        if first.isEmpty():
+            break
+        failed = first if failed is None else failed.unionByName(first)
+    kept, detached = _split(states, _columns(nodes, new_nodes))
+    failed = first if failed is None else failed
+    good = new.join(failed.select(F.col("event_id").alias("lost")), F.col("event_id") == F.col("lost"), "left_anti")
+    return kept, steps.unionByName(good.select(*(c for c in good.columns if c in steps.columns)), allowMissingColumns=True), detached, failed
 
 
 def add_links(lines: DataFrame, column: str, commands: DataFrame, distinct: bool) -> tuple[DataFrame, DataFrame]:

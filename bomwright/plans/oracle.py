@@ -275,12 +275,22 @@ SELECT org_id, concat_ws(',', CASE WHEN eori = 'DE1' THEN 'eori' END, CASE WHEN
   UNION ALL SELECT tree_id, new_id - 1000000, new_id, lvl + 1, path[:-2], old_id, [new_id, new_id - 1000000] FROM done
 ), above AS (  -- the innermost part that was taken out at or above a place
   SELECT n.tree_id, n.part_id, max_by(d.old_id, d.lvl) AS with_id FROM node n JOIN done d ON d.tree_id = n.tree_id AND list_contains(n.path, d.old_id) GROUP BY ALL
+), again AS (  -- new parts that are to be swapped in turn, later
+  SELECT j.*, j.new_id - 10000000000 AS newer, NOT j.is_root AND NOT j.gone AND NOT EXISTS (SELECT 1 FROM asked e WHERE e.tree_id = j.tree_id AND e.seq * 2 < j.seq * 2 + 60001 AND e.parent_id IS NOT NULL AND list_contains(j.path[:-2], e.old_id)) AS fits
+  FROM judged j WHERE j.old_id % 21 = 3 AND j.new_id = -j.old_id * 2 - 1
+), newest AS (
+  SELECT tree_id, newer AS part_id, parent_id, lvl, path[:-2] AS over, [newer] AS own FROM again WHERE fits
+  UNION ALL SELECT tree_id, newer - 1000000, newer, lvl + 1, path[:-2], [newer, newer - 1000000] FROM again WHERE fits
+), put AS (
+  SELECT f.tree_id, f.part_id, f.parent_id, f.lvl, f.over, f.own, g.new_id AS swapped FROM fresh f LEFT JOIN again g ON g.fits AND g.tree_id = f.tree_id AND g.new_id = f.own[1]
+  UNION ALL SELECT tree_id, part_id, parent_id, lvl, over, own, NULL FROM newest
 ), over AS (
-  SELECT f.tree_id, f.part_id, max_by(d.old_id, d.lvl) AS with_id FROM fresh f JOIN done d ON d.tree_id = f.tree_id AND list_contains(f.over, d.old_id) GROUP BY ALL
-)
+  SELECT f.tree_id, f.part_id, max_by(d.old_id, d.lvl) AS with_id FROM put f JOIN done d ON d.tree_id = f.tree_id AND list_contains(f.over, d.old_id) GROUP BY ALL
+), ended AS (SELECT f.*, coalesce(f.swapped, o.with_id) AS with_id FROM put f LEFT JOIN over o ON o.tree_id = f.tree_id AND o.part_id = f.part_id)
 SELECT 'kept' AS kind, tree_id, part_id, parent_id, lvl, array_to_string(path, '/') AS path, NULL::VARCHAR AS note FROM node n WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.tree_id = n.tree_id AND a.part_id = n.part_id)
 UNION ALL SELECT 'detached', n.tree_id, n.part_id, n.parent_id, n.lvl, array_to_string(n.path, '/'), with_id::VARCHAR FROM node n JOIN above a ON a.tree_id = n.tree_id AND a.part_id = n.part_id
-UNION ALL SELECT CASE WHEN with_id IS NULL THEN 'kept' ELSE 'detached' END, f.tree_id, f.part_id, f.parent_id, f.lvl, array_to_string(list_concat(over, own), '/'), with_id::VARCHAR FROM fresh f LEFT JOIN over o ON o.tree_id = f.tree_id AND o.part_id = f.part_id
+UNION ALL SELECT CASE WHEN with_id IS NULL THEN 'kept' ELSE 'detached' END, tree_id, part_id, parent_id, lvl, array_to_string(list_concat(over, own), '/'), with_id::VARCHAR FROM ended
+UNION ALL SELECT 'failed', tree_id, new_id, NULL, NULL, NULL, 'no such part' FROM again WHERE NOT fits
 UNION ALL SELECT 'failed', tree_id, old_id, NULL, NULL, NULL, CASE WHEN is_root THEN 'root cannot be replaced' ELSE 'no such part' END FROM judged WHERE is_root OR gone"""),
     "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, instance_id IN (SELECT instance_id FROM services WHERE type = 'RecyclingStep' AND cost > 50) AS discontinued FROM lines"),
     "mutation_add_spare": with_views(LINES, "SELECT static_id, concat_ws(',', static_id, static_id * 3, static_id + 1000000, CASE WHEN static_id + 7 NOT IN (static_id, static_id * 3, static_id + 1000000) THEN static_id + 7 END) AS spare_ids FROM listed"),

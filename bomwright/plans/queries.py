@@ -141,9 +141,11 @@ def toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replacements(all_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every seventh part, once or twice, to be swapped for a new part with one child: commands and new parts."""
+    """Every seventh part, once or twice, to be swapped for a new part with one child, and some of the new ones again later: commands and new parts."""
     asked = all_nodes.where("part_id % 7 = 3").select("tree_id", F.col("part_id").alias("old_id"), F.explode(F.when(F.col("part_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
-    commands = asked.select("tree_id", "old_id", (-(F.col("old_id") * 2 + F.col("again")) - 1).alias("new_id"), ((F.col("old_id") * 7919) % 100003 * 2 + F.col("again")).alias("seq"))
+    commands = asked.select("tree_id", "old_id", (-(F.col("old_id") * 2 + F.col("again")) - 1).alias("new_id"), (((F.col("old_id") * 7919) % 100003 * 2 + F.col("again")) * 2).alias("seq"))
+    again = asked.where("again = 0 AND old_id % 21 = 3").select("tree_id", (-F.col("old_id") * 2 - 1).alias("old_id"), (-F.col("old_id") * 2 - 1 - 10000000000).alias("new_id"), ((F.col("old_id") * 7919) % 100003 * 4 + 60001).alias("seq"))
+    commands = commands.unionByName(again)
     roots = commands.select("new_id", F.col("new_id").alias("part_id"), F.lit(None).cast("bigint").alias("parent_id"), F.array("new_id").alias("path"))
     children = commands.select("new_id", (F.col("new_id") - 1000000).alias("part_id"), F.col("new_id").alias("parent_id"), F.array(F.col("new_id"), F.col("new_id") - 1000000).alias("path"))
     return commands, roots.unionByName(children)
@@ -151,8 +153,7 @@ def replacements(all_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All trees after the replacements, what was taken out of them, and the commands that failed."""
-    # The trees are read several times; they are walked once.
-    all_nodes = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path").persist()
+    all_nodes = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path")
     commands, new_nodes = replacements(all_nodes)
     kept, detached, failed = mutations.replace_parts(all_nodes, commands, new_nodes)
     shown = lambda df, kind, gone_with: df.select(F.lit(kind).alias("kind"), "tree_id", "part_id", "parent_id", "lvl", F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), gone_with.alias("note"))
