@@ -44,17 +44,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def met(distinct: DataFrame, columns: list[str], masks: list[int], part: int, found: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def met(distinct: DataFrame, columns: list[str], masks: list[int], part: int, found: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, others: tuple[str, ...] = ()) -> DataFrame:
     """Runs ``found`` on whole groups of fingerprints that meet in a table.
 
     ``columns``: the 64-bit halves of a fingerprint, lowest first. ``found`` gets arrays
     sorted by group: the group's key, the table, the side, and the halves. Side 2 meets
-    all of its group, 0 meets 1 only.
+    all of its group, 0 meets 1 only. ``others``: columns that come along after the halves.
     """
     spark = distinct.sparkSession
     keys = F.array(*(F.struct(*(F.col(c).bitwiseAND(F.lit(signed(m >> (64 * h)))).alias(f"v{h}") for h, c in enumerate(columns))) for m in masks))
     values = [f"v{h}" for h in range(len(columns))]
-    tables = distinct.select(*columns, F.posexplode(keys).alias("block", "v")).select(*columns, "block", "v.*")
+    tables = distinct.select(*columns, *others, F.posexplode(keys).alias("block", "v")).select(*columns, *others, "block", "v.*")
     # One number comes to the driver. Not more than HOT_KEYS keys have more fingerprints than the limit.
     limit = max(part, distinct.count() * len(masks) // HOT_KEYS)
     hot = tables.groupBy("block", *values).count().where(F.col("count") > limit).select(F.col("block").alias("of"), *(F.col(v).alias(f"of_{v}") for v in values), F.ceil(F.col("count") / limit).alias("parts"))
@@ -65,7 +65,7 @@ def met(distinct: DataFrame, columns: list[str], masks: list[int], part: int, fo
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)))
         .select(
             F.xxhash64("block", *values, F.least("own", "other"), F.greatest("own", "other")).alias("key"), "block",
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *columns,
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *columns, *others,
         )
     )
 

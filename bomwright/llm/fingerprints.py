@@ -33,6 +33,9 @@ from .common import materialize, small_batches, spread_join, table
 from .rolling import BYTES, bit_counts, byte_column, chunks, majority, mix, prefix, span_hash, word_spans
 
 SHINGLE = 5
+#: Bytes of a sketch, and the mixings.
+SKETCH = 64
+ODD = np.random.default_rng(17).integers(1, 1 << 62, SKETCH)
 CHUNK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -41,8 +44,18 @@ RADIUS = 3
 PART = 4_096
 
 
-def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE, alike: bool = False) -> np.ndarray:
-    """Two 64-bit halves of each text's fingerprint.
+def least_bytes(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A sketch of each set of hashes, ``SKETCH`` bytes in 64-bit words: a byte of the least of all hashes under each of as many mixings. Two sets agree in about the share of bytes that they have of both together."""
+    out = np.zeros((len(begin), SKETCH), np.uint8)
+    full = np.flatnonzero(size)
+    for k in range(SKETCH if len(full) else 0):
+        turned = (h ^ (h >> np.uint64(29))) * np.uint64(2 * int(ODD[k]) + 1)
+        out[full, k] = mix(np.minimum.reduceat(turned ^ (turned >> np.uint64(32)), begin[full])) >> np.uint64(56)
+    return out.view("<u8")
+
+
+def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE, alike: bool = False, sketches: list[np.ndarray] | None = None) -> np.ndarray:
+    """Two 64-bit halves of each text's fingerprint; to a list given as ``sketches`` those of all texts' shingles are added.
 
     ``alike``: A-Z count as a-z, every different shingle votes once, and where votes are
     even a bit of the sum of all hashes decides, so that bits of short texts too are set in
@@ -70,6 +83,8 @@ def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE, alike: bool = Fal
             new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
             h, size = h[new], np.bincount(text[new], minlength=end - at)
             begin = np.cumsum(size) - size
+        if sketches is not None:
+            sketches.append(least_bytes(h, begin, size))
         for half in (0, 1):
             counts = bit_counts(h, begin, begin + size)
             out[at:end, half] = majority(counts, size)

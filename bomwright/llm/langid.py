@@ -15,9 +15,12 @@ byte. Scoring a text is two look-ups a byte, for all languages at once.
 Statistics come from a bounded sample: about ``SAMPLE`` documents of each language,
 picked by a hash of the id, of those whose crc32(doc_id) mod 4 is not 2.
 
-The table is sent to all tasks. It has at most ``TABLE_BYTES``, whatever the number of
-languages: contexts of three bytes that are rarest in the sample go without a row of
-their own, and are scored as their last two bytes.
+The table is sent to all tasks. Contexts of three bytes have a row of their own, the most
+frequent first, while rows have room in ``TABLE_BYTES``. All others are kept as they are
+counted, the bytes seen after them and one escape for each language, and scored from
+these: the same code lengths, by a look-up more. These, like all counts, are bounded by the
+sample. (Contexts of two bytes always have rows: at most 68 MB for each language, about
+1 MB with a hundred different bytes.)
 
 Defined results: null text and text without a letter are ``und`` with score 0; of
 languages with equal code lengths the first by name is taken; a NUL byte is read as
@@ -40,7 +43,7 @@ ORDER = 3
 #: Documents of each language that statistics come from, about; and the most characters all of them may have.
 SAMPLE = 1_500
 SAMPLE_CHARS = 40_000_000
-#: The most that the table of code lengths may take.
+#: Rows for contexts of three bytes are made while they have room in this; it changes the time, not the code lengths.
 TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
 
@@ -92,8 +95,8 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHAR
 class Statistics:
     """Code lengths, in bits, by context and byte for every language."""
 
-    def __init__(self, langs: list[str], classes: np.ndarray, n_classes: int, states: np.ndarray, by_state: np.ndarray):
-        self.langs, self.classes, self.n_classes, self.states, self.by_state = langs, classes, n_classes, states, by_state
+    def __init__(self, langs: list[str], classes: np.ndarray, n_classes: int, states: np.ndarray, by_state: np.ndarray, rare: np.ndarray, sparse: list[tuple[np.ndarray, ...]]):
+        self.langs, self.classes, self.n_classes, self.states, self.by_state, self.rare, self.sparse = langs, classes, n_classes, states, by_state, rare, sparse
 
     def code_lengths(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -111,11 +114,33 @@ class Statistics:
                 before[starts[starts + j < n] + j] = 0
             context = context * a + before
         rows = self.by_state[self.states[context] * a + c]
+        at = np.flatnonzero(self.rare[context]) if len(self.rare) else ()
+        if len(at):
+            # These rows are those of the last two bytes, which is what an escape leads to.
+            ctx = context[at].astype(np.int64)
+            gram = ctx * a + c[at]
+            for j, (grams, bits, contexts, escapes) in enumerate(self.sparse):
+                if not len(grams):
+                    continue
+                seen, k = _among(grams, gram)
+                known, m = _among(contexts, ctx)
+                fallen = np.where(known, np.minimum(rows[at, j] + escapes[m], LONGEST), rows[at, j])
+                rows[at, j] = np.where(seen, bits[k], fallen)
         full = offsets[1:] > starts
         out[full] = np.add.reduceat(rows, starts[full], axis=0, dtype=np.float64)
         return out
 
 
+#: The longest code of a byte, in bits.
+LONGEST = np.float32(-np.log2(1e-9))
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among sorted ``keys``, of which there are some, and where."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> Statistics:
     """Unrolls each language's context tree. counts: per language the grams (four bytes each) and how often they occur."""
     langs = sorted(counts)
@@ -136,18 +161,43 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = T
     contexts = np.concatenate([(c[3] * a + c[2]) * a + c[1] for c, _ in trees.values()])
     used, at = np.unique(contexts, return_inverse=True)
     room = max(0, table_bytes // (4 * a * len(langs)) - a * a)
+    rare = np.zeros(0, bool)
     if len(used) > room:
+        rare = np.zeros(a**3, bool)
+        rare[used] = True
         often = np.bincount(at, np.concatenate([n for _, n in trees.values()]).astype(np.float64), len(used))
         used = np.sort(used[np.lexsort((used, -often))[:room]])
+        rare[used] = False
     states = np.zeros(a**3, np.int32)
     # Contexts of three that were never seen share the state of their last two bytes.
     every2 = np.arange(a * a)
     states[:] = np.tile(every2, a)
     states[used] = a * a + np.arange(len(used))
     by_state = np.zeros(((a * a + len(used)) * a, len(langs)), np.float32)
+    sparse = []
     for j, lang in enumerate(langs):
         by_state[:, j] = _unroll(*trees[lang], a, used)
-    return Statistics(langs, classes, a, states, by_state)
+        if len(rare):
+            sparse.append(_kept(*trees[lang], a, rare, by_state[: a**3, j]))
+    return Statistics(langs, classes, a, states, by_state, rare, sparse)
+
+
+def _kept(codes: list[np.ndarray], n: np.ndarray, a: int, rare: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one language the grams of rare contexts with their code lengths, and the contexts with that of an escape. ``shorter``: code lengths after two bytes."""
+    context = ((codes[3] * a + codes[2]) * a + codes[1]).astype(np.int64)
+    some = rare[context]
+    grams, at = np.unique(context[some] * a + codes[0][some], return_inverse=True)
+    often = np.bincount(at, n[some].astype(np.float64), len(grams))
+    contexts, first = np.unique(grams // a, return_index=True)
+    if not len(grams):
+        return grams, often, contexts, often
+    total, distinct = np.add.reduceat(often, first), np.diff(np.append(first, len(grams)))
+    lower = np.exp2(-shorter.astype(np.float64))
+    of = contexts % (a * a)
+    # What the unseen bytes have after two bytes.
+    left = lower.reshape(-1, a).sum(1)[of] - np.add.reduceat(lower[(grams // a) % (a * a) * a + grams % a], first)
+    bits = -np.log2(np.maximum(often / np.repeat(total + distinct, distinct), 1e-9))
+    return grams, bits.astype(np.float32), contexts, (-np.log2(distinct / (total + distinct) / np.maximum(left, 1e-12))).astype(np.float32)
 
 
 def _unroll(codes: list[np.ndarray], n: np.ndarray, a: int, used: np.ndarray) -> np.ndarray:

@@ -17,10 +17,17 @@ and fingerprints with very many copies, are dealt to several tasks where rows ar
 joined (``common.spread_join``).
 
 ``grouped(similar=True)`` is the wider search of the pipeline: 128 bits of five-word
-shingles, and links at up to 24 differing bits, where texts of a similarity of 0.8
-have 19 on average. So wide a radius is beyond block tables that lose nothing: each
-table looks at randomly drawn bits, and there are as many as bring 95 of 100 such pairs
-together at least once. The planes, counters and abandoned blocks are the same.
+shingles, and links at up to 34 differing bits. Texts of a similarity of 0.8 have 19 on
+average and never more than 30 in the test tables; copies with a word in twenty
+changed, whose similarity is between 0.5 and 0.7, have 24 to 34. At 34 bits a few pairs in
+a hundred million are of unlike texts, so a link also needs sketches of the shingles that
+agree in half of their 64 bytes, as texts do that share half of their shingles (of both
+together). So wide a radius is beyond block
+tables that lose nothing: each table looks at randomly drawn bits, and there are as many
+as bring together 95 of 100 pairs that differ in 30 bits (999 of 1,000 at 19). With
+``exact=True`` all fingerprints meet all in one table, dealt to tasks as pairs of parts:
+no pair is missed, at a cost of the square of their number. The planes, counters and
+abandoned blocks are the same.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; texts of fewer than three words are one shingle; repeated rows are
@@ -40,22 +47,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import GROUP, met, table_masks
+from .blocks import met, table_masks
 from .common import materialize, small_batches, spread_join, table
-from .fingerprints import fingerprint_texts, hex_of
+from .fingerprints import SKETCH, fingerprint_texts, hex_of
 from .rolling import bit_counts, majority
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 PART = 4096
-#: Similar texts: bits of a fingerprint; the bits in which texts that share four fifths of their
-#: shingles (of both together) differ on average, and about a standard deviation more.
+#: Similar texts: bits of a fingerprint, in how many of them texts may differ, and how many bytes of their sketches agree.
 BITS = 128
-SIMILAR_BITS = 20
-SIMILAR_RADIUS = 24
-#: The share of pairs that far apart which meet in a table at least once.
+SIMILAR_RADIUS = 34
+AGREE = 32
+#: Of pairs that differ in so many bits this share meets in a table at least once; unlike fingerprints that meet in one, on average.
+SIMILAR_BITS = 30
 FOUND = 0.95
+SIMILAR_GROUP = 1024
+SKETCHES = tuple(f"s{k}" for k in range(SKETCH // 8))
 #: Words of planes compared at a time.
 ITEMS = 1 << 15
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -246,13 +255,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def sampled_masks(n: int) -> list[int]:
     """The bits that each of the tables for similar texts looks at, for n fingerprints: so many that unlike ones rarely meet, and tables enough for ``FOUND``."""
-    size = max(8, math.ceil(math.log2(max(1, n / GROUP))))
+    size = max(8, math.ceil(math.log2(max(1, n / SIMILAR_GROUP))))
     met_once = (1 - SIMILAR_BITS / BITS) ** size
     draw = np.random.default_rng(11)
     return [sum(1 << int(b) for b in draw.choice(BITS, size, replace=False)) for _ in range(math.ceil(math.log(1 - FOUND) / math.log(1 - met_once)))]
 
 
-def _similar_links(keys: np.ndarray, sides: np.ndarray, halves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bytes sketches agree, row by row."""
+    return ((a ^ b).view(np.uint8).reshape(len(a), a.shape[1] * 8) == 0).sum(1)
+
+
+def _similar_links(keys: np.ndarray, sides: np.ndarray, halves: list[np.ndarray], sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links, as places, among fingerprints of equal key within the radius for similar texts; sides as in ``_run_links``. Keys are sorted.
 
     Each group's fingerprints fill whole words of the planes, and each of its queries is
@@ -288,48 +302,57 @@ def _similar_links(keys: np.ndarray, sides: np.ndarray, halves: list[np.ndarray]
         found = lanes(within(differ, len(item), SIMILAR_RADIUS, BITS))
         a, b = row_at[word[found // 64] * 64 + found % 64], query[found // 64]
         keep = (a >= 0) & ((sides[b] == 1) | (a < b))
-        root = forest(root, a[keep], b[keep])
+        a, b = a[keep], b[keep]
+        if sketches is not None:
+            near = alike(sketches[a], sketches[b]) >= AGREE
+            a, b = a[near], b[near]
+        root = forest(root, a, b)
     member = np.flatnonzero(root != np.arange(len(keys)))
     return root[member], member
 
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """Links a, b between different 128-bit fingerprints (column fp, 32 hex digits) of similar texts."""
+def similar_links(distinct: DataFrame, exact: bool = False) -> DataFrame:
+    """Links a, b between different 128-bit fingerprints (column fp, 32 hex digits) of similar texts, by sketches too where there are any (columns of ``SKETCHES``)."""
+    others = SKETCHES if set(SKETCHES) <= set(distinct.columns) else ()
     half = lambda k: F.conv(F.substring("fp", 16 * k + 1, 16), 16, -10).cast("bigint")
-    halves = distinct.select(half(0).alias("low"), half(1).alias("high"))
+    halves = distinct.select(half(0).alias("low"), half(1).alias("high"), *others)
 
     def found(columns):
-        keys, _, side, low, high = columns
+        keys, _, side, low, high, *sketch = columns
         values = np.stack([low.view(np.uint64), high.view(np.uint64)], 1)
-        a, b = _similar_links(keys, side, [values[:, 0].copy(), values[:, 1].copy()])
+        a, b = _similar_links(keys, side, [values[:, 0].copy(), values[:, 1].copy()], np.stack(sketch, 1) if sketch else None)
         yield pa.RecordBatch.from_arrays([pa.array(hex_of(values[x]), pa.string()) for x in (a, b)], names=["a", "b"])
 
-    return met(halves, ["low", "high"], sampled_masks(distinct.count()), PART, found, "a string, b string")
+    return met(halves, ["low", "high"], [0] if exact else sampled_masks(distinct.count()), PART, found, "a string, b string", others)
 
 
 def similar_fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the 128-bit fingerprint of five-word shingles as 32 hex digits, and text_hash if ``docs`` has one."""
+    """doc_id and fp, the 128-bit fingerprint of five-word shingles as 32 hex digits, their sketch (``SKETCHES``), and text_hash if ``docs`` has one."""
     id_type = dict(docs.dtypes)["doc_id"]
     hashed = ["text_hash"] if "text_hash" in docs.columns else []
 
     def run(batches):
         for batch in batches:
-            fp = hex_of(fingerprint_texts(batch.column(1), alike=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.string()), *batch.columns[2:]], names=["doc_id", "fp", *hashed])
+            sketches: list[np.ndarray] = []
+            fp = hex_of(fingerprint_texts(batch.column(1), alike=True, sketches=sketches))
+            sketch = np.concatenate([*sketches, np.zeros((0, len(SKETCHES)), np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.string()), *(pa.array(c) for c in sketch.T), *batch.columns[2:]], names=["doc_id", "fp", *SKETCHES, *hashed])
 
-    return docs.select("doc_id", "text", *hashed).mapInArrow(run, f"doc_id {id_type}, fp string" + ", text_hash bigint" * len(hashed))
+    return docs.select("doc_id", "text", *hashed).mapInArrow(run, f"doc_id {id_type}, fp string, " + ", ".join(f"{c} bigint" for c in SKETCHES) + ", text_hash bigint" * len(hashed))
 
 
-def grouped(docs: DataFrame, similar: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, similar: bool = False, exact: bool = False) -> DataFrame:
     """One row per document: doc_id, fp, text_hash if ``docs`` has one, root (names its group) and component_id (the least doc_id that links reach).
 
-    ``similar``: by the wider links of texts that have four fifths of their five-word
-    shingles in common.
+    ``similar``: by the wider links of texts that have most of their five-word shingles in
+    common; ``exact``: by all of these, however long it takes.
     """
     small_batches(docs.sparkSession)
     prints = materialize(similar_fingerprinted(docs) if similar else fingerprinted(docs), "simhash")
-    copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
-    rooted = components((similar_links if similar else links)(copies.select("fp")))
+    sketch = [F.min(F.struct(*SKETCHES)).alias("sketch")] if similar else []
+    copies = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *sketch), "simhash-distinct")
+    prints = prints.drop(*SKETCHES)
+    rooted = components(similar_links(copies.select("fp", "sketch.*"), exact) if similar else links(copies.select("fp")))
     linked = materialize(copies.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "least", "copies", F.coalesce("root", "fp").alias("root")), "simhash-linked")
     named = materialize(linked.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "simhash-groups")
     of_print = materialize(spread_join(linked, named, [("root", "name")], "members", F.xxhash64("of")).select("of", "copies", "root", "component_id"), "simhash-named")

@@ -301,3 +301,35 @@ def test_fingerprint_query_on_small_tables(spark, tmp_path):
     assert len(found) == 4 and found[1].fingerprint == found[2].fingerprint and found[1].n_near == 0 and found[1].nearest is None
     spark.createDataFrame(rows, "doc_id bigint, text string").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert fingerprints.op4(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_recall_and_precision_of_similar_groups(spark):
+    """Whole documents: of pairs of similar texts, by brute force over their five-word shingles, in three bands of similarity."""
+    rows = {r.doc_id: five_word_shingles(r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    ids = [k for k, s in sorted(rows.items()) if s]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    holding = {}
+    for k in ids:
+        for s in rows[k]:
+            holding.setdefault(s, []).append(k)
+    shared = {}
+    for some in holding.values():
+        for x, a in enumerate(some):
+            for b in some[x + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    likeness = {(a, b): n / len(rows[a] | rows[b]) for (a, b), n in shared.items()}
+    for exact in (False, True):
+        group = {r.doc_id: r.component_id for r in neardup.grouped(docs, similar=True, exact=exact).collect()}
+        for low, high, least in ((0.8, 1.01, 0.95), (0.65, 0.8, 0.9), (0.5, 0.65, 0.75)):
+            pairs = [p for p, j in likeness.items() if low <= j < high]
+            found = sum(group[a] == group[b] for a, b in pairs)
+            assert found >= least * len(pairs), (low, exact, found, len(pairs))
+        best = {}
+        for (a, b), j in likeness.items():
+            if group[a] == group[b]:
+                best[a], best[b] = max(best.get(a, 0), j), max(best.get(b, 0), j)
+        sizes = {}
+        for k in ids:
+            sizes[group[k]] = sizes.get(group[k], 0) + 1
+        members = [k for k in ids if sizes[group[k]] > 1]
+        assert sum(best.get(k, 0) < 0.4 for k in members) <= 0.01 * len(members)

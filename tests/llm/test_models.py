@@ -351,3 +351,21 @@ def test_main_text_of_other_templates():
         right += sum(a == b for a, b in zip(weights.decode(blocks), truth, strict=True))
         total += len(blocks)
     assert right / total > 0.85, right / total
+
+
+def test_contexts_without_rows_have_the_same_code_lengths():
+    """Rows for all contexts of three bytes, for some and for none: no context is dropped."""
+    r = np.random.default_rng(4)
+    counts = {}
+    for lang, letters in (("a", b"abcdefgh "), ("b", b"aeiou xyz"), ("c", b"abc"), ("d", bytes(range(32, 127)))):
+        text = np.array([letters[k] for k in r.integers(0, len(letters), 6000)], np.uint8)
+        grams, n = np.unique(langid.grams_of(text, np.array([0, 2000, 4000])), return_counts=True)
+        counts[lang] = (grams.astype(np.int64), n)
+    text = r.integers(30, 130, 5000).astype(np.uint8)
+    offsets = np.array([0, 0, 1, 700, 5000])
+    full = langid.build(counts).code_lengths(text, offsets)
+    a = langid.build(counts).n_classes
+    for rows in (0, 1, 50, 2000):
+        found = langid.build(counts, 4 * a * len(counts) * (a * a + rows))
+        assert len(found.by_state) == (a * a + rows) * a and found.rare.any()
+        assert np.allclose(found.code_lengths(text, offsets), full, rtol=1e-5)
