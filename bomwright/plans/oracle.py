@@ -150,6 +150,19 @@ def nested_parts(depth: int = 12) -> str:
     return ctes + " SELECT tree_id, json FROM j0"
 
 
+ENTITIES = """, org_json AS (
+  SELECT id, '{"id":"' || id || '","name":' || to_json(name) || '}' AS json FROM (
+    SELECT 'M' || s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'I' || c_custkey, c_name FROM customer UNION ALL SELECT 'R' || r_regionkey, r_name FROM region)
+), place_json AS (
+  SELECT n_nationkey AS id, '{"id":"' || n_nationkey || '","name":' || to_json(n_name) || ',"managedBy":' || o.json || '}' AS json FROM nation JOIN org_json o ON o.id = 'R' || n_regionkey
+), part_json AS (SELECT p_partkey AS id, '{"id":"' || p_partkey || '","name":' || to_json(p_name) || '}' AS json FROM part
+), line_json AS (
+  SELECT static_id, '{"id":"' || static_id || '","product_name":' || to_json(product_name)
+      || ',"returningPlaces":[' || (SELECT string_agg(coalesce(p.json, 'null'), ',' ORDER BY n) FROM (SELECT unnest([static_id % 25, static_id % 7, static_id + 10]) AS t, unnest([0, 1, 2]) AS n) LEFT JOIN place_json p ON p.id = t)
+      || '],"spareParts":[' || (SELECT string_agg(coalesce(p.json, 'null'), ',' ORDER BY n) FROM (SELECT unnest([static_id, static_id * 3, static_id + 1000000]) AS t, unnest([0, 1, 2]) AS n) LEFT JOIN part_json p ON p.id = t) || ']}' AS json
+  FROM listed
+)"""
+
 SQL: dict[str, str] = {
     "material_mass_by_name": with_views([USES, NAMED_MASS], f"SELECT tree_id, material_name, grams, CASE WHEN total > 0 THEN grams / total ELSE 0 END * 100.0::DOUBLE AS percent FROM named JOIN (SELECT tree_id, {exact('weight_g')} AS total FROM uses GROUP BY ALL) USING (tree_id)"),
     "material_recycled_share": with_views([USES, NAMED_MASS], "SELECT tree_id, material_name, grams, CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS recycled_percent, 100.0::DOUBLE - CASE WHEN grams > 0 THEN wp / grams ELSE 0 END AS virgin_percent FROM named"),
@@ -314,6 +327,19 @@ SELECT id AS material_static_id, '{CONTEXT}"@type":"schema:ProductModel","@id":'
     "jsonld_bundle": with_views([PASSPORTS, LINES], f""", products AS (SELECT static_id, string_agg({passport_json("''")}, ',' ORDER BY instance_id) AS inner_json FROM passports GROUP BY static_id)
 SELECT static_id, '[{CONTEXT}' || {LINE_NODE} || ',' || inner_json || ']' AS json FROM listed JOIN products USING (static_id)"""),
     "jsonld_part_tree": with_views(NODE, nested_parts()),
+    "jsonld_deep": with_views([PASSPORTS, LINES], ENTITIES + """
+SELECT instance_id::VARCHAR AS id, '{"id":"' || instance_id || '","product_name":' || to_json(product_name) || ',"importer":' || coalesce(i.json, 'null') || ',"line":' || l.json || ',"manufacturer":' || coalesce(m.json, 'null') || '}' AS json
+FROM passports JOIN line_json l USING (static_id) LEFT JOIN org_json i ON i.id = importer_id LEFT JOIN org_json m ON m.id = manufacturer_id"""),
+    "links_reached": with_views([PASSPORTS, LINES], ENTITIES + """, hops AS (
+  SELECT 'product' AS kind, instance_id::VARCHAR AS id, 'line' AS to_kind, static_id::VARCHAR AS to_id FROM passports
+  UNION ALL SELECT 'product', instance_id::VARCHAR, 'organisation', unnest([manufacturer_id, importer_id]) FROM passports
+  UNION ALL SELECT 'line', static_id::VARCHAR, 'place', unnest([static_id % 25, static_id % 7, static_id + 10])::VARCHAR FROM listed
+  UNION ALL SELECT 'line', static_id::VARCHAR, 'part', unnest([static_id, static_id * 3, static_id + 1000000])::VARCHAR FROM listed
+  UNION ALL SELECT 'place', n_nationkey::VARCHAR, 'organisation', 'R' || n_regionkey FROM nation
+), walked AS (
+  SELECT kind AS start_kind, id AS start_id, to_kind AS kind, to_id AS id, 1 AS depth FROM hops WHERE to_id IS NOT NULL
+  UNION SELECT w.start_kind, w.start_id, h.to_kind, h.to_id, w.depth + 1 FROM walked w JOIN hops h USING (kind, id) WHERE h.to_id IS NOT NULL
+) SELECT start_kind, start_id, kind, id, min(depth)::INT AS depth FROM walked GROUP BY ALL"""),
     "user_summary": with_views([CLOSURE, PASSPORTS, USES, OVERALL, STEPS, EMISSIONS], f""", t AS (SELECT ancestor, count(*) AS n_parts, count(*) FILTER (has_failstate) AS n_fail, count(*) FILTER (is_modular) AS n_modular FROM closure GROUP BY ALL),
  m AS (SELECT tree_id, {rounded('grams', 3)} AS grams, {rounded('CASE WHEN grams > 0 THEN wp / grams ELSE 0 END', 2)} AS recycled_percent, {rounded('CASE WHEN grams > 0 THEN rare_g / grams ELSE 0 END * 100.0::DOUBLE', 2)} AS rare_percent FROM overall),
  c AS (SELECT tree_id, {NAME_COUNTS.replace('AS total', 'AS steps')}, coalesce({exact("CASE WHEN owner_kind = 'part' THEN distance_km END")}, 0) + coalesce({exact("CASE WHEN owner_kind = 'material' THEN distance_km END")}, 0) AS km FROM steps GROUP BY ALL),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import exact_sum
 from ..functions.scalars import gs1_check_digit, humanised_days, percent, rounded, weight_kg
-from ..operators import jsonld, materials, mutations, passports, processes, rules, services, trees, views
+from ..operators import jsonld, links as followed, materials, mutations, passports, processes, rules, services, trees, views
 from ..sources import adapters as A
 from ..streaming import service_steps as streams
 
@@ -238,6 +238,39 @@ def part_tree_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonld.part_trees(nodes(spark, sf_dir), roots_only=True).select("tree_id", "json")
 
 
+def linked_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Products, lines, organisations, places and spare parts, and the links between them; some lead nowhere."""
+    body = lambda *fields: F.to_json(F.struct(*fields)).alias("body")
+    entity = lambda rows, kind, key, *fields: rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), body(F.col(key).cast("string").alias("id"), *fields))
+    products, listed, places = A.passports(spark, sf_dir), lines(spark, sf_dir), A.places(spark, sf_dir)
+    orgs = A.organisations(spark, sf_dir).select("org_id", "name").unionByName(A.owners(spark, sf_dir).select("owner.org_id", "owner.name"))
+    entities = entity(products, "product", "instance_id", "product_name")
+    for rows in (entity(listed, "line", "static_id", "product_name"), entity(orgs, "organisation", "org_id", "name"), entity(places, "place", "place_id", "name"), entity(A.parts(spark, sf_dir), "part", "part_id", "name")):
+        entities = entities.unionByName(rows)
+    none = F.lit(None).cast("int").alias("pos")
+    to = lambda rows, kind, key, field, to_kind, to_id, pos=none: rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.lit(field).alias("field"), pos, F.lit(to_kind).alias("to_kind"), to_id.cast("string").alias("to_id"))
+    every = lambda column: listed.select("static_id", F.posexplode(column).alias("pos", "target"))
+    links = to(products, "product", "instance_id", "line", "line", F.col("static_id"))
+    for rows in (
+        to(products, "product", "instance_id", "manufacturer", "organisation", F.col("manufacturer_id")), to(products, "product", "instance_id", "importer", "organisation", F.col("importer_id")),
+        to(every("returning_place_ids"), "line", "static_id", "returningPlaces", "place", F.col("target"), F.col("pos")), to(every("spare_ids"), "line", "static_id", "spareParts", "part", F.col("target"), F.col("pos")),
+        to(places, "place", "place_id", "managedBy", "organisation", F.concat(F.lit("R"), F.col("managed_by"))),
+    ):
+        links = links.unionByName(rows)
+    return entities, links
+
+
+def deep_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product with its line, its organisations, and all that the line links to."""
+    return followed.embedded(*linked_entities(spark, sf_dir)).where("kind = 'product'").select("id", "json")
+
+
+def reached_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each product, line and place leads to, and by how many links."""
+    entities, links = linked_entities(spark, sf_dir)
+    return followed.reached(links, entities)
+
+
 def user_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passports.user_summary(A.passports(spark, sf_dir), product_nodes(spark, sf_dir), A.material_use(spark, sf_dir), A.process_steps(spark, sf_dir), A.emissions(spark, sf_dir))
 
@@ -393,6 +426,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonld_line": line_exports,
     "jsonld_bundle": bundle_exports,
     "jsonld_part_tree": part_tree_exports,
+    "jsonld_deep": deep_products,
+    "links_reached": reached_entities,
     "user_summary": user_summary,
     "end_of_life_summary": end_of_life_summary,
     "service_summary": service_summary,
