@@ -153,6 +153,40 @@ def add_materials(uses: DataFrame, new: DataFrame, parts: DataFrame) -> tuple[Da
     return uses.unionByName(judged.where("known").drop("known"), allowMissingColumns=True), judged.where("NOT known").drop("known").withColumn("reason", F.lit("no such part"))
 
 
+def graft(nodes: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Puts copies of subtrees into trees: (nodes, failed).
+
+    ``commands``: tree_id and parent_id, where to; from_tree and child_id, what. A child
+    comes with all below it, under every place of the parent. Commands look at the trees
+    as they are before any of them, so their order plays no part, and alike ones are one.
+    Parents and children must be known; a child must not be there already, and no part may
+    come to be below itself: that fails if the parent, or a part above it, is in what is
+    to be copied.
+    """
+    asked = commands.select("tree_id", "parent_id", "from_tree", "child_id").distinct()
+    keys = ["tree_id", "parent_id", "from_tree", "child_id"]
+    parents = nodes.select(F.col("tree_id").alias("pt"), F.col("part_id").alias("pp"), F.col("path").alias("parent_path"))
+    under = asked.join(parents, (F.col("tree_id") == F.col("pt")) & (F.col("parent_id") == F.col("pp")), "left").drop("pt", "pp")
+    first = nodes.groupBy(F.col("tree_id").alias("ft"), F.col("part_id").alias("fp")).agg(F.min("path").alias("child_path"))
+    found = under.join(first, (F.col("from_tree") == F.col("ft")) & (F.col("child_id") == F.col("fp")), "left").drop("ft", "fp")
+    links = nodes.where("parent_id IS NOT NULL").select(F.col("tree_id").alias("lt"), F.col("parent_id").alias("lp"), F.col("part_id").alias("lc")).distinct()
+    found = written(found.join(links, (F.col("tree_id") == F.col("lt")) & (F.col("parent_id") == F.col("lp")) & (F.col("child_id") == F.col("lc")), "left").withColumn("linked", F.col("lc").isNotNull()).drop("lt", "lp", "lc"), "graft")
+    # What is copied: the rows whose path goes through the child's place.
+    places = found.where("parent_path IS NOT NULL AND child_path IS NOT NULL AND NOT linked").select(*(F.col(k).alias(f"c_{k}") for k in keys), "parent_path", "child_path")
+    above = nodes.withColumn("over", F.explode("path"))
+    through = (F.col("over") == F.col("c_child_id")) & (F.col("tree_id") == F.col("c_from_tree")) & (F.slice("path", 1, F.size("child_path")) == F.col("child_path"))
+    copied = written(above.join(places, through).drop("over"), "graft")
+    same = [F.col(f"c_{k}") == F.col(k) for k in keys]
+    loops = copied.where(F.array_contains("parent_path", F.col("part_id"))).select(*(f"c_{k}" for k in keys)).distinct()
+    good = copied.join(loops.select(*(F.col(f"c_{k}").alias(k) for k in keys)).withColumnsRenamed({k: f"x_{k}" for k in keys}), [F.col(f"c_{k}") == F.col(f"x_{k}") for k in keys], "left_anti")
+    path = F.concat("parent_path", F.slice("path", F.size("child_path"), F.size("path")))
+    changed = {"tree_id": F.col("c_tree_id"), "parent_id": F.when(F.size("path") == F.size("child_path"), F.col("c_parent_id")).otherwise(F.col("parent_id")), "path": path, "lvl": F.size(path) - 1}
+    new = good.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in nodes.columns))
+    told = found.join(loops, same, "left").withColumn("loops", F.col("c_child_id").isNotNull())
+    reason = F.when(F.col("parent_path").isNull() | F.col("child_path").isNull(), "no such part").when(F.col("linked"), "already a child").when(F.col("loops"), "would be below itself")
+    return nodes.unionByName(new), told.select(*keys, reason.alias("reason")).where("reason IS NOT NULL").distinct()
+
+
 def attach_children(parts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``commands``: parent_id and child_id. Children must exist, and not be there already; parts is part_id and parent_id."""
     known = parts.select(F.col("part_id").alias("kp")).distinct()

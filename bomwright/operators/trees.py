@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stages import written
-from .ranks import ranked
+from .ranks import ranked, reading_order
 
 ARROW = " → "
 FIELDS = ("name", "is_modular", "has_failstate", "mtbf_hrs")
@@ -117,9 +117,9 @@ def find_part(nodes: DataFrame, part_id) -> DataFrame:
 
 
 def picker_options(nodes: DataFrame) -> DataFrame:
-    """What a part picker offers: every part of a product once, by label."""
+    """What a part picker offers: every part of a product once, by label in the order of a reader (see ``ranks.reading_order``)."""
     once = nodes.groupBy("tree_id", "part_id").agg(F.min(F.coalesce("name", F.col("part_id").cast("string"))).alias("label"))
-    return ranked(once, ["label", "part_id"], ["tree_id"])
+    return ranked(once, [reading_order(F.col("label")), "part_id"], ["tree_id"])
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def subtree_counts(nodes: DataFrame) -> DataFrame:
 
 def direct_children(nodes: DataFrame) -> DataFrame:
     """Children of each part of a tree by name, a missing name first; of a part in several places once."""
-    order = Window.partitionBy("tree_id", "parent_id").orderBy(F.coalesce("name", F.lit("")), "part_id")
+    order = Window.partitionBy("tree_id", "parent_id").orderBy(reading_order(F.coalesce("name", F.lit(""))), "part_id")
     once = nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "parent_id", "part_id", "name", "is_modular", "has_failstate").distinct()
     return once.withColumn("pos", F.row_number().over(order))
 

@@ -305,6 +305,16 @@ UNION ALL SELECT 'detached', n.tree_id, n.part_id, n.parent_id, n.lvl, array_to_
 UNION ALL SELECT CASE WHEN with_id IS NULL THEN 'kept' ELSE 'detached' END, tree_id, part_id, parent_id, lvl, array_to_string(list_concat(over, own), '/'), with_id::VARCHAR FROM ended
 UNION ALL SELECT 'failed', tree_id, new_id, NULL, NULL, NULL, 'no such part' FROM again WHERE NOT fits
 UNION ALL SELECT 'failed', tree_id, old_id, NULL, NULL, NULL, CASE WHEN is_root THEN 'root cannot be replaced' ELSE 'no such part' END FROM judged WHERE is_root OR gone"""),
+    "mutation_graft": with_views(NODE, """, asked AS (
+  SELECT n.tree_id, n.part_id AS parent_id, n.lvl, n.path, CASE WHEN n.part_id % 60 = 7 THEN n.path[1] ELSE n.part_id + 1 END AS child_id FROM node n WHERE n.part_id % 30 = 7
+), judged AS (
+  SELECT a.*, c.path AS child_path, CASE WHEN c.part_id IS NULL THEN 'no such part' WHEN c.parent_id = a.parent_id THEN 'already a child' WHEN list_contains(a.path, a.child_id) THEN 'would be below itself' END AS reason
+  FROM asked a LEFT JOIN node c ON c.part_id = a.child_id
+)
+SELECT tree_id, part_id, parent_id, lvl, array_to_string(path, '/') AS path, NULL::VARCHAR AS reason FROM node
+UNION ALL SELECT j.tree_id, n.part_id, CASE WHEN n.part_id = j.child_id THEN j.parent_id ELSE n.parent_id END, j.lvl + 1 + n.lvl - (len(j.child_path) - 1), array_to_string(list_concat(j.path, n.path[len(j.child_path):]), '/'), NULL
+  FROM judged j JOIN node n ON list_contains(n.path, j.child_id) WHERE j.reason IS NULL
+UNION ALL SELECT tree_id, child_id, parent_id, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL"""),
     "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, instance_id IN (SELECT instance_id FROM services WHERE type = 'RecyclingStep' AND cost > 50) AS discontinued FROM lines"),
     "mutation_add_spare": with_views(LINES, "SELECT static_id, concat_ws(',', static_id, static_id * 3, static_id + 1000000, CASE WHEN static_id + 7 NOT IN (static_id, static_id * 3, static_id + 1000000) THEN static_id + 7 END) AS spare_ids FROM listed"),
     "jsonld_place": with_views(PLACES, f"""SELECT place_id, '{CONTEXT}"@type":"schema:Place","@id":"' || place_id || '","schema:name":' || {text('name')} || {identifier("schema:identifier", "GLN", "place_id")}

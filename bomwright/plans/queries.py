@@ -161,6 +161,18 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(kept, "kept", F.lit(None).cast("string")).unionByName(shown(detached, "detached", F.col("detached_with").cast("string"))).unionByName(refused)
 
 
+def grafted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trees after every thirtieth part has got a copy of the part after it, wherever that is, and some of a part above them; and the commands that failed."""
+    known = nodes(spark, sf_dir).select("tree_id", "part_id", "parent_id", "lvl", "path")
+    other = F.when(F.col("part_id") % 60 == 7, F.col("path")[0]).otherwise(F.col("part_id") + 1)
+    asked = known.where("part_id % 30 = 7").select("tree_id", F.col("part_id").alias("parent_id"), other.alias("child_id"))
+    asked = asked.join(known.select(F.col("part_id").alias("of"), F.col("tree_id").alias("from_tree")), F.col("child_id") == F.col("of"), "left").drop("of")
+    changed, failed = mutations.graft(known, asked.withColumn("from_tree", F.coalesce("from_tree", F.lit(0).cast("bigint"))))
+    path = F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path")
+    refused = failed.select("tree_id", F.col("child_id").alias("part_id"), "parent_id", F.lit(None).cast("int").alias("lvl"), F.lit(None).cast("string").alias("path"), "reason")
+    return changed.select("tree_id", "part_id", "parent_id", "lvl", path, F.lit(None).cast("string").alias("reason")).unionByName(refused)
+
+
 def recycled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     owned = A.service_instances(spark, sf_dir).withColumn("discontinued", F.lit(False))
     new = A.service_steps(spark, sf_dir).where("type = 'RecyclingStep' AND cost > 50")
@@ -415,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "step_places": step_places,
     "mutation_toggle_fail": toggled,
     "mutation_replace_part": replaced,
+    "mutation_graft": grafted,
     "mutation_recycle": recycled_lines,
     "mutation_add_spare": more_spares,
     "jsonld_place": place_exports,

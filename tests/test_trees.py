@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bomwright.operators import ranks, services, trees, views
+from bomwright.operators import mutations, ranks, services, trees, views
 
 SCHEMA = "part_id bigint, parent_id bigint, name string, is_modular boolean, has_failstate boolean, mtbf_hrs double"
 
@@ -82,3 +82,23 @@ def test_places_in_an_order(spark, within):
         some = sorted((row[2], row[0]) for row in rows if not within or row[1] == g)
         expected |= {k: n + 1 for n, (_, k) in enumerate(some)}
     assert {x.k: x.pos for x in found} == expected
+
+
+def test_names_in_reading_order(spark):
+    names = ["Zug", "zebra", "Ärger", "arm", "Apfel", "äpfel", "apfel", "Öl", "oben", "ß", "Straße", "Strasse", None]
+    df = spark.createDataFrame([(1, k, 1 if n else None, n) for k, n in enumerate(names)], "tree_id int, part_id int, parent_id int, name string")
+    shown = [r.label for r in trees.picker_options(df).orderBy("pos").collect()]
+    assert shown == ["12", "apfel", "Apfel", "äpfel", "Ärger", "arm", "oben", "Öl", "ß", "Strasse", "Straße", "zebra", "Zug"]
+    swedish = df.where("name IS NOT NULL").orderBy(ranks.reading_order(F.col("name"), "sv")).select("name").collect()
+    assert [r.name for r in swedish][-3:] == ["äpfel", "Ärger", "Öl"]
+
+
+def test_grafts_copy_subtrees_and_refuse_loops(spark):
+    nodes = trees.flatten(parts_of(spark, [(1, None), (2, 1), (3, 2), (4, 1), (9, None), (8, 9), (7, 8)])).drop("names")
+    asked = [(1, 4, 1, 2), (1, 3, 9, 8), (1, 3, 1, 1), (1, 2, 1, 2), (1, 1, 1, 4), (1, 99, 1, 2), (9, 9, 1, 77), (1, 3, 9, 8)]
+    changed, failed = mutations.graft(nodes, spark.createDataFrame(asked, "tree_id bigint, parent_id bigint, from_tree bigint, child_id bigint"))
+    found = sorted((tuple(r.path), r.parent_id, r.lvl, r.name) for r in changed.where("tree_id = 1").collect())
+    assert [f[0] for f in found] == [(1,), (1, 2), (1, 2, 3), (1, 2, 3, 8), (1, 2, 3, 8, 7), (1, 4), (1, 4, 2), (1, 4, 2, 3)]
+    assert all(f[0][-2:-1] == ((f[1],) if f[1] else ()) and f[2] == len(f[0]) - 1 and f[3] == f"n{f[0][-1]}" for f in found)
+    assert changed.where("tree_id = 9").count() == 3
+    assert sorted((r.parent_id, r.child_id, r.reason) for r in failed.collect()) == [(1, 4, "already a child"), (2, 2, "would be below itself"), (3, 1, "would be below itself"), (9, 77, "no such part"), (99, 2, "no such part")]
