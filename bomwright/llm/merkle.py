@@ -246,3 +246,45 @@ def op12(spark, sf_dir: str) -> DataFrame:
     found = manifest(docs.withColumn("tampered", F.when(altered, digest(without_breaks))), carry=("tampered",))
     checked = folded(found.withColumn("given", F.coalesce("tampered", "leaf")), "given", "folded_root")
     return checked.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _shown(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_shown(text if c == 'text' else c) for c in FIELDS)})"
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """Levels of the trees of ``leaves`` (key, pos, node), their roots, and at each node its siblings left and right."""
+    return f"""{name} AS (
+  SELECT {key}, 0 AS lvl, pos, node, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves}
+  UNION ALL
+  SELECT {key}, any_value(lvl) + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY {key}, pos // 3
+), {name}_root AS (SELECT {key}, node, lvl AS height FROM {name} WHERE n = 1
+), {name}_beside AS (
+  SELECT {key}, lvl, pos, coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY {key}, lvl, pos // 3 ORDER BY pos)
+)"""
+
+
+#: The remainder by two of a number's crc32, bit by bit.
+_ODD = "list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce(list_concat([xor(r, c)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) & 1"
+
+OP12_SQL = f"""WITH RECURSIVE told AS (
+  SELECT doc_id, 's' || source AS of_source, {_leaf('text')} AS leaf, CASE WHEN ({_ODD}) = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS given FROM documents
+), leaves AS (SELECT coalesce(of_source, '') AS k, row_number() OVER (PARTITION BY of_source ORDER BY doc_id, leaf) - 1 AS pos, leaf AS node, doc_id, given FROM told
+), {_tree('own', 'leaves', 'k')}, subroots AS (SELECT 0 AS t, row_number() OVER (ORDER BY k) - 1 AS pos, node, k FROM own_root
+), {_tree('whole', 'subroots', 't')}, path AS (
+  SELECT doc_id, l.k, b.lvl AS step, before, after FROM leaves l JOIN own_root r ON r.k = l.k CROSS JOIN generate_series(0, 60) g(h) JOIN own_beside b ON b.k = l.k AND b.lvl = h AND h < r.height AND b.pos = l.pos // (3 ** h)::BIGINT
+  UNION ALL
+  SELECT doc_id, l.k, r.height + b.lvl, before, after FROM leaves l JOIN own_root r ON r.k = l.k JOIN subroots s ON s.k = l.k CROSS JOIN generate_series(0, 60) g(h) JOIN whole_beside b ON b.lvl = h AND b.pos = s.pos // (3 ** h)::BIGINT
+), folded AS (
+  SELECT doc_id, 0 AS step, given AS node FROM leaves
+  UNION ALL SELECT f.doc_id, f.step + 1, sha256(before || node || after) FROM folded f JOIN path p ON p.doc_id = f.doc_id AND p.step = f.step
+)
+SELECT l.doc_id, l.node AS leaf, r.node AS subroot, w.node AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.node AS folded_root, f.node = w.node AS verified
+FROM leaves l JOIN own_root r ON r.k = l.k CROSS JOIN whole_root w LEFT JOIN (SELECT doc_id, string_agg(before || after, '' ORDER BY step) AS siblings FROM path GROUP BY doc_id) p ON p.doc_id = l.doc_id
+JOIN (SELECT doc_id, max_by(node, step) AS node FROM folded GROUP BY doc_id) f ON f.doc_id = l.doc_id"""

@@ -30,4 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_pareto_mix": mixing.OP2_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }

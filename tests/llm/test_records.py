@@ -162,6 +162,16 @@ def test_op12_finds_what_was_altered(spark, sf_dir):
         assert (r.subroot, r.root, r.proof_sha256, r.verified, r.folded_root == root) == (subroot, root, sha(proof), not altered, not altered)
 
 
+def test_op12_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    theirs = con.execute(merkle.OP12_SQL)
+    columns = [c[0] for c in theirs.description]
+    assert sorted(map(tuple, merkle.op12(spark, sf_dir).select(*columns).collect())) == sorted(theirs.fetchall())
+
+
 def cuts_by_force(value, words):
     """The cheapest of all cuts."""
     parts = defaultdict(list)
