@@ -18,6 +18,7 @@ def session_builder(master: str | None = None, app: str = "bomwright") -> SparkS
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # looking up call sites doubles the time in which plans are built
         .config("spark.sql.cteRecursionLevelLimit", "1000")
         .config("spark.sql.cteRecursionRowLimit", "-1")
     )
