@@ -38,11 +38,14 @@ def append_steps(steps: DataFrame, new: DataFrame, parts: DataFrame | None = Non
     return steps.unionByName(good, allowMissingColumns=True), failed
 
 
-def recycle(instances: DataFrame, steps: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds recycling steps and ends their products: (instances, steps)."""
+def recycle(instances: DataFrame, steps: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Adds recycling steps and ends their products: (instances, steps, failed). Steps of products that are not there fail."""
+    there = instances.select(F.col("instance_id").alias("there")).distinct()
+    good = new.join(there, F.col("instance_id") == F.col("there"), "left_semi")
+    failed = new.join(there, F.col("instance_id") == F.col("there"), "left_anti").withColumn("reason", F.lit("no such product"))
     ended = new.select(F.col("instance_id").alias("ended")).distinct()
     joined = instances.join(ended, F.col("instance_id") == F.col("ended"), "left")
-    return joined.withColumn("discontinued", F.col("discontinued") | F.col("ended").isNotNull()).drop("ended"), steps.unionByName(new, allowMissingColumns=True)
+    return joined.withColumn("discontinued", F.col("discontinued") | F.col("ended").isNotNull()).drop("ended"), steps.unionByName(good, allowMissingColumns=True), failed
 
 
 def _timed(commands: DataFrame, *seq: str) -> DataFrame:

@@ -105,6 +105,11 @@ def transport_rules(number: str = "transport_number") -> Rules:
     return {"transport_number": F.col(number).rlike("^DE-BAG-[0-9]{4}-[0-9]{6}$")}
 
 
+def checked_transport(rows: DataFrame, number: str = "transport_number") -> Checked:
+    """Companies that transport goods: organisations with a permit number."""
+    return rows, organisation_rules() | transport_rules(number)
+
+
 def place_rules() -> Rules:
     code = country(F.col("country"))
     return {"gln": digits_of_length(F.col("place_id"), 13), "latitude": F.col("latitude").between(-90, 90), "longitude": F.col("longitude").between(-180, 180), "country": F.length(code).between(2, 3), "name": filled("name")}
@@ -175,10 +180,15 @@ def checked_lines(rows: DataFrame, organisations: DataFrame, part_statics: DataF
     return found, line_rules() | rules
 
 
-def checked_steps(rows: DataFrame, places: DataFrame) -> Checked:
-    """Steps have a known place; their destination may be missing, but not unknown."""
+def checked_steps(rows: DataFrame, places: DataFrame, emissions: DataFrame | None = None, key: str = "step_key") -> Checked:
+    """Steps have a known place; their destination may be missing, but not unknown. With ``emissions``, records that have a step's ``key``, all of them are in order."""
     found, rules = links(rows, place=("place_id", places, "place_id"), destination=("dest_id", places, "place_id"))
-    return found, step_rules() | rules | {"destination": optional("dest_id", rules["destination"])}
+    rules = step_rules() | rules | {"destination": optional("dest_id", rules["destination"])}
+    if emissions is None:
+        return found, rules
+    bad = rejected(emissions, emission_rules()).select(F.col(key).alias("bad_step")).distinct()
+    found = found.join(bad, F.col(key) == F.col("bad_step"), "left").withColumn(f"{FLAG}emissions", F.col("bad_step").isNull()).drop("bad_step")
+    return found, rules | {"emissions": F.col(f"{FLAG}emissions")}
 
 
 def _with_steps(checked: Checked, row_id: str, steps: DataFrame, places: DataFrame) -> Checked:

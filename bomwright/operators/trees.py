@@ -20,6 +20,21 @@ ARROW = " → "
 FIELDS = ("name", "is_modular", "has_failstate", "mtbf_hrs")
 
 
+def with_statics(parts: DataFrame, statics: DataFrame) -> DataFrame:
+    """Parts as they are shown: by the name of their static part, else their own, else their id, and with its MTBF, else their own.
+
+    ``statics``: part_static_id, name and mtbf_hrs. An empty name is none; parts without a
+    static part, or with an unknown one, keep what they have. Of static parts that share an
+    id the least is taken. Works on parts as they are stored, so that paths of trees made
+    of the result have these names, and on flattened ones.
+    """
+    known = statics.where("part_static_id IS NOT NULL").groupBy(F.col("part_static_id").alias("of_static")).agg(F.min(F.struct("name", "mtbf_hrs")).alias("static"))
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    joined = parts.join(known, F.col("part_static_id") == F.col("of_static"), "left")
+    shown = {"name": F.coalesce(named("static.name"), named("name"), F.col("part_id").cast("string")), "mtbf_hrs": F.coalesce("static.mtbf_hrs", "mtbf_hrs")}
+    return joined.withColumns(shown).drop("of_static", "static")
+
+
 def flatten(parts: DataFrame, paths: bool = True) -> DataFrame:
     """Every part with its root (tree_id) and level, and with ``paths`` the ids (path) and names (names) from the root to it.
 

@@ -39,6 +39,12 @@ PURITY = f"""pure AS (
   FROM uses WHERE weight_g > 0 GROUP BY ALL
 )"""
 MTBF = """CASE WHEN mtbf_hrs IS NOT NULL THEN greatest(0.0, mtbf_hrs - operating_hrs) END AS remaining_hrs, coalesce(operating_hrs >= mtbf_hrs, false) AS exceeded"""
+STATICS = """shown_parts AS (
+  SELECT p_partkey, coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN s_name END, CASE WHEN p_partkey % 4 > 1 THEN nullif(p_name, '') END, p_partkey::VARCHAR) AS shown,
+    coalesce(CASE WHEN s_acctbal > 2000 THEN s_acctbal END, CASE WHEN p_partkey % 5 <> 2 THEN (p_size * 1000)::DOUBLE END) AS shown_mtbf
+  FROM part LEFT JOIN supplier ON p_partkey % 7 <> 3 AND p_brand = 'Brand#' || s_suppkey
+)"""
+RECORDS = """records AS (SELECT l_orderkey AS tree_id, l_partkey, l_linenumber, l_tax - 0.02::DOUBLE AS factor, l_quantity - 4 AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 BUCKETS = f"bucketed AS (SELECT instance_id, {exact('cost')} AS cost_eur, {kinds()} FROM services WHERE type <> 'RecyclingStep' GROUP BY ALL)"
 MICROS = "(epoch_us(begin_at) - epoch_us(declared_at))"
 LINES = """listed AS (
@@ -235,6 +241,8 @@ SELECT static_id, type, count(*) AS n, count(*) / any_value(p) AS avg_per_instan
     "secondary_steps_aggregate": with_views(SERVICES, f"SELECT l.static_id, t.type, count(s.event_id) AS n, any_value(total_instances) AS total_instances FROM totals l CROSS JOIN (VALUES {', '.join(f'({t!r})' for t in TYPES)}) t(type) LEFT JOIN tree_services s ON s.static_id = l.static_id AND s.type = t.type GROUP BY ALL"),
     "secondary_entries": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, 0.0::DOUBLE AS cleaning_count, 0.0::DOUBLE AS chalk_count, 0.0::DOUBLE AS brewing_count, 0.0::DOUBLE AS grinding_count FROM tree_services"),
     "secondary_entries_true_counters": with_views(SERVICES, "SELECT static_id, instance_id, event_id, type, cost, diagnose, coalesce((o_orderkey % 13)::DOUBLE, 0) AS cleaning_count, coalesce((o_orderkey % 7)::DOUBLE, 0) AS chalk_count, coalesce((o_orderkey % 29)::DOUBLE, 0) AS brewing_count, coalesce((o_orderkey % 31)::DOUBLE, 0) AS grinding_count FROM tree_services LEFT JOIN orders ON o_orderkey = instance_id"),
+    "tree_static_names": with_views([CLOSURE, STATICS], "SELECT tree_id, descendant AS part_id, max(CASE WHEN distance = 0 THEN shown END) AS name, max(CASE WHEN distance = 0 THEN shown_mtbf END) AS mtbf_hrs, string_agg(shown, ' → ' ORDER BY distance DESC) AS trail FROM closure JOIN shown_parts ON ancestor = p_partkey GROUP BY ALL"),
+    "part_mtbf_static": with_views([CLOSURE, PASSPORTS, STATICS], f"SELECT instance_id, part_id, mtbf_hrs, {MTBF} FROM (SELECT instance_id, operating_hrs, descendant AS part_id, shown_mtbf AS mtbf_hrs FROM passports JOIN closure ON root_part_id = ancestor JOIN shown_parts ON descendant = p_partkey)"),
     "part_mtbf": with_views([CLOSURE, PASSPORTS], f"SELECT instance_id, descendant AS part_id, mtbf_hrs, {MTBF} FROM passports JOIN closure ON root_part_id = ancestor"),
     "part_picker": with_views(PRODUCT_NODE, "SELECT tree_id, part_id, coalesce(name, part_id::VARCHAR) AS label, row_number() OVER (PARTITION BY tree_id ORDER BY coalesce(name, part_id::VARCHAR), part_id)::INT AS pos FROM pnode"),
     "service_modular_counts": with_views([CLOSURE, SERVICES, MODULAR], "SELECT * FROM modular"),
@@ -263,6 +271,12 @@ SELECT org_id, concat_ws(',', CASE WHEN eori = 'DE1' THEN 'eori' END, CASE WHEN
   SELECT tree_id, concat_ws(',', CASE WHEN part_id = 7 OR place_id NOT IN (SELECT n_nationkey FROM nation) THEN 'place' END, CASE WHEN part_id = 0 THEN 'cost' END,
     CASE WHEN dest_id IS NOT NULL AND (distance_km > 450 OR dest_id NOT IN (SELECT n_nationkey FROM nation)) THEN 'destination' END) AS reasons FROM steps
 ) SELECT tree_id, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL"""),
+    "validation_emissions": f"""WITH {RECORDS}, judged AS (SELECT tree_id, concat_ws(',', CASE WHEN factor < 0 THEN 'factor' END, CASE WHEN quantity < 0 THEN 'quantity' END) AS reasons FROM records)
+SELECT tree_id, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL""",
+    "validation_steps_with_records": f"""WITH {RECORDS}, bad AS (SELECT DISTINCT tree_id, l_partkey, l_linenumber FROM records WHERE factor < 0 OR quantity < 0)
+SELECT l.l_orderkey AS tree_id, 'emissions' AS reasons, count(*) AS n FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+SEMI JOIN bad b ON l.l_orderkey = b.tree_id AND l.l_partkey = b.l_partkey AND l.l_linenumber = b.l_linenumber GROUP BY ALL""",
+    "validation_transport": "SELECT 'M' || s_suppkey AS org_id, 'transport_number' AS reasons, 1::BIGINT AS n FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 6",
     "validation_lines": with_views([LINES, ORGANISATIONS], """, asked AS (
   SELECT static_id AS line, 'M' || static_id AS maker, CASE WHEN static_id % 2 = 0 THEN 'I' ELSE 'M' END || static_id AS operator, CASE WHEN static_id % 3 = 0 THEN CASE WHEN static_id % 5 = 0 THEN 'M' ELSE 'I' END || static_id END AS importer,
          [static_id % 25, static_id % 7, static_id + 10] AS back, [static_id, static_id * 3, static_id + 1000000] AS spares FROM listed
@@ -316,6 +330,7 @@ UNION ALL SELECT j.tree_id, n.part_id, CASE WHEN n.part_id = j.child_id THEN j.p
   FROM judged j JOIN node n ON list_contains(n.path, j.child_id) WHERE j.reason IS NULL
 UNION ALL SELECT tree_id, child_id, parent_id, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL"""),
     "mutation_recycle": with_views(SERVICES, "SELECT static_id, instance_id, instance_id IN (SELECT instance_id FROM services WHERE type = 'RecyclingStep' AND cost > 50) AS discontinued FROM lines"),
+    "mutation_recycle_failed": with_views(SERVICES, "SELECT event_id, instance_id, 'no such product' AS reason FROM services WHERE type = 'RecyclingStep' AND cost > 50 AND instance_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)"),
     "mutation_add_spare": with_views(LINES, "SELECT static_id, concat_ws(',', static_id, static_id * 3, static_id + 1000000, CASE WHEN static_id + 7 NOT IN (static_id, static_id * 3, static_id + 1000000) THEN static_id + 7 END) AS spare_ids FROM listed"),
     "jsonld_place": with_views(PLACES, f"""SELECT place_id, '{CONTEXT}"@type":"schema:Place","@id":"' || place_id || '","schema:name":' || {text('name')} || {identifier("schema:identifier", "GLN", "place_id")}
   || ',"schema:address":{{"@type":"schema:PostalAddress","addressCountry":' || {text('name')} || ',"postalCode":"' || lpad(place_id::VARCHAR, 5, '0') || '"}},"schema:geo":{{"@type":"schema:GeoCoordinates"'

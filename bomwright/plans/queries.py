@@ -96,6 +96,39 @@ def bad_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons_of(rules.checked_steps(rows, A.places(spark, sf_dir)), "tree_id")
 
 
+def records_of_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All emission records with the step they are of, as if some factors and quantities had been below zero."""
+    step = F.concat_ws("/", "tree_id", "step_key.part", "step_key.line")
+    return A.emissions(spark, sf_dir).select("tree_id", step.alias("step_key"), (F.col("factor") - 0.02).alias("factor"), (F.col("quantity") - 4).alias("quantity"), "kg")
+
+
+def bad_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reasons_of((records_of_steps(spark, sf_dir), rules.emission_rules()), "tree_id")
+
+
+def bad_steps_with_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps with all of their emission records."""
+    rows = A.process_steps(spark, sf_dir).withColumns({"step_key": F.concat_ws("/", "tree_id", "level_visit.key", "level_visit.line"), "cost": F.lit(None).cast("double")})
+    return reasons_of(rules.checked_steps(rows, A.places(spark, sf_dir), records_of_steps(spark, sf_dir)), "tree_id")
+
+
+def bad_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers as if they transported goods themselves, some with a permit number of too few digits or none."""
+    makers = rules.of_type(A.organisations(spark, sf_dir), "Manufacturer")
+    key = F.regexp_extract("org_id", "[0-9]+", 0).cast("int")
+    number = F.concat(F.lit("DE-BAG-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad((key % 1000).cast("string"), F.when(key % 5 == 0, 5).otherwise(6), F.lit("0")))
+    return reasons_of(rules.checked_transport(makers.withColumn("transport_number", F.when(key % 7 != 6, number))), "org_id")
+
+
+def static_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.flatten(trees.with_statics(A.part_instances(spark, sf_dir), A.part_statics(spark, sf_dir)))
+
+
+def static_mtbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = A.passports(spark, sf_dir)
+    return services.part_mtbf(products, trees.product_trees(static_nodes(spark, sf_dir), products.select("root_part_id")))
+
+
 def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All product lines, some of them with a short number or links to what is not there, is there twice, or is of another type."""
     s = F.col("static_id")
@@ -180,6 +213,13 @@ def recycled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.recycle(owned, A.service_steps(spark, sf_dir).limit(0), new)[0].select("static_id", "instance_id", "discontinued")
 
 
+def unrecycled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recycling steps whose products are not there, were every third product unknown."""
+    owned = A.service_instances(spark, sf_dir).where("instance_id % 3 <> 0").withColumn("discontinued", F.lit(False))
+    steps = A.service_steps(spark, sf_dir)
+    return mutations.recycle(owned, steps.limit(0), steps.where("type = 'RecyclingStep' AND cost > 50"))[2].select("event_id", "instance_id", "reason")
+
+
 def more_spares(spark: SparkSession, sf_dir: str) -> DataFrame:
     commands = lines(spark, sf_dir).select("static_id", F.explode(F.array(F.col("static_id") * 3, F.col("static_id") + 7)).alias("link"))
     changed, _ = mutations.add_links(lines(spark, sf_dir), "spare_ids", commands, distinct=True)
@@ -370,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "end_of_life_buckets": on(A.material_use, materials.end_of_life_buckets),
     "pie_cumulative_share": on(A.material_use, lambda uses: materials.pie(materials.mass_by_name(uses))),
     "tree_flatten": on(nodes, lambda n: n.select("tree_id", "part_id", "parent_id", "lvl", "name", "is_modular", "has_failstate", "mtbf_hrs")),
+    "tree_static_names": on(static_nodes, lambda n: n.select("tree_id", "part_id", "name", "mtbf_hrs", F.array_join("names", trees.ARROW).alias("trail"))),
     "tree_breadcrumbs": on(nodes, trees.breadcrumbs),
     "tree_descendant_counts": on(product_nodes, trees.subtree_counts),
     "tree_direct_children": on(product_nodes, trees.direct_children),
@@ -405,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "secondary_steps_aggregate": on_two(A.tree_services, A.service_instances, secondary_totals),
     "secondary_entries": on_two(A.tree_services, A.service_instances, services.secondary_entries),
     "secondary_entries_true_counters": on_two(A.tree_services, A.service_instances, partial(services.secondary_entries, compatible=False)),
+    "part_mtbf_static": static_mtbf,
     "part_mtbf": on_two(A.passports, product_nodes, services.part_mtbf),
     "part_picker": on(product_nodes, trees.picker_options),
     "service_modular_counts": modular,
@@ -422,6 +464,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validation_uniqueness": duplicates,
     "validation_passports": bad_passports,
     "validation_steps": bad_steps,
+    "validation_emissions": bad_emissions,
+    "validation_steps_with_records": bad_steps_with_records,
+    "validation_transport": bad_transport,
     "validation_lines": bad_lines,
     "validation_material_statics": bad_materials,
     "step_places": step_places,
@@ -429,6 +474,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_replace_part": replaced,
     "mutation_graft": grafted,
     "mutation_recycle": recycled_lines,
+    "mutation_recycle_failed": unrecycled,
     "mutation_add_spare": more_spares,
     "jsonld_place": place_exports,
     "jsonld_organisation": organisation_exports,

@@ -43,6 +43,21 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the static part they are of; some have no name or no MTBF of their own, some no static part."""
+    key = F.col("p_partkey")
+    static = read(spark, sf_dir, "part").select(key.alias("of"), F.when(key % 7 != 3, F.col("p_brand")).alias("part_static_id"))
+    gaps = {"name": F.when(F.col("part_id") % 4 == 0, "").when(F.col("part_id") % 4 != 1, F.col("name")), "mtbf_hrs": F.when(F.col("part_id") % 5 != 2, F.col("mtbf_hrs"))}
+    return parts(spark, sf_dir).withColumns(gaps).join(static, F.col("part_id") == F.col("of")).drop("of")
+
+
+def part_statics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static parts by supplier: part_static_id, name (sometimes empty), mtbf_hrs (sometimes unknown)."""
+    key = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("Brand#"), key).alias("part_static_id"), F.when(key % 4 == 0, "").otherwise(F.col("s_name")).alias("name"), F.when(F.col("s_acctbal") > 2000, F.col("s_acctbal")).alias("mtbf_hrs"))
+
+
 def material_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.col("p_brand")
     return (

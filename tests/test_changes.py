@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from bomwright.operators import mutations
+from bomwright.operators import mutations, rules
 
 TREE = [(1, None, [1]), (2, 1, [1, 2]), (3, 2, [1, 2, 3]), (4, 3, [1, 2, 3, 4]), (5, 1, [1, 5])]
 NEW = [(-1, -1, None, [-1]), (-1, -11, -1, [-1, -11]), (-2, -2, None, [-2]), (-3, -3, None, [-3])]
@@ -116,3 +116,20 @@ def test_links_keep_the_order_of_commands(spark):
     changed, known = mutations.add_returning_places(lines, places, commands)
     assert {r.static_id: r.returning_place_ids for r in changed.collect()} == {1: [5, 9, 3, 5], 2: [9]}
     assert sorted(map(tuple, known.collect())) == [(3, "three"), (5, "five"), (9, "nine")]
+
+
+def test_recycling_of_unknown_products_fails(spark):
+    owned = spark.createDataFrame([(1, False), (2, True), (3, False)], "instance_id int, discontinued boolean")
+    new = spark.createDataFrame([(10, 1), (11, 9), (12, 1), (13, None)], "event_id int, instance_id int")
+    changed, steps, failed = mutations.recycle(owned, new.limit(0), new)
+    assert {(r.instance_id, r.discontinued) for r in changed.collect()} == {(1, True), (2, True), (3, False)}
+    assert sorted(r.event_id for r in steps.collect()) == [10, 12] and sorted((r.event_id, r.reason) for r in failed.collect()) == [(11, "no such product"), (13, "no such product")]
+
+
+def test_steps_answer_for_their_emission_records(spark):
+    """A step with one bad record of several breaks the rule once; steps without records do not, nor do records of no step."""
+    rows = spark.createDataFrame([("a", 1, None, None, None), ("b", 1, None, None, None), ("c", 1, None, None, None)], "step_key string, place_id int, dest_id int, distance_km double, cost double")
+    places = spark.createDataFrame([(1,)], "place_id int")
+    records = spark.createDataFrame([("a", 1.0, 1.0, 1.0), ("a", -1.0, 1.0, 1.0), ("a", 1.0, float("nan"), 1.0), ("b", 0.0, 0.0, 0.0), ("x", None, 1.0, 1.0), (None, -1.0, 1.0, 1.0)], "step_key string, factor double, quantity double, kg double")
+    judged = rules.judge(rules.checked_steps(rows, places, records))
+    assert {r.step_key: r.reasons for r in judged.collect()} == {"a": ["emissions"], "b": [], "c": []}

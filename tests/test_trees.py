@@ -102,3 +102,14 @@ def test_grafts_copy_subtrees_and_refuse_loops(spark):
     assert all(f[0][-2:-1] == ((f[1],) if f[1] else ()) and f[2] == len(f[0]) - 1 and f[3] == f"n{f[0][-1]}" for f in found)
     assert changed.where("tree_id = 9").count() == 3
     assert sorted((r.parent_id, r.child_id, r.reason) for r in failed.collect()) == [(1, 4, "already a child"), (2, 2, "would be below itself"), (3, 1, "would be below itself"), (9, 77, "no such part"), (99, 2, "no such part")]
+
+
+def test_parts_are_shown_by_their_static_part(spark):
+    """The static name first, then the part's own, then its id; empty names are none, unknown static parts give nothing, and of two of one id the least counts."""
+    parts = spark.createDataFrame(
+        [(1, "own", 5.0, "A"), (2, "own", None, "B"), (3, "", None, "C"), (4, None, 7.0, None), (5, "own", 8.0, "unknown"), (6, None, None, "D")], "part_id int, name string, mtbf_hrs double, part_static_id string")
+    statics = spark.createDataFrame([("A", "a", 1.0), ("B", "", 2.0), ("C", None, None), ("D", "z", 4.0), ("D", "d", 3.0), (None, "none", 9.0)], "part_static_id string, name string, mtbf_hrs double")
+    found = {r.part_id: (r.name, r.mtbf_hrs) for r in trees.with_statics(parts, statics).collect()}
+    assert found == {1: ("a", 1.0), 2: ("own", 2.0), 3: ("3", None), 4: ("4", 7.0), 5: ("own", 8.0), 6: ("d", 3.0)}
+    assert trees.with_statics(parts, statics).columns == parts.columns
+    assert trees.with_statics(parts.limit(0), statics).count() == 0 and trees.with_statics(parts, statics.limit(0)).where("part_id = 1").first().name == "own"
