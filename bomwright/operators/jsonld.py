@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SECONDARY_TYPES
+from ..stages import written
 
 #: Fixed values of the format: the context, the action that stands for each type of step, and the keys of the fields below.
 CONTEXT = {
@@ -210,10 +211,12 @@ def contents(uses: DataFrame, steps: DataFrame) -> DataFrame:
     return both.select(F.coalesce("tree_id", "st").alias("tree_id"), F.coalesce("part_id", "sp").alias("part_id"), F.col("material").alias("materials"), F.col("tracked").alias("tracking"))
 
 
-def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool = False) -> DataFrame:
-    """Every part, or every root, with all below it, nested: tree_id, part_id, parent_id, json. One pass for each level, from the deepest up.
+def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool = False, detached: DataFrame | None = None) -> DataFrame:
+    """Every part, or every root, with all below it, nested: tree_id, part_id, parent_id, json. One pass for each level, from the deepest up; each is written.
 
     ``held``: ``contents`` of the parts. A part id that is in a tree twice has the same contents in both places.
+    ``detached``: what was taken out of parts, as tree_id and part_id of the part that has it in its history, pos, and json
+    (such as these trees of the parts that were taken out).
     """
     own = F.to_json(part_instance(F.struct("*"), set(nodes.columns)))
     flat = nodes.select("tree_id", "part_id", "parent_id", "lvl", own.alias("own"))
@@ -222,7 +225,12 @@ def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool
     else:
         right = held.withColumnsRenamed({"tree_id": "ht", "part_id": "hp"})
         flat = flat.join(right, (F.col("tree_id") == F.col("ht")) & (F.col("part_id") == F.col("hp")), "left").drop("ht", "hp")
-    flat = flat.persist()
+    if detached is None:
+        flat = flat.withColumn("gone", F.lit(None).cast("string"))
+    else:
+        gone = detached.groupBy(F.col("tree_id").alias("gt"), F.col("part_id").alias("gp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "json"))), lambda d: d["json"]), ",").alias("gone"))
+        flat = flat.join(gone, (F.col("tree_id") == F.col("gt")) & (F.col("part_id") == F.col("gp")), "left").drop("gt", "gp")
+    flat = written(flat, "parts")
     deepest = flat.agg(F.max("lvl")).first()[0] or 0
     listed = lambda key, column: F.coalesce(F.concat(F.lit(f',"dpp:{key}":['), F.col(column), F.lit("]")), F.lit(""))
     done, out = None, None
@@ -233,10 +241,9 @@ def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool
         else:
             inner = done.groupBy(F.col("tree_id").alias("bt"), F.col("parent_id").alias("bp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_id", "json"))), lambda c: c["json"]), ",").alias("inner"))
             joined = here.join(inner, (F.col("tree_id") == F.col("bt")) & (F.col("part_id") == F.col("bp")), "left").drop("bt", "bp")
-        json = F.concat(F.expr("left(own, length(own) - 1)"), listed("compositeParts", "inner"), listed("compositeMaterials", "materials"), listed("partProcessTracking", "tracking"), F.lit("}"))
-        done = joined.select("tree_id", "part_id", "parent_id", json.alias("json"))
+        json = F.concat(F.expr("left(own, length(own) - 1)"), listed("compositeParts", "inner"), listed("historyOfDetachedParts", "gone"), listed("compositeMaterials", "materials"), listed("partProcessTracking", "tracking"), F.lit("}"))
+        done = written(joined.select("tree_id", "part_id", "parent_id", json.alias("json")), "nested")
         if not roots_only:
-            done = done.persist()
             out = done if out is None else out.unionByName(done)
     return done if roots_only else out
 

@@ -239,3 +239,17 @@ def test_mtbf_and_rollup(spark):
     assert {(r.part_id, r.remaining_hrs, r.exceeded) for r in services.part_mtbf(product, flat).collect()} == {(1, 90.0, False), (2, None, False), (3, 0.0, True)}
     steps = spark.createDataFrame([(1, 7, "RefurbishmentServiceStep", 4.0, [2, 3])], "event_id bigint, instance_id bigint, type string, cost double, target_ids array<bigint>")
     assert {(r.part_id, r.cost_eur, r.refurbishment) for r in services.rollup_to_ancestors(steps, flat).collect()} == {(1, 4.0, 1), (2, 4.0, 1), (3, 4.0, 1)}
+
+
+def test_exported_trees_hold_the_parts_taken_out_of_them(spark):
+    """In the order of the history, beneath the part that has them in it, with all that was below them."""
+    schema = "part_id bigint, parent_id bigint, name string, is_modular boolean, has_failstate boolean, mtbf_hrs double"
+    row = lambda k, p: (k, p, f"n{k}", False, False, None)
+    flat = trees.flatten(spark.createDataFrame([row(1, None), row(2, 1), row(3, 2)], schema))
+    out = trees.flatten(spark.createDataFrame([row(20, None), row(21, 20), row(10, None)], schema))
+    gone = jsonld.part_trees(out, roots_only=True).selectExpr("1L AS tree_id", "2L AS part_id", "IF(part_id = 20, 0, 1) AS pos", "json")
+    root = json.loads(jsonld.part_trees(flat, roots_only=True, detached=gone).first().json)
+    inner = root["dpp:compositeParts"][0]
+    assert "dpp:historyOfDetachedParts" not in root and [d["@id"] for d in inner["dpp:historyOfDetachedParts"]] == ["20", "10"]
+    assert inner["dpp:historyOfDetachedParts"][0]["dpp:compositeParts"][0]["@id"] == "21" and inner["dpp:compositeParts"][0]["@id"] == "3"
+    assert jsonld.part_trees(flat, roots_only=True, detached=gone.limit(0)).first().json == jsonld.part_trees(flat, roots_only=True).first().json
