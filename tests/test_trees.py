@@ -1,11 +1,13 @@
 """Trees in which a sub-part is a product of its own, deep trees, cycles, and places in an order."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from bomwright.operators import mutations, ranks, services, trees, views
+from bomwright.sources import adapters
 
 SCHEMA = "part_id bigint, parent_id bigint, name string, is_modular boolean, has_failstate boolean, mtbf_hrs double"
 
@@ -113,3 +115,19 @@ def test_parts_are_shown_by_their_static_part(spark):
     assert found == {1: ("a", 1.0), 2: ("own", 2.0), 3: ("3", None), 4: ("4", 7.0), 5: ("own", 8.0), 6: ("d", 3.0)}
     assert trees.with_statics(parts, statics).columns == parts.columns
     assert trees.with_statics(parts.limit(0), statics).count() == 0 and trees.with_statics(parts, statics.limit(0)).where("part_id = 1").first().name == "own"
+
+
+def joins(rows):
+    return re.findall(r"(\w+Join)\b", rows._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_trees_are_not_broadcast(spark, sf_dir):
+    """A forest that is small in its files is a thousand times as large with its paths spread."""
+    parts = adapters.parts(spark, sf_dir)
+    flat = trees.flatten(parts)
+    assert set(joins(flat)) == {"SortMergeJoin"}
+    cut = trees.product_trees(flat, parts.select("part_id"))
+    at = [line for line in cut._jdf.queryExecution().sparkPlan().toString().splitlines() if "above" in line and "Join" in line]
+    assert at and all("SortMergeJoin" in line for line in at)
+    assert set(joins(trees.layout(flat))) - {"SortMergeJoin"} <= {"BroadcastHashJoin"}  # sizes of ranges are few
+    assert any("has_child" in line and "SortMergeJoin" in line for line in trees.layout(flat)._jdf.queryExecution().sparkPlan().toString().splitlines())
