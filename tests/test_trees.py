@@ -131,3 +131,10 @@ def test_trees_are_not_broadcast(spark, sf_dir):
     assert at and all("SortMergeJoin" in line for line in at)
     assert set(joins(trees.layout(flat))) - {"SortMergeJoin"} <= {"BroadcastHashJoin"}  # sizes of ranges are few
     assert any("has_child" in line and "SortMergeJoin" in line for line in trees.layout(flat)._jdf.queryExecution().sparkPlan().toString().splitlines())
+
+
+def test_links_are_found_once_for_a_tree(machine):
+    found = trees.linked_passports(*machine)
+    assert sorted((r.instance_id, r.part_id, r.linked_id) for r in found.collect()) == [(10, 2, 20), (10, 3, 30), (20, 3, 30), (21, 3, 30)]
+    last = next(line for line in found._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line)
+    assert "of_tree" in last and "linked_part" not in last
