@@ -138,3 +138,12 @@ def test_links_are_found_once_for_a_tree(machine):
     assert sorted((r.instance_id, r.part_id, r.linked_id) for r in found.collect()) == [(10, 2, 20), (10, 3, 30), (20, 3, 30), (21, 3, 30)]
     last = next(line for line in found._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line)
     assert "of_tree" in last and "linked_part" not in last
+
+
+def test_large_trees_meet_products_in_blocks(spark):
+    """Of a tree of 5,000 parts no row that is joined holds more than some of them, and none is lost."""
+    forest = trees.flatten(parts_of(spark, [(1, None), *((p, 1) for p in range(2, 5001))]), paths=False)
+    instances = spark.createDataFrame([(i, 1, 2500.0) for i in range(3)], "instance_id bigint, root_part_id bigint, operating_hrs double")
+    found = services.part_mtbf(instances, forest)
+    assert found.groupBy("instance_id").agg(F.count("*"), F.count_distinct("part_id"), F.count_if("exceeded")).orderBy("instance_id").collect() == [(i, 5000, 5000, 2500) for i in range(3)]
+    assert "of_block" in found._jdf.queryExecution().analyzed().toString()
