@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..stages import written
+from ..stages import shuffled, written
 from .command_log import outcome
 
 
@@ -174,17 +174,21 @@ def graft(nodes: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = under.join(first, (F.col("from_tree") == F.col("ft")) & (F.col("child_id") == F.col("fp")), "left").drop("ft", "fp")
     links = nodes.where("parent_id IS NOT NULL").select(F.col("tree_id").alias("lt"), F.col("parent_id").alias("lp"), F.col("part_id").alias("lc")).distinct()
     found = written(found.join(links, (F.col("tree_id") == F.col("lt")) & (F.col("parent_id") == F.col("lp")) & (F.col("child_id") == F.col("lc")), "left").withColumn("linked", F.col("lc").isNotNull()).drop("lt", "lp", "lc"), "graft")
-    # What is copied: the rows whose path goes through the child's place.
     places = found.where("parent_path IS NOT NULL AND child_path IS NOT NULL AND NOT linked").select(*(F.col(k).alias(f"c_{k}") for k in keys), "parent_path", "child_path")
+    # Loops are found before anything is copied: a part at or above the parent whose path goes through the child's place. A refused child may be the root of all.
+    over = places.select(*(f"c_{k}" for k in keys), "child_path", F.explode("parent_path").alias("at_or_above"))
+    inside = nodes.select(F.col("tree_id").alias("it"), F.col("part_id").alias("ip"), F.col("path").alias("inner_path"))
+    met = over.join(shuffled(inside), (F.col("c_from_tree") == F.col("it")) & (F.col("at_or_above") == F.col("ip")) & (F.slice("inner_path", 1, F.size("child_path")) == F.col("child_path")))
+    loops = written(met.select(*(f"c_{k}" for k in keys)).distinct(), "graft")
+    good = places.join(loops.withColumnsRenamed({f"c_{k}": f"x_{k}" for k in keys}), [F.col(f"c_{k}") == F.col(f"x_{k}") for k in keys], "left_anti")
+    # What is copied: the rows whose path goes through the child's place.
     above = nodes.withColumn("over", F.explode("path"))
     through = (F.col("over") == F.col("c_child_id")) & (F.col("tree_id") == F.col("c_from_tree")) & (F.slice("path", 1, F.size("child_path")) == F.col("child_path"))
-    copied = written(above.join(places, through).drop("over"), "graft")
+    copied = shuffled(above).join(good, through).drop("over")
     same = [F.col(f"c_{k}") == F.col(k) for k in keys]
-    loops = copied.where(F.array_contains("parent_path", F.col("part_id"))).select(*(f"c_{k}" for k in keys)).distinct()
-    good = copied.join(loops.select(*(F.col(f"c_{k}").alias(k) for k in keys)).withColumnsRenamed({k: f"x_{k}" for k in keys}), [F.col(f"c_{k}") == F.col(f"x_{k}") for k in keys], "left_anti")
     path = F.concat("parent_path", F.slice("path", F.size("child_path"), F.size("path")))
     changed = {"tree_id": F.col("c_tree_id"), "parent_id": F.when(F.size("path") == F.size("child_path"), F.col("c_parent_id")).otherwise(F.col("parent_id")), "path": path, "lvl": F.size(path) - 1}
-    new = good.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in nodes.columns))
+    new = copied.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in nodes.columns))
     told = found.join(loops, same, "left").withColumn("loops", F.col("c_child_id").isNotNull())
     reason = F.when(F.col("parent_path").isNull() | F.col("child_path").isNull(), "no such part").when(F.col("linked"), "already a child").when(F.col("loops"), "would be below itself")
     return nodes.unionByName(new), told.select(*keys, reason.alias("reason")).where("reason IS NOT NULL").distinct()

@@ -106,6 +106,16 @@ def test_grafts_copy_subtrees_and_refuse_loops(spark):
     assert sorted((r.parent_id, r.child_id, r.reason) for r in failed.collect()) == [(1, 4, "already a child"), (2, 2, "would be below itself"), (3, 1, "would be below itself"), (9, 77, "no such part"), (99, 2, "no such part")]
 
 
+def test_refused_grafts_copy_nothing(spark, monkeypatch):
+    """Sixty parts that all ask for the root above them: each refused copy would be of the whole tree."""
+    nodes = trees.flatten(parts_of(spark, [(1, None), *((k, 1) for k in range(2, 62))])).drop("names")
+    sizes = []
+    monkeypatch.setattr(mutations, "written", lambda rows, name: sizes.append(rows.count()) or rows)
+    changed, failed = mutations.graft(nodes, nodes.where("part_id > 1").select("tree_id", F.col("part_id").alias("parent_id"), F.col("tree_id").alias("from_tree"), F.lit(1).cast("bigint").alias("child_id")))
+    assert changed.count() == 61 and {r.reason for r in failed.collect()} == {"would be below itself"} and failed.count() == 60
+    assert max(sizes) <= 61
+
+
 def test_parts_are_shown_by_their_static_part(spark):
     """The static name first, then the part's own, then its id; empty names are none, unknown static parts give nothing, and of two of one id the least counts."""
     parts = spark.createDataFrame(
