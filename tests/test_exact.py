@@ -7,7 +7,8 @@ from collections import defaultdict
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bomwright.functions.exact import exact_sum
+from bomwright.functions.exact import exact_sum, with_exact_sum
+from bomwright.operators import materials
 
 
 def test_sums_equal_fsum(spark):
@@ -32,3 +33,17 @@ def test_sums_beyond_all_parts(spark):
     df = spark.createDataFrame([(1, 1e300), (1, 5.0), (2, math.nan), (2, 1.0), (3, math.inf)], "g int, v double")
     found = {x.g: x.s for x in df.groupBy("g").agg(exact_sum(F.col("v")).alias("s")).collect()}
     assert found[1] == 1e300 and math.isnan(found[2]) and found[3] == math.inf
+
+
+def test_window_sums_are_worked_out_once(spark):
+    """Nine whole numbers and the rest for each sum, however often the total names them; totals as of ``fsum``."""
+    r = random.Random(3)
+    rows = [(g, f"m{m}", r.random() * 2.0 ** r.uniform(-20, 20)) for g in range(20) for m in range(r.randint(1, 30))]
+    df = spark.createDataFrame(rows, "tree_id int, material_name string, grams double").repartition(8)
+    slices = materials.pie(df)
+    assert slices._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(") <= 20
+    ordered = {g: [x for _, x in sorted(((-x, m), x) for t, m, x in rows if t == g)] for g in range(20)}
+    expected = sorted(math.fsum(xs[: k + 1]) / math.fsum(xs) for xs in ordered.values() for k in range(len(xs)))
+    assert sorted(x.to_share for x in slices.collect()) == expected
+    kept = with_exact_sum(df, "total", F.col("grams"), Window.partitionBy("tree_id"))
+    assert kept.columns == [*df.columns, "total"] and {x.tree_id: x.total for x in kept.collect()} == {g: math.fsum(xs) for g, xs in ordered.items()}
