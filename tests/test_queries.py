@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from bomwright import stages
 from bomwright.plans import registry
+from bomwright.sources import adapters
 
 ORACLE = registry.oracle_sql()
 
@@ -48,3 +50,15 @@ def test_entry_module(spark):
 
     assert entry.entry(spark).count()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark, sf_dir, monkeypatch):
+    """Lines are dealt by their order to as many tasks as they need, and stay there when they are joined and grouped."""
+    monkeypatch.setattr(stages, "ROWS_A_TASK", 300)
+    lines = adapters.read(spark, sf_dir, "lineitem").count()
+    for name in ("map_nodes", "map_edges", "map_totals", "step_places", "material_overall_shares", "hazardous_locations", "ghg_footprint_dedup"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plan and f", {-(-lines // 300)}), REPARTITION_BY_NUM" in plan, name
+        assert "hashpartitioning(tree_id" not in plan, name
+    rows = spark.range(1200)
+    assert stages.dealt(rows, 1200, "id") is rows
