@@ -253,3 +253,22 @@ def test_exported_trees_hold_the_parts_taken_out_of_them(spark):
     assert "dpp:historyOfDetachedParts" not in root and [d["@id"] for d in inner["dpp:historyOfDetachedParts"]] == ["20", "10"]
     assert inner["dpp:historyOfDetachedParts"][0]["dpp:compositeParts"][0]["@id"] == "21" and inner["dpp:compositeParts"][0]["@id"] == "3"
     assert jsonld.part_trees(flat, roots_only=True, detached=gone.limit(0)).first().json == jsonld.part_trees(flat, roots_only=True).first().json
+
+
+def test_products_without_an_organisation_are_dealt_out(spark, monkeypatch):
+    """Joined by shuffles, products without an importer would all meet in one task."""
+    monkeypatch.setattr(passports, "minimal_organisations", lambda o: o.select("org_id", F.struct("org_id", "name").alias("organisation")))
+    products = spark.range(2000).select(F.col("id").alias("instance_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("I"), F.col("id") % 300)).alias("importer_id"))
+    organisations = spark.createDataFrame([("I0", "a"), ("I100", "b"), ("I7", "unasked"), (None, "none")], "org_id string, name string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = passports.with_organisations(products, organisations, ("importer",)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    tasks = [r.task for r in found]
+    assert len(found) == 2000 and max(map(tasks.count, set(tasks))) < 500
+    assert {(r.instance_id % 300, r.importer and r.importer.name) for r in found if r.importer_id} == {(0, "a"), (100, "b"), (200, None)}
+    assert all(r.importer is None for r in found if r.importer_id is None)
