@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SECONDARY_TYPES
-from ..stages import written
+from ..stages import dealt, written
 
 #: Fixed values of the format: the context, the action that stands for each type of step, and the keys of the fields below.
 CONTEXT = {
@@ -33,6 +33,8 @@ ACTIONS = {
 #: A line's documents, and a product's counters with their columns and units.
 DOCUMENTS = ("dataSheet", "installationOperatingGuide", "ceConformityDeclaration", "ecodesignConformityDeclaration", "repairAndServiceManual", "DisassemblyInstructions", "recyclingEOLInstructions")
 COUNTERS = (("cleaningCount", "cleaning_count", None), ("chalkCount", "chalk_count", None), ("brewingCount", "brewing_count", None), ("coffeeGrindingCount", "grinding_count", None), ("operatingHRS", "operating_hrs", "HRS"))
+#: A product's text takes the room of about so many usual rows when it is dealt out.
+TEXT_ROWS = 10
 
 Has = set[str]
 
@@ -76,10 +78,18 @@ def text(value: Column | None) -> Column | None:
     return None if value is None else value.cast("string")
 
 
+#: How an object with the context begins.
+OPENING = '{"@context":{' + ",".join(f'"{k}":"{v}"' for k, v in CONTEXT.items()) + "},"
+
+
+def fields_of(json: Column) -> Column:
+    """An object's text without its opening brace."""
+    return F.substr(json, F.lit(2))
+
+
 def with_context(json: Column) -> Column:
     """The context before the fields of an object."""
-    context = "{" + ",".join(f'"{k}":"{v}"' for k, v in CONTEXT.items()) + "}"
-    return F.concat(F.lit('{"@context":' + context + ","), F.substr(json, F.lit(2)))
+    return F.concat(F.lit(OPENING), fields_of(json))
 
 
 def organisation(o: Column, has: Has) -> Column:
@@ -249,11 +259,20 @@ def part_trees(nodes: DataFrame, held: DataFrame | None = None, roots_only: bool
 
 
 def bundle(lines: DataFrame, instances: DataFrame) -> DataFrame:
-    """One JSON array per line: the line, then its products in order of their ids."""
-    first = exported(lines, "static_id", line).select("static_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "json")
-    rest = instances.select("static_id", F.lit(1).alias("kind"), F.col("instance_id").alias("id"), with_context(F.to_json(passport(F.struct("*"), set(instances.columns)))).alias("json"))
-    items = first.unionByName(rest).groupBy("static_id").agg(F.array_sort(F.collect_list(F.struct("kind", "id", "json"))).alias("items"))
-    return items.select("static_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda i: i["json"]), ","), F.lit("]")).alias("json"))
+    """One JSON array per line: the line, then its products in order of their ids.
+
+    A line's text is as long as its products make it, and is in one row. Only the fields of the objects are
+    dealt out and collected; the context, of which most of the text consists, comes in between as they are
+    joined, which takes as much memory as the text has.
+    """
+    own = lambda make, rows: fields_of(F.to_json(make(F.struct("*"), set(rows.columns)))).alias("json")
+    first = lines.select("static_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), own(line, lines))
+    rest = instances.select("static_id", F.lit(1).alias("kind"), F.col("instance_id").alias("id"), own(passport, instances))
+    texts = dealt(first.unionByName(rest), TEXT_ROWS * instances.count(), "static_id")
+    items, n = F.sort_array(F.collect_list(F.struct("kind", "id", "json")))["json"], F.count(F.lit(1)).cast("int")
+    head, last = F.concat(F.lit("[" + OPENING), items[0]), F.element_at(items, -1)
+    joined = F.concat_ws("," + OPENING, head, F.slice(items, 2, F.greatest(n - 2, F.lit(0))), F.concat(last, F.lit("]")))
+    return texts.groupBy("static_id").agg(F.when(n == 1, F.concat(head, F.lit("]"))).otherwise(joined).alias("json"))
 
 
 def write_files(exports: DataFrame, path: str) -> None:

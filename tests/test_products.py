@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bomwright import stages
 from bomwright.operators import jsonld, materials, mutations, passports, processes, rules, services, trees
 from bomwright.sources import documents, tables
 from bomwright.streaming import service_steps as streams
@@ -272,3 +273,16 @@ def test_products_without_an_organisation_are_dealt_out(spark, monkeypatch):
     assert len(found) == 2000 and max(map(tasks.count, set(tasks))) < 500
     assert {(r.instance_id % 300, r.importer and r.importer.name) for r in found if r.importer_id} == {(0, "a"), (100, "b"), (200, None)}
     assert all(r.importer is None for r in found if r.importer_id is None)
+
+
+def test_bundles_carry_the_context_once(spark, monkeypatch):
+    """Lines without products, products without a line; rows that are dealt out and collected are without the context."""
+    monkeypatch.setattr(stages, "ROWS_A_TASK", 10)
+    lines = spark.createDataFrame([(1, "a"), (2, "b")], "static_id int, product_name string")
+    made = spark.createDataFrame([(1, i, False) for i in (10, 9, -1)] + [(3, 7, True), (4, 5, None), (4, 6, None)], "static_id int, instance_id bigint, discontinued boolean")
+    found = jsonld.bundle(lines, made)
+    texts = {r.static_id: json.loads(r.json) for r in found.collect()}
+    assert {k: [item["@id"] for item in v] for k, v in texts.items()} == {1: ["1", "-1", "9", "10"], 2: ["2"], 3: ["7"], 4: ["5", "6"]}
+    assert all(item["@context"] == jsonld.CONTEXT for v in texts.values() for item in v)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [static_id" in plan and "@context" not in plan[plan.index("RepartitionByExpression") :]
