@@ -4,9 +4,9 @@
 ``links``: kind, id, field, pos (the place in a list of links, null for a single one),
 to_kind and to_id. Links are typed: they lead to an entity of their to_kind only.
 
-Links are followed for all entities at once, one join a round, and rounds are written to
-the shared folder. A target that very many link to is one row of the smaller side, so
-adaptive execution can split the rows that ask for it.
+Links are followed in rounds, one join each, that are written to the shared folder. ``reached``
+does so only for entities that others link to. All others, which may be by far the most, are
+finished in one step from these, dealt out by their own id, and are not written.
 """
 
 from __future__ import annotations
@@ -14,21 +14,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..stages import written
+from ..stages import dealt, written
+
+KEY = ["kind", "id"]
+
+
+def _of_targets(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` of kinds that links lead to; kinds are few."""
+    kinds = links.select(F.col("to_kind").alias("kind")).distinct()
+    return rows.join(F.broadcast(kinds), "kind", "left_semi")
 
 
 def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
     """All that each of ``starts`` (kind, id) leads to: start_kind, start_id, kind, id, and depth, the fewest links. An entity is followed once for each start, so cycles end."""
-    steps = links.where("to_id IS NOT NULL").select("kind", "id", "to_kind", "to_id").distinct()
+    steps = links.where("to_id IS NOT NULL").select("kind", "id", "to_kind", "to_id")
     start = ["start_kind", "start_id"]
-    front = written(starts.select(F.col("kind").alias("start_kind"), F.col("id").alias("start_id"), "kind", "id", F.lit(0).alias("depth")).distinct(), "front")
+    begun = starts.select(F.col("kind").alias("start_kind"), F.col("id").alias("start_id"))
+    targets = steps.select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id")).distinct()
+    inner = written(_of_targets(steps, steps).join(targets, KEY, "left_semi").distinct(), "steps")
+    passed = inner.select(*KEY).distinct()
+    front = written(passed.select(F.col("kind").alias("start_kind"), F.col("id").alias("start_id"), "kind", "id", F.lit(0).alias("depth")), "front")
     seen = front
-    while True:
-        found = front.join(steps, ["kind", "id"]).select(*start, F.col("to_kind").alias("kind"), F.col("to_id").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = written(found.join(seen.select(*start, "kind", "id"), [*start, "kind", "id"], "left_anti"), "front")
-        if front.isEmpty():
-            return seen.where("depth > 0")
+    while not front.isEmpty():
+        found = front.join(inner, KEY).select(*start, F.col("to_kind").alias("kind"), F.col("to_id").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = written(found.join(seen.select(*start, *KEY), [*start, *KEY], "left_anti"), "front")
         seen = seen.unionByName(front)
+    own = dealt(steps.join(passed, KEY, "left_anti").withColumnsRenamed({"kind": "start_kind", "id": "start_id"}), steps.count(), *start).join(begun, start, "left_semi")
+    beyond = seen.withColumnsRenamed({"start_kind": "to_kind", "start_id": "to_id"})
+    ends = own.join(beyond, ["to_kind", "to_id"], "left").select(*start, *(F.coalesce(c, f"to_{c}").alias(c) for c in KEY), (F.coalesce("depth", F.lit(0)) + 1).alias("depth"))
+    return ends.groupBy(*start, *KEY).agg(F.min("depth").alias("depth")).unionByName(seen.where("depth > 0").join(begun, start, "left_semi"))
 
 
 def _joined(parts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+from bomwright import stages
 from bomwright.operators import links
 
 ENTITIES = "kind string, id string, body string"
@@ -38,3 +39,36 @@ def test_what_is_reached(spark):
     assert found[("step", "z")] == {("step", "x", 1), ("step", "y", 2), ("place", "b", 3)}
     assert found[("step", "x")] == {("step", "y", 1), ("place", "b", 2)} and ("org", "o") not in found
     assert links.embedded(entities.limit(0), rows.limit(0)).count() == links.reached(rows.limit(0), entities).count() == 0
+
+
+def fan(spark, n):
+    """The same few entities, and n products that nothing links to."""
+    entities, rows = tables(spark)
+    products = spark.range(n).selectExpr("'product' AS kind", "'n' || id AS id")
+    line, org = (products.selectExpr("kind", "id", f"'{field}' AS field", "CAST(NULL AS int) AS pos", f"'{kind}' AS to_kind", f"'{to}' AS to_id") for field, kind, to in (("line", "line", "l"), ("step", "step", "x")))
+    return entities.unionByName(products.selectExpr("*", "'{}' AS body")), rows.unionByName(line).unionByName(org)
+
+
+def rows_written(monkeypatch):
+    """How many rows are written from here on."""
+    counts, original = [], links.written
+
+    def counted(rows, name):
+        out = original(rows, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "written", counted)
+    return counts
+
+
+def test_reached_does_not_write_what_nothing_links_to(spark, monkeypatch):
+    counts = rows_written(monkeypatch)
+    assert links.reached(*fan(spark, 0)[::-1]).count() == 17 and counts
+    few = sum(counts)
+    counts.clear()
+    monkeypatch.setattr(stages, "ROWS_A_TASK", 20)
+    entities, rows = fan(spark, 100)
+    found = links.reached(rows, entities).where("start_id LIKE 'n%'").groupBy("start_id").agg({"depth": "sum", "id": "count"})
+    assert {tuple(r)[1:] for r in found.collect()} == {(13, 7)} and found.count() == 100
+    assert sum(counts) == few
