@@ -72,3 +72,21 @@ def test_reached_does_not_write_what_nothing_links_to(spark, monkeypatch):
     found = links.reached(rows, entities).where("start_id LIKE 'n%'").groupBy("start_id").agg({"depth": "sum", "id": "count"})
     assert {tuple(r)[1:] for r in found.collect()} == {(13, 7)} and found.count() == 100
     assert sum(counts) == few
+
+
+def test_embedded_does_not_write_what_nothing_links_to(spark, monkeypatch):
+    counts = rows_written(monkeypatch)
+    few = {(r.kind, r.id): r.json for r in links.embedded(*fan(spark, 0)).collect()}
+    n = sum(counts)
+    counts.clear()
+    monkeypatch.setattr(stages, "ROWS_A_TASK", 20)
+    found = {(r.kind, r.id): r.json for r in links.embedded(*fan(spark, 100)).collect()}
+    assert json.loads(found[("product", "n7")]) == {"line": json.loads(few[("line", "l")]), "step": {"@id": "x"}}
+    assert len(found) == 109 and {k: v for k, v in found.items() if not k[1].startswith("n")} == few
+    assert sum(counts) == n
+
+
+def test_targets_of_very_many_links_are_shown_alike(spark, monkeypatch):
+    usual = sorted(map(tuple, links.embedded(*fan(spark, 10)).collect()))
+    monkeypatch.setattr(links, "HOT_LINKS", 1)
+    assert sorted(map(tuple, links.embedded(*fan(spark, 10)).collect())) == usual
