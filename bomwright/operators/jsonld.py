@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SECONDARY_TYPES
-from ..stages import dealt, written
+from ..stages import dealt, storing_long_texts, written
 
 #: Fixed values of the format: the context, the action that stands for each type of step, and the keys of the fields below.
 CONTEXT = {
@@ -36,6 +36,12 @@ COUNTERS = (("cleaningCount", "cleaning_count", None), ("chalkCount", "chalk_cou
 #: A product's text takes the room of about so many usual rows when it is dealt out.
 TEXT_ROWS = 10
 
+#: Texts that are made at the same time have together about so many bytes; whoever stores one holds it some ten times over.
+BYTES_AT_ONCE = 1_000_000_000
+
+#: A text is made of pieces of about so many bytes, so that no task collects all of its objects.
+PIECE_BYTES = 16_000_000
+
 Has = set[str]
 
 
@@ -262,17 +268,32 @@ def bundle(lines: DataFrame, instances: DataFrame) -> DataFrame:
     """One JSON array per line: the line, then its products in order of their ids.
 
     A line's text is as long as its products make it, and is in one row. Only the fields of the objects are
-    dealt out and collected; the context, of which most of the text consists, comes in between as they are
-    joined, which takes as much memory as the text has.
+    dealt out and collected, by ranges of their ids; the context, of which most of the text consists, comes in
+    between as the pieces of a line are joined. The longer the texts, the fewer tasks make them, one after
+    another, so that those in memory together do not grow until one alone has ``BYTES_AT_ONCE``.
     """
     own = lambda make, rows: fields_of(F.to_json(make(F.struct("*"), set(rows.columns)))).alias("json")
     first = lines.select("static_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), own(line, lines))
     rest = instances.select("static_id", F.lit(1).alias("kind"), F.col("instance_id").alias("id"), own(passport, instances))
-    texts = dealt(first.unionByName(rest), TEXT_ROWS * instances.count(), "static_id")
-    items, n = F.sort_array(F.collect_list(F.struct("kind", "id", "json")))["json"], F.count(F.lit(1)).cast("int")
-    head, last = F.concat(F.lit("[" + OPENING), items[0]), F.element_at(items, -1)
-    joined = F.concat_ws("," + OPENING, head, F.slice(items, 2, F.greatest(n - 2, F.lit(0))), F.concat(last, F.lit("]")))
-    return texts.groupBy("static_id").agg(F.when(n == 1, F.concat(head, F.lit("]"))).otherwise(joined).alias("json"))
+    objects = first.unionByName(rest)
+    sized = objects.groupBy("static_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("json") + len(OPENING)).alias("bytes"), F.min("id").alias("least"), F.max("id").alias("most"))
+    n_texts, n, longest, least, most = sized.agg(F.count("*"), F.sum("n"), F.max("bytes"), F.min("least"), F.max("most")).first()
+    n_pieces, at_once = 1 + (longest or 0) // PIECE_BYTES, max(1, BYTES_AT_ONCE // (longest or 1))
+    share = (F.col("id").cast("double") - float(least or 0)) / max(1.0, float(most or 0) - float(least or 0))
+    piece = F.least(F.coalesce(F.floor(share * n_pieces), F.lit(0)), F.lit(n_pieces - 1))  # the line, which has no id, is first
+    cut = dealt(objects.withColumn("piece", piece), TEXT_ROWS * (n or 0), "static_id", "piece")
+    pieces = cut.groupBy("static_id", "piece").agg(F.sort_array(F.collect_list(F.struct("kind", "id", "json")))["json"].alias("items"))
+    few = at_once < n_texts
+    if few:
+        pieces = pieces.repartition(4 * n_texts, "static_id")
+    held = pieces.groupBy("static_id").agg(*(F.first(F.when(F.col("piece") == k, F.col("items")), ignorenulls=True).alias(f"piece_{k}") for k in range(n_pieces)))
+    if few:
+        held = held.coalesce(at_once)
+        storing_long_texts(lines.sparkSession, "json")
+    items = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in held.columns[1:]))
+    head, last = F.concat(F.lit("[" + OPENING), items[0]), F.concat(F.element_at(items, -1), F.lit("]"))
+    joined = F.concat_ws("," + OPENING, head, F.slice(items, 2, F.greatest(F.size(items) - 2, F.lit(0))), last)
+    return held.select("static_id", F.when(F.size(items) == 1, F.concat(head, F.lit("]"))).otherwise(joined).alias("json"))
 
 
 def write_files(exports: DataFrame, path: str) -> None:

@@ -286,3 +286,23 @@ def test_bundles_carry_the_context_once(spark, monkeypatch):
     assert all(item["@context"] == jsonld.CONTEXT for v in texts.values() for item in v)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [static_id" in plan and "@context" not in plan[plan.index("RepartitionByExpression") :]
+
+
+def test_long_texts_are_made_few_at_a_time_of_pieces(spark, monkeypatch):
+    """Tasks join the pieces of a few lines, one after another; what they are stored with keeps one text at a time and no copies of it."""
+    monkeypatch.setattr(jsonld, "BYTES_AT_ONCE", 30_000)
+    monkeypatch.setattr(jsonld, "PIECE_BYTES", 2_000)
+    keys = [*stages.LONG_ROWS, *(f"{k}#json" for k in stages.LONG_TEXTS)]
+    lines = spark.createDataFrame([(k, "a") for k in range(5)], "static_id int, product_name string")
+    made = spark.createDataFrame([(1, i, False) for i in (10, 9, -1, 2**62, -(2**62), 11)] + [(7, 12, None)], "static_id int, instance_id bigint, discontinued boolean")
+    try:
+        found = jsonld.bundle(lines, made)
+        assert [spark.conf.get(k) for k in keys] == ["1", "false", "false"]
+        texts = {r.static_id: json.loads(r.json) for r in found.collect()}
+        assert found.rdd.getNumPartitions() <= 3
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    ids = {k: [str(k)] for k in range(5)} | {1: ["1", str(-(2**62)), "-1", "9", "10", "11", str(2**62)], 7: ["12"]}
+    assert {k: [item["@id"] for item in v] for k, v in texts.items()} == ids
+    assert "piece_3" in found._jdf.queryExecution().analyzed().toString()
