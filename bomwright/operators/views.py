@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.exact import exact_sum
 from ..functions.scalars import ratio, rounded
+from ..stages import few_or_shuffled
 from . import materials, passports, processes, services, trees
 
 ROLES = ("manufacturer", "importer", "operator")
@@ -100,6 +101,16 @@ def holding_blocks(uses: DataFrame, instances: DataFrame, names: DataFrame) -> l
     return out
 
 
+def with_shared(products: DataFrame, of_trees: DataFrame, of_lines: DataFrame) -> DataFrame:
+    """Products with all their other blocks, and the blocks that the products of one tree or of one line share.
+
+    Trees and lines are few for how many products they have, so wide rows are not dealt
+    out by them: all products of a line would meet in one task.
+    """
+    found = attached(products, "of_tree", few_or_shuffled(of_trees, "trees")).drop("of_tree")
+    return attached(found, "static_id", few_or_shuffled(of_lines, "lines"))
+
+
 def _products(instances: DataFrame, organisations: DataFrame) -> DataFrame:
     counters = F.struct(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in COUNTERS)).alias("counters")
     rows = trees.with_trees(instances).select("instance_id", "static_id", "product_name", "root_part_id", "of_tree", "declared_at", "discontinued", counters, *(f"{r}_id" for r in ROLES))
@@ -110,12 +121,11 @@ def user_view(instances: DataFrame, lines: DataFrame, organisations: DataFrame,
     """All that owners see of each product; percentages of materials as they are, the product's to two places."""
     made = material_block(uses)
     made = made.withColumns({"recycled_percent": rounded(F.col("recycled_percent"), 2), "rare_percent": rounded(F.col("rare_percent"), 2)}).drop("grams")
-    counts = processes.category_counts(steps).select(F.col("tree_id").alias("of"), *processes.CATEGORIES, F.col("total").alias("n_steps"))
-    km = processes.transport_km(steps).withColumnRenamed("tree_id", "of")
+    figures_of_steps = processes.counts_and_km(steps).withColumnsRenamed({"tree_id": "of", "total": "n_steps"})
     out = _products(instances, organisations)
-    for block in (made, counts, km, *emission_blocks(emissions), linked_block(instances, nodes)):
+    for block in (made, figures_of_steps, *emission_blocks(emissions), linked_block(instances, nodes)):
         out = attached(out, "instance_id", block)
-    out = attached(attached(out, "of_tree", part_blocks(nodes)).drop("of_tree"), "static_id", line_blocks(lines, places, base_url).drop("manuals"))
+    out = with_shared(out, part_blocks(nodes), line_blocks(lines, places, base_url).drop("manuals"))
     figures = ["recycled_percent", "rare_percent", *processes.CATEGORIES, "n_steps", "parts_km", "materials_km", "total_km", "ghg_kg", "n_parts", "n_fail"]
     return out.na.fill(0, figures)
 
@@ -128,5 +138,5 @@ def end_of_life_view(instances: DataFrame, lines: DataFrame, organisations: Data
     for block in (material_block(uses), *holding_blocks(uses, instances, names), done, linked_block(instances, nodes)):
         out = attached(out, "instance_id", block)
     manuals = F.struct(*(passports.minimal_document(F.col(c)).alias(c) for c in ("disassembly", "recycling")))
-    out = attached(attached(out, "of_tree", part_blocks(nodes)).drop("of_tree"), "static_id", lines.select(F.col("static_id").alias("of"), manuals.alias("manuals")))
+    out = with_shared(out, part_blocks(nodes), lines.select(F.col("static_id").alias("of"), manuals.alias("manuals")))
     return out.na.fill(0, ["grams", "recycled_percent", "rare_percent", "cost_eur", *(b.lower() for b in services.BUCKET_NAMES), "n_parts", "n_fail"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bomwright import stages
-from bomwright.operators import jsonld, materials, mutations, passports, processes, rules, services, trees
+from bomwright.operators import jsonld, materials, mutations, passports, processes, rules, services, trees, views
 from bomwright.sources import documents, tables
 from bomwright.streaming import service_steps as streams
 
@@ -306,3 +306,29 @@ def test_long_texts_are_made_few_at_a_time_of_pieces(spark, monkeypatch):
     ids = {k: [str(k)] for k in range(5)} | {1: ["1", str(-(2**62)), "-1", "9", "10", "11", str(2**62)], 7: ["12"]}
     assert {k: [item["@id"] for item in v] for k, v in texts.items()} == ids
     assert "piece_3" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_views_stay_where_they_are_for_what_products_share(spark, monkeypatch):
+    """Wide rows meet few trees and few lines without a shuffle, whatever Spark guesses of their size; many are joined by shuffles."""
+    products = spark.createDataFrame([(i, i % 3, i % 2) for i in range(10)], "instance_id bigint, of_tree bigint, static_id int")
+    of_trees = spark.createDataFrame([(0, 4, [1]), (1, 5, [2, 3])], "of bigint, n_parts int, first_level array<int>")
+    of_lines = spark.createDataFrame([(1, ["a"])], "of int, documents array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, kind in ((stages.FEW_ROWS, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(stages, "FEW_ROWS", most)
+            found = views.with_shared(products, of_trees, of_lines)
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert [line.split("Join")[0].split()[-1] + "Join" for line in plan.splitlines() if "Join" in line] == [kind] * 2
+            rows = {r.instance_id: (r.n_parts, r.first_level, r.documents) for r in found.collect()}
+            assert rows == {i: (*((4, [1]), (5, [2, 3]), (None, []))[i % 3], ["a"] if i % 2 else []) for i in range(10)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_steps_are_counted_and_measured_in_one_pass(spark):
+    steps = spark.createDataFrame(
+        [(1, "part", "TransportStep", 1.0005), (1, "material", "ProductionStep", 2.0), (1, "part", "RepairServiceStep", None), (2, "part", "X", None)], "tree_id bigint, owner_kind string, type string, distance_km double")
+    apart = processes.category_counts(steps).join(processes.transport_km(steps), "tree_id")
+    assert sorted(processes.counts_and_km(steps).collect()) == sorted(apart.collect())
