@@ -157,3 +157,13 @@ def test_large_trees_meet_products_in_blocks(spark):
     found = services.part_mtbf(instances, forest)
     assert found.groupBy("instance_id").agg(F.count("*"), F.count_distinct("part_id"), F.count_if("exceeded")).orderBy("instance_id").collect() == [(i, 5000, 5000, 2500) for i in range(3)]
     assert "of_block" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_parts_of_like_mtbf_follow_each_other(spark):
+    """Rows of a product differ from the one before in little but the part; parts without a MTBF are there too."""
+    forest = trees.flatten(parts_of(spark, [(1, None), *((p, 1) for p in range(2, 3001))]), paths=False)
+    forest = forest.withColumn("mtbf_hrs", F.when(F.col("part_id") % 4 != 0, (F.col("part_id") % 4 * 1000).cast("double")))
+    instances = spark.createDataFrame([(i, 1, 1500.0) for i in range(3)], "instance_id bigint, root_part_id bigint, operating_hrs double")
+    rows = [(r.instance_id, r.mtbf_hrs) for r in services.part_mtbf(instances, forest).collect()]
+    assert {(i, m): rows.count((i, m)) for i, m in set(rows)} == {(i, m): 750 for i in range(3) for m in (None, 1000.0, 2000.0, 3000.0)}
+    assert sum(a != b for a, b in zip(rows, rows[1:], strict=False)) < 3 * (4 + 3)
